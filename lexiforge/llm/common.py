@@ -11,7 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Text that one vectorised step holds at a time.
 STEP_BYTES = 4 << 20
@@ -122,3 +124,23 @@ def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     ends = np.cumsum(counts)
     total = np.concatenate([[0], np.cumsum(values)])
     return total[ends] - total[ends - counts]
+
+
+def row_key(table: DataFrame) -> DataFrame:
+    """A written table with columns that name each row: its file and its place there. They never change."""
+    return table.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def running_total(ws: Workspace, df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """df with ``before``: the sum of value over all rows ahead in the order, which should have no large ties.
+
+    Rows are dealt out in ranges; only one total per range meets in one task.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = ws.table(ranged, name)
+    totals = ranged.groupBy("_part").agg(F.sum(value).alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select("_part", ahead.alias("_ahead"))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(totals), "_part")  # a row per partition
+    return joined.withColumn("before", F.col("_ahead") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_part", "_ahead")

@@ -7,17 +7,120 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import simhash, tokens
+from lexiforge.llm import chat, mixing, simhash, tokens, topk, warc
+
+
+SQL = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, url, strlen(h) AS payload_bytes, sha1(h) AS x FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM d)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform(range(4), lambda k:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(x, (5 * g + 1)::INT, 5))::BIGINT) >> ((15 - 5 * k)::INT)) & 31)::INT, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, url
+FROM m""",
+    "op4_chat": r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(i)
+), e AS (
+  SELECT *, replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS er,
+         replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS et FROM r
+), g AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+         7 + 8 + sum(8 + length(er) + length(et) + 9) AS formatted_chars
+  FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       formatted_chars::BIGINT AS formatted_chars FROM g""",
+    "op7_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10""",
+    "op10_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source
+), r AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+         row_number() OVER w AS k,
+         coalesce(sum(3 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+         coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_before
+  FROM s WINDOW w AS (ORDER BY 3 * source_size / weight, source)
+), l AS (
+  SELECT (total - full_before)::DOUBLE / (weights - weight_before)::DOUBLE AS level FROM r
+  WHERE (3 * source_size)::DOUBLE >= ((total - full_before)::DOUBLE / (weights - weight_before)::DOUBLE) * weight
+  ORDER BY k LIMIT 1
+), t AS (
+  SELECT source, source_size, CASE WHEN (3 * source_size)::DOUBLE < level * weight THEN (3 * source_size)::DOUBLE ELSE weight * level END AS target
+  FROM s, l
+), b AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (size * len(list_filter([0, 1, 2], lambda e: e * source_size + before + size / 2 < target)))::BIGINT AS taken
+FROM b""",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.write_and_read(spark, table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    made = chat.format_chats(rows)
+    made = made.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("segments")))
+    said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return made.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(spark, vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mixing.mixture(spark, table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -31,10 +134,14 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op3_simhash": op3_simhash,
+        "op4_chat": op4_chat,
+        "op7_topk": op7_topk,
         "op9_token_store": op9_token_store,
+        "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

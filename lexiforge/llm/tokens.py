@@ -215,7 +215,7 @@ def _encode_stage(path: str, end_id: int, stage: str):
                 cut = (ends * enc.width).tolist()
                 digests = [_digest(data[a:b]) for a, b in zip([0, *cut[:-1]], cut, strict=True)]
                 if out is None:
-                    out = fs.open_output_stream(f"{folder}/{name}")
+                    out = fs.open_output_stream(f"{folder}/{name}", compression=None)
                 out.write(data)
                 lists = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
                 sizes = np.diff(ends, prepend=0)
@@ -258,7 +258,7 @@ def _pack_stage(stage: str, packs: str, width: int):
                     # Buffered and in order, so the reads of a file coalesce.
                     file, reader = f, src.open_input_file(f"{folder}/{f}")
                     pack, at, block, lo = f"{f}-{uuid.uuid4().hex[:8]}.ids", 0, b"", 0
-                    out = dst.open_output_stream(f"{target}/{pack}")
+                    out = dst.open_output_stream(f"{target}/{pack}", compression=None)
                 a, b = a * width, (a + n) * width
                 if b > lo + len(block):
                     lo = a
