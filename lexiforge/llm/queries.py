@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import chat, mixing, simhash, tokens, topk, warc
+from lexiforge.llm import chat, mixing, pii, simhash, tokens, topk, warc
 
 
 SQL = {
@@ -111,6 +111,12 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_kind = lambda k: F.size(F.filter("pii", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return made.select("doc_id", "text", *map(of_kind, pii.KINDS))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(spark, vectors, vectors.filter("vec_id % 100 = 0"))
@@ -137,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op3_simhash": op3_simhash,
         "op4_chat": op4_chat,
+        "op5_pii": op5_pii,
         "op7_topk": op7_topk,
         "op9_token_store": op9_token_store,
         "op10_mixing": op10_mixing,
