@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import chat, mixing, pii, simhash, tokens, topk, warc
+from lexiforge.llm import chat, mixing, pii, simhash, tokens, topk, toxicity, warc
 
 
 SQL = {
@@ -117,6 +117,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "text", *map(of_kind, pii.KINDS))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = toxicity.graded(spark, docs, table(spark, sf_dir, "labels"))
+    return made.select("doc_id", "toxicity.severity", "toxicity.grade", "toxicity.toxic")
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(spark, vectors, vectors.filter("vec_id % 100 = 0"))
@@ -144,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_chat": op4_chat,
         "op5_pii": op5_pii,
+        "op6_toxicity": op6_toxicity,
         "op7_topk": op7_topk,
         "op9_token_store": op9_token_store,
         "op10_mixing": op10_mixing,
