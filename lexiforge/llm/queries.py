@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import chat, mixing, pii, simhash, tokens, topk, toxicity, warc
+from lexiforge.llm import chat, decontam, mixing, pii, simhash, tokens, topk, toxicity, warc
 
 
 SQL = {
@@ -128,6 +128,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.mixture(spark, table(spark, sf_dir, "documents"))
     return made.select("doc_id", "size", "source_size", "target", "taken")
@@ -152,6 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii": op5_pii,
         "op6_toxicity": op6_toxicity,
         "op7_topk": op7_topk,
+        "op8_decontamination": op8_decontamination,
         "op9_token_store": op9_token_store,
         "op10_mixing": op10_mixing,
     }
