@@ -15,17 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import Workspace, bounded_batches, split_words, steps
+from lexiforge.llm.common import STEP_BYTES, Workspace, bounded_batches, split_words, steps
 from lexiforge.llm.simhash import joined_at
 from lexiforge.llm.xxh64 import hash_runs
 
 WINDOW, STRIDE = 12, 4
 RANK, OVERSAMPLE, POWER = 256, 16, 2
-#: Cosine in the latent space from which a passage is a candidate.
-COSINE = 0.6
+#: A passage is a candidate from this cosine on: in the latent space, and as far as its words are the benchmark's.
+COSINE = 0.7
 #: Share of an item's words that the longest common subsequence has: enough alone, or with the answer.
 COMMON, WITH_ANSWER = 0.8, 0.6
 #: Last words of an item that count as its answer.
@@ -38,56 +39,80 @@ BLOCK = 100_000
 
 
 def word_ids(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words, lower-cased and bare of punctuation at their ends, and words per text."""
-    import pyarrow.compute as pc
-
+    """32-bit hashes of the words, lower-cased and bare of punctuation at their ends, and words per text."""
     flat, counts = split_words(values)
     coded = flat.dictionary_encode()
     bare = pc.utf8_trim(pc.utf8_lower(coded.dictionary), EDGES)
     size = pc.binary_length(bare).to_numpy(zero_copy_only=False).astype(np.int64)
     data = bare.buffers()[2].to_pybytes()[joined_at(bare)] if size.sum() else b""
-    hashes = hash_runs(data, np.cumsum(size) - size, size, 7) if len(size) else np.zeros(0, np.uint64)
+    hashes = hash_runs(data, np.cumsum(size) - size, size, 7).astype(np.uint32) if len(size) else np.zeros(0, np.uint32)
     return hashes[coded.indices.to_numpy(zero_copy_only=False)], counts
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents per bucket in this task; at most BUCKETS rows."""
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's word ids and, in a last row, how many of the task's documents each bucket is in."""
     df = np.zeros(BUCKETS, np.int64)
-    n = 0
+    n, kind = 0, None
+    empty = pa.array([], pa.int64())
+    lists = lambda k, a, b: [pa.ListArray.from_arrays(pa.array(np.append(np.zeros(k, np.int32), len(x)).astype(np.int32)), x) for x in (a, b)]
     for batch in batches:
-        for _, values in steps(batch, "text"):
+        kind = batch.column("doc_id").type
+        for part, values in steps(batch, "text"):
             ids, counts = word_ids(values)
-            doc = np.repeat(np.arange(len(counts)), counts)
-            pairs = np.unique((doc.astype(np.int64) << 20) | (ids & np.uint64(BUCKETS - 1)).astype(np.int64))
+            doc = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
+            pairs = np.unique((doc << 20) | (ids & np.uint32(BUCKETS - 1)))
             df += np.bincount(pairs & (BUCKETS - 1), minlength=BUCKETS)
             n += len(counts)
-    some = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["bucket", "df"])
+            at = pa.py_buffer(np.concatenate([[0], np.cumsum(4 * counts)]).astype(np.int32).tobytes())
+            words = pa.Array.from_buffers(pa.binary(), len(counts), [None, at, pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), words, *lists(len(counts), empty, empty)], ["doc_id", "words", "bucket", "df"])
+    if kind is not None:
+        some = np.flatnonzero(df)
+        table = lists(1, pa.array(np.append(some, -1)), pa.array(np.append(df[some], n)))
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), *table], ["doc_id", "words", "bucket", "df"])
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log((1 + N) / (1 + df)) + 1 by bucket over all documents; a table of fixed size."""
-    rows = docs.select("text").mapInArrow(_frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
-    got = rows.toArrow()
+def encode(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """The documents as word ids, and log((1 + N) / (1 + df)) + 1 by bucket over all documents, a table of fixed size."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").mapInArrow(_encoded, f"doc_id {kind}, words binary, bucket array<long>, df array<long>")
+    rows = ws.table(rows, "words")
+    pairs = rows.filter("words is null").select(F.explode(F.arrays_zip("bucket", "df")).alias("x"))
+    got = pairs.groupBy(F.col("x.bucket").alias("bucket")).agg(F.sum("x.df").alias("df")).toArrow()
     bucket, df = got["bucket"].to_numpy(), got["df"].to_numpy()
     n = int(df[bucket == -1].sum())
     out = np.full(BUCKETS, np.log(1 + n) + 1, np.float32)
     out[bucket[bucket >= 0]] = (np.log((1 + n) / (1 + df[bucket >= 0])) + 1).astype(np.float32)
-    return out
+    return rows.filter("words is not null").select("doc_id", "words"), out
 
 
 class Latent:
-    """The benchmark's passages in the latent space, and what it takes to fold others in."""
+    """The benchmark's passages in the latent space, and what it takes to fold others in.
+
+    kept is the share of a passage's length that the latent space keeps.
+    """
+
+    kept = np.zeros(0, np.float32)
 
     def __init__(self, words: np.ndarray, idf: np.ndarray, basis: np.ndarray, passages: np.ndarray, item: np.ndarray) -> None:
-        self.words, self.idf, self.basis, self.passages, self.item = words, idf, basis, passages, item
+        self.words, self.basis, self.passages, self.item = words, basis, passages, item
+        self.seen = np.zeros(BUCKETS, bool)
+        self.seen[(words & np.uint32(BUCKETS - 1)).astype(np.int64)] = True
+        self.weighed = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]), np.float32)])
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Which of the benchmark's words each id is, or -1."""
+        out = np.full(len(ids), -1, np.int32)
+        some = np.flatnonzero(self.seen[ids & np.uint32(BUCKETS - 1)])
+        at = np.minimum(np.searchsorted(self.words, ids[some]), len(self.words) - 1)
+        out[some] = np.where(self.words[at] == ids[some], at, -1)
+        return out
 
     def fold(self, place: np.ndarray) -> np.ndarray:
         """Rows of place are passages' words (-1: not in the benchmark) -> their latent vectors, not normalised."""
-        weighed = np.vstack([self.basis * self.idf[:, None], np.zeros((1, self.basis.shape[1]), np.float32)])
         out = np.zeros((len(place), self.basis.shape[1]), np.float32)
         for k in range(place.shape[1]):
-            out += weighed[place[:, k]]
+            out += self.weighed[place[:, k]]
         return out
 
 
@@ -135,23 +160,25 @@ def latent_space(spark: SparkSession, items: list[tuple], idf: np.ndarray, rank:
     if not len(ids):
         return None
     words, place = np.unique(ids, return_inverse=True)
-    weight = idf[(words & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    weight = idf[words & np.uint32(BUCKETS - 1)]
     windows, item, a = [], [], 0
     for i, n in enumerate(counts.tolist()):
         for w in _windows(n, 1).tolist():
             windows.append(place[a + w : a + min(w + WINDOW, n)])
             item.append(i)
         a += n
-    rows = []
+    rows, length = [], []
     for w in windows:
         p, c = np.unique(w, return_counts=True)
         v = c * weight[p]
-        rows.append(np.stack([p, v / np.linalg.norm(v)]))
+        length.append(np.linalg.norm(v))
+        rows.append(np.stack([p, v / length[-1]]))
     basis = randomised_svd(spark, rows, len(words), rank)
     found = Latent(words, weight, basis, np.zeros(0), np.array(item))
     padded = np.array([np.concatenate([w, np.full(WINDOW - len(w), -1)]) for w in windows])
     z = found.fold(padded)
-    found.passages = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    norm = np.maximum(np.linalg.norm(z, axis=1), 1e-9)
+    found.passages, found.kept = z / norm[:, None], (norm / length).astype(np.float32)
     return found
 
 
@@ -171,9 +198,13 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
 def _search(space: Latent, idf: np.ndarray, items: list[np.ndarray], item_ids: list, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, values in steps(batch, "text"):
-                ids, counts = word_ids(values)
-                out = _matches(space, idf, items, ids, counts, cosine)
+            counts = pc.binary_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+            group = (np.cumsum(counts) - counts) // (STEP_BYTES // 8)
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(counts)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(a, b - a)
+                ids = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint32)
+                out = _matches(space, idf, items, ids, counts[a:b], cosine)
                 doc = part.column("doc_id").take(pa.array([d for d, *_ in out], pa.int64()))
                 col = lambda k, t: pa.array([x[k] for x in out], t)
                 yield pa.RecordBatch.from_arrays(
@@ -187,9 +218,9 @@ def _search(space: Latent, idf: np.ndarray, items: list[np.ndarray], item_ids: l
 def _matches(space: Latent, idf: np.ndarray, items: list[np.ndarray], ids: np.ndarray, counts: np.ndarray, cosine: float) -> list[tuple]:
     if not len(ids):
         return []
-    place = np.minimum(np.searchsorted(space.words, ids), len(space.words) - 1)
-    known = space.words[place] == ids
-    weight2 = idf[(ids & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.float64) ** 2
+    place = space.places(ids)
+    known = place >= 0
+    weight2 = np.square(idf[ids & np.uint32(BUCKETS - 1)], dtype=np.float64)
     all2 = np.concatenate([[0], np.cumsum(weight2)])
     known2 = np.concatenate([[0], np.cumsum(weight2 * known)])
     stops = np.cumsum(counts)
@@ -199,10 +230,10 @@ def _matches(space: Latent, idf: np.ndarray, items: list[np.ndarray], ids: np.nd
     doc = np.repeat(np.arange(len(counts)), n)
     at = starts[doc] + np.minimum((np.arange(len(doc)) - (np.cumsum(n) - n)[doc]) * STRIDE, np.maximum(counts[doc] - WINDOW, 0))
     end = np.minimum(at + WINDOW, stops[doc])
-    # The cosine is at most the share of the passage's length that the benchmark's words have. Repeated
-    # words only raise it, by no more than the root of a passage's words, hence the margin.
+    # Outside the benchmark's words a passage is at right angles to the whole latent space, so its full
+    # cosine is at most the root of the share that the benchmark's words have of its squared length.
     share = (known2[end] - known2[at]) / np.maximum(all2[end] - all2[at], 1e-9)
-    likely = np.flatnonzero(share >= 0.5 * cosine**2)
+    likely = np.flatnonzero(share >= cosine**2)
     found: dict[tuple[int, int], tuple] = {}
     for lo in range(0, len(likely), 8192):
         rows = likely[lo : lo + 8192]
@@ -210,9 +241,13 @@ def _matches(space: Latent, idf: np.ndarray, items: list[np.ndarray], ids: np.nd
         inside = k < end[rows][:, None]
         k = np.minimum(k, len(ids) - 1)
         z = space.fold(np.where(inside & known[k], place[k], -1))
-        norm = np.sqrt(_squared_norm(ids[k], inside, idf))
-        cos = (z @ space.passages.T) / np.maximum(norm, 1e-9)[:, None]
+        product = z @ space.passages.T
+        length = np.sqrt(all2[end[rows]] - all2[at[rows]])
+        # The full cosine, from what the latent space keeps of a passage and of the item's passage.
+        cos = product / np.maximum(length, 1e-9)[:, None].astype(np.float32) / np.maximum(space.kept, 1e-3)
         r, p = np.nonzero(cos >= cosine)
+        near = product[r, p] >= cosine * np.linalg.norm(z, axis=1)[r]
+        r, p = r[near], p[near]
         for i, j in dict.fromkeys(zip(rows[r].tolist(), space.item[p].tolist(), strict=True)):
             d = int(doc[i])
             a, b = int(starts[d]), int(stops[d])
@@ -231,16 +266,6 @@ def _matches(space: Latent, idf: np.ndarray, items: list[np.ndarray], ids: np.nd
     return list(found.values())
 
 
-def _squared_norm(ids: np.ndarray, inside: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Of TF-IDF vectors: equal words of a passage add up before they are squared."""
-    w = np.where(inside, idf[(ids & np.uint64(BUCKETS - 1)).astype(np.int64)], 0)
-    total = (w.astype(np.float64) ** 2).sum(1)
-    for d in range(1, ids.shape[1]):
-        same = (ids[:, d:] == ids[:, :-d]) & inside[:, d:]
-        total += 2 * (same * w[:, d:].astype(np.float64) ** 2).sum(1)
-    return total
-
-
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """docs(doc_id, text, ...), benchmark(item_id, text) -> a row per document and item that it holds.
 
@@ -257,16 +282,18 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cos
     if not items:
         return spark.createDataFrame([], schema)
     bounded_batches(spark)
-    idf = inverse_frequencies(docs)
+    rows, idf = encode(ws, docs)
     out = None
     for lo in range(0, len(items), BLOCK // 32):
         some = items[lo : lo + BLOCK // 32]
         space = latent_space(spark, some, idf)
         ids, counts = word_ids(pa.array([t for _, t in some], pa.string()))
         words = np.split(ids, np.cumsum(counts)[:-1])
-        found = docs.select("doc_id", "text").mapInArrow(_search(space, idf, words, [i for i, _ in some], cosine), schema)
+        found = rows.mapInArrow(_search(space, idf, words, [i for i, _ in some], cosine), schema)
         out = found if out is None else out.unionByName(found)
-    return ws.table(out, "matches")
+    out = ws.table(out, "matches")
+    ws.drop("words")
+    return out
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
