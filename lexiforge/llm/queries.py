@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import chat, decontam, mixing, pii, simhash, tokens, topk, toxicity, warc
+from lexiforge.llm import chat, decontam, lm, mixing, pii, simhash, tokens, topk, toxicity, warc
 
 
 SQL = {
@@ -86,6 +86,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(spark, table(spark, sf_dir, "documents"))
 
@@ -151,6 +155,7 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_lm": op2_lm,
         "op3_simhash": op3_simhash,
         "op4_chat": op4_chat,
         "op5_pii": op5_pii,
