@@ -30,7 +30,7 @@ from lexiforge.llm.common import Workspace, filesystem, split_words, steps
 
 END_ID = 2
 #: Chunks have LEAST to MOST ids, MASK + LEAST or so on average (a document's last may be shorter).
-LEAST, MOST, MASK = 64, 2048, 255
+LEAST, MOST, MASK = 128, 4096, 1023
 REACH = 16
 DIGEST = 16
 #: Words whose ids a Python worker remembers.
