@@ -1 +1,294 @@
-"""Queries over the driver's tables."""
+"""Queries over the driver's tables. Pairs are adjacent user and assistant turns of conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lexiforge.functions import metrics, normalize, quality, segment
+from lexiforge.operators import align, augment, decode, mine, select
+from lexiforge.plans.registry import query, table
+
+PAIRS_SQL = """
+pairs AS (
+  SELECT conv_id, turn, text AS src, nt AS tgt FROM (
+    SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+  ) WHERE role = 'user' AND nr = 'assistant' AND nt IS NOT NULL AND text IS NOT NULL
+)"""
+Q1_SQL = "length(src) BETWEEN 5 AND 2000 AND length(tgt) BETWEEN 5 AND 1000 AND length(src)::DOUBLE / greatest(length(tgt), 1) BETWEEN 0.1 AND 6.0"
+MARKED_SQL = " OR ".join(f"contains(lower({{0}}), '{m}')" for m in quality.ENGLISH)
+Q3_SQL = "(length({0}) >= 5 AND length(regexp_replace({0}, '[^A-Za-z]', '', 'g'))::DOUBLE / length({0}) >= 0.3 AND (length({0}) < 30 OR " + MARKED_SQL + "))"
+WORDS_SQL = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')"
+Q4_SQL = f"(length({{0}}) >= 20 AND len({WORDS_SQL}) >= 4 AND len(list_distinct({WORDS_SQL}))::DOUBLE / len({WORDS_SQL}) < 0.2)"
+BUCKET_SQL = "(('0x' || substr(md5({0}::VARCHAR), 1, 8))::BIGINT % 10)"
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumns({"nr": F.lead("role").over(w), "tgt": F.lead("text").over(w)})
+    c = c.filter((F.col("role") == "user") & (F.col("nr") == "assistant")).filter("tgt is not null and text is not null")
+    return c.select("conv_id", "turn", F.col("text").alias("src"), "tgt")
+
+
+@query(f"WITH {PAIRS_SQL} SELECT * FROM pairs")
+def pairs_adjacent_turns(spark, sf_dir):
+    return pairs(spark, sf_dir)
+
+
+@query(f"WITH {PAIRS_SQL} SELECT * FROM pairs WHERE {Q1_SQL}")
+def filter_length(spark, sf_dir):
+    return pairs(spark, sf_dir).filter(quality.length_ok(F.col("src"), F.col("tgt")))
+
+
+@query(f"""WITH {PAIRS_SQL}, q AS (
+  SELECT * FROM pairs WHERE {Q1_SQL} AND {Q3_SQL.format('tgt')} AND 5.0 * len(regexp_extract_all(src, '<gap>|<big_gap>')) / greatest(length(src), 1) < 0.7
+), d AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY length(tgt) DESC, tgt, conv_id, turn) AS n FROM q)
+SELECT conv_id, turn, src, tgt FROM d WHERE n = 1 AND NOT {Q4_SQL.format('tgt')}""")
+def pairs_filtered(spark, sf_dir):
+    """The filter chain in its order: the repetition test comes after a source's longest target is chosen."""
+    s, t = F.col("src"), F.col("tgt")
+    kept = pairs(spark, sf_dir).filter(quality.length_ok(s, t) & quality.looks_english(t) & (quality.gap_ratio(s) < 0.7))
+    best = select.first_per(kept, ["src"], F.length(t).desc(), t, F.col("conv_id"), F.col("turn"))
+    return best.filter(~quality.repetitive(t))
+
+
+@query("""SELECT doc_id, 5.0 * len(regexp_extract_all(text, '<gap>|<big_gap>')) / greatest(length(text), 1) < 0.7 AS kept FROM documents""")
+def filter_gap_ratio(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", (quality.gap_ratio(F.col("text")) < 0.7).alias("kept"))
+
+
+@query(f"SELECT doc_id, source FROM documents WHERE {Q3_SQL.format('text')}")
+def filter_english(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(quality.looks_english(F.col("text"))).select("doc_id", "source")
+
+
+@query(f"SELECT doc_id FROM documents WHERE {Q4_SQL.format('text')}")
+def filter_repetitive(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(quality.repetitive(F.col("text"))).select("doc_id")
+
+
+@query(f"""WITH {PAIRS_SQL}
+SELECT length(src) >= 5 AND length(tgt) >= 5 AND length(src)::DOUBLE / length(tgt) BETWEEN 0.1 AND 8.0 AS by_chars,
+       length(src) >= 5 AND length(tgt) >= 5 AND len({WORDS_SQL.format('src')})::DOUBLE / len({WORDS_SQL.format('tgt')}) BETWEEN 0.1 AND 8.0
+         AND len(regexp_extract_all(src, '(?i)<gap>'))::DOUBLE / greatest(len({WORDS_SQL.format('src')}), 1) <= 0.7 AS by_words, count(*) AS n
+FROM pairs GROUP BY ALL""")
+def pair_checks(spark, sf_dir):
+    s, t = F.col("src"), F.col("tgt")
+    p = pairs(spark, sf_dir).select(quality.pair_by_chars(s, t).alias("by_chars"), quality.pair_by_words(s, t).alias("by_words"))
+    return p.groupBy("by_chars", "by_words").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PAIRS_SQL}
+SELECT count(*) AS n, count(*) FILTER (NOT ({Q1_SQL})) AS removed_length, count(*) FILTER ({Q1_SQL} AND NOT {Q3_SQL.format('tgt')}) AS removed_language,
+       count(*) FILTER ({Q1_SQL} AND {Q3_SQL.format('tgt')} AND {Q4_SQL.format('tgt')}) AS removed_repetitive FROM pairs""")
+def filter_attrition(spark, sf_dir):
+    """One pass: each filter's losses among what the filters before it kept."""
+    s, t = F.col("src"), F.col("tgt")
+    a, b, c = quality.length_ok(s, t), quality.looks_english(t), quality.repetitive(t)
+    lost = [("length", ~a), ("language", a & ~b), ("repetitive", a & b & c)]
+    return pairs(spark, sf_dir).agg(F.count("*").alias("n"), *[F.count_if(x).alias(f"removed_{k}") for k, x in lost])
+
+
+@query("""SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY source, doc_id) AS n FROM documents) WHERE n = 1""")
+def dedup_exact_keep_first(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.md5(F.encode("text", "UTF-8")).alias("h"))
+    return select.first_per(d, ["h"], F.col("source"), F.col("doc_id")).drop("h")
+
+
+@query(f"""WITH {PAIRS_SQL} SELECT src, tgt FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY length(tgt) DESC, tgt) AS n FROM pairs) WHERE n = 1""")
+def dedup_longest_target(spark, sf_dir):
+    return select.longest_target(pairs(spark, sf_dir)).select("src", "tgt")
+
+
+@query(f"SELECT doc_id, CASE WHEN {BUCKET_SQL.format('doc_id')} < 1 THEN 'val' ELSE 'train' END AS split FROM documents")
+def split_hash_train_val(spark, sf_dir):
+    return select.hash_split(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"))
+
+
+@query(f"""SELECT source, CASE WHEN source = 'base' AND {BUCKET_SQL.format('key')} < 1 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM (
+  SELECT 'base' AS source, doc_id AS key FROM documents UNION ALL SELECT 'ocr', page_id FROM pages) GROUP BY ALL""")
+def clean_val_split(spark, sf_dir):
+    parts = {"base": table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key")), "ocr": table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"))}
+    return select.clean_val_split(select.tagged_union(parts), F.col("key")).groupBy("source", "split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (split = 'train') AS n_train FROM (SELECT CASE WHEN row_number() OVER (ORDER BY doc_id) <= floor(0.9 * count(*) OVER ()) THEN 'train' ELSE 'val' END AS split FROM documents)")
+def split_exact(spark, sf_dir):
+    d = select.exact_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return d.agg(F.count("*").alias("n"), F.count_if(F.col("split") == "train").alias("n_train"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 50")
+def sample_seeded(spark, sf_dir):
+    """The operator is a sample of 50 rows."""
+    return select.sample_n(table(spark, sf_dir, "documents").select("doc_id"), 50, "doc_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_join_unlabelled(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def semi_join_labelled(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
+def id_intersection(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id").intersect(table(spark, sf_dir, "labels").select("doc_id"))
+
+
+@query("SELECT lang, source FROM documents UNION SELECT lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def union_distinct(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("lang", "source").union(d.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("lang", "source")).distinct()
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1")
+def except_good(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id").subtract(table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
+
+
+@query("""SELECT s_suppkey, coalesce(n.n_name, r.r_name) AS place FROM supplier
+LEFT JOIN nation n ON s_nationkey = n.n_nationkey AND n.n_nationkey % 2 = 0 LEFT JOIN region r ON s_nationkey % 5 = r.r_regionkey""")
+def two_key_lookup(spark, sf_dir):
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    j = s.join(n.filter("n_nationkey % 2 = 0"), s["s_nationkey"] == n["n_nationkey"], "left").join(r, s["s_nationkey"] % 5 == r["r_regionkey"], "left")
+    return j.select("s_suppkey", F.coalesce("n_name", "r_name").alias("place"))
+
+
+@query("""SELECT source, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY p) AS k FROM (
+  SELECT text, 'base' AS source, 0 AS p FROM conversations WHERE role = 'user' UNION ALL SELECT text, 'ocr', 1 FROM conversations WHERE role = 'assistant'
+  UNION ALL SELECT text, 'drills', 2 FROM benchmark) WHERE length(text) > 0) WHERE k = 1 GROUP BY source""")
+def union_tagged_precedence(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    parts = {"base": c.filter("role = 'user'").select("text"), "ocr": c.filter("role = 'assistant'").select("text"), "drills": table(spark, sf_dir, "benchmark").select("text")}
+    rows = select.tagged_union(parts).filter(F.length("text") > 0)
+    return select.first_per(rows, ["text"], F.col("precedence")).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM documents WHERE source IS NOT NULL GROUP BY source")
+def source_breakdown_share(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").filter("source is not null").groupBy("source").agg(F.count("*").alias("n"))
+    return n.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+@query("""SELECT lang, count(*) AS n, round(avg(length(text)), 6) AS mean, round(stddev_samp(length(text)), 6) AS std, min(length(text)) AS least,
+quantile_cont(length(text), 0.25) AS q25, quantile_cont(length(text), 0.5) AS q50, quantile_cont(length(text), 0.75) AS q75, max(length(text)) AS most FROM documents GROUP BY lang""")
+def length_describe(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", F.length("text").cast("long").alias("n"))
+    q = [F.percentile("n", p).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.75)]
+    return d.groupBy("lang").agg(F.count("n").alias("n"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_samp("n"), 6).alias("std"), F.min("n").alias("least"), *q, F.max("n").alias("most"))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 10")
+def topk_sources(spark, sf_dir):
+    """The operator is a report of the ten largest groups."""
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "source").limit(10)
+
+
+@query("SELECT count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs, count(*) FILTER (n_chars > 1000) AS long_texts FROM documents")
+def distinct_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.countDistinct("source").alias("sources"), F.countDistinct("lang").alias("langs"), F.count_if(F.col("n_chars") > 1000).alias("long_texts"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, CASE WHEN l_quantity % 5 = 0 THEN NULL ELSE l_quantity::INT END AS first_word, l_returnflag AS tgt FROM lineitem),
+t AS (SELECT o_orderkey AS doc_id, string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z aa bb cc dd', ' ') AS w FROM orders),
+x AS (SELECT *, first_word - 1 AS start, first_value(first_word - 1 IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord, first_word ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s)
+SELECT doc_id, ord, array_to_string(w[greatest(0, least(start, len(w) - 1)) + 1 : greatest(greatest(0, least(start, len(w) - 1)) + 1, least(coalesce(nxt, len(w)), len(w)))], ' ') AS src, tgt
+FROM x JOIN t USING (doc_id) WHERE start IS NOT NULL""")
+def sentence_slices_by_offset(spark, sf_dir):
+    """Order lines stand in for sentences: their quantity is the first word's number."""
+    li = table(spark, sf_dir, "lineitem")
+    s = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.when(F.col("l_quantity") % 5 != 0, F.col("l_quantity").cast("int")).alias("first_word"), F.col("l_returnflag").alias("tgt"))
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("a b c d e f g h i j k l m n o p q r s t u v w x y z aa bb cc dd").alias("src"))
+    return align.sentence_slices(t, s)
+
+
+@query()
+def proportional_segments(spark, sf_dir):
+    d = pairs(spark, sf_dir).select("conv_id", "turn", F.posexplode(segment.proportional_segments(F.col("src"), F.col("tgt"))).alias("ord", "x"))
+    return d.select("conv_id", "turn", "ord", "x.src", "x.tgt")
+
+
+@query()
+def align_documents(spark, sf_dir):
+    d = align.align_documents(pairs(spark, sf_dir)).select("conv_id", "turn", "how", F.posexplode("pairs").alias("ord", "x"))
+    return d.select("conv_id", "turn", "how", "ord", "x.src", "x.tgt")
+
+
+@query("SELECT char, (row_number() OVER (ORDER BY char) + 3)::INT AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS char FROM documents) WHERE char <> ''")
+def char_vocab(spark, sf_dir):
+    return decode.vocabulary(table(spark, sf_dir, "documents"), "text")
+
+
+@query("SELECT greatest(0, floor(count(*) / 0.7 * 0.3)::BIGINT - 700) AS cap FROM documents")
+def synthetic_cap(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
+    return n.select(F.greatest(F.lit(0), F.floor(F.col("n") / 0.7 * 0.3) - 700).cast("long").alias("cap"))
+
+
+@query("""SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, '[?]page=[0-9]+|/[a-z]{2}/[0-9]+'), lambda x: upper(x)))) AS ref FROM pages""")
+def refs_extract(spark, sf_dir):
+    """Reference extraction with patterns for these pages: distinct, upper case."""
+    found = F.regexp_extract_all("html", F.lit("[?]page=[0-9]+|/[a-z]{2}/[0-9]+"), F.lit(0))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(F.transform(found, lambda x: F.upper(x)))).alias("ref"))
+
+
+@query()
+def page_references(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(mine.references(F.col("text"))).alias("n_refs"), F.length(mine.translation_block(F.col("text"))).alias("block_chars"))
+
+
+@query("""SELECT identifier, arg_max(id, (seq, kind)) AS oare_id FROM (
+  SELECT upper(n_name) AS identifier, n_nationkey::VARCHAR AS id, n_nationkey AS seq, 0 AS kind FROM nation
+  UNION ALL SELECT upper(r_name), n_nationkey::VARCHAR, n_nationkey, 1 FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY identifier""")
+def identifier_index(spark, sf_dir):
+    """Nations with their region as an alias: a region's name goes to its last nation."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    t = n.select(F.col("n_nationkey").alias("seq"), F.col("n_nationkey").cast("string").alias("oare_id"), F.col("n_name").alias("label"), F.col("r_name").alias("aliases"), F.lit(None).cast("string").alias("publication_catalog"))
+    return mine.identifier_index(t)
+
+
+@query()
+def bleu_chrf_corpus(spark, sf_dir):
+    return metrics.corpus_scores(pairs(spark, sf_dir), F.col("src"), F.col("tgt"))
+
+
+@query()
+def mbr_select(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    return decode.mbr(c, "conv_id", "turn", "text")
+
+
+@query()
+def normalize_source(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", normalize.clean_source(F.col("text")).alias("text"))
+
+
+@query()
+def normalize_target(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", normalize.clean_target(F.col("text")).alias("text"))
+
+
+@query()
+def template_pairs(spark, sf_dir):
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("form"), F.col("c_name").alias("normalized"))
+    return augment.template_pairs(spark, names)
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS least,
+quantile_cont(l_quantity, 0.5) AS q50, max(l_quantity) AS most FROM lineitem GROUP BY ALL""")
+def describe_lineitem(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus")
+    q = F.col("l_quantity")
+    return d.agg(F.count("*").alias("n"), F.round(F.avg(q), 6).alias("mean"), F.round(F.stddev_samp(q), 6).alias("std"), F.min(q).alias("least"), F.percentile(q, 0.5).alias("q50"), F.max(q).alias("most"))
+
+
+@query("SELECT event_type, count(*) AS n, arg_max(event_id, (value, -event_id)) AS top_event FROM events GROUP BY event_type")
+def argmax_per_group(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("event_type")
+    return e.agg(F.count("*").alias("n"), F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("top_event"))
