@@ -12,6 +12,11 @@ CAPITALS = "A-ZÁÉÍÓÚÀÈÌÒÙÄËÏÖÜÑĀ-ɏ"
 OPENERS = ("KIŠIB", "IGI", "li-mu", "um-ma")
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value worked out once; inside a lambda Spark would work it out at each use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _parts(pieces: Column) -> Column:
     stripped = F.transform(pieces, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
     return F.filter(stripped, lambda p: p != "")
@@ -35,42 +40,51 @@ def source_clauses(text: Column) -> Column:
 
 def proportional_counts(n: Column, weights: Column) -> Column:
     """A4: n words by weight, one each at least, rounded half to even, then the first largest cut or first least raised."""
-    total = F.aggregate(weights, F.lit(0).cast("long"), lambda a, x: a + x)
-    counts = F.transform(weights, lambda x: F.greatest(F.lit(1), F.bround(n * x / F.greatest(total, F.lit(1)), 0).cast("int")))
-    diff = F.aggregate(counts, F.lit(0), lambda a, x: a + x) - n
+    total = lambda w: F.greatest(F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
+    share = lambda w, t: F.transform(w, lambda x: F.greatest(F.lit(1), F.bround(n * x / t, 0).cast("int")))
+
+    def repair(counts: Column) -> Column:
+        return let(F.aggregate(counts, F.lit(0), lambda a, x: a + x) - n, lambda diff: move(counts, diff))
 
-    def shift(c: Column, _: Column) -> Column:
-        edge = F.when(diff > 0, F.array_max(c)).otherwise(F.array_min(c))
-        at = F.array_position(c, edge)
-        return F.transform(c, lambda x, i: F.when(i + 1 == at, x - F.signum(diff.cast("double")).cast("int")).otherwise(x))
+    def move(counts: Column, diff: Column) -> Column:
+        steps = F.when(diff == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.abs(diff).cast("int")))
+        edge = lambda c: F.array_position(c, F.when(diff > 0, F.array_max(c)).otherwise(F.array_min(c)))
+        by = F.when(diff > 0, -1).otherwise(1)
+        one = lambda c, _: let(edge(c), lambda at: F.transform(c, lambda x, i: F.when(i + 1 == at, x + by).otherwise(x)))
+        return F.aggregate(steps, counts, one)
 
-    steps = F.when(diff == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.abs(diff).cast("int")))
-    return F.aggregate(steps, counts, shift)
+    return let(weights, lambda w: let(total(w), lambda t: let(share(w, t), repair)))
 
 
 def slices(tokens: Column, counts: Column) -> Column:
     """Consecutive runs of counts[i] tokens, joined by a space."""
-    ends = F.aggregate(counts, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
-    return F.transform(ends, lambda e, i: F.array_join(F.slice(tokens, e - F.get(counts, i) + 1, F.greatest(F.get(counts, i), F.lit(0))), " "))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,n:int>>").alias("out"))
+    add = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + 1).alias("a"), x.alias("n")))).alias("out"))
+    spans = F.aggregate(counts, zero, add, lambda s: s["out"])
+    return let(tokens, lambda t: F.transform(spans, lambda x: F.array_join(F.slice(t, x["a"], F.greatest(x["n"], F.lit(0))), " ")))
 
 
 def proportional_segments(src: Column, tgt: Column) -> Column:
     """A4: array<struct<src, tgt>> of a document's words shared out over its sentences by their characters."""
-    tokens, parts = words(src), sentences(tgt)
-    counts = proportional_counts(F.size(tokens), F.transform(parts, lambda p: F.length(p).cast("long")))
-    many = F.arrays_zip(slices(tokens, counts).alias("src"), parts.alias("tgt"))
+    def many(tokens: Column, parts: Column) -> Column:
+        counts = proportional_counts(F.size(tokens), F.transform(parts, lambda p: F.length(p).cast("long")))
+        return F.arrays_zip(slices(tokens, counts).alias("src"), parts.alias("tgt"))
+
     one = F.array(F.struct(src.alias("src"), tgt.alias("tgt")))
-    return F.when((F.size(parts) > 1) & (F.size(tokens) > 0), many).otherwise(one)
+    choose = lambda t, p: F.when((F.size(p) > 1) & (F.size(t) > 0), many(t, p)).otherwise(one)
+    return let(words(src), lambda t: let(sentences(tgt), lambda p: choose(t, p)))
 
 
 def word_share_segments(src: Column, parts: Column) -> Column:
     """Words by the parts' word counts, the last part taking the rest; empty runs are dropped."""
-    tokens = words(src)
-    n = F.size(tokens)
+    def share(tokens: Column, sizes: Column) -> Column:
+        n = F.size(tokens)
+        total = F.greatest(F.aggregate(sizes, F.lit(0), lambda a, x: a + x), F.lit(1))
+        counts = let(total, lambda t: F.transform(sizes, lambda x: F.greatest(F.lit(1), F.bround(x / t * n, 0).cast("int"))))
+        # The last part takes the rest: whatever is left behind the others.
+        return let(counts, lambda c: F.concat(F.slice(c, F.lit(1), F.size(c) - 1), F.array(F.greatest(n, F.lit(0)))))
+
     sizes = F.transform(parts, lambda p: F.size(words(p)))
-    total = F.greatest(F.aggregate(sizes, F.lit(0), lambda a, x: a + x), F.lit(1))
-    counts = F.transform(sizes, lambda x: F.greatest(F.lit(1), F.bround(x / total * n, 0).cast("int")))
-    start = lambda i: F.least(n, F.aggregate(F.slice(counts, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    stop = lambda i: F.when(i == F.size(parts) - 1, n).otherwise(F.least(n, start(i) + F.get(counts, i)))
-    made = F.transform(parts, lambda p, i: F.struct(F.array_join(F.slice(tokens, start(i) + 1, F.greatest(stop(i) - start(i), F.lit(0))), " ").alias("src"), p.alias("tgt")))
+    runs = let(words(src), lambda t: let(sizes, lambda s: slices(t, share(t, s))))
+    made = F.arrays_zip(runs.alias("src"), parts.alias("tgt"))
     return F.filter(made, lambda x: x["src"] != "")

@@ -194,7 +194,7 @@ def distinct_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.countDistinct("source").alias("sources"), F.countDistinct("lang").alias("langs"), F.count_if(F.col("n_chars") > 1000).alias("long_texts"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, CASE WHEN l_quantity % 5 = 0 THEN NULL ELSE l_quantity::INT END AS first_word, l_returnflag AS tgt FROM lineitem),
+@query("""WITH s AS (SELECT l_orderkey AS doc_id, (l_linenumber::BIGINT * 1000000000 + l_partkey) * 100 + l_quantity::BIGINT AS ord, CASE WHEN l_quantity % 5 = 0 THEN NULL ELSE l_quantity::INT END AS first_word, l_returnflag AS tgt FROM lineitem),
 t AS (SELECT o_orderkey AS doc_id, string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z aa bb cc dd', ' ') AS w FROM orders),
 x AS (SELECT *, first_word - 1 AS start, first_value(first_word - 1 IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord, first_word ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s)
 SELECT doc_id, ord, array_to_string(w[greatest(0, least(start, len(w) - 1)) + 1 : greatest(greatest(0, least(start, len(w) - 1)) + 1, least(coalesce(nxt, len(w)), len(w)))], ' ') AS src, tgt
@@ -202,7 +202,7 @@ FROM x JOIN t USING (doc_id) WHERE start IS NOT NULL""")
 def sentence_slices_by_offset(spark, sf_dir):
     """Order lines stand in for sentences: their quantity is the first word's number."""
     li = table(spark, sf_dir, "lineitem")
-    s = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.when(F.col("l_quantity") % 5 != 0, F.col("l_quantity").cast("int")).alias("first_word"), F.col("l_returnflag").alias("tgt"))
+    s = li.select(F.col("l_orderkey").alias("doc_id"), ((F.col("l_linenumber") * F.lit(1000000000).cast("long") + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("long")).alias("ord"), F.when(F.col("l_quantity") % 5 != 0, F.col("l_quantity").cast("int")).alias("first_word"), F.col("l_returnflag").alias("tgt"))
     t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("a b c d e f g h i j k l m n o p q r s t u v w x y z aa bb cc dd").alias("src"))
     return align.sentence_slices(t, s)
 
@@ -230,10 +230,10 @@ def synthetic_cap(spark, sf_dir):
     return n.select(F.greatest(F.lit(0), F.floor(F.col("n") / 0.7 * 0.3) - 700).cast("long").alias("cap"))
 
 
-@query("""SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, '[?]page=[0-9]+|/[a-z]{2}/[0-9]+'), lambda x: upper(x)))) AS ref FROM pages""")
+@query("""SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, 'href="/[A-Za-z]+"'), lambda x: upper(x)))) AS ref FROM pages""")
 def refs_extract(spark, sf_dir):
     """Reference extraction with patterns for these pages: distinct, upper case."""
-    found = F.regexp_extract_all("html", F.lit("[?]page=[0-9]+|/[a-z]{2}/[0-9]+"), F.lit(0))
+    found = F.regexp_extract_all("html", F.lit('href="/[A-Za-z]+"'), F.lit(0))
     return table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(F.transform(found, lambda x: F.upper(x)))).alias("ref"))
 
 
