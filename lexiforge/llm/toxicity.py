@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import bounded_batches, split_words, steps
+from lexiforge.llm.common import Workspace, row_key, split_words, steps
 from lexiforge.llm.simhash import joined_at
 from lexiforge.llm.xxh64 import hash_runs
 
@@ -105,35 +105,14 @@ def _one_of_copies(sketches: np.ndarray) -> np.ndarray:
     return keep
 
 
-def fit(rows: list) -> Model:
-    """rows of (toxic, words, sketch). Without toxic rows, or without clean ones, nothing is rejected."""
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), np.array([50.0, 60.0]))
-    if not rows:
-        return none
-    keep = _one_of_copies(np.array([r.sketch for r in rows], np.int64))
-    rows = [r for r, k in zip(rows, keep, strict=True) if k]
-    y = np.array([int(r.toxic or 0) for r in rows])
-    if not 0 < y.sum() < len(y):
-        return none
-    size = np.array([len(r.words) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), size)
-    word = np.concatenate([np.array(r.words, np.int64) for r in rows]).view(np.uint64)
-    vocabulary, index = np.unique(word, return_inverse=True)
-    df1 = np.bincount(index, weights=y[doc], minlength=len(vocabulary))
-    df = np.bincount(index, minlength=len(vocabulary))
-    q, z2 = df1 / df, 1.96**2
-    least = (q + z2 / (2 * df) - 1.96 * np.sqrt(q * (1 - q) / df + z2 / (4 * df * df))) / (1 + z2 / df)
-    chosen = np.flatnonzero((df >= LEAST_DOCS) & (least >= LEAST_SHARE))
-    chosen = np.sort(chosen[np.argsort(-least[chosen], kind="stable")[:WORDS]])
-    place = np.full(len(vocabulary), -1)
-    place[chosen] = np.arange(len(chosen))
-    used = place[index] >= 0
-    d, f = doc[used], place[index[used]]
-    much = np.bincount(d, minlength=len(rows))
+def fit(doc: np.ndarray, word: np.ndarray, y: np.ndarray) -> Model:
+    """(doc number, chosen word's hash) pairs and the documents' labels -> the model."""
+    vocabulary, f = np.unique(word, return_inverse=True)
+    much = np.bincount(doc, minlength=len(y))
     high = (y == 1) & (much > 0)
     grade = y + ((y == 1) & (much > (np.median(much[high]) if high.any() else 0)))
-    weights, thresholds = _descend(d, f, len(rows), len(chosen), grade)
-    return Model(vocabulary[chosen], weights, thresholds)
+    weights, thresholds = _descend(doc, f, len(y), len(vocabulary), grade)
+    return Model(vocabulary, weights, thresholds)
 
 
 def _descend(d: np.ndarray, f: np.ndarray, n: int, m: int, grade: np.ndarray, rounds: int = 800, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -171,14 +150,39 @@ def _descend(d: np.ndarray, f: np.ndarray, n: int, m: int, grade: np.ndarray, ro
     return p[:m], p[m] + np.concatenate([[0], np.cumsum(np.exp(p[m + 1 :]))])
 
 
+def telling_words(features: DataFrame) -> DataFrame:
+    """features(no, toxic, words) -> (word): those that toxic documents hold and clean ones hardly do."""
+    df = features.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum(F.col("toxic").cast("double")).alias("n1"))
+    n, q, z2 = F.col("n"), F.col("n1") / F.col("n"), 1.96**2
+    least = (q + z2 / (2 * n) - 1.96 * F.sqrt(q * (1 - q) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    some = df.filter((n >= LEAST_DOCS) & (least >= LEAST_SHARE))
+    return some.orderBy(least.desc(), "word").limit(WORDS).select("word")
+
+
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on the sample labelled documents with the smallest hashes of doc_id; of repeated labels any toxic one counts."""
-    bounded_batches(spark)
-    some = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Fits on the sample labelled documents with the smallest hashes of doc_id; of repeated labels any toxic one counts.
+
+    Without toxic documents in the sample, or without clean ones, nothing is rejected.
+    """
+    none = Model(np.zeros(0, np.uint64), np.zeros(0), np.array([50.0, 60.0]))
+    ws = Workspace(spark, "toxicity")
+    some = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")
-    rows = rows.mapInArrow(_features, "toxic int, words array<long>, sketch array<long>")
-    return fit(rows.collect())
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")  # sample rows at most
+    made = row_key(ws.table(rows.mapInArrow(_features, "toxic int, words array<long>, sketch array<long>"), "features"))
+    seen = made.select("_file", "_row", "toxic", "sketch").orderBy("_file", "_row").toArrow()  # a few numbers per sampled document
+    if not seen.num_rows:
+        return none
+    keep = _one_of_copies(seen["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, 4))
+    kept = seen.select(["_file", "_row"]).filter(pa.array(keep)).append_column("no", pa.array(np.arange(keep.sum())))
+    y = seen["toxic"].to_numpy()[keep]
+    if not 0 < y.sum() < len(y):
+        return none
+    features = made.join(F.broadcast(spark.createDataFrame(kept)), ["_file", "_row"])
+    chosen = ws.table(telling_words(features), "telling")
+    pairs = features.select("no", F.explode("words").alias("word")).join(F.broadcast(chosen), "word").toArrow()  # WORDS rows at most
+    ws.close()
+    return fit(pairs["no"].to_numpy(), pairs["word"].to_numpy().view(np.uint64), y)
 
 
 def _score(model: Model):
