@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Text that one vectorised step holds at a time.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -69,8 +69,8 @@ class Workspace:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches end at 16 MB too, so that very long texts don't add up to one huge batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches end at 8 MB too, so that very long texts don't add up to one huge batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def filesystem(path: str):
@@ -99,6 +99,7 @@ def steps(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)], strict=True):
         yield batch.slice(a, b - a), values.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def split_words(values: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:

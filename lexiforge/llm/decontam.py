@@ -36,6 +36,8 @@ BUCKETS = 1 << 20
 EDGES = " .,!?;:#$%&*()[]{}\"'|-_/\\<>=+~`@^"
 #: Benchmark passages that one search block holds; a larger benchmark is searched in several blocks.
 BLOCK = 100_000
+#: Passages that one matrix product compares with the benchmark's.
+ROWS = 1024
 
 
 def word_ids(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -235,8 +237,8 @@ def _matches(space: Latent, idf: np.ndarray, items: list[np.ndarray], ids: np.nd
     share = (known2[end] - known2[at]) / np.maximum(all2[end] - all2[at], 1e-9)
     likely = np.flatnonzero(share >= cosine**2)
     found: dict[tuple[int, int], tuple] = {}
-    for lo in range(0, len(likely), 8192):
-        rows = likely[lo : lo + 8192]
+    for lo in range(0, len(likely), ROWS):
+        rows = likely[lo : lo + ROWS]
         k = at[rows][:, None] + np.arange(WINDOW)
         inside = k < end[rows][:, None]
         k = np.minimum(k, len(ids) - 1)
