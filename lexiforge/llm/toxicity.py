@@ -197,7 +197,7 @@ def _score(model: Model):
                 known = model.words[at] == word if len(model.words) else np.zeros(len(word), bool)
                 pairs = np.unique(text[known] * np.int64(WORDS + 1) + at[known])
                 sums = np.bincount(pairs // (WORDS + 1), weights=model.weights[pairs % (WORDS + 1)], minlength=len(counts))
-                found.append(model.chances(sums))
+                found.append(np.where(sums[:, None] > 0, 1, 0) * model.chances(sums))
             up = np.concatenate(found) if found else np.zeros((0, GRADES - 1))
             grade = (up >= 0.5).sum(1)
             yield pd.DataFrame({"severity": up.sum(1), "grade": grade.astype(np.int32), "toxic": up[:, 0] >= model.reject})
@@ -208,7 +208,7 @@ def _score(model: Model):
 def grade(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     """docs with a struct column: severity (the expected grade, 0 to 2), grade (the median one), toxic (rejected).
 
-    A null or empty text has the severity of a text without telling words. Rows stay rows.
+    A null or empty text, like any without telling words, has severity 0. Rows stay rows.
     """
     of = F.pandas_udf(_score(model), "severity double, grade int, toxic boolean")
     return docs.withColumn(name, of(F.col("text")))
