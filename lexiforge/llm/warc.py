@@ -129,13 +129,17 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str) -> DataFr
     own = F.struct(F.col("page_id").isNull().alias("null"), F.col("page_id").alias("id"))
     least = pairs.groupBy("sha").agg(F.min(F.struct(own.alias("own"), F.col("count").alias("n"))).alias("m"))
     least = least.select("sha", F.col("m.own.id").alias("first"), F.col("m.n").alias("n"))
-    joined = rows.join(least, "sha").withColumn("is_first", F.col("page_id").eqNullSafe(F.col("first")))
-    several = F.col("is_first") & (F.col("n") > 1)
-    once = F.row_number().over(Window.partitionBy("sha").orderBy(F.col("url").asc_nulls_last())) == 1
-    again = joined.filter(several).withColumn("is_first", once)
-    ready = joined.filter(~several).unionByName(again).select("page_id", "url", "html", "is_first", "first")
+    ws = Workspace(spark, "warc-digests")
+    least = ws.table(least, "least")
+    ready = rows.join(least, "sha").withColumn("is_first", F.col("page_id").eqNullSafe(F.col("first")))
+    if least.filter("n > 1").limit(1).count():  # a page that stands there twice, with its payload, is the response once
+        several = F.col("is_first") & (F.col("n") > 1)
+        once = F.row_number().over(Window.partitionBy("sha").orderBy(F.col("url").asc_nulls_last())) == 1
+        ready = ready.filter(~several).unionByName(ready.filter(several).withColumn("is_first", once))
+    ready = ready.select("page_id", "url", "html", "is_first", "first")
     index = ready.mapInArrow(_write(f"{folder}/archives"), INDEX.format(id=kind))
     index.write.mode("overwrite").parquet(f"{folder}/index")
+    ws.close()
     return spark.read.schema(index.schema).parquet(f"{folder}/index")
 
 
