@@ -142,6 +142,16 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def id_width(spark: SparkSession, path: str) -> int:
+    """Bytes that an id takes in the store. A worker loads the tokenizer for it, so the driver never holds one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([encoder(path).width])], ["width"])
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, "width long").first()["width"]
+
+
 def boundaries(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ends of the chunks of all documents, and how many chunks each document has.
 
@@ -279,15 +289,17 @@ def _pack_stage(stage: str, packs: str, width: int):
     return run
 
 
-def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
+def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> int:
     """Encodes every text of docs(doc_id, text, ...), appends end_id, and writes the store to the folder path.
 
+    Returns the bytes that an id takes there.
+
     Null texts count as empty. Repeated doc_ids and repeated rows are documents of their own, next
     to each other; a null doc_id comes first. An empty table gives a store without documents. A
     task that runs again writes files of new names; only names in the tables count.
     """
     ws = Workspace(spark, "tokens")
-    width = encoder(tokenizer).width
+    width = id_width(spark, tokenizer)
     stage = ws.at("ids")
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {doc_type}, file string, row long, n_tokens long, digests array<binary>, sizes array<int>, ats array<long>"
@@ -304,6 +316,7 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str,
     packs.select("pack", "n_chunks", "n_ids", root(F.col("c.digest")).alias("root")).write.mode("overwrite").parquet(f"{path}/manifest")
     _write_recipes(ws, rows, places, f"{path}/recipes", root)
     ws.close()
+    return width
 
 
 def _write_recipes(ws: Workspace, rows: DataFrame, places: DataFrame, path: str, root) -> None:
@@ -391,5 +404,4 @@ def read_store(spark: SparkSession, path: str, width: int, verify: bool = True)
 def store_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """Writes the store and reads all documents back from its files."""
     path = path or Workspace(spark, "store").path
-    write_store(spark, docs, path, tokenizer, end_id)
-    return read_store(spark, path, encoder(tokenizer).width)
+    return read_store(spark, path, write_store(spark, docs, path, tokenizer, end_id))
