@@ -85,6 +85,8 @@ def encode(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     n = int(df[bucket == -1].sum())
     out = np.full(BUCKETS, np.log(1 + n) + 1, np.float32)
     out[bucket[bucket >= 0]] = (np.log((1 + n) / (1 + df[bucket >= 0])) + 1).astype(np.float32)
+    del got, bucket, df
+    pa.default_memory_pool().release_unused()
     return rows.filter("words is not null").select("doc_id", "words"), out
 
 
