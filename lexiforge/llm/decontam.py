@@ -3,7 +3,9 @@
 Texts are cut into passages of WINDOW words at every STRIDE words, benchmark items at every word, so
 each passage of a copied item has an item's passage next to it. Passages are TF-IDF vectors with document frequencies over all
 documents. A randomised SVD, worked out by partition sums over the benchmark's passages, gives the latent space;
-passages of documents are folded into it and compared by cosine. Candidates are checked on the words
+passages of documents are folded into it and compared by cosine. Altered copies can be far from their item by
+cosine, so what holds an item's answer, or as many of its rarest words as any acceptable copy must, is
+a candidate too. Candidates are checked on the words
 themselves: longest common subsequence of item and neighbourhood, and whether the item's answer,
 its last words, is there.
 """
@@ -31,6 +33,8 @@ COSINE = 0.7
 COMMON, WITH_ANSWER = 0.8, 0.6
 #: Last words of an item that count as its answer.
 ANSWER = 5
+#: So many of an item's rarest words must be near each other, out of so many more than an accepted copy can lack.
+RARE = 3
 #: Document frequencies are kept by this many hashes of words, for all words of all documents.
 BUCKETS = 1 << 20
 EDGES = " .,!?;:#$%&*()[]{}\"'|-_/\\<>=+~`@^"
@@ -199,7 +203,71 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def _search(space: Latent, idf: np.ndarray, items: list[np.ndarray], item_ids: list, cosine: float):
+class Gate:
+    """What a neighbourhood of an item must hold to be accepted, for all items of ANSWER words or more.
+
+    A copy that has the share COMMON of an item's n words lacks few of them; of RARE more than it can lack it has RARE
+    at least, whichever these are, within the n + WINDOW + n words of a neighbourhood. The rarest are looked up.
+    With WITH_ANSWER the answer stands in the neighbourhood. So no acceptable neighbourhood is passed over.
+    """
+
+    def __init__(self, space: Latent, idf: np.ndarray, items: list[np.ndarray]) -> None:
+        rare, last = [], []
+        for j, x in enumerate(items):
+            if len(x) < ANSWER:
+                continue
+            lacks = next(k for k in range(len(x), -1, -1) if (len(x) - k) / len(x) >= COMMON)
+            order = np.argsort(-idf[x & np.uint32(BUCKETS - 1)], kind="stable")[: lacks + RARE]
+            rare += [(w, j) for w in np.unique(space.places(x[order])).tolist()]
+            last.append((int(space.places(x[-1:])[0]), j))
+        self.span = np.array([2 * len(x) + WINDOW for x in items])
+        self.answers = np.array([x[-ANSWER:] if len(x) >= ANSWER else np.zeros(ANSWER, np.uint32) for x in items])
+        self.rare, self.last = (self._lists(v, len(space.words)) for v in (rare, last))
+
+    @staticmethod
+    def _lists(pairs: list[tuple[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's items begin, and the items."""
+        pairs = sorted(pairs)
+        n = np.bincount(np.array([w for w, _ in pairs], np.int64), minlength=width)
+        return np.concatenate([[0], np.cumsum(n)]), np.array([j for _, j in pairs], np.int64)
+
+    @staticmethod
+    def _hits(place: np.ndarray, lists: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(position, item) for all words that an item is listed for."""
+        at, of = lists
+        n = np.diff(np.append(at, at[-1]))[place]  # -1, not in the benchmark, has none
+        some = np.flatnonzero(n)
+        n = n[some]
+        return np.repeat(some, n), of[np.repeat(at[place[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def candidates(self, ids: np.ndarray, place: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Rows of text, item, first and last word: any acceptable neighbourhood holds the words of a row."""
+        pos, item = self._hits(place, self.rare)
+        doc = np.searchsorted(stops, pos, "right")
+        order = np.lexsort((pos, item, doc))
+        doc, item, pos = doc[order], item[order], pos[order]
+        a, b = slice(0, max(len(pos) - RARE + 1, 0)), slice(RARE - 1, None)
+        near = np.flatnonzero((doc[a] == doc[b]) & (item[a] == item[b]) & (pos[b] - pos[a] < self.span[item[a]]))
+        words = np.stack([doc[near], item[near], pos[near], pos[near + RARE - 1]], 1)
+        end, item = self._hits(place, self.last)
+        doc = np.searchsorted(stops, end, "right")
+        inside = end - ANSWER + 1 >= starts[doc]
+        end, item, doc = end[inside], item[inside], doc[inside]
+        same = (ids[end[:, None] + np.arange(1 - ANSWER, 1)] == self.answers[item]).all(1)
+        answers = np.stack([doc[same], item[same], end[same] - ANSWER + 1, end[same]], 1)
+        found = np.concatenate([words, answers])
+        return found[np.lexsort((found[:, 3], found[:, 2], found[:, 1], found[:, 0]))]
+
+
+def accepted(item: np.ndarray, text: np.ndarray) -> tuple[float, bool] | None:
+    """Share of the item that the text has in order, and whether it has the answer, if that is enough."""
+    common = lcs(item, text) / max(len(item), 1)
+    answer = item[-ANSWER:]
+    hit = len(text) >= len(answer) and bool((np.lib.stride_tricks.sliding_window_view(text, len(answer)) == answer).all(1).any()) if len(answer) else False
+    return (common, hit) if common >= COMMON or common >= WITH_ANSWER and hit else None
+
+
+def _search(space: Latent, gate: Gate, idf: np.ndarray, items: list[np.ndarray], item_ids: list, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = pc.binary_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64) // 4
@@ -208,7 +276,7 @@ def _search(space: Latent, idf: np.ndarray, items: list[np.ndarray], item_ids: l
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 part = batch.slice(a, b - a)
                 ids = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint32)
-                out = _matches(space, idf, items, ids, counts[a:b], cosine)
+                out = _matches(space, gate, idf, items, ids, counts[a:b], cosine)
                 doc = part.column("doc_id").take(pa.array([d for d, *_ in out], pa.int64()))
                 col = lambda k, t: pa.array([x[k] for x in out], t)
                 yield pa.RecordBatch.from_arrays(
@@ -219,7 +287,7 @@ def _search(space: Latent, idf: np.ndarray, items: list[np.ndarray], item_ids: l
     return run
 
 
-def _matches(space: Latent, idf: np.ndarray, items: list[np.ndarray], ids: np.ndarray, counts: np.ndarray, cosine: float) -> list[tuple]:
+def _matches(space: Latent, gate: Gate, idf: np.ndarray, items: list[np.ndarray], ids: np.ndarray, counts: np.ndarray, cosine: float) -> list[tuple]:
     if not len(ids):
         return []
     place = space.places(ids)
@@ -259,14 +327,42 @@ def _matches(space: Latent, idf: np.ndarray, items: list[np.ndarray], ids: np.nd
             x, y = max(a, int(at[i]) - len(item)), min(b, int(end[i]) + len(item))
             if (d, j) in found and found[d, j][2] + a <= at[i] and end[i] <= found[d, j][3] + a:
                 continue  # this neighbourhood has passed already
-            text = ids[x:y]
-            common = lcs(item, text) / max(len(item), 1)
-            answer = item[-ANSWER:]
-            hit = len(text) >= len(answer) and bool((np.lib.stride_tricks.sliding_window_view(text, len(answer)) == answer).all(1).any()) if len(answer) else False
-            if common >= COMMON or common >= WITH_ANSWER and hit:
+            passed = accepted(item, ids[x:y])
+            if passed:
                 best = found.get((d, j))
-                if best is None or common > best[5]:
-                    found[d, j] = (d, j, x - a, y - a, float(cos[r[(rows[r] == i)], p[(rows[r] == i)]].max()), common, hit)
+                if best is None or passed[0] > best[5]:
+                    found[d, j] = (d, j, x - a, y - a, float(cos[r[(rows[r] == i)], p[(rows[r] == i)]].max()), *passed)
+    first = np.cumsum(n) - n
+    done: dict[tuple[int, int], int] = {}
+    for d, j, lo, hi in gate.candidates(ids, place, starts, stops).tolist():
+        a, b, item = int(starts[d]), int(stops[d]), items[j]
+        best = found.get((d, j))
+        if hi < done.get((d, j), 0) or best and best[2] + a <= lo and hi < best[3] + a:
+            continue
+        # One comparison for all neighbourhoods of this and the next candidates, then one for each.
+        span = int(gate.span[j])
+        x, y = max(a, lo - span), min(b, lo + 2 * span)
+        done[d, j] = lo + span
+        if not accepted(item, ids[x:y]):
+            continue
+        for i in range(int(first[d]), int(first[d] + n[d])):
+            u, v = max(a, int(at[i]) - len(item)), min(b, int(end[i]) + len(item))
+            if v <= x or u >= y:
+                continue
+            passed = accepted(item, ids[u:v])
+            best = found.get((d, j))
+            if passed and (best is None or passed[0] > best[5]):
+                found[d, j] = (d, j, u - a, v - a, 0.0, *passed)
+        if (d, j) in found and found[d, j][4] == 0:
+            u, v = found[d, j][2] + a, found[d, j][3] + a
+            i = np.flatnonzero((doc == d) & (at >= u) & (end <= v))
+            k = at[i][:, None] + np.arange(WINDOW)
+            inside = k < end[i][:, None]
+            k = np.minimum(k, len(ids) - 1)
+            z = space.fold(np.where(inside & known[k], place[k], -1))
+            p = np.arange(*np.searchsorted(space.item, [j, j + 1]))
+            cos = z @ space.passages[p].T / np.maximum(np.sqrt(all2[end[i]] - all2[at[i]]), 1e-9)[:, None] / np.maximum(space.kept[p], 1e-3)
+            found[d, j] = (*found[d, j][:4], float(cos.max()), *found[d, j][5:])
     return list(found.values())
 
 
@@ -293,7 +389,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cos
         space = latent_space(spark, some, idf)
         ids, counts = word_ids(pa.array([t for _, t in some], pa.string()))
         words = np.split(ids, np.cumsum(counts)[:-1])
-        found = rows.mapInArrow(_search(space, idf, words, [i for i, _ in some], cosine), schema)
+        found = rows.mapInArrow(_search(space, Gate(space, idf, words), idf, words, [i for i, _ in some], cosine), schema)
         out = found if out is None else out.unionByName(found)
     out = ws.table(out, "matches")
     ws.drop("words")

@@ -266,3 +266,39 @@ def test_lm_is_normalised():
     cells = np.zeros(lm.CLASSES**3, np.int64)
     cells[np.random.default_rng(8).integers(0, len(cells), 5000)] += 3
     assert np.allclose((10.0 ** lm.train_nce(cells)).sum(2), 1, atol=1e-4)
+
+
+def altered(item, rng, kind):
+    """A copy that the acceptance rule accepts, with words that the benchmark doesn't have put in or in place of others."""
+    new = lambda: f"o{rng.randrange(10**6)}"
+    if kind == "replaced":
+        return [new() if i % 5 == 2 else w for i, w in enumerate(item)]
+    if kind == "inserted":
+        return [x for w in item for x in (w, new())]
+    return [new() if i % 3 == 1 and i < len(item) - decontam.ANSWER else w for i, w in enumerate(item)]
+
+
+def test_decontamination_of_altered_copies(spark):
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(12)]
+    items = [[rng.choice(shared) if rng.random() < 0.4 else f"w{rng.randrange(400)}" for _ in range(n)] for n in (6, 15, 25, 40, 55)]
+    rows = []
+    for k in range(30):
+        around = [[rng.choice([*shared, f"w{rng.randrange(400)}", f"o{rng.randrange(10**6)}"]) for _ in range(rng.randrange(40))] for _ in range(2)]
+        rows.append((k, " ".join([*around[0], *altered(items[k % 5], rng, ("replaced", "inserted", "answered")[k // 5 % 3]), *around[1]])))
+    words = [decontam.word_ids(pa.array([" ".join(x)]))[0] for x in items]
+    want = set()
+    for d, text in rows:
+        ids = decontam.word_ids(pa.array([text]))[0]
+        for j, x in enumerate(words):
+            near = ((at - len(x), at + decontam.WINDOW + len(x)) for at in decontam._windows(len(ids), decontam.STRIDE).tolist())
+            for a, b in near:
+                part = ids[max(a, 0) : b].tolist()
+                common = decontam.lcs(x, np.array(part)) / len(x)
+                answered = any(part[i : i + decontam.ANSWER] == x[-decontam.ANSWER :].tolist() for i in range(len(part)))
+                if common >= decontam.COMMON or common >= decontam.WITH_ANSWER and answered:
+                    want.add((d, j))
+    assert {(k, k % 5) for k in range(30) if k // 5 % 3 != 1} <= want
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    got = decontam.contaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) and all(r.cosine > 0 for r in got)
