@@ -159,6 +159,29 @@ def test_pii(spark):
     assert [got[i].text for i in (5, 6, 7)] == ["", None, texts[7]]
 
 
+def test_pii_of_neighbours(spark):
+    phone, card, ip = "+1 (826) 555-4081", "4111 1111 1111 1111", "190.137.223.204"
+    cases = [
+        ([phone, ip], ["phone", "ip"]),
+        ([phone, "2024-02-29"], ["phone", "date"]),
+        ([phone, "123-45-6789"], ["phone", "ssn"]),
+        ([phone, card], ["phone", "card"]),
+        ([phone, phone], ["phone", "phone"]),
+        ([card, "123"], ["card", None]),
+        (["12", card], [None, "card"]),
+        ([card, "5500 0000 0000 0004"], ["card", "card"]),
+        ([card, "2024-02-29"], ["card", "date"]),
+        (["1234", "2024-02-29", "12345"], [None, "date", None]),
+        (["1234 56", "123-45-6789", "1"], [None, "ssn", None]),
+        (["+12345678901234567", ip], [None, "ip"]),
+        (["2023-02-29", "300.1.1.1", "900-45-6789"], [None, None, None]),
+    ]
+    d = spark.createDataFrame([(i, " ".join(v)) for i, (v, _) in enumerate(cases)], "doc_id long, text string")
+    for r, (v, k) in zip(pii.pseudonymise(d).orderBy("doc_id").collect(), cases, strict=True):
+        assert [(x["original"], x["kind"]) for x in r.pii] == [(a, b) for a, b in zip(v, k, strict=True) if b], v
+        assert all(x["original"] not in r.text for x in r.pii) and all(a in r.text for a, b in zip(v, k, strict=True) if not b)
+
+
 def test_feistel_is_a_permutation(spark):
     d = spark.range(1000).select(F.array(*[(F.floor(F.col("id") / 10**k) % 10).cast("int") for k in range(3)]).alias("v"))
     made = d.select(pii.feistel(F.col("v"), F.transform("v", lambda _: F.lit(10)), F.lit("k")).alias("p"))
