@@ -9,7 +9,8 @@ from lexiforge.llm import decontam, mixing, simhash, tokens, toxicity
 from lexiforge.llm.common import Workspace
 from lexiforge.llm.queries import table, tokenizer_path
 
-#: Stages without SQL (hashing, fitted models), so the pipeline is tested against brute force.
+#: Stages without SQL (hashing, fitted models). The operators have tests of their own, near_dedup's, tokens' and decontamination's
+#: against brute force; the pipeline's test checks ids, starts and stage names only.
 ORACLE_SQL = None
 
 
