@@ -124,7 +124,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = toxicity.graded(spark, docs, table(spark, sf_dir, "labels"))
-    return made.select("doc_id", "toxicity.severity", "toxicity.grade", "toxicity.toxic")
+    return made.select("doc_id", "toxicity.severity", "toxicity.grade", "toxicity.chance", "toxicity.toxic")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
