@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.llm.arrays import sums_ahead
+
 
 @dataclass(frozen=True)
 class Template:
@@ -52,11 +54,14 @@ def format_chats(rows: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     segments is an array of (start, length, loss) over formatted, in code points, start from 0,
     without gaps. Turns come by turn (null first), then role, then text; repeated rows are turns
     of their own. Null texts and roles count as empty; unknown roles are formatted like others,
-    without loss, and make the conversation invalid, as any role out of order does. Rows with a null
-    conv_id are one conversation. An empty table gives no rows.
+    without loss, and make the conversation invalid, as any role out of order does. A row with a null
+    conv_id belongs to no other, so each is a conversation of its own. Other columns aren't read. An empty table gives
+    no rows. A conversation is one row of the result, and so is put together by one task.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    slim = rows.select("conv_id", "turn", "role", "text")
+    of_id = slim.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    chats = of_id.unionByName(slim.filter("conv_id is null").select("conv_id", F.array(turn).alias("turns")))
     t = template
     segment = lambda s, loss: F.struct(s.alias("text"), loss.alias("loss"))
     no = F.lit(False)
@@ -70,14 +75,10 @@ def format_chats(rows: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     move = lambda s, x: F.coalesce(F.try_element_at(step, F.concat(s, F.lit("\n"), x["role"])), F.lit("invalid"))
     chats = chats.select("conv_id", F.aggregate("turns", F.lit("start"), move).alias("state"), parts.alias("parts"))
     chats = chats.withColumn("formatted", F.array_join(F.col("parts.text"), ""))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint,loss:boolean>>").alias("out"))
-    lengths = F.transform("parts", lambda p: F.struct(F.length(p["text"]).cast("long").alias("n"), p["loss"].alias("loss")))
-    add = lambda a, p: F.struct(
-        (a["at"] + p["n"]).alias("at"),
-        F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), p["n"].alias("length"), p["loss"].alias("loss")))).alias("out"),
-    )
-    segments = F.aggregate(lengths, zero, add)["out"]
-    return chats.select("conv_id", "formatted", segments.alias("segments"), F.col("state").isin(*t.final).alias("valid"), "state")
+    lengths = F.transform("parts", lambda p: F.length(p["text"]).cast("long"))
+    chats = chats.withColumn("lengths", lengths).withColumn("starts", sums_ahead(F.col("lengths")))
+    made = lambda p, i: F.struct(F.get(F.col("starts"), i).alias("start"), F.get(F.col("lengths"), i).alias("length"), p["loss"].alias("loss"))
+    return chats.select("conv_id", "formatted", F.transform("parts", made).alias("segments"), F.col("state").isin(*t.final).alias("valid"), "state")
 
 
 def read_turns(formatted: Column, template: Template = TEMPLATE) -> Column:

@@ -7,7 +7,8 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,9 @@ class Workspace:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def table(self, df: DataFrame, name: str, codec: str = "zstd", files: int | None = None) -> DataFrame:
+        """files: for a table of bounded size, into how many files it goes, however many tasks made it."""
+        df = df if files is None else df.repartition(files)
         df.write.mode("overwrite").option("compression", codec).parquet(self.at(name))
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
@@ -194,6 +197,18 @@ def keyed(ws: Workspace, df: DataFrame, name: str = "rows") -> tuple[DataFrame,
     return table.select("*", F.md5(F.col("_metadata.file_path")).alias(file), F.col("_metadata.row_index").alias(row)), file, row
 
 
+def in_written_order(ws: Workspace, df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with columns by which its rows sort into the order in which its files were written, and their names.
+
+    Spark numbers the files of a table by partition; what isn't a plain scan of Parquet files is written first.
+    """
+    table = df if is_parquet_scan(df) else ws.table(df, "ordered")
+    names = free_names(df.columns, "_part", "_file", "_row")
+    file = F.col("_metadata.file_name")
+    part = F.try_to_number(F.regexp_extract(file, r"^part-(\d+)", 1), F.lit("9" * 18)).cast("long")
+    return table.select("*", *[c.alias(n) for c, n in zip((part, F.col("_metadata.file_path"), F.col("_metadata.row_index")), names, strict=True)]), names
+
+
 class Decisions:
     """What was decided for rows, by file and place, for tasks that read those rows again.
 
@@ -211,16 +226,19 @@ class Decisions:
         spread = decided.repartition(*[F.col("file"), (F.col("row") / (1 << 20)).cast("long")])
         spread.select("file", "row", value).sortWithinPartitions("file", "row").write.mode("overwrite").partitionBy("file").parquet(self.path)
 
+    def lookup(self) -> Callable[[pa.Array, pa.Array], pa.Array]:
+        """For tasks: (files, rows) -> the values decided for them, null where there is none."""
+        return partial(_decided, self.path, self.schema[2].name, to_arrow_type(self.schema[2].dataType))
+
     def of(self, file: Column, row: Column) -> Column:
         """The value decided for a row, or null."""
-        kind, path, name = self.schema[2].dataType, self.path, self.schema[2].name
-        arrow = to_arrow_type(kind)
+        look = self.lookup()
 
-        def look(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             for files, rows in parts:
-                yield _decided(path, name, arrow, files, rows)
+                yield look(files, rows)
 
-        return F.arrow_udf(look, kind)(file, row)
+        return F.arrow_udf(run, self.schema[2].dataType)(file, row)
 
 
 _DECIDED: dict[tuple[str, str], tuple[np.ndarray, pa.Array]] = {}

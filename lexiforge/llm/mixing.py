@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import Workspace, row_key, running_total
+from lexiforge.llm.common import Decisions, Workspace, free_names, keyed, row_key, running_total
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -59,7 +59,7 @@ def position(u: Column, a: Column) -> Column:
 
 
 def plan(ws: Workspace, sized: DataFrame, weights=WEIGHTS, cap: int = CAP, starts=STARTS, key: str = "") -> DataFrame:
-    """sized(doc_id, source, size, ...) with source_size, target, copies, taken, positions array<double>.
+    """sized(doc_id, source, size, _file, _row) with source_size, target, copies, taken, positions array<double>.
 
     Within a source documents come by md5 of key and doc_id. The n-th copy of a document is
     taken if the middle of its words lies ahead of the target, so a source's taken words miss
@@ -70,9 +70,9 @@ def plan(ws: Workspace, sized: DataFrame, weights=WEIGHTS, cap: int = CAP, start
         return sized.withColumns({"source_size": F.lit(0).cast("long"), "target": empty, "copies": F.lit(0).cast("long"), "taken": F.lit(0).cast("long"), "positions": F.array(empty)})
     of = ws.table(targets(ws, sized, weights, cap, starts), "targets")
     dealt = sized.withColumn("_md5", F.md5(F.concat(F.lit(key), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    dealt = dealt.withColumn("_tie", F.monotonically_increasing_id())  # rows that tie otherwise are alike
-    order = [F.col("source").asc_nulls_last(), F.col("_md5"), F.col("doc_id").asc_nulls_last(), F.col("size"), F.col("_tie")]
-    dealt = running_total(ws, dealt, order, "size", "order").drop("_md5", "_tie")
+    # Rows that tie up to the size are alike but for their place.
+    order = [F.col("source").asc_nulls_last(), F.col("_md5"), F.col("doc_id").asc_nulls_last(), F.col("size"), F.col("_file"), F.col("_row")]
+    dealt = running_total(ws, dealt, order, "size", "order").drop("_md5")
     joined = dealt.join(of.withColumnRenamed("source", "_source"), dealt["source"].eqNullSafe(F.col("_source"))).drop("_source")
     middle = F.col("before") - F.col("ahead") + F.col("size") / 2
     epochs = F.expr(f"sequence(0L, {cap - 1}L)")
@@ -83,23 +83,30 @@ def plan(ws: Workspace, sized: DataFrame, weights=WEIGHTS, cap: int = CAP, start
 
 
 def mixture(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> doc_id, source, size, source_size, target, copies, taken, positions.
+    """docs(doc_id, text, source, ...) -> doc_id, source, size, source_size, target, copies, taken, positions, in training order.
 
-    Null texts have size 0. A null source is a source of its own, last. Repeated rows are rows of
-    their own. Sources without words take nothing. An empty table gives no rows.
+    Rows come by the position of their first copy, those that aren't taken last, then by doc_id. Null texts have size 0.
+    A null source is a source of its own, last. Repeated rows are rows of their own. Sources without words take
+    nothing. An empty table gives no rows. Other columns aren't read.
     """
     ws = Workspace(spark, "mixing")
-    sized = ws.table(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
-    return plan(ws, sized, **options)
+    sized = row_key(ws.table(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes"))
+    planned = ws.table(plan(ws, sized, **options).drop("_file", "_row"), "planned")
+    ws.drop("sizes", "sources", "source_ranks", "source_sizes", "source_weights", "targets", "order")
+    return planned.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), F.col("doc_id").asc_nulls_first(), "size", "source")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The taken copies of docs in training order: a row per copy, with docs' columns."""
+    """The taken copies of docs in training order: a row per copy, with docs' columns, whatever these are called.
+
+    Nulls, repeated rows and an empty table are as for ``mixture``. Texts are read twice and shuffled once, by position.
+    """
     ws = Workspace(spark, "mixed")
-    kept = ws.table(docs, "documents")
-    sized = row_key(kept.select("doc_id", "source", "text"))
-    sized = ws.table(sized.select("_file", "_row", "doc_id", "source", words(F.col("text")).alias("size")), "sizes")
-    taken = plan(ws, sized, **options).filter("copies > 0").select("_file", "_row", F.col("positions").alias("_positions"))
-    rows = row_key(kept).join(taken, ["_file", "_row"])
-    copies = rows.withColumn("_position", F.explode("_positions"))
-    return copies.repartitionByRange("_position", "_file", "_row").sortWithinPartitions("_position", "_file", "_row").select(*docs.columns)
+    table, file, row = keyed(ws, docs)
+    sized = table.select(F.col(file).alias("_file"), F.col(row).alias("_row"), "doc_id", "source", words(F.col("text")).alias("size"))
+    taken = plan(ws, ws.table(sized, "sizes"), **options).filter("copies > 0")
+    at = Decisions(ws, taken.select(F.col("_file").alias("file"), F.col("_row").alias("row"), "positions"), "positions")
+    ws.drop("sizes", "sources", "source_ranks", "source_sizes", "source_weights", "targets", "order")
+    place = free_names(table.columns, "_position")[0]
+    copies = table.withColumn(place, F.explode(at.of(F.col(file), F.col(row))))
+    return copies.repartitionByRange(place, file, row).sortWithinPartitions(place, file, row).select(*docs.columns)

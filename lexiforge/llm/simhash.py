@@ -15,14 +15,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiforge.llm.common import Workspace, steps, texts
+from lexiforge.llm.common import Decisions, Workspace, bounded_batches, free_names, hot_join, keyed, pieces, texts
 from lexiforge.llm.graph import components
 from lexiforge.llm.xxh64 import hash_runs
 
@@ -43,15 +42,60 @@ def fingerprints(values: pa.Array, shingle: int = SHINGLE, seed: int = SEED) ->
     """One unsigned 64-bit fingerprint per text: a bit is 1 if it is set in over half the shingles' hashes.
 
     A-Z are lowered; words are runs of other characters than ASCII white space. Fewer words
-    than a shingle has: the whole sequence is the only shingle. No words, or null: 0.
+    than a shingle has: the whole sequence is the only shingle. No words, or null: 0. Long texts are taken in parts.
     """
+    out = np.zeros(len(values), np.uint64)
+    size = pc.binary_length(values).to_numpy(zero_copy_only=False)
+    long: dict[int, LongText] = {}
+    for part, owner in pieces(values):
+        first = int(owner[0])
+        if len(owner) == 1 and len(part[0].as_buffer()) < size[first]:
+            long.setdefault(first, LongText(shingle, seed)).add(part)
+        else:
+            n, counts = bit_counts(part, shingle, seed)
+            out[owner] = _majority(counts, n)
+    for i, text in long.items():
+        out[i] = text.fingerprint()
+    return out
+
+
+def _majority(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+class LongText:
+    """Counts of a text whose parts come one by one; the last words of what was before open a part's first shingles."""
+
+    def __init__(self, shingle: int, seed: int) -> None:
+        self.shingle, self.seed, self.tail = shingle, seed, []
+        self.n, self.counts = np.zeros(1, np.int64), np.zeros((1, 64), np.int64)
+
+    def add(self, part: pa.Array) -> None:
+        text = pa.array([" ".join([*self.tail, part[0].as_py()])])
+        last = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(text), max_splits=self.shingle - 1, reverse=True)[0].as_py()
+        last = [w for w in last if w]
+        if len(last) == self.shingle:
+            n, counts = bit_counts(text, self.shingle, self.seed)
+            self.n, self.counts = self.n + n, self.counts + counts
+            last = last[1:]
+        self.tail = last
+
+    def fingerprint(self) -> int:
+        if not self.n[0]:  # fewer words than a shingle has
+            self.n, self.counts = bit_counts(pa.array([" ".join(self.tail)]), self.shingle, self.seed)
+        return _majority(self.counts, self.n)[0]
+
+
+def bit_counts(values: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles each text has, and in how many of their hashes each of the 64 bits is set."""
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(values)))
     joined = pc.binary_join(lists, " ")
     size = pc.binary_length(joined).to_numpy(zero_copy_only=False).astype(np.int64)
     ends_at = np.cumsum(size)
     some = size > 0
+    out = np.zeros((len(values), 64), np.int64)
     if not some.any():
-        return np.zeros(len(values), np.uint64)
+        return np.zeros(len(values), np.int64), out
     n = np.where(some, pc.list_value_length(lists).to_numpy(zero_copy_only=False), 0).astype(np.int64)
     data = joined.buffers()[2].to_pybytes()[joined_at(joined)]
     spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
@@ -68,13 +112,9 @@ def fingerprints(values: pa.Array, shingle: int = SHINGLE, seed: int = SEED) ->
     octets = hashes.view(np.uint8).reshape(-1, 8)
     for i in range(8):
         lanes[:, i] = np.add.reduceat(_SPREAD[octets[:, i]], cuts)
-    text_of = of[cuts]
-    firsts = np.flatnonzero(np.diff(text_of, prepend=-1))
-    counts = np.add.reduceat(lanes.view(np.uint8).reshape(len(cuts), 64).astype(np.int64), firsts, axis=0)
-    bits = 2 * counts > k[some][:, None]
-    out = np.zeros(len(n), np.uint64)
-    out[some] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    firsts = np.flatnonzero(np.diff(of[cuts], prepend=-1))
+    out[some] = np.add.reduceat(lanes.view(np.uint8).reshape(len(cuts), 64).astype(np.int64), firsts, axis=0)
+    return k, out
 
 
 def joined_at(array: pa.Array) -> slice:
@@ -86,14 +126,13 @@ def joined_at(array: pa.Array) -> slice:
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """docs with a long column of the fingerprint's 64 bits; its other columns don't pass through Python."""
 
-    @F.pandas_udf(T.LongType())
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            batch = pa.RecordBatch.from_arrays([texts(pa.Array.from_pandas(part, type=pa.string()))], ["t"])
-            found = [fingerprints(values, shingle, seed).view(np.int64) for _, values in steps(batch, "t")]
-            yield pd.Series(np.concatenate(found) if found else np.zeros(0, np.int64))
+            yield pa.array(fingerprints(texts(part), shingle, seed).view(np.int64))
+            pa.default_memory_pool().release_unused()
 
-    return docs.withColumn(name, of(F.col(text)))
+    bounded_batches(docs.sparkSession)
+    return docs.withColumn(name, F.arrow_udf(of, T.LongType())(F.col(text)))
 
 
 def block_keys(fp: Column, widths: tuple[int, ...] = WIDTHS, distance: int = DISTANCE) -> Column:
@@ -168,14 +207,15 @@ def links(ws: Workspace, prints: DataFrame, distance: int = DISTANCE, group: int
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(near, "a long, b long")
 
 
-def classes(ws: Workspace, rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """rows(doc_id, fp) -> (fp, root, component_id): the smallest doc_id that can be reached over links."""
-    prints = ws.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+def least_row(*more: str) -> Column:
+    """The smallest doc_id of a group, null being larger than any, with more columns of its row."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *more)).alias("least")
+
+
+def classes(ws: Workspace, prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """prints(fp, least, ...), a row per fingerprint -> with root, what names the fingerprint's class."""
     linked = ws.table(components(ws, links(ws, prints.select("fp"), distance)), "linked")
-    joined = prints.join(linked, prints["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    joined = ws.table(joined, "joined")
-    of_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return joined.join(of_root, "root").select("fp", "root", "component_id")
+    return prints.join(linked, prints["fp"] == linked["node"], "left").select(*prints.columns, F.coalesce("root", "fp").alias("root"))
 
 
 def simhash_components(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -187,23 +227,26 @@ def simhash_components(spark: SparkSession, docs: DataFrame, distance: int = DIS
     """
     ws = Workspace(spark, "simhash")
     rows = ws.table(with_fingerprint(docs.select("doc_id", "text"), name="fp").select("doc_id", "fp"), "rows")
-    of = ws.table(classes(ws, rows, distance), "classes")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = ws.table(rows.groupBy("fp").agg(least_row(), F.count("*").alias("n")), "prints")
+    joined = ws.table(classes(ws, prints, distance), "joined")
+    of_root = joined.groupBy("root").agg(F.min("least").alias("of_class"))
+    of = ws.table(joined.join(of_root, "root").select("fp", "n", F.col("of_class.id").alias("component_id")), "classes")
+    ws.drop("prints", "linked", "joined")
+    return hot_join(rows, of, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs without all but one document of each component: that with the smallest doc_id stays.
 
-    Of repeated rows of that document one stays. All columns of docs are kept.
+    Of repeated rows of that document one stays. All columns of docs are kept, whatever their names. Null and blank
+    texts are one component; an empty table stays empty. Texts are read twice and never shuffled.
     """
     ws = Workspace(spark, "dedup")
-    fp = "fp" if "fp" not in docs.columns else next(x for x in (f"fp_{i}" for i in range(99)) if x not in docs.columns)
-    kept = ws.table(with_fingerprint(docs, name=fp), "documents")
-    rows = kept.select("doc_id", F.col(fp).alias("fp"))
-    of = classes(ws, rows, distance)
-    # The fingerprint that stands for the class: the least of those its smallest doc_id has.
-    mine = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    stays = of.join(mine, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id")
-    stays = ws.table(stays.agg(F.min("fp").alias("fp")).select(F.col("component_id").alias("_id"), F.col("fp").alias("_fp")), "stays")
-    left = kept.join(stays, kept["doc_id"].eqNullSafe(stays["_id"]) & (kept[fp] == stays["_fp"]), "left_semi")
-    return left.dropDuplicates(["doc_id", fp]).select(*docs.columns)
+    table, file, row = keyed(ws, docs)
+    slim = table.select("doc_id", "text", F.col(file).alias("file"), F.col(row).alias("row"))
+    rows = with_fingerprint(slim, name="fp").groupBy("fp")
+    prints = ws.table(rows.agg(least_row("file", "row")), "prints")
+    kept = classes(ws, prints, distance).groupBy("root").agg(F.min("least").alias("least"))
+    stays = Decisions(ws, kept.select("least.file", "least.row", F.lit(True).alias("stays")), "stays")
+    ws.drop("prints", "linked")
+    return table.filter(F.coalesce(stays.of(F.col(file), F.col(row)), F.lit(False))).select(*docs.columns)

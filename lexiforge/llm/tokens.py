@@ -8,15 +8,14 @@ the leaves of one Merkle tree per document and one per pack, and reading verifie
 Folder layout::
 
     packs/*.ids      chunks' ids, little-endian, 2 bytes each if the vocabulary fits, else 4
-    manifest/        Parquet: pack, n_chunks, n_ids, root (hex Merkle root over its chunks' digests)
-    recipes/         Parquet, by ascending doc_id: doc_id, row, start, n_tokens, root, chunks[pack, at, n]
+    manifest/        Parquet: pack, root (hex Merkle root over its chunks' digests), sizes (ids of each chunk in turn)
+    recipes/         Parquet, in the store's order: doc_id, start, n_tokens, root, chunks[pack, at, n]
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiforge.llm.common import Workspace, filesystem, split_words, steps
+from lexiforge.llm.common import Workspace, filesystem, hot_join, split_words, steps
 
 END_ID = 2
 #: Chunks have LEAST to MOST ids, MASK + LEAST or so on average (a document's last may be shorter).
@@ -41,11 +40,14 @@ class Encoder:
     """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
     The tokenizer never joins across ASCII white space, so each different word is encoded once
-    per worker and remembered. Words of plain letters, lower-cased and without the punctuation
-    behind them, need none of the tokenizer's normalising and go through its model in bulk; any
-    other word goes through the tokenizer as it is.
+    per worker and remembered. Where the tokenizer's normalising lower-cases, words of plain letters, lower-cased
+    and without the punctuation behind them, need none of it and go through its model in bulk; any
+    other word goes through the tokenizer as it is. Tokenizers of another kind take whole texts.
     """
 
+    #: Normalising that leaves lower-case letters and ASCII punctuation as they are, beside white space.
+    KNOWN = ("NFC", "Replace", "Lowercase")
+
     PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
     TAILED = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!?;:#$%&*()]+$"
 
@@ -59,7 +61,11 @@ class Encoder:
             spec = json.load(f)
         self.end = spec["model"].get("end_of_word_suffix") or ""
         kinds = [p.get("type") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.by_word = bool(self.end) and kinds == ["Split", "ByteLevel"]
+        normalizer = spec.get("normalizer") or {}
+        rules = normalizer.get("normalizers", [normalizer] if normalizer else [])
+        known = all(r.get("type") in self.KNOWN and (r["type"] != "Replace" or r.get("pattern") == {"Regex": "\\s+"}) for r in rules)
+        lowers = any(r.get("type") == "Lowercase" for r in rules)
+        self.by_word = bool(self.end) and kinds == ["Split", "ByteLevel"] and known and lowers
         if self.by_word:
             cut = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}
             level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
@@ -202,8 +208,8 @@ def _digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=DIGEST).digest()
 
 
-def _encode_stage(path: str, end_id: int, stage: str):
-    """Writes each task's ids to a file of its own and gives a row per document with its chunks' digests."""
+def _encode_stage(path: str, end_id: int, stage: str, order: list[str]):
+    """Writes each task's ids to a file of its own and gives a row per document with its chunks' digests and their root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -227,20 +233,24 @@ def _encode_stage(path: str, end_id: int, stage: str):
                 if out is None:
                     out = fs.open_output_stream(f"{folder}/{name}", compression=None)
                 out.write(data)
-                lists = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
+                bounds = np.concatenate([[0], np.cumsum(per)])
+                roots = [merkle(digests[a:b]).hex() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                lists = pa.array(bounds.astype(np.int32))
                 sizes = np.diff(ends, prepend=0)
                 ats = at + ends - sizes
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        *[part.column(c) for c in order],
                         pa.array([name] * len(counts)),
                         pa.array(np.arange(row, row + len(counts))),
                         pa.array(counts),
+                        pa.array(roots, pa.string()),
                         pa.ListArray.from_arrays(lists, pa.array(digests, pa.binary())),
                         pa.ListArray.from_arrays(lists, pa.array(sizes.astype(np.int32))),
                         pa.ListArray.from_arrays(lists, pa.array(ats)),
                     ],
-                    ["doc_id", "file", "row", "n_tokens", "digests", "sizes", "ats"],
+                    ["doc_id", *order, "file", "row", "n_tokens", "root", "digests", "sizes", "ats"],
                 )
                 at, row = at + len(full), row + len(counts)
         if out is not None:
@@ -250,21 +260,32 @@ def _encode_stage(path: str, end_id: int, stage: str):
 
 
 def _pack_stage(stage: str, packs: str, width: int):
-    """rows (file, at, n, digest) by file and at -> a pack for each file, and where its chunks lie."""
+    """rows (file, at, n, uses, digest) by file and at -> a pack for each file, and where its chunks lie.
+
+    A row without a digest ends each pack: its Merkle root and the sizes of its chunks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, folder = filesystem(stage)
         dst, target = filesystem(packs)
         dst.create_dir(target, recursive=True)
         file, reader, out, pack, at = None, None, None, "", 0
+        leaves: list[bytes] = []
+        sizes: list[int] = []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if out is not None:
+                reader.close()
+                out.close()
+                yield _placed([None], [pack], [len(leaves)], [0], [0], [merkle(leaves).hex()], [sizes])
+
         for batch in batches:
             names, places = [], []
             cols = [batch.column(c).to_pylist() for c in ("file", "at", "n", "digest")]
             for f, a, n, d in zip(*cols, strict=True):
                 if f != file:
-                    for x in (reader, out):
-                        if x is not None:
-                            x.close()
+                    yield from ended()
+                    leaves, sizes = [], []
                     # Buffered and in order, so the reads of a file coalesce.
                     file, reader = f, src.open_input_file(f"{folder}/{f}")
                     pack, at, block, lo = f"{f}-{uuid.uuid4().hex[:8]}.ids", 0, b"", 0
@@ -280,63 +301,94 @@ def _pack_stage(stage: str, packs: str, width: int):
                 out.write(data)
                 names.append(pack)
                 places.append(at)
+                leaves.append(d)
+                sizes.append(n)
                 at += n
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(names, pa.string()), pa.array(places, pa.int64()), batch.column("n")], ["digest", "pack", "at", "n"])
-        for x in (reader, out):
-            if x is not None:
-                x.close()
+            none = [None] * batch.num_rows
+            yield _placed(batch.column("digest"), names, places, batch.column("n"), batch.column("uses"), none, none)
+        yield from ended()
 
     return run
 
 
-def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> int:
+PLACED = "digest binary, pack string, at long, n int, uses long, root string, sizes array<int>"
+
+
+def _placed(*columns) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int32()))
+    arrays = [c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, ["digest", "pack", "at", "n", "uses", "root", "sizes"])
+
+
+def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, order: list[str] | None = None) -> int:
     """Encodes every text of docs(doc_id, text, ...), appends end_id, and writes the store to the folder path.
 
     Returns the bytes that an id takes there.
 
-    Null texts count as empty. Repeated doc_ids and repeated rows are documents of their own, next
-    to each other; a null doc_id comes first. An empty table gives a store without documents. A
-    task that runs again writes files of new names; only names in the tables count.
+    Documents come by the columns that order names, ascending with null first; by doc_id without it. Null
+    texts count as empty. Repeated doc_ids and repeated rows are documents of their own, and a null doc_id
+    is one like any other. An empty table gives a store without documents. Columns that order doesn't name aren't
+    read. A task that runs again writes files of new names; only names in the tables count.
     """
     ws = Workspace(spark, "tokens")
     width = id_width(spark, tokenizer)
     stage = ws.at("ids")
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {doc_type}, file string, row long, n_tokens long, digests array<binary>, sizes array<int>, ats array<long>"
-    rows = ws.table(docs.select("doc_id", "text").mapInArrow(_encode_stage(tokenizer, end_id, stage), schema), "rows")
+    places_of = [f"o{i}" for i in range(len(order or ["doc_id"]))]
+    texts = docs.select("doc_id", "text", *[F.col(c).alias(o) for c, o in zip(order or ["doc_id"], places_of, strict=True)])
+    typed = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in ("doc_id", *places_of))
+    schema = f"{typed}, file string, row long, n_tokens long, root string, digests array<binary>, sizes array<int>, ats array<long>"
+    rows = ws.table(texts.mapInArrow(_encode_stage(tokenizer, end_id, stage, places_of), schema), "rows")
     chunk = rows.select("file", F.explode(F.arrays_zip("digests", "sizes", "ats")).alias("c"))
     chunk = chunk.select(F.col("c.digests").alias("digest"), F.col("c.sizes").alias("n"), "file", F.col("c.ats").alias("at"))
-    first = chunk.groupBy("digest", "n").agg(F.min(F.struct("file", "at")).alias("p"))
-    owned = first.select("digest", "n", "p.file", "p.at").repartition("file").sortWithinPartitions("file", "at")
-    places = owned.mapInArrow(_pack_stage(stage, f"{path}/packs", width), "digest binary, pack string, at long, n int")
-    places = ws.table(places, "places")
+    first = chunk.groupBy("digest", "n").agg(F.min(F.struct("file", "at")).alias("p"), F.count("*").alias("uses"))
+    owned = first.select("digest", "n", "uses", "p.file", "p.at").repartition("file").sortWithinPartitions("file", "at")
+    places = ws.table(owned.mapInArrow(_pack_stage(stage, f"{path}/packs", width), PLACED), "places")
     ws.drop("ids")
-    packs = places.groupBy("pack").agg(F.count("*").alias("n_chunks"), F.sum("n").alias("n_ids"), F.sort_array(F.collect_list(F.struct("at", "digest"))).alias("c"))
-    root = F.udf(lambda leaves: merkle([bytes(x) for x in leaves]).hex())
-    packs.select("pack", "n_chunks", "n_ids", root(F.col("c.digest")).alias("root")).write.mode("overwrite").parquet(f"{path}/manifest")
-    _write_recipes(ws, rows, places, f"{path}/recipes", root)
+    places.filter("digest is null").select("pack", "root", "sizes").write.mode("overwrite").parquet(f"{path}/manifest")
+    _write_recipes(ws, rows, places.filter("digest is not null").drop("root", "sizes"), f"{path}/recipes", places_of)
     ws.close()
     return width
 
 
-def _write_recipes(ws: Workspace, rows: DataFrame, places: DataFrame, path: str, root) -> None:
-    used = rows.select("doc_id", "file", "row", F.posexplode("digests").alias("k", "digest")).join(places, "digest")
-    placed = used.groupBy("file", "row").agg(F.sort_array(F.collect_list(F.struct("k", "pack", "at", "n", "digest"))).alias("c"))
-    slim = rows.select("doc_id", "file", "row", "n_tokens").join(placed, ["file", "row"], "left")
+def _write_recipes(ws: Workspace, rows: DataFrame, places: DataFrame, path: str, order: list[str]) -> None:
+    used = rows.select("file", "row", F.posexplode("digests").alias("k", "digest"))
+    used = hot_join(used, places, "digest", "uses")
+    placed = used.groupBy("file", "row").agg(F.sort_array(F.collect_list(F.struct("k", "pack", "at", "n"))).alias("c"))
+    slim = rows.select("doc_id", *order, "file", "row", "n_tokens", "root").join(placed, ["file", "row"], "left")
     chunks = F.coalesce(F.transform("c", lambda x: F.struct(x["pack"].alias("pack"), x["at"].alias("at"), x["n"].alias("n"))), F.array().cast("array<struct<pack:string,at:bigint,n:int>>"))
-    leaves = F.coalesce(F.transform("c", lambda x: x["digest"]), F.array().cast("array<binary>"))
-    slim = slim.select("doc_id", "file", "row", "n_tokens", root(leaves).alias("root"), chunks.alias("chunks"))
-    # By (doc_id, file, row) no two rows tie, so ranges stay even where a doc_id repeats.
-    ranged = slim.repartitionByRange(F.col("doc_id").asc_nulls_first(), "file", "row").withColumn("part", F.spark_partition_id())
-    ranged = ws.table(ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "file", "row"), "ranged")
+    slim = slim.select("doc_id", *order, "file", "row", "n_tokens", "root", chunks.alias("chunks"))
+    # With file and row no two rows tie, so ranges stay even where a doc_id repeats.
+    by = [*[F.col(o).asc_nulls_first() for o in order], F.col("file"), F.col("row")]
+    ranged = slim.repartitionByRange(*by).withColumn("part", F.spark_partition_id())
+    ranged = ws.table(ranged.sortWithinPartitions(*by), "ranged")
     ahead = ranged.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     ahead = ahead.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "file", "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.join(F.broadcast(ahead), "part")  # a row per partition
     starts = starts.withColumn("start", F.col("ahead") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     starts.select("part", "doc_id", "start", "n_tokens", "root", "chunks").write.mode("overwrite").parquet(path)
 
 
+def verify_packs(spark: SparkSession, path: str, width: int) -> int:
+    """Reads every pack through and holds its chunks against the root in the manifest; how many packs there are.
+
+    A pack is read in order, a chunk at a time, so it may be larger than memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = filesystem(f"{path}/packs")
+        for batch in batches:
+            for pack, root, sizes in zip(*(batch.column(c).to_pylist() for c in ("pack", "root", "sizes")), strict=True):
+                with fs.open_input_stream(f"{folder}/{pack}", compression=None, buffer_size=1 << 20) as source:
+                    leaves = [_digest(source.read(n * width)) for n in sizes]
+                    if source.read(1) or merkle(leaves).hex() != root:
+                        raise ValueError(f"pack {pack} doesn't have the Merkle root of the manifest")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    packs = spark.read.parquet(f"{path}/manifest")
+    return packs.repartition("pack").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def _read_stage(packs: str, width: int, verify: bool, gap: int = 1 << 16):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = filesystem(packs)
@@ -395,13 +447,18 @@ def _read_stage(packs: str, width: int, verify: bool, gap: int = 1 << 16):
 
 
 def read_store(spark: SparkSession, path: str, width: int, verify: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): each document's ids, 4 bytes each, little-endian, put together from its chunks."""
+    """(doc_id, start, n_tokens, ids): each document's ids, 4 bytes each, little-endian, put together from its chunks.
+
+    verify holds all packs against the manifest first, and each document against its recipe's root.
+    """
+    if verify:
+        verify_packs(spark, path, width)
     recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "root", "chunks")
     kind = recipes.schema["doc_id"].dataType.simpleString()
     return recipes.mapInArrow(_read_stage(f"{path}/packs", width, verify), f"doc_id {kind}, start long, n_tokens long, ids binary")
 
 
-def store_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = END_ID, path: str | None = None) -> DataFrame:
+def store_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = END_ID, path: str | None = None, order: list[str] | None = None) -> DataFrame:
     """Writes the store and reads all documents back from its files."""
     path = path or Workspace(spark, "store").path
-    return read_store(spark, path, write_store(spark, docs, path, tokenizer, end_id))
+    return read_store(spark, path, write_store(spark, docs, path, tokenizer, end_id, order))

@@ -2,11 +2,12 @@
 
 The candidates stay where they are read. The queries lie in the shared folder, and every task
 multiplies its rows, a shard at a time, with one block of queries after another; of each tile
-only a query's best k leave the task. Two rounds of ranking merge them.
+only a query's best k leave the task. Rounds of ranking, as many as it takes, merge them as a tree.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,27 +53,51 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(whole(q) @ whole(x).T, -(2**63), 2**63 - 1).astype(np.int64).reshape(len(q), len(x))
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of a row, ties to the left; columns stand by vec_id."""
-    if scores.shape[0] > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        over, ties = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
-        at = np.concatenate([over, ties[: k - len(over)]])
+def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of every row's k best, in order, ties to the left; columns stand by id, and own[row] has no part in its row."""
+    mine = np.searchsorted(ids, own, "right") - np.searchsorted(ids, own, "left")
+    take = k + int(mine.max(initial=0))
+    if scores.shape[1] > take:
+        least = np.partition(scores, scores.shape[1] - take, axis=1)[:, scores.shape[1] - take]
+        row, column = np.nonzero(scores >= least[:, None])
     else:
-        at = np.arange(len(scores))
-    return np.array(sorted(at.tolist(), key=lambda i: (-int(scores[i]), i)), np.int64)
+        row, column = np.indices(scores.shape).reshape(2, -1)
+    other = ids[column] != own[row]
+    row, column = row[other], column[other]
+    # Descending by the bitwise complement, which unlike the negative has no overflow.
+    order = np.lexsort((column, ~scores[row, column], row))
+    row, column = row[order], column[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], column[rank < k]
+
+
+_BLOCKS: dict[str, list] = {}
+#: Queries that a worker keeps between its shards; more are read again for each.
+HELD_BYTES = 64 << 20
+
+
+def _query_blocks(path: str, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """(vec_id, key, matrices) of one block of queries after another."""
+    if path in _BLOCKS:
+        yield from _BLOCKS[path]
+        return
+    fs, folder = filesystem(path)
+    held, size = [], 0
+    for f in sorted(f.path for f in fs.get_file_info(FileSelector(folder)) if f.path.endswith(".parquet")):
+        with fs.open_input_file(f) as source:
+            for block in pq.ParquetFile(source).iter_batches(BLOCK):
+                made = (*(block.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "key")), list(_matrices(block, scale)))
+                size += sum(q.nbytes for _, q in made[2])
+                if size <= HELD_BYTES:
+                    held.append(made)
+                yield made
+    if size <= HELD_BYTES:
+        _BLOCKS.clear()
+        _BLOCKS[path] = held
 
 
 def _tiles(path: str, k: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, folder = filesystem(path)
-        files = sorted(f.path for f in fs.get_file_info(FileSelector(folder)) if f.path.endswith(".parquet"))
-
-        def blocks() -> Iterator[pa.RecordBatch]:
-            for f in files:
-                with fs.open_input_file(f) as source:
-                    yield from pq.ParquetFile(source).iter_batches(BLOCK)
-
         tile = 0
         for batch in batches:
             for at in range(0, batch.num_rows, SHARD):
@@ -83,29 +108,15 @@ def _tiles(path: str, k: int, scale: int):
                     order = np.argsort(ids[rows], kind="stable")
                     sides.append((ids[rows][order], m[order]))
                 tile += 1
-                for block in blocks():
-                    qid = block.column("vec_id").to_numpy(zero_copy_only=False)
-                    key = block.column("key").to_numpy(zero_copy_only=False)
-                    out: list[list] = [[], [], [], []]
-                    for rows, q in _matrices(block, scale):
-                        for own, m in sides:
+                for qid, key, matrices in _query_blocks(path, scale):
+                    for rows, q in matrices:
+                        for names, m in sides:
                             if m.shape[1] != q.shape[1] or not len(m) or not len(q):
                                 continue
-                            for r, row in zip(rows.tolist(), _scores(q, m), strict=True):
-                                # k and the query's own rows are enough to have k others
-                                own_at = slice(*np.searchsorted(own, [qid[r], qid[r] + 1]))
-                                if own_at.stop > own_at.start:
-                                    row, names = np.delete(row, np.r_[own_at]), np.delete(own, np.r_[own_at])
-                                else:
-                                    names = own
-                                best = _best(row, k)
-                                for c, v in zip(out, (qid[r], key[r], names[best], row[best]), strict=True):
-                                    c.append(v)
-                    if out[0]:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array([tile] * len(out[0]), pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64()))],
-                            ["query_id", "key", "tile", "ids", "scores"],
-                        )
+                            scores = _scores(q, m)
+                            row, column = _best(scores, names, qid[rows], k)
+                            made = (qid[rows][row], key[rows][row], np.full(len(row), tile), names[column], scores[row, column])
+                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], ["query_id", "key", "tile", "vec_id", "score"])
 
     return run
 
@@ -123,11 +134,13 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     asked = queries.filter("vec_id is not null and embedding is not null").select("vec_id", "embedding")
     ws.table(asked.distinct().withColumn("key", F.xxhash64("embedding")), "queries")
     rows = vectors.filter("vec_id is not null and embedding is not null").select("vec_id", "embedding")
-    tiles = rows.mapInArrow(_tiles(ws.at("queries"), k, scale), "query_id long, key long, tile long, ids array<long>, scores array<long>")
-    tiles = tiles.withColumn("branch", F.pmod(F.spark_partition_id() + F.col("tile"), F.lit(BRANCHES)))
-    found = tiles.select("query_id", "key", "branch", F.explode(F.arrays_zip("ids", "scores")).alias("x"))
-    found = found.select("query_id", "key", "branch", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+    found = rows.mapInArrow(_tiles(ws.at("queries"), k, scale), "query_id long, key long, tile long, vec_id long, score long")
+    # The merge tree has as many levels as it takes for a node to join about BRANCHES lists.
+    depth = max(1, math.ceil(math.log(max(2, rows.rdd.getNumPartitions()), BRANCHES)))
+    found = found.withColumn("branch", F.pmod(F.xxhash64(F.spark_partition_id(), "tile"), F.lit(BRANCHES**depth)))
     best = [F.col("score").desc(), F.col("vec_id")]
-    some = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "key", "branch").orderBy(*best))).filter(F.col("rank") <= k)
-    all_ = some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "key").orderBy(*best))).filter(F.col("rank") <= k)
-    return all_.select("query_id", "rank", "vec_id", "score")
+    for level in range(depth, -1, -1):
+        node = ["query_id", "key", *["branch"] * (level > 0)]
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*node).orderBy(*best))).filter(F.col("rank") <= k)
+        found = found.withColumn("branch", F.floor(F.col("branch") / BRANCHES))
+    return found.select("query_id", "rank", "vec_id", "score")

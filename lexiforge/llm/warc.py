@@ -12,15 +12,14 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexiforge.llm.common import Workspace, filesystem
+from lexiforge.llm.common import Decisions, Workspace, bounded_batches, filesystem, hot_join, keyed
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,14 +40,23 @@ def _record_id(text: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, text)}>"
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, first=None, revisit: bool = False) -> bytes:
-    """One record; a revisit has the response's HTTP head, with the payload's length, and no payload."""
+def _id_text(page_id) -> str:
+    """A page's id as a header's value; texts are quoted, so that no id can end a line."""
+    return quote(page_id, safe="") if isinstance(page_id, str) else str(page_id)
+
+
+def record(page_id, url: str | None, payload: bytes, digest: str, name: str, first=None, revisit: bool = False) -> bytes:
+    """One record; a revisit has the response's HTTP head, with the payload's length, and no payload.
+
+    A response is named by page and digest, of which there is one, and a revisit by ``name``, its place.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
+    response = _record_id(f"{_id_text(first if revisit else page_id)}/{digest}")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_record_id(f'{page_id}/{digest}')}",
+        f"WARC-Record-ID: {_record_id(name) if revisit else response}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -57,11 +65,11 @@ def record(page_id, url: str | None, payload: bytes, digest: str, first=None, re
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~' + chr(39))}")
     if page_id is not None:
-        head.append(f"X-Page-Id: {page_id}")
+        head.append(f"X-Page-Id: {_id_text(page_id)}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(f'{first}/{digest}')}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {response}"]
         if first is not None:
-            head.append(f"X-Refers-To-Page: {first}")
+            head.append(f"X-Refers-To-Page: {_id_text(first)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -85,15 +93,18 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _write(folder: str):
+def _write(folder: str, look):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
         out, name, at = None, "", 0
         for batch in batches:
             rows: list[list] = [[], [], [], []]
-            cols = [batch.column(c) for c in ("page_id", "url", "html", "is_first", "first")]
-            for page, url, html, is_first, first in zip(*(c.to_pylist() for c in cols), strict=True):
+            decided = look(batch.column("file"), batch.column("row"))
+            is_first, first = decided.field("is_first"), decided.field("first")
+            cols = [*(batch.column(c) for c in ("page_id", "url", "html")), is_first, first]
+            for values in zip(*cols, strict=True):
+                page, url, html, is_response, response = (v.as_py() for v in values)
                 payload = (html or "").encode()
                 digest = digest32(payload)
                 if out is None or at > ARCHIVE:
@@ -101,13 +112,13 @@ def _write(folder: str):
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)
-                data = _gzip(record(page, url, payload, digest, first, not is_first))
+                data = _gzip(record(page, url, payload, digest, f"{name}/{at}", response, not is_response))
                 out.write(data)
                 for c, v in zip(rows, (name, at, len(data), digest), strict=True):
                     c.append(v)
                 at += len(data)
-            kind = pa.compute.if_else(batch.column("is_first"), "response", "revisit")
-            refers = pa.compute.if_else(batch.column("is_first"), pa.scalar(None, batch.column("first").type), batch.column("first"))
+            kind = pa.compute.if_else(is_first, "response", "revisit")
+            refers = pa.compute.if_else(is_first, pa.scalar(None, first.type), first)
             made = [pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), batch.column("url"), pa.array(rows[3], pa.string()), batch.column("page_id"), kind, refers]
             yield pa.RecordBatch.from_arrays(made, ["archive", "offset", "length", "url", "digest", "page_id", "record_type", "refers_to"])
         if out is not None:
@@ -121,23 +132,22 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str) -> DataFr
 
     A null html is an empty payload. Of the rows with equal payloads that with the smallest page_id
     (null last) is the response and the others revisit it; of repeated rows of that page one is the
-    response. An empty table gives no archive and an empty index.
+    response, that with the smallest url. Page ids can be of any type that Spark casts to text and back; other columns
+    aren't read. A very long page is one record, held whole by the task that writes it. An empty table gives no
+    archive and an empty index. Payloads are read twice and never shuffled.
     """
-    kind = pages.schema["page_id"].dataType.simpleString()
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
-    pairs = rows.groupBy("sha", "page_id").count()
-    own = F.struct(F.col("page_id").isNull().alias("null"), F.col("page_id").alias("id"))
-    least = pairs.groupBy("sha").agg(F.min(F.struct(own.alias("own"), F.col("count").alias("n"))).alias("m"))
-    least = least.select("sha", F.col("m.own.id").alias("first"), F.col("m.n").alias("n"))
     ws = Workspace(spark, "warc-digests")
-    least = ws.table(least, "least")
-    ready = rows.join(least, "sha").withColumn("is_first", F.col("page_id").eqNullSafe(F.col("first")))
-    if least.filter("n > 1").limit(1).count():  # a page that stands there twice, with its payload, is the response once
-        several = F.col("is_first") & (F.col("n") > 1)
-        once = F.row_number().over(Window.partitionBy("sha").orderBy(F.col("url").asc_nulls_last())) == 1
-        ready = ready.filter(~several).unionByName(ready.filter(several).withColumn("is_first", once))
-    ready = ready.select("page_id", "url", "html", "is_first", "first")
-    index = ready.mapInArrow(_write(f"{folder}/archives"), INDEX.format(id=kind))
+    bounded_batches(spark)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    table, file, row = keyed(ws, pages)
+    rows = table.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.col(file).alias("file"), F.col(row).alias("row"))
+    slim = ws.table(rows.select(F.unhex(F.sha1(F.encode("html", "UTF-8"))).alias("sha"), "page_id", "url", "file", "row"), "digests")
+    own = F.struct(F.col("page_id").isNull(), "page_id", F.col("url").isNull(), "url", "file", "row")
+    per = ws.table(slim.groupBy("sha").agg(F.min(own).alias("m"), F.count("*").alias("n")), "least")
+    found = hot_join(slim.select("sha", "file", "row"), per.select("sha", F.col("m.page_id").alias("first"), F.col("m.file").alias("f"), F.col("m.row").alias("r"), "n"), "sha", "n")
+    is_first = (F.col("file") == F.col("f")) & (F.col("row") == F.col("r"))
+    decided = Decisions(ws, found.select("file", "row", F.struct("first", is_first.alias("is_first")).alias("of")), "decided")
+    index = rows.mapInArrow(_write(f"{folder}/archives", decided.lookup()), INDEX.format(id=kind))
     index.write.mode("overwrite").parquet(f"{folder}/index")
     ws.close()
     return spark.read.schema(index.schema).parquet(f"{folder}/index")
@@ -170,7 +180,7 @@ def _read(folder: str, verify: bool, keep_payload: bool):
                     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     if not revisit and (len(payload) != length or verify and digest32(payload) != digest):
                         raise ValueError(f"a payload in {archive} changed")
-                    ids = [headers.get(h) for h in ("X-Page-Id", "X-Refers-To-Page")]
+                    ids = [unquote(v) if (v := headers.get(h)) is not None else None for h in ("X-Page-Id", "X-Refers-To-Page")]
                     row = (ids[0], cols[3][k], headers["WARC-Type"], ids[1], length, digest, payload if keep_payload and not revisit else None)
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
