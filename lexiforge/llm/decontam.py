@@ -3,34 +3,44 @@
 Texts are cut into passages of WINDOW words at every STRIDE words, benchmark items at every word, so
 each passage of a copied item has an item's passage next to it. Passages are TF-IDF vectors with document frequencies over all
 documents. A randomised SVD, worked out by partition sums over the benchmark's passages, gives the latent space;
-passages of documents are folded into it and compared by cosine. Altered copies can be far from their item by
-cosine, so what holds an item's answer, or as many of its rarest words as any acceptable copy must, is
-a candidate too. Candidates are checked on the words
-themselves: longest common subsequence of item and neighbourhood, and whether the item's answer,
-its last words, is there.
+passages of documents are folded into it and compared by cosine. What holds an item's answer, or as many of its
+rarest words as any close copy must, is a candidate whatever its cosine. Candidates are checked on the words
+themselves: longest common subsequence of item and neighbourhood, how much of the item's TF-IDF weight is
+there, and whether the item's answer, its last words, is.
+
+Words are compared by 32-bit hashes. Two words that differ are taken for the same once in 2**32 pairs, and
+half of an item's words, in order, decide, so that no chance of note is left for a text to be rejected by it.
 """
 
 from __future__ import annotations
 
+import io
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lexiforge.llm.common import STEP_BYTES, Workspace, bounded_batches, split_words, steps
+from lexiforge.llm.common import STEP_BYTES, Decisions, Workspace, bounded_batches, filesystem, keyed, split_words, steps
 from lexiforge.llm.simhash import joined_at
 from lexiforge.llm.xxh64 import hash_runs
 
 WINDOW, STRIDE = 12, 4
 RANK, OVERSAMPLE, POWER = 256, 16, 2
 #: A passage is a candidate from this cosine on: in the latent space, and as far as its words are the benchmark's.
-COSINE = 0.7
+COSINE = 0.6
 #: Share of an item's words that the longest common subsequence has: enough alone, or with the answer.
 COMMON, WITH_ANSWER = 0.8, 0.6
+#: Enough for a paraphrase that the cosine finds: as much in order (two halves that changed places have it), and so much
+#: of the item's weight in any order, which common words alone can't have.
+IN_ORDER, IN_WEIGHT = 0.5, 0.5
 #: Last words of an item that count as its answer.
 ANSWER = 5
 #: So many of an item's rarest words must be near each other, out of so many more than an accepted copy can lack.
@@ -55,43 +65,54 @@ def word_ids(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes[coded.indices.to_numpy(zero_copy_only=False)], counts
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoded(keep: list[str]):
     """Each document's word ids and, in a last row, how many of the task's documents each bucket is in."""
-    df = np.zeros(BUCKETS, np.int64)
-    n, kind = 0, None
-    empty = pa.array([], pa.int64())
-    lists = lambda k, a, b: [pa.ListArray.from_arrays(pa.array(np.append(np.zeros(k, np.int32), len(x)).astype(np.int32)), x) for x in (a, b)]
-    for batch in batches:
-        kind = batch.column("doc_id").type
-        for part, values in steps(batch, "text"):
-            ids, counts = word_ids(values)
-            doc = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
-            pairs = np.unique((doc << 20) | (ids & np.uint32(BUCKETS - 1)))
-            df += np.bincount(pairs & (BUCKETS - 1), minlength=BUCKETS)
-            n += len(counts)
-            at = pa.py_buffer(np.concatenate([[0], np.cumsum(4 * counts)]).astype(np.int32).tobytes())
-            words = pa.Array.from_buffers(pa.binary(), len(counts), [None, at, pa.py_buffer(ids.tobytes())])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), words, *lists(len(counts), empty, empty)], ["doc_id", "words", "bucket", "df"])
-    if kind is not None:
-        some = np.flatnonzero(df)
-        table = lists(1, pa.array(np.append(some, -1)), pa.array(np.append(df[some], n)))
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), *table], ["doc_id", "words", "bucket", "df"])
-
-
-def encode(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """The documents as word ids, and log((1 + N) / (1 + df)) + 1 by bucket over all documents, a table of fixed size."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_encoded, f"doc_id {kind}, words binary, bucket array<long>, df array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(BUCKETS, np.int64)
+        n, kinds = 0, None
+        empty = pa.array([], pa.int64())
+        lists = lambda k, a, b: [pa.ListArray.from_arrays(pa.array(np.append(np.zeros(k, np.int32), len(x)).astype(np.int32)), x) for x in (a, b)]
+        names = [*keep, "words", "bucket", "df"]
+        for batch in batches:
+            kinds = [batch.column(c).type for c in keep]
+            for part, values in steps(batch, "text"):
+                ids, counts = word_ids(values)
+                doc = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
+                pairs = np.unique((doc << 20) | (ids & np.uint32(BUCKETS - 1)))
+                df += np.bincount(pairs & (BUCKETS - 1), minlength=BUCKETS)
+                n += len(counts)
+                at = pa.py_buffer(np.concatenate([[0], np.cumsum(4 * counts)]).astype(np.int32).tobytes())
+                words = pa.Array.from_buffers(pa.binary(), len(counts), [None, at, pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), words, *lists(len(counts), empty, empty)], names)
+        if kinds is not None:
+            some = np.flatnonzero(df)
+            table = lists(1, pa.array(np.append(some, -1)), pa.array(np.append(df[some], n)))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), pa.nulls(1, pa.binary()), *table], names)
+
+    return run
+
+
+def encode(ws: Workspace, docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
+    """The documents as word ids, and where the document frequencies over all documents lie, a table of bounded size."""
+    typed = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    rows = docs.select("text", *keep).mapInArrow(_encoded(keep), f"{typed}, words binary, bucket array<long>, df array<long>")
     rows = ws.table(rows, "words")
     pairs = rows.filter("words is null").select(F.explode(F.arrays_zip("bucket", "df")).alias("x"))
-    got = pairs.groupBy(F.col("x.bucket").alias("bucket")).agg(F.sum("x.df").alias("df")).toArrow()
-    bucket, df = got["bucket"].to_numpy(), got["df"].to_numpy()
+    ws.table(pairs.groupBy(F.col("x.bucket").alias("bucket")).agg(F.sum("x.df").alias("df")), "frequencies")
+    return rows.filter("words is not null").select(*keep, "words"), ws.at("frequencies")
+
+
+def load_idf(path: str) -> np.ndarray:
+    """log((1 + N) / (1 + df)) + 1 by bucket."""
+    fs, folder = filesystem(path)
+    files = [f.path for f in fs.get_file_info(FileSelector(folder)) if f.path.endswith(".parquet")]
+    parts = [pq.read_table(f, filesystem=fs) for f in files]
+    bucket, df = (np.concatenate([p[c].to_numpy() for p in parts]) if parts else np.zeros(0, np.int64) for c in ("bucket", "df"))
     n = int(df[bucket == -1].sum())
     out = np.full(BUCKETS, np.log(1 + n) + 1, np.float32)
     out[bucket[bucket >= 0]] = (np.log((1 + n) / (1 + df[bucket >= 0])) + 1).astype(np.float32)
-    del got, bucket, df
-    pa.default_memory_pool().release_unused()
-    return rows.filter("words is not null").select("doc_id", "words"), out
+    return out
 
 
 class Latent:
@@ -101,6 +122,7 @@ class Latent:
     """
 
     kept = np.zeros(0, np.float32)
+    _scaled = None
 
     def __init__(self, words: np.ndarray, idf: np.ndarray, basis: np.ndarray, passages: np.ndarray, item: np.ndarray) -> None:
         self.words, self.basis, self.passages, self.item = words, basis, passages, item
@@ -108,6 +130,13 @@ class Latent:
         self.seen[(words & np.uint32(BUCKETS - 1)).astype(np.int64)] = True
         self.weighed = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]), np.float32)])
 
+    @property
+    def scaled(self) -> np.ndarray:
+        """The passages, longer as the latent space keeps less of them."""
+        if self._scaled is None:
+            self._scaled = self.passages / np.maximum(self.kept, 1e-3)[:, None]
+        return self._scaled
+
     def places(self, ids: np.ndarray) -> np.ndarray:
         """Which of the benchmark's words each id is, or -1."""
         out = np.full(len(ids), -1, np.int32)
@@ -190,25 +219,52 @@ def latent_space(spark: SparkSession, items: list[tuple], idf: np.ndarray, rank:
     return found
 
 
-def lcs(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, one bit-parallel row per word of b (Hyyro 2004)."""
-    masks: dict[int, int] = defaultdict(int)
-    for i, x in enumerate(a.tolist()):
-        masks[x] |= 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for x in b.tolist():
-        u = v & masks.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+class Item:
+    """A benchmark item's words as the checks need them."""
+
+    def __init__(self, ids: np.ndarray, idf: np.ndarray) -> None:
+        self.n = len(ids)
+        self.words = ids.tolist()
+        self.weights = idf[ids & np.uint32(BUCKETS - 1)].astype(float).tolist()
+        self.total = sum(self.weights)
+        self.answer = self.words[-ANSWER:]
+        self.masks: dict[int, int] = defaultdict(int)
+        for i, x in enumerate(self.words):
+            self.masks[x] |= 1 << i
+        self.masks = dict(self.masks)
+
+    def common(self, text: list[int]) -> int:
+        """Length of the longest common subsequence, one bit-parallel row per word of the text (Hyyro 2004)."""
+        full = (1 << self.n) - 1
+        v = full
+        for m in [m for x in text if (m := self.masks.get(x))]:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+        return self.n - v.bit_count()
+
+    def accepted(self, text: list[int]) -> tuple[float, bool] | None:
+        """Share of the item that the text has in order, and whether it has the answer, if that is enough."""
+        there = set(text)
+        has = [w in there for w in self.words]
+        if 2 * sum(has) < self.n:  # no subsequence is longer than what is there
+            return None
+        common = self.common(text) / max(self.n, 1)
+        if common < min(WITH_ANSWER, IN_ORDER):
+            return None
+        first = [i for i, w in enumerate(text) if w == self.answer[0]] if self.answer else []
+        hit = any(text[i : i + len(self.answer)] == self.answer for i in first)
+        if common >= COMMON or common >= WITH_ANSWER and hit:
+            return common, hit
+        weight = sum(w for w, h in zip(self.weights, has, strict=True) if h)
+        return (common, hit) if common >= IN_ORDER and weight >= IN_WEIGHT * self.total else None
 
 
 class Gate:
-    """What a neighbourhood of an item must hold to be accepted, for all items of ANSWER words or more.
+    """What a neighbourhood of an item must hold to be a close copy, for all items of ANSWER words or more.
 
     A copy that has the share COMMON of an item's n words lacks few of them; of RARE more than it can lack it has RARE
     at least, whichever these are, within the n + WINDOW + n words of a neighbourhood. The rarest are looked up.
-    With WITH_ANSWER the answer stands in the neighbourhood. So no acceptable neighbourhood is passed over.
+    With WITH_ANSWER the answer stands in the neighbourhood. So no close copy is passed over.
     """
 
     def __init__(self, space: Latent, idf: np.ndarray, items: list[np.ndarray]) -> None:
@@ -259,15 +315,35 @@ class Gate:
         return found[np.lexsort((found[:, 3], found[:, 2], found[:, 1], found[:, 0]))]
 
 
-def accepted(item: np.ndarray, text: np.ndarray) -> tuple[float, bool] | None:
-    """Share of the item that the text has in order, and whether it has the answer, if that is enough."""
-    common = lcs(item, text) / max(len(item), 1)
-    answer = item[-ANSWER:]
-    hit = len(text) >= len(answer) and bool((np.lib.stride_tricks.sliding_window_view(text, len(answer)) == answer).all(1).any()) if len(answer) else False
-    return (common, hit) if common >= COMMON or common >= WITH_ANSWER and hit else None
+def save_space(path: str, space: Latent, items: list[np.ndarray]) -> None:
+    data = io.BytesIO()
+    sizes = np.array([len(x) for x in items])
+    np.savez(data, words=space.words, basis=space.basis, passages=space.passages, kept=space.kept, item=space.item, ids=np.concatenate(items), sizes=sizes)
+    fs, at = filesystem(path)
+    with fs.open_output_stream(at) as f:
+        f.write(data.getbuffer())
+
+
+_SPACES: dict[tuple[str, str], tuple] = {}
 
 
-def _search(space: Latent, gate: Gate, idf: np.ndarray, items: list[np.ndarray], item_ids: list, cosine: float):
+def load_space(path: str, frequencies: str) -> tuple[Latent, Gate, np.ndarray, list[Item]]:
+    """A worker's copy of one block of the benchmark in the latent space; it holds one at a time."""
+    key = (path, frequencies)
+    if key not in _SPACES:
+        _SPACES.clear()
+        fs, at = filesystem(path)
+        with fs.open_input_file(at) as f:
+            got = np.load(io.BytesIO(f.read()))
+        idf = load_idf(frequencies)
+        space = Latent(got["words"], idf[got["words"] & np.uint32(BUCKETS - 1)], got["basis"], got["passages"], got["item"])
+        space.kept = got["kept"]
+        items = np.split(got["ids"], np.cumsum(got["sizes"])[:-1])
+        _SPACES[key] = space, Gate(space, idf, items), idf, [Item(x, idf) for x in items]
+    return _SPACES[key]
+
+
+def _search(path: str, frequencies: str, item_ids: list, kind: pa.DataType, keep: list[str], cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = pc.binary_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64) // 4
@@ -276,25 +352,37 @@ def _search(space: Latent, gate: Gate, idf: np.ndarray, items: list[np.ndarray],
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 part = batch.slice(a, b - a)
                 ids = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint32)
-                out = _matches(space, gate, idf, items, ids, counts[a:b], cosine)
-                doc = part.column("doc_id").take(pa.array([d for d, *_ in out], pa.int64()))
+                out = _matches(*load_space(path, frequencies), ids, counts[a:b], cosine)
+                at = pa.array([d for d, *_ in out], pa.int64())
                 col = lambda k, t: pa.array([x[k] for x in out], t)
                 yield pa.RecordBatch.from_arrays(
-                    [doc, pa.array([item_ids[x[1]] for x in out], pa.int64()), col(2, pa.int64()), col(3, pa.int64()), col(4, pa.float64()), col(5, pa.float64()), col(6, pa.bool_())],
-                    ["doc_id", "item_id", "start", "end", "cosine", "common", "answered"],
+                    [*(part.column(c).take(at) for c in keep), pa.array([item_ids[x[1]] for x in out], kind), col(2, pa.int64()), col(3, pa.int64()), col(4, pa.float64()), col(5, pa.float64()), col(6, pa.bool_())],
+                    [*keep, "item_id", "start", "end", "cosine", "common", "answered"],
                 )
 
     return run
 
 
-def _matches(space: Latent, gate: Gate, idf: np.ndarray, items: list[np.ndarray], ids: np.ndarray, counts: np.ndarray, cosine: float) -> list[tuple]:
+def squared_lengths(ids: np.ndarray, weight2: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of the windows of WINDOW words at most from at to end: the sum over words of (times it is there x weight) squared.
+
+    A word's own squares, and twice the product for each two places that have the same word.
+    """
+    ahead = np.concatenate([[0], np.cumsum(weight2)])
+    out = ahead[end] - ahead[at]
+    for d in range(1, min(WINDOW, len(ids))):
+        same = np.flatnonzero(ids[d:] == ids[:-d])
+        if len(same):
+            ahead = np.concatenate([[0], np.cumsum(2 * weight2[same])])
+            out += ahead[np.searchsorted(same, np.maximum(end - d, at))] - ahead[np.searchsorted(same, at)]
+    return out
+
+
+def _matches(space: Latent, gate: Gate, idf: np.ndarray, items: list[Item], ids: np.ndarray, counts: np.ndarray, cosine: float) -> list[tuple]:
     if not len(ids):
         return []
     place = space.places(ids)
     known = place >= 0
-    weight2 = np.square(idf[ids & np.uint32(BUCKETS - 1)], dtype=np.float64)
-    all2 = np.concatenate([[0], np.cumsum(weight2)])
-    known2 = np.concatenate([[0], np.cumsum(weight2 * known)])
     stops = np.cumsum(counts)
     starts = stops - counts
     # Passage starts of all texts; a short text is one passage.
@@ -302,101 +390,130 @@ def _matches(space: Latent, gate: Gate, idf: np.ndarray, items: list[np.ndarray]
     doc = np.repeat(np.arange(len(counts)), n)
     at = starts[doc] + np.minimum((np.arange(len(doc)) - (np.cumsum(n) - n)[doc]) * STRIDE, np.maximum(counts[doc] - WINDOW, 0))
     end = np.minimum(at + WINDOW, stops[doc])
-    # Outside the benchmark's words a passage is at right angles to the whole latent space, so its full
-    # cosine is at most the root of the share that the benchmark's words have of its squared length.
-    share = (known2[end] - known2[at]) / np.maximum(all2[end] - all2[at], 1e-9)
-    likely = np.flatnonzero(share >= cosine**2)
+    # Outside the benchmark's words a passage is at right angles to the whole latent space, so its full cosine
+    # is at most the root of the share that the benchmark's words have of its squared length.
+    weight2 = np.square(idf[ids & np.uint32(BUCKETS - 1)], dtype=np.float64)
+    all2 = squared_lengths(ids, weight2, at, end)
+    known2 = squared_lengths(ids, weight2 * known, at, end)
+    likely = np.flatnonzero(known2 >= cosine**2 * np.maximum(all2, 1e-9))
+    length = np.sqrt(all2).astype(np.float32)
     found: dict[tuple[int, int], tuple] = {}
-    for lo in range(0, len(likely), ROWS):
-        rows = likely[lo : lo + ROWS]
+    listed = ids.tolist() if len(likely) else []
+
+    def folded(rows: np.ndarray) -> np.ndarray:
         k = at[rows][:, None] + np.arange(WINDOW)
         inside = k < end[rows][:, None]
         k = np.minimum(k, len(ids) - 1)
-        z = space.fold(np.where(inside & known[k], place[k], -1))
-        product = z @ space.passages.T
-        length = np.sqrt(all2[end[rows]] - all2[at[rows]])
+        return space.fold(np.where(inside, place[k], -1))
+
+    for lo in range(0, len(likely), ROWS):
+        rows = likely[lo : lo + ROWS]
+        z = folded(rows)
         # The full cosine, from what the latent space keeps of a passage and of the item's passage.
-        cos = product / np.maximum(length, 1e-9)[:, None].astype(np.float32) / np.maximum(space.kept, 1e-3)
-        r, p = np.nonzero(cos >= cosine)
-        near = product[r, p] >= cosine * np.linalg.norm(z, axis=1)[r]
-        r, p = r[near], p[near]
-        for i, j in dict.fromkeys(zip(rows[r].tolist(), space.item[p].tolist(), strict=True)):
+        cos = (z / np.maximum(length[rows], 1e-9)[:, None]) @ space.scaled.T
+        flat = np.flatnonzero(cos >= cosine)
+        r, p = np.divmod(flat, cos.shape[1])
+        best = cos.ravel()[flat]
+        near = best * space.kept[p] * length[rows[r]] >= cosine * np.linalg.norm(z, axis=1)[r]
+        r, p, best = r[near], p[near], best[near]
+        order = np.lexsort((-best, space.item[p], r))
+        r, j, best = r[order], space.item[p][order], best[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (j[1:] != j[:-1])
+        for i, j, c in zip(rows[r[new]].tolist(), j[new].tolist(), best[new].tolist(), strict=True):
             d = int(doc[i])
             a, b = int(starts[d]), int(stops[d])
-            item = items[j]
-            x, y = max(a, int(at[i]) - len(item)), min(b, int(end[i]) + len(item))
+            x, y = max(a, int(at[i]) - items[j].n), min(b, int(end[i]) + items[j].n)
             if (d, j) in found and found[d, j][2] + a <= at[i] and end[i] <= found[d, j][3] + a:
                 continue  # this neighbourhood has passed already
-            passed = accepted(item, ids[x:y])
+            passed = items[j].accepted(listed[x:y])
             if passed:
-                best = found.get((d, j))
-                if best is None or passed[0] > best[5]:
-                    found[d, j] = (d, j, x - a, y - a, float(cos[r[(rows[r] == i)], p[(rows[r] == i)]].max()), *passed)
+                had = found.get((d, j))
+                if had is None or passed[0] > had[5]:
+                    found[d, j] = (d, j, x - a, y - a, min(c, 1.0), *passed)
     first = np.cumsum(n) - n
     done: dict[tuple[int, int], int] = {}
     for d, j, lo, hi in gate.candidates(ids, place, starts, stops).tolist():
         a, b, item = int(starts[d]), int(stops[d]), items[j]
-        best = found.get((d, j))
-        if hi < done.get((d, j), 0) or best and best[2] + a <= lo and hi < best[3] + a:
+        had = found.get((d, j))
+        if hi < done.get((d, j), 0) or had and had[2] + a <= lo and hi < had[3] + a:
             continue
         # One comparison for all neighbourhoods of this and the next candidates, then one for each.
         span = int(gate.span[j])
         x, y = max(a, lo - span), min(b, lo + 2 * span)
         done[d, j] = lo + span
-        if not accepted(item, ids[x:y]):
+        if not item.accepted(ids[x:y].tolist()):
             continue
         for i in range(int(first[d]), int(first[d] + n[d])):
-            u, v = max(a, int(at[i]) - len(item)), min(b, int(end[i]) + len(item))
+            u, v = max(a, int(at[i]) - item.n), min(b, int(end[i]) + item.n)
             if v <= x or u >= y:
                 continue
-            passed = accepted(item, ids[u:v])
-            best = found.get((d, j))
-            if passed and (best is None or passed[0] > best[5]):
+            passed = item.accepted(ids[u:v].tolist())
+            had = found.get((d, j))
+            if passed and (had is None or passed[0] > had[5]):
                 found[d, j] = (d, j, u - a, v - a, 0.0, *passed)
         if (d, j) in found and found[d, j][4] == 0:
             u, v = found[d, j][2] + a, found[d, j][3] + a
             i = np.flatnonzero((doc == d) & (at >= u) & (end <= v))
-            k = at[i][:, None] + np.arange(WINDOW)
-            inside = k < end[i][:, None]
-            k = np.minimum(k, len(ids) - 1)
-            z = space.fold(np.where(inside & known[k], place[k], -1))
             p = np.arange(*np.searchsorted(space.item, [j, j + 1]))
-            cos = z @ space.passages[p].T / np.maximum(np.sqrt(all2[end[i]] - all2[at[i]]), 1e-9)[:, None] / np.maximum(space.kept[p], 1e-3)
-            found[d, j] = (*found[d, j][:4], float(cos.max()), *found[d, j][5:])
+            cos = (folded(i) / np.maximum(length[i], 1e-9)[:, None]) @ space.scaled[p].T
+            found[d, j] = (*found[d, j][:4], min(float(cos.max()), 1.0), *found[d, j][5:])
     return list(found.values())
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """docs(doc_id, text, ...), benchmark(item_id, text) -> a row per document and item that it holds.
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """(item_id, text) with words, in an order of their own, as many at a time as one latent space is made for."""
+    some = benchmark.select("item_id", "text").filter(F.length(F.trim("text")) > 0).distinct().orderBy("item_id", "text")
+    rows = ((r.item_id, r.text) for r in some.toLocalIterator() if r.text.split())
+    while block := list(islice(rows, BLOCK // 32)):
+        yield block
 
-    Columns: doc_id, item_id, start and end (words of the neighbourhood that was compared), cosine, common
-    (share of the item's words in the longest common subsequence), answered. Null, empty and clean
-    texts have no row; items without words match nothing; repeated documents have rows each. The
-    benchmark is gathered on the driver and must be a list of items as benchmarks are, not a corpus; its
-    passages are searched in blocks of bounded size.
-    """
-    ws = Workspace(spark, "decontam")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, start long, end long, cosine double, common double, answered boolean"
-    items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").distinct().orderBy("item_id", "text").collect() if r.text and r.text.strip()]
-    if not items:
-        return spark.createDataFrame([], schema)
+
+def matches(ws: Workspace, docs: DataFrame, benchmark: DataFrame, keep: list[str], cosine: float = COSINE) -> DataFrame:
+    """docs(text, and the columns to keep) -> a row per row of docs and item that it holds, with the columns kept."""
+    spark = docs.sparkSession
     bounded_batches(spark)
-    rows, idf = encode(ws, docs)
-    out = None
-    for lo in range(0, len(items), BLOCK // 32):
-        some = items[lo : lo + BLOCK // 32]
+    kind = benchmark.schema["item_id"].dataType
+    typed = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"{typed}, item_id {kind.simpleString()}, start long, end long, cosine double, common double, answered boolean"
+    rows, frequencies, out = None, "", None
+    for k, some in enumerate(_blocks(benchmark)):
+        if rows is None:
+            rows, frequencies = encode(ws, docs, keep)
+        idf = load_idf(frequencies)
         space = latent_space(spark, some, idf)
+        if space is None:
+            continue
         ids, counts = word_ids(pa.array([t for _, t in some], pa.string()))
-        words = np.split(ids, np.cumsum(counts)[:-1])
-        found = rows.mapInArrow(_search(space, Gate(space, idf, words), idf, words, [i for i, _ in some], cosine), schema)
+        save_space(ws.at(f"space-{k}.npz"), space, np.split(ids, np.cumsum(counts)[:-1]))
+        found = rows.mapInArrow(_search(ws.at(f"space-{k}.npz"), frequencies, [i for i, _ in some], to_arrow_type(kind), keep, cosine), schema)
+        del space, idf
+        pa.default_memory_pool().release_unused()
         out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], schema)
     out = ws.table(out, "matches")
     ws.drop("words")
     return out
 
 
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """docs(doc_id, text, ...), benchmark(item_id, text) -> a row per document and item that it holds.
+
+    Columns: doc_id, item_id (of any type), start and end (words of the neighbourhood that was compared), cosine, common
+    (share of the item's words in the longest common subsequence), answered. Null, empty and clean
+    texts have no row; items without words match nothing, repeated items count once; repeated documents have rows each;
+    of two neighbourhoods that are as good the first counts. The benchmark is taken in blocks of bounded size, each with a
+    latent space of its own that lies in the shared folder. Other columns aren't read.
+    """
+    return matches(Workspace(spark, "decontam"), docs, benchmark, ["doc_id"], cosine)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with docs' columns; rows with a null doc_id are judged as one."""
-    bad = contaminated(spark, docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of docs whose own text holds no benchmark item, with docs' columns. Texts are read twice and not shuffled."""
+    ws = Workspace(spark, "decontaminated")
+    table, file, row = keyed(ws, docs)
+    slim = table.select("text", F.col(file).alias("file"), F.col(row).alias("row"))
+    bad = matches(ws, slim, benchmark, ["file", "row"]).select("file", "row").distinct()
+    found = Decisions(ws, bad.withColumn("bad", F.lit(True)), "bad")
+    return table.filter(~F.coalesce(found.of(F.col(file), F.col(row)), F.lit(False))).select(*docs.columns)

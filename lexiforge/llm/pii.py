@@ -9,22 +9,32 @@ every document and, without the key, can't be traced back. All steps are DataFra
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.llm.arrays import let, sums_ahead
+from lexiforge.llm.common import free_names
+
+#: Where a session may hold the key.
+KEY_CONF = "spark.lexiforge.pii.key"
 ROUNDS = 8
-#: Dates are permuted within windows of this many days, a product of the two halves' radix.
-HALF_WINDOW = 270
-EPOCH = "1900-01-01"
+#: Dates are permuted within windows of days from FIRST_DAY on. A window's days are the product of the two halves'
+#: radices; WINDOWS whole ones and what is left of the 3,652,059 days to 9999-12-31 cover each day once.
+FIRST_DAY = "0001-01-01"
+WINDOW, WINDOWS, LAST_WINDOW = (270, 270), 50, (39, 181)
 
 #: Month and day of any year, and of leap years.
 DAYS = [("0[13578]|1[02]", "0[1-9]|[12][0-9]|3[01]"), ("0[469]|11", "0[1-9]|[12][0-9]|30"), ("02", "0[1-9]|1[0-9]|2[0-8]")]
 LEAP = "(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
-ISO_DATE = "|".join([*(f"[0-9]{{4}}-(?:{m})-(?:{d})" for m, d in DAYS), f"{LEAP}-02-29"])
-DAY_FIRST = "|".join(x for s in ("/", r"\.") for x in (*(f"(?:{d}){s}(?:{m}){s}[0-9]{{4}}" for m, d in DAYS), f"29{s}02{s}{LEAP}"))
+YEAR = "(?!0000)[0-9]{4}"
+ISO_DATE = "|".join([*(f"{YEAR}-(?:{m})-(?:{d})" for m, d in DAYS), f"(?!0000){LEAP}-02-29"])
+DAY_FIRST = "|".join(x for s in ("/", r"\.") for x in (*(f"(?:{d}){s}(?:{m}){s}{YEAR}" for m, d in DAYS), f"29{s}02{s}(?!0000){LEAP}"))
 
 # The kinds in the order in which the pattern tries them at a place. Runs are possessive or short and begin behind
-# a look-behind, so that matching takes linear time on any text.
+# a look-behind, so that matching takes linear time on any text. Only formats bound a run's length: a domain name has at
+# most 127 labels, a phone 15 digits.
 OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 IP = rf"(?<![0-9])(?<![0-9]\.)(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
 DATE = rf"(?<![0-9/.-])(?:{ISO_DATE}|{DAY_FIRST})(?![0-9/-])"
@@ -42,8 +52,8 @@ def patterns(card: str = CARD) -> dict[str, str]:
     """The pattern of each kind. A phone ends ahead of another kind's value, if what is left is a phone."""
     phone = rf"{PHONE_HEAD}(?:[ .-]?[0-9]{{2,5}}){{1,4}}{PHONE_END}"
     return {
-        "secret": r"(?i:(?:api[_-]?key|token|secret|password|passwd)\s{0,4}+[=:]\s{0,4}+[\"'][^\"'\s]{8,128}[\"'])",
-        "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+        "secret": r"(?i:(?:api[_-]?key|token|secret|password|passwd)\s*+[=:]\s*+[\"'][^\"'\s]{8,}+[\"'])",
+        "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+(?![A-Za-z0-9-])",
         "ip": IP,
         "phone": f"{phone}(?=[ .-]?(?:{IP}|{DATE}|{SSN}|{card}))|{phone}",
         "date": DATE,
@@ -63,26 +73,26 @@ PATTERN = one_of(PATTERNS)
 HINT = r"[0-9@\"']"
 
 
-def let(value: Column, f) -> Column:
-    """f(value), with value worked out once; inside a lambda Spark would work it out at each use."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def feistel(values: Column, radices: Column, key: Column) -> Column:
     """values (array<int>, each below its radix) keyed-permuted: the halves take turns in shifting each other.
 
     Each round adds to every place of one half a keyed hash of the other half, modulo the place's
-    radix, which the same rounds backwards undo; so it is a permutation for any radices.
+    radix, which the same rounds backwards undo; so it is a permutation for any radices. A hash is SHA-512 of
+    ``key|round|other half`` in hex, four digits for a place; places from 32 on take those of the SHA-512
+    of ``hash|k`` for each 32 places.
     """
     def round_(v: Column, r: Column, radices: Column) -> Column:
         half = F.floor(F.size(v) / 2).cast("int")
         first = r % 2 == 0
         other = F.when(first, F.slice(v, half + 1, F.size(v))).otherwise(F.slice(v, F.lit(1), half))
         h = F.sha2(F.concat_ws("|", key, r.cast("string"), F.array_join(other.cast("array<string>"), ",")), 512)
+        more = lambda h: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 32).cast("int")), lambda k: F.when(k == 0, h).otherwise(F.sha2(F.concat_ws("|", h, k.cast("string")), 512)))
         at = lambda i: F.when(first, i).otherwise(i - half)
-        add = lambda h, i: F.conv(F.substring(h, (4 * (at(i) % 32) + 1).cast("int"), F.lit(4)), 16, 10).cast("int")
+        part = lambda hs, i: F.substring(F.get(hs, F.floor(at(i) / 32).cast("int")), (4 * (at(i) % 32) + 1).cast("int"), F.lit(4))
+        add = lambda hs, i: F.conv(part(hs, i), 16, 10).cast("int")
         mine = lambda i: F.when(first, i < half).otherwise(i >= half)
-        return let(h, lambda h: F.transform(v, lambda x, i: F.when(mine(i), F.pmod(x + add(h, i), F.get(radices, i))).otherwise(x)))
+        shift = lambda hs: F.transform(v, lambda x, i: F.when(mine(i), F.pmod(x + add(hs, i), F.get(radices, i))).otherwise(x))
+        return let(let(h, more), shift)
 
     rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     return let(radices, lambda radices: F.aggregate(rounds, values, lambda v, r: round_(v, r, radices)))
@@ -159,25 +169,41 @@ def _iso(v: Column) -> Column:
 
 
 def _date(v: Column, key: Column) -> Column:
-    days = F.date_diff(_iso(v), F.lit(EPOCH).cast("date"))
-    window = HALF_WINDOW * HALF_WINDOW
-    inside = F.pmod(days, F.lit(window))
-    halves = F.array(F.floor(inside / HALF_WINDOW).cast("int"), (inside % HALF_WINDOW).cast("int"))
-    two = F.array(F.lit(HALF_WINDOW), F.lit(HALF_WINDOW))
-    new = feistel(halves, two, F.concat_ws("|", key, F.floor(days / window).cast("string")))
-    day = let(new, lambda n: F.date_add(F.lit(EPOCH).cast("date"), (days - inside + F.get(n, F.lit(0)) * HALF_WINDOW + F.get(n, F.lit(1))).cast("int")))
+    """A day of the same window, so that every day from 0001-01-01 to 9999-12-31 is one's pseudonym."""
+    first = F.lit(FIRST_DAY).cast("date")
+    days = F.date_diff(_iso(v), first)
+    window = F.least(F.floor(days / (WINDOW[0] * WINDOW[1])).cast("int"), F.lit(WINDOWS))
+    radix = lambda k: F.when(window < WINDOWS, WINDOW[k]).otherwise(LAST_WINDOW[k])
+    inside = days - window * (WINDOW[0] * WINDOW[1])
+    halves = F.array(F.floor(inside / radix(1)).cast("int"), (inside % radix(1)).cast("int"))
+    new = feistel(halves, F.array(radix(0), radix(1)), F.concat_ws("|", key, window.cast("string")))
+    day = let(new, lambda n: F.date_add(first, (days - inside + F.get(n, F.lit(0)) * radix(1) + F.get(n, F.lit(1))).cast("int")))
     mark = F.substring(v, 3, 1)
     iso = F.date_format(day, "yyyy-MM-dd")
     return F.when(F.substring(v, 5, 1) == "-", iso).otherwise(F.concat(F.substring(iso, 9, 2), mark, F.substring(iso, 6, 2), mark, F.substring(iso, 1, 4)))
 
 
+def _ssn(v: Column, key: Column) -> Column:
+    """Area 001 to 899 without 666, group 01 to 99 and serial 0001 to 9999, each a digit of its own radix."""
+    area, group, serial = (F.substring(v, at, n).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
+    values = F.array(area - 1 - F.when(area > 666, 1).otherwise(0), group - 1, serial - 1)
+    new = feistel(values, F.array(F.lit(898), F.lit(99), F.lit(9999)), key)
+    back = lambda n: F.format_string("%03d-%02d-%04d", n[0] + 1 + F.when(n[0] >= 665, 1).otherwise(0), n[1] + 1, n[2] + 1)
+    return let(new, back)
+
+
+# The country codes of one and two digits (ITU-T E.164); all others have three.
+CODES_OF_ONE = "[17]"
+CODES_OF_TWO = "2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+
+
 def _phone(v: Column, key: Column) -> Column:
-    """The country code, up to three digits behind the plus, stays; one digit at least does."""
-    code = F.length(F.regexp_extract(v, r"^\+([0-9]{1,3})[ .(-]", 1))
+    """The country code stays; it and the other digits alone, however they are set, say what these become."""
     d = _digits(v)
-    kept = F.when(code > 0, code).otherwise(1)
-    rest = F.slice(d, kept + 1, F.size(d))
-    return _refill(v, F.concat(F.slice(d, F.lit(1), kept), feistel(rest, F.transform(rest, lambda _: F.lit(10)), F.concat_ws("|", key, F.array_join(F.slice(d, F.lit(1), kept).cast("array<string>"), "")))))
+    code = F.when(F.regexp_like(v, F.lit(rf"^\+{CODES_OF_ONE}")), 1).otherwise(F.when(F.regexp_like(F.regexp_replace(v, "[^0-9]", ""), F.lit(f"^(?:{CODES_OF_TWO})")), 2).otherwise(3))
+    rest = F.slice(d, code + 1, F.size(d))
+    head = F.slice(d, F.lit(1), code)
+    return _refill(v, F.concat(head, feistel(rest, F.transform(rest, lambda _: F.lit(10)), F.concat_ws("|", key, F.array_join(head.cast("array<string>"), "")))))
 
 
 def _email(v: Column, key: Column) -> Column:
@@ -230,39 +256,44 @@ def row_pattern(text: Column) -> Column:
 
 
 def pseudonym(kind: Column, v: Column, key: str) -> Column:
-    made = {"secret": _secret, "email": _email, "ip": _ip, "phone": _phone, "date": _date, "card": _card, "ssn": lambda v, k: _refill(v, feistel(_digits(v), F.transform(_digits(v), lambda _: F.lit(10)), k))}
+    made = {"secret": _secret, "email": _email, "ip": _ip, "phone": _phone, "date": _date, "card": _card, "ssn": _ssn}
     out = v
     for k in reversed(KINDS):
         out = F.when(kind == k, made[k](v, F.lit(f"{key}|{k}"))).otherwise(out)
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = "lexiforge", text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text", name: str = "pii") -> DataFrame:
     """docs with text pseudonymised and a column pii, array<struct<kind, start, original, pseudonym>>, added.
 
     start counts code points from 0 in the original text. Runs that fail their kind's check stay as
     they are, but for values within them. A null text stays null and, like an empty or clean one, has no entry; rows, repeated
-    ones too, stay rows. A column of docs named pii is replaced.
+    ones too, stay rows, and an empty table stays empty. Texts of any length are taken whole, and no value is too long. All
+    other columns stay, but one called as the added one is to be is replaced. Whoever knows the key can trace
+    pseudonyms back: without one, nor one in the session's ``spark.lexiforge.pii.key``, a random key holds for this call.
     """
+    key = key or docs.sparkSession.conf.get(KEY_CONF, None) or secrets.token_hex(16)
     t = F.col(text)
     some = F.coalesce(t.rlike(HINT), F.lit(False)) & F.coalesce(t.rlike(PATTERN), F.lit(False))
     # Rows of the plan, so that the cards and the candidates are found once and both columns read them.
-    kept = [c for c in docs.columns if c not in ("pii", "_found", "_cut", "_pattern")]
-    rows = docs.select(*kept, F.when(some, row_pattern(t)).alias("_pattern"))
-    some = F.col("_pattern").isNotNull()
-    found = F.when(some, F.regexp_extract_all(t, F.col("_pattern"), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    cut = F.when(some, F.split(t, F.col("_pattern"), -1))
-    rows = rows.select(*kept, found.alias("_found"), cut.alias("_cut"))
-    named = F.transform("_found", lambda v: F.struct(kind_of(v).alias("kind"), v.alias("original")))
-    rows = rows.withColumn("_found", F.when(F.size("_found") > 0, named).otherwise(F.array().cast("array<struct<kind:string,original:string>>")))
-    new = F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), x["original"].alias("original"), pseudonym(x["kind"], x["original"], key).alias("pseudonym")))
-    rows = rows.withColumn("_found", F.when(F.size("_found") > 0, new).otherwise(F.array().cast("array<struct<kind:string,original:string,pseudonym:string>>")))
-    joined = F.array_join(F.transform("_cut", lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_found"), i)["pseudonym"], F.lit("")))), "")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    ends = F.transform(F.arrays_zip(F.col("_cut").alias("p"), F.col("_found.original").alias("v")), lambda x: F.struct(F.length(x["p"]).alias("p"), F.coalesce(F.length(x["v"]), F.lit(0)).alias("v")))
-    add = lambda a, x: F.struct((a["at"] + x["p"] + x["v"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["p"])).alias("out"))
-    starts = F.aggregate(ends, zero, add, lambda a: a["out"])
-    entry = lambda x, s: F.struct(x["kind"].alias("kind"), s.alias("start"), x["original"].alias("original"), x["pseudonym"].alias("pseudonym"))
-    pii = F.filter(F.zip_with("_found", F.slice(starts, F.lit(1), F.size("_found")), entry), lambda x: x["kind"].isNotNull())
-    pii = F.when(F.size("_found") > 0, pii).otherwise(F.array().cast("array<struct<kind:string,start:int,original:string,pseudonym:string>>"))
-    return rows.select(*[F.when(F.size("_found") > 0, joined).otherwise(t).alias(text) if c == text else F.col(c) for c in kept], pii.alias("pii"))
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    pattern_, found_, cut_ = free_names([*kept, name], "_pattern", "_found", "_cut")
+    rows = docs.select(*kept, F.when(some, row_pattern(t)).alias(pattern_))
+    some = F.col(pattern_).isNotNull()
+    found = F.when(some, F.regexp_extract_all(t, F.col(pattern_), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    cut = F.when(some, F.split(t, F.col(pattern_), -1))
+    rows = rows.select(*kept, found.alias(found_), cut.alias(cut_))
+    any_ = F.size(found_) > 0
+    named = F.transform(found_, lambda v: F.struct(kind_of(v).alias("kind"), v.alias("original")))
+    rows = rows.withColumn(found_, F.when(any_, named).otherwise(F.array().cast("array<struct<kind:string,original:string>>")))
+    new = F.transform(found_, lambda x: F.struct(x["kind"].alias("kind"), x["original"].alias("original"), pseudonym(x["kind"], x["original"], key).alias("pseudonym")))
+    rows = rows.withColumn(found_, F.when(any_, new).otherwise(F.array().cast("array<struct<kind:string,original:string,pseudonym:string>>")))
+    joined = F.array_join(F.transform(cut_, lambda p, i: F.concat(p, F.coalesce(F.get(F.col(found_), i)["pseudonym"], F.lit("")))), "")
+    sizes = F.transform(F.arrays_zip(F.col(cut_).alias("p"), F.col(f"{found_}.original").alias("v")), lambda x: (F.length(x["p"]) + F.coalesce(F.length(x["v"]), F.lit(0))).cast("long"))
+    entry = lambda ahead: F.transform(
+        found_,
+        lambda x, i: F.struct(x["kind"].alias("kind"), (F.get(ahead, i) + F.length(F.get(F.col(cut_), i))).cast("int").alias("start"), x["original"].alias("original"), x["pseudonym"].alias("pseudonym")),
+    )
+    pii = F.filter(let(sums_ahead(sizes), entry), lambda x: x["kind"].isNotNull())
+    pii = F.when(any_, pii).otherwise(F.array().cast("array<struct<kind:string,start:int,original:string,pseudonym:string>>"))
+    return rows.select(*[F.when(any_, joined).otherwise(t).alias(text) if c == text else F.col(c) for c in kept], pii.alias(name))

@@ -258,15 +258,20 @@ def test_decontamination(spark, docs):
     assert decontam.contaminated(spark, d, bench.limit(0)).count() == 0 and decontam.contaminated(spark, d.limit(0), bench).count() == 0
 
 
+def brute_lcs(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
 def test_lcs():
     random.seed(7)
+    idf = np.ones(decontam.BUCKETS, np.float32)
     for _ in range(50):
-        a, b = ([random.randrange(5) for _ in range(random.randrange(12))] for _ in range(2))
-        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-        assert decontam.lcs(np.array(a), np.array(b)) == t[-1][-1]
+        a, b = ([random.randrange(5) for _ in range(random.randrange(1, 12))] for _ in range(2))
+        assert decontam.Item(np.array(a, np.uint32), idf).common(b) == brute_lcs(a, b)
 
 
 def test_lm(spark, docs):
@@ -309,19 +314,22 @@ def test_decontamination_of_altered_copies(spark):
     for k in range(30):
         around = [[rng.choice([*shared, f"w{rng.randrange(400)}", f"o{rng.randrange(10**6)}"]) for _ in range(rng.randrange(40))] for _ in range(2)]
         rows.append((k, " ".join([*around[0], *altered(items[k % 5], rng, ("replaced", "inserted", "answered")[k // 5 % 3]), *around[1]])))
-    words = [decontam.word_ids(pa.array([" ".join(x)]))[0] for x in items]
-    want = set()
+    words = [decontam.word_ids(pa.array([" ".join(x)]))[0].tolist() for x in items]
+    close, loose = set(), set()
     for d, text in rows:
-        ids = decontam.word_ids(pa.array([text]))[0]
+        ids = decontam.word_ids(pa.array([text]))[0].tolist()
         for j, x in enumerate(words):
             near = ((at - len(x), at + decontam.WINDOW + len(x)) for at in decontam._windows(len(ids), decontam.STRIDE).tolist())
             for a, b in near:
-                part = ids[max(a, 0) : b].tolist()
-                common = decontam.lcs(x, np.array(part)) / len(x)
-                answered = any(part[i : i + decontam.ANSWER] == x[-decontam.ANSWER :].tolist() for i in range(len(part)))
+                part = ids[max(a, 0) : b]
+                common = brute_lcs(x, part) / len(x)
+                answered = any(part[i : i + decontam.ANSWER] == x[-decontam.ANSWER :] for i in range(len(part)))
                 if common >= decontam.COMMON or common >= decontam.WITH_ANSWER and answered:
-                    want.add((d, j))
-    assert {(k, k % 5) for k in range(30) if k // 5 % 3 != 1} <= want
-    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+                    close.add((d, j))
+                if common >= decontam.IN_ORDER:
+                    loose.add((d, j))
+    assert {(k, k % 5) for k in range(30) if k // 5 % 3 != 1} <= close
+    bench = spark.createDataFrame([(f"i{j}", " ".join(x)) for j, x in enumerate(items)], "item_id string, text string")
     got = decontam.contaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) and all(r.cosine > 0 for r in got)
+    found = {(r.doc_id, int(r.item_id[1:])) for r in got}
+    assert close <= found <= close | loose and len(got) == len(found) and all(0 < r.cosine <= 1 for r in got)
