@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are cut into passages of WINDOW words at every STRIDE words, benchmark items at every word, so
-each passage of a copied item has an item's passage next to it. Passages are TF-IDF vectors with document frequencies over all
+Texts are cut into passages of WINDOW words at every STRIDE words, benchmark items at every ITEM_STRIDE, so
+each passage of a copied item has an item's passage a word away at most. Passages are TF-IDF vectors with document frequencies over all
 documents. A randomised SVD, worked out by partition sums over the benchmark's passages, gives the latent space;
 passages of documents are folded into it and compared by cosine. What holds an item's answer, or as many of its
 rarest words as any close copy must, is a candidate whatever its cosine. Candidates are checked on the words
@@ -32,10 +32,10 @@ from lexiforge.llm.common import STEP_BYTES, Decisions, Workspace, bounded_batch
 from lexiforge.llm.simhash import joined_at
 from lexiforge.llm.xxh64 import hash_runs
 
-WINDOW, STRIDE = 12, 4
+WINDOW, STRIDE, ITEM_STRIDE = 12, 4, 2
 RANK, OVERSAMPLE, POWER = 256, 16, 2
 #: A passage is a candidate from this cosine on: in the latent space, and as far as its words are the benchmark's.
-COSINE = 0.6
+COSINE = 0.65
 #: Share of an item's words that the longest common subsequence has: enough alone, or with the answer.
 COMMON, WITH_ANSWER = 0.8, 0.6
 #: Enough for a paraphrase that the cosine finds: as much in order (two halves that changed places have it), and so much
@@ -200,7 +200,7 @@ def latent_space(spark: SparkSession, items: list[tuple], idf: np.ndarray, rank:
     weight = idf[words & np.uint32(BUCKETS - 1)]
     windows, item, a = [], [], 0
     for i, n in enumerate(counts.tolist()):
-        for w in _windows(n, 1).tolist():
+        for w in _windows(n, ITEM_STRIDE).tolist():
             windows.append(place[a + w : a + min(w + WINDOW, n)])
             item.append(i)
         a += n
@@ -363,18 +363,26 @@ def _search(path: str, frequencies: str, item_ids: list, kind: pa.DataType, keep
     return run
 
 
-def squared_lengths(ids: np.ndarray, weight2: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Of the windows of WINDOW words at most from at to end: the sum over words of (times it is there x weight) squared.
+def squared_lengths(ids: np.ndarray, weights2: list[np.ndarray], at: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Of the windows of WINDOW words at most from at to end, both ascending: the sum over words of (times it is there x weight) squared.
 
-    A word's own squares, and twice the product for each two places that have the same word.
+    A word's own squares, and twice the product for each two places of a window that have the same word.
     """
-    ahead = np.concatenate([[0], np.cumsum(weight2)])
-    out = ahead[end] - ahead[at]
-    for d in range(1, min(WINDOW, len(ids))):
-        same = np.flatnonzero(ids[d:] == ids[:-d])
-        if len(same):
-            ahead = np.concatenate([[0], np.cumsum(2 * weight2[same])])
-            out += ahead[np.searchsorted(same, np.maximum(end - d, at))] - ahead[np.searchsorted(same, at)]
+    out = []
+    for w in weights2:
+        ahead = np.concatenate([[0], np.cumsum(w)])
+        out.append(ahead[end] - ahead[at])
+    same = [np.flatnonzero(ids[d:] == ids[:-d]) for d in range(1, min(WINDOW, len(ids)))]
+    if same:
+        one = np.concatenate(same)
+        two = one + np.repeat(np.arange(1, len(same) + 1), [len(x) for x in same])
+        # Of the windows that hold both places the first, and the first behind them.
+        lo = np.searchsorted(end, two, "right")
+        hi = np.maximum(np.searchsorted(at, one, "right"), lo)
+        some = hi > lo
+        one, lo, hi = one[some], lo[some], hi[some]
+        for w, total in zip(weights2, out, strict=True):
+            total += 2 * np.cumsum(np.bincount(lo, w[one], len(at) + 1) - np.bincount(hi, w[one], len(at) + 1))[:-1]
     return out
 
 
@@ -393,8 +401,7 @@ def _matches(space: Latent, gate: Gate, idf: np.ndarray, items: list[Item], ids:
     # Outside the benchmark's words a passage is at right angles to the whole latent space, so its full cosine
     # is at most the root of the share that the benchmark's words have of its squared length.
     weight2 = np.square(idf[ids & np.uint32(BUCKETS - 1)], dtype=np.float64)
-    all2 = squared_lengths(ids, weight2, at, end)
-    known2 = squared_lengths(ids, weight2 * known, at, end)
+    all2, known2 = squared_lengths(ids, [weight2, weight2 * known], at, end)
     likely = np.flatnonzero(known2 >= cosine**2 * np.maximum(all2, 1e-9))
     length = np.sqrt(all2).astype(np.float32)
     found: dict[tuple[int, int], tuple] = {}
