@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 BLEU_N, CHAR_N, WORD_N, BETA = 4, 6, 2, 2
 _PUNCT = re.compile(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])")
@@ -45,22 +46,40 @@ def _chrf_words(text: str) -> list[str]:
     return out
 
 
+class Grams:
+    """A text's counts of each order, which every comparison with another text uses."""
+
+    def __init__(self, text: str | None) -> None:
+        tokens = tokens_13a(text or "")
+        self.n = len(tokens)
+        self.bleu = [_grams(tokens, n) for n in range(1, BLEU_N + 1)]
+        chars, words = "".join((text or "").split()), _chrf_words(text or "")
+        self.chrf = [*(_grams(chars, n) for n in range(1, CHAR_N + 1)), *(_grams(words, n) for n in range(1, WORD_N + 1))]
+        self.sizes = [[x.total() for x in counts] for counts in (self.bleu, self.chrf)]
+
+    def stats(self, ref: Grams) -> list[int]:
+        """Matches and totals of each BLEU order, both lengths, then hypothesis, reference and matching grams of each chrF order."""
+        out = [*(_common(a, b) for a, b in zip(self.bleu, ref.bleu, strict=True)), *self.sizes[0], self.n, ref.n]
+        for a, b, x, y in zip(self.chrf, ref.chrf, self.sizes[1], ref.sizes[1], strict=True):
+            out += [x, y, _common(a, b)]
+        return out
+
+    def score(self, ref: Grams) -> float:
+        """M4."""
+        s = self.stats(ref)
+        return geo(bleu(s, effective=True), chrf(s))
+
+
+def _common(a: Counter, b: Counter) -> int:
+    """Grams that both have, as often as the one with fewer."""
+    if len(a) > len(b):
+        a, b = b, a
+    get = b.get
+    return sum(min(n, get(g, 0)) for g, n in a.items())
+
+
 def row_stats(hyp: str | None, ref: str | None) -> list[int]:
-    """Matches and totals of each BLEU order, both lengths, then hypothesis, reference and matching grams of each chrF order."""
-    h, r = tokens_13a(hyp or ""), tokens_13a(ref or "")
-    match, total = [], []
-    for n in range(1, BLEU_N + 1):
-        a, b = _grams(h, n), _grams(r, n)
-        match.append(sum((a & b).values()))
-        total.append(sum(a.values()))
-    out = [*match, *total, len(h), len(r)]
-    chars = ["".join((x or "").split()) for x in (hyp, ref)]
-    ws = [_chrf_words(x or "") for x in (hyp, ref)]
-    for (x, y), top in ((chars, CHAR_N), (ws, WORD_N)):
-        for n in range(1, top + 1):
-            a, b = _grams(x, n), _grams(y, n)
-            out += [sum(a.values()), sum(b.values()), sum((a & b).values())]
-    return out
+    return Grams(hyp).stats(Grams(ref))
 
 
 def bleu(stats, effective: bool = False) -> float:
@@ -96,8 +115,26 @@ def geo(a: float, b: float) -> float:
 
 def sentence_geo(hyp: str, ref: str) -> float:
     """M4."""
-    s = row_stats(hyp, ref)
-    return geo(bleu(s, effective=True), chrf(s))
+    return Grams(hyp).score(Grams(ref))
+
+
+def comparison(metrics: DataFrame) -> DataFrame:
+    """M6: metrics(model, and any of bleu, eval_bleu, chrf, eval_chrf, geo_mean, eval_geo_mean, total_params) -> a row per model.
+
+    Names with eval_ come first, but for geo_mean; a missing geometric mean is worked out; parameters are written in
+    billions, millions or thousands. ``best`` marks the model with the largest mean, the first by name among equals.
+    """
+    has = lambda c: F.col(c).cast("double") if c in metrics.columns else F.lit(None).cast("double")
+    b, c = (F.coalesce(has(f"eval_{k}"), has(k), F.lit(0.0)) for k in ("bleu", "chrf"))
+    given = F.coalesce(has("geo_mean"), has("eval_geo_mean"), F.lit(0.0))
+    n = has("total_params")
+    rows = metrics.select("model", b.alias("bleu"), c.alias("chrf"), given.alias("_g"), n.alias("_n"))
+    mean = F.when((F.col("_g") == 0) & (F.col("bleu") > 0) & (F.col("chrf") > 0), F.sqrt(F.col("bleu") * F.col("chrf"))).otherwise(F.col("_g"))
+    size = lambda by, mark, digits: F.format_string(f"%.{digits}f{mark}", F.col("_n") / by)
+    params = F.when(F.col("_n") >= 1e9, size(1e9, "B", 1)).when(F.col("_n") >= 1e6, size(1e6, "M", 1)).when(F.col("_n").isNotNull(), size(1e3, "K", 0)).otherwise("—")
+    rows = rows.select("model", "bleu", "chrf", mean.alias("geo_mean"), params.alias("params"))
+    by_name = F.row_number().over(Window.orderBy(F.col("geo_mean").desc(), "model"))  # a row per model
+    return rows.withColumn("best", by_name == 1)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

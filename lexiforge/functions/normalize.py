@@ -1,22 +1,23 @@
-"""Normalising of source and target texts: ordered rules in one Arrow function, since NFKC has no Spark builtin.
+"""Normalising of source and target texts: ordered rules as expressions, with NFKC from Arrow for texts that aren't ASCII.
 
 Rules run in order and may undo each other (``{é}`` becomes ``{e2}`` and then ``{é}`` again); the order is part
-of the result. ASCII texts skip NFKC inside the function.
+of the result.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiforge.functions.segment import let
+
 # Characters and spellings of the transliteration conventions.
-SUBSCRIPTS = str.maketrans("₀₁₂₃₄₅₆₇₈₉ₓ", "0123456789x")
+SUBSCRIPTS = ("₀₁₂₃₄₅₆₇₈₉ₓ", "0123456789x")
 GLOTTALS = "ʾʿʼʻ'‘’"
 HALF_BRACKETS = "˹⸢˺⸣"
 DETERMINATIVES = {
@@ -46,101 +47,112 @@ MONTHS = {"XIII": "13", "XII": "12", "XI": "11", "X": "10", "IX": "9", "VIII": "
 FRACTIONS = {"1/2": "½", "1/3": "⅓", "2/3": "⅔", "1/4": "¼", "3/4": "¾", "1/5": "⅕", "1/6": "⅙", "1/8": "⅛"}
 REMARKS = ("fem", "masc", "plur", "sing", "sic", "lit", "var", "obscure", "broken", "damaged", "illegible", "erased", "cf.", "i.e.", "viz.", "sc.")
 
-Rule = Callable[[str], str]
+Rule = Callable[[Column], Column]
 
 
-def _sub(pattern: str, to: str | Callable, flags: int = 0) -> Rule:
-    compiled = re.compile(pattern, flags)
-    return lambda s: compiled.sub(to, s)
+def _sub(pattern: str, to: str) -> Rule:
+    """Patterns are in Java's spelling: (?U) gives classes and word ends their meaning for all letters."""
+    return lambda c: F.regexp_replace(c, pattern, to)
 
 
 def _delete(chars: str) -> Rule:
-    table = str.maketrans("", "", chars)
-    return lambda s: s.translate(table)
+    return lambda c: F.translate(c, chars, "")
 
 
 def _swap(pairs: dict[str, str]) -> Rule:
-    def rule(s: str) -> str:
+    def rule(c: Column) -> Column:
         for a, b in pairs.items():
-            s = s.replace(a, b)
-        return s
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+
+    return rule
+
+
+def _all(*rules: Rule) -> Rule:
+    def rule(c: Column) -> Column:
+        for r in rules:
+            c = r(c)
+        return c
 
     return rule
 
 
-def _nfkc(s: str) -> str:
-    return s if s.isascii() else unicodedata.normalize("NFKC", s)
+def _where(has: str, rule: Rule) -> Rule:
+    """The rule for texts that hold what it needs; others are spared it."""
+    return lambda c: let(c, lambda x: F.when(F.contains(x, F.lit(has)), rule(x)).otherwise(x))
 
 
-_SIGN = {spelling: name for name, spellings in DETERMINATIVES.items() for spelling in spellings}
-_SPACES = _sub(r"\s+", " ")
+def _quoted(spellings) -> str:
+    return "|".join(r"\Q" + s + r"\E" for s in spellings)
 
-#: (id of the rule in the inventory, rule) in the order in which they run.
+
+_BARE = _sub(r"(?U)^\s+|\s+$", "")
+_SPACES = _sub(r"(?U)\s+", " ")
+_SIGNS = _all(*[_sub(r"(?iu)\{(?:%s)\}" % _quoted(spellings), "{%s}" % name) for name, spellings in DETERMINATIVES.items()])
+_VOWELS = _all(*[_sub(rf"(?U){v}{k}\b", accented) for v, two in ACCENTS.items() for k, accented in zip("23", two, strict=True)])
+_MONTHS = _all(*[_sub(rf"(?U)([Mm]onth\s+){roman}\b", "$1" + n) for roman, n in MONTHS.items()])
+
+#: (id of the rule in the inventory, rule) in the order in which they run, behind NFKC.
 SOURCE_RULES: list[tuple[str, Rule]] = [
-    ("N2", _nfkc),
-    ("N3", _swap({"Ḫ": "H", "ḫ": "h"})),
+    ("N3", lambda c: F.translate(c, "Ḫḫ", "Hh")),
     ("N4", _delete(GLOTTALS)),
-    ("N5", lambda s: s.translate(SUBSCRIPTS)),
-    ("N6", _sub(r"\{(%s)\}" % "|".join(map(re.escape, _SIGN)), lambda m: "{%s}" % _SIGN[m[1].lower()], re.I)),
-    ("N6", _sub(r"\bDINGIR\b", "{d}")),
-    ("N7", _sub(r"\{(?:large break|big gap)\}", "<big_gap>", re.I)),
-    ("N8", _sub(r"\[…\s*…\]|…", "<big_gap>")),
-    ("N9", _sub(r"\[(?:x\s*)+\]", "<gap>")),
+    ("N5", lambda c: F.translate(c, *SUBSCRIPTS)),
+    ("N6", _where("{", _SIGNS)),
+    ("N6", _sub(r"(?U)\bDINGIR\b", "{d}")),
+    ("N7", _sub(r"(?i)\{(?:large break|big gap)\}", "<big_gap>")),
+    ("N8", _sub(r"(?U)\[…\s*…\]|…", "<big_gap>")),
+    ("N9", _sub(r"(?U)\[(?:x\s*)+\]", "<gap>")),
     ("N9", _sub(r"\[\.{2,}\]", "<gap>")),
     ("N9", _sub(r"\.{3,}", "<gap>")),
-    ("N9", _sub(r"\[(?:broken|damaged|missing)\]", "<gap>", re.I)),
+    ("N9", _sub(r"(?i)\[(?:broken|damaged|missing)\]", "<gap>")),
     ("N10", _delete(HALF_BRACKETS)),
     ("N11", _sub(r"<<[^>]*>>", "")),
-    ("N12", _sub(r"\[([^\]]*)\]", r"\1")),
-    ("N13", _sub(r"<(?!gap>|big_gap>)([^>]*)>", r"\1")),
+    ("N12", _sub(r"\[([^\]]*)\]", "$1")),
+    ("N13", _sub(r"<(?!gap>|big_gap>)([^>]*)>", "$1")),
     ("N14", _delete("!?*#")),
     ("N15", _swap({"sz": "š", "SZ": "Š", "s,": "ṣ", "S,": "Ṣ", "t,": "ṭ", "T,": "Ṭ"})),
-    ("N16", _sub(r"([aeiuAEIU])([23])\b", lambda m: ACCENTS[m[1]][int(m[2]) - 2])),
-    ("N17", _sub(r"(<big_gap>\s*){2,}", "<big_gap> ")),
-    ("N17", _sub(r"(<gap>\s*){2,}", "<gap> ")),
-    ("N17", _sub(r"(<(?:big_)?gap>\s*){2,}", "<big_gap> ")),
+    ("N16", lambda c: let(c, lambda x: F.when(x.rlike("[aeiuAEIU][23]"), _VOWELS(x)).otherwise(x))),
+    ("N17", _sub(r"(?U)(?:<big_gap>\s*){2,}", "<big_gap> ")),
+    ("N17", _sub(r"(?U)(?:<gap>\s*){2,}", "<gap> ")),
+    ("N17", _sub(r"(?U)(?:<(?:big_)?gap>\s*){2,}", "<big_gap> ")),
     ("N18", _SPACES),
 ]
 TARGET_RULES: list[tuple[str, Rule]] = [
-    ("N19", _nfkc),
-    ("N20", _sub(r"\((?:%s)[^)]*\)" % "|".join(map(re.escape, REMARKS)), "", re.I)),
-    ("N21", _sub(r"\[([^\]]*)\]", r"\1")),
-    ("N21", _sub(r"<(?!gap>)([^>]*)>", r"\1")),
+    ("N20", _where("(", _sub(r"(?iu)\((?:%s)[^)]*\)" % _quoted(REMARKS), ""))),
+    ("N21", _sub(r"\[([^\]]*)\]", "$1")),
+    ("N21", _sub(r"<(?!gap>)([^>]*)>", "$1")),
     ("N21", _delete(HALF_BRACKETS)),
     ("N22", _sub(r"…", "<big_gap>")),
     ("N22", _sub(r"\.{3,}", "<gap>")),
-    ("N23", _sub(r"\b(?:broken|damaged)\b", "<gap>", re.I)),
-    ("N24", _swap(FRACTIONS)),
-    ("N25", _sub(r"([Mm]onth\s+)(%s)\b" % "|".join(MONTHS), lambda m: m[1] + MONTHS[m[2]])),
-    ("N26", _sub(r"(<gap>\s*){2,}", "<gap> ")),
+    ("N23", _sub(r"(?iuU)\b(?:broken|damaged)\b", "<gap>")),
+    ("N24", _where("/", _swap(FRACTIONS))),
+    ("N25", _where("onth", _MONTHS)),
+    ("N26", _sub(r"(?U)(?:<gap>\s*){2,}", "<gap> ")),
     ("N26", _SPACES),
 ]
 
 
-def apply_rules(text: str | None, rules: list[tuple[str, Rule]]) -> str:
-    """Null and blank texts give an empty one."""
-    if text is None or not text.strip():
-        return ""
-    for _, rule in rules:
-        text = rule(text)
-    return text.strip()
+@F.arrow_udf(T.StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return pa.array([t if t is None else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def _source(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(lambda s: apply_rules(s, SOURCE_RULES))
+def nfkc(text: Column) -> Column:
+    """ASCII texts aren't sent to Python."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
-@F.pandas_udf(T.StringType())
-def _target(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(lambda s: apply_rules(s, TARGET_RULES))
+def apply_rules(text: Column, rules: list[tuple[str, Rule]]) -> Column:
+    """Null and blank texts give an empty one."""
+    out = nfkc(text)
+    for _, rule in rules:
+        out = rule(out)
+    return F.when(text.rlike(r"(?U)\S"), _BARE(out)).otherwise("")
 
 
 def clean_source(text: Column) -> Column:
-    return _source(text)
+    return apply_rules(text, SOURCE_RULES)
 
 
 def clean_target(text: Column) -> Column:
-    return _target(text)
+    return apply_rules(text, TARGET_RULES)

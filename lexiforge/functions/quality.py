@@ -1,4 +1,4 @@
-"""Pair and text filters as Column predicates. The thresholds of the presets differ on purpose."""
+"""Pair and text filters as Column predicates. The thresholds of the presets are fixed values and differ on purpose."""
 
 from __future__ import annotations
 
@@ -29,9 +29,9 @@ def length_ok(src: Column, tgt: Column) -> Column:
 
 
 def gap_ratio(text: Column) -> Column:
-    """Q2: five characters count for each gap mark; an empty text is all gap."""
+    """Q2: five characters count for each gap mark; a null or empty text is all gap."""
     n = F.regexp_count(text, F.lit("<gap>|<big_gap>"))
-    return F.when(F.length(text) == 0, 1.0).otherwise(5 * n / F.greatest(F.length(text), F.lit(1)))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 1.0).otherwise(5 * n / F.greatest(F.length(text), F.lit(1)))
 
 
 def looks_english(text: Column) -> Column:
@@ -45,22 +45,23 @@ def looks_english(text: Column) -> Column:
 
 
 def repetitive(text: Column) -> Column:
-    """Q4: true for texts to drop."""
-    w = words(text)
-    return (F.length(text) >= 20) & (F.size(w) >= 4) & (F.size(F.array_distinct(w)) / F.size(w) < 0.2)
+    """Q4: true for texts to drop, words being the same in any case. Null texts aren't."""
+    w = words(F.lower(text))
+    return F.coalesce((F.length(text) >= 20) & (F.size(w) >= 4) & (F.try_divide(F.size(F.array_distinct(w)), F.size(w)) < 0.2), F.lit(False))
 
 
 def pair_by_chars(src: Column, tgt: Column) -> Column:
-    """Q5."""
+    """Q5: false for null and empty sides."""
     s, t = F.length(src), F.length(tgt)
-    return (s >= 5) & (t >= 5) & (s / t).between(0.1, 8.0)
+    return F.coalesce((s >= 5) & (t >= 5) & F.try_divide(s, t).between(0.1, 8.0), F.lit(False))
 
 
 def pair_by_words(src: Column, tgt: Column) -> Column:
-    """Q6: only ``<gap>`` counts, in any case."""
+    """Q6: only ``<gap>`` counts, in any case. False for null and blank sides."""
     s, t = F.size(words(src)), F.size(words(tgt))
     gaps = F.regexp_count(src, F.lit("(?i)<gap>"))
-    return (F.length(src) >= 5) & (F.length(tgt) >= 5) & (s / t).between(0.1, 8.0) & (gaps / F.greatest(s, F.lit(1)) <= 0.7)
+    ok = (F.length(src) >= 5) & (F.length(tgt) >= 5) & F.try_divide(s, t).between(0.1, 8.0) & (gaps / F.greatest(s, F.lit(1)) <= 0.7)
+    return F.coalesce(ok, F.lit(False))
 
 
 def reply_pair(src: Column, tgt: Column) -> Column:

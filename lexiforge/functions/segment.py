@@ -34,12 +34,17 @@ def english_clauses(text: Column) -> Column:
 
 
 def source_clauses(text: Column) -> Column:
-    """Before the words that open a clause."""
-    return _parts(F.split(text, rf"(?iu)(?=\b(?:{'|'.join(OPENERS)})\b)"))
+    """Before the words that open a clause, white space being single blanks."""
+    flat = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
+    return _parts(F.split(flat, rf"(?iuU)(?=\b(?:{'|'.join(OPENERS)})\b)"))
 
 
 def proportional_counts(n: Column, weights: Column) -> Column:
-    """A4: n words by weight, one each at least, rounded half to even, then the first largest cut or first least raised."""
+    """A4: n words by weight, one each at least, rounded half to even.
+
+    Too many words are taken back from the first largest count while one is over 1; missing ones go to the first least.
+    So with fewer words than weights all counts are 1, and the last ones have no words left.
+    """
     total = lambda w: F.greatest(F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
     share = lambda w, t: F.transform(w, lambda x: F.greatest(F.lit(1), F.bround(n * x / t, 0).cast("int")))
 
@@ -48,7 +53,7 @@ def proportional_counts(n: Column, weights: Column) -> Column:
 
     def move(counts: Column, diff: Column) -> Column:
         steps = F.when(diff == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.abs(diff).cast("int")))
-        edge = lambda c: F.array_position(c, F.when(diff > 0, F.array_max(c)).otherwise(F.array_min(c)))
+        edge = lambda c: F.when((diff > 0) & (F.array_max(c) <= 1), F.lit(0).cast("long")).otherwise(F.array_position(c, F.when(diff > 0, F.array_max(c)).otherwise(F.array_min(c))))
         by = F.when(diff > 0, -1).otherwise(1)
         one = lambda c, _: let(edge(c), lambda at: F.transform(c, lambda x, i: F.when(i + 1 == at, x + by).otherwise(x)))
         return F.aggregate(steps, counts, one)
@@ -65,18 +70,23 @@ def slices(tokens: Column, counts: Column) -> Column:
 
 
 def proportional_segments(src: Column, tgt: Column) -> Column:
-    """A4: array<struct<src, tgt>> of a document's words shared out over its sentences by their characters."""
+    """A4: array<struct<src, tgt>> of a document's words shared out over its sentences by their characters.
+
+    Segments without words are left out. A blank side gives none.
+    """
     def many(tokens: Column, parts: Column) -> Column:
-        counts = proportional_counts(F.size(tokens), F.transform(parts, lambda p: F.length(p).cast("long")))
-        return F.arrays_zip(slices(tokens, counts).alias("src"), parts.alias("tgt"))
+        counts = proportional_counts(F.size(tokens), F.transform(parts, lambda p: F.greatest(F.length(p), F.lit(1)).cast("long")))
+        return F.filter(F.arrays_zip(slices(tokens, counts).alias("src"), parts.alias("tgt")), lambda x: x["src"] != "")
 
-    one = F.array(F.struct(src.alias("src"), tgt.alias("tgt")))
-    choose = lambda t, p: F.when((F.size(p) > 1) & (F.size(t) > 0), many(t, p)).otherwise(one)
-    return let(words(src), lambda t: let(sentences(tgt), lambda p: choose(t, p)))
+    none = F.array().cast("array<struct<src:string,tgt:string>>")
+    one = lambda t, p: F.array(F.struct(F.array_join(t, " ").alias("src"), p[0].alias("tgt")))
+    choose = lambda t, p: F.when((F.size(t) == 0) | (F.size(p) == 0), none).when(F.size(p) > 1, many(t, p)).otherwise(one(t, p))
+    made = let(words(src), lambda t: let(sentences(tgt), lambda p: choose(t, p)))
+    return F.when(src.isNull() | tgt.isNull(), none).otherwise(made)
 
 
 def word_share_segments(src: Column, parts: Column) -> Column:
-    """Words by the parts' word counts, the last part taking the rest; empty runs are dropped."""
+    """Words by the parts' word counts, rounded half to even, the last part taking the rest; empty runs are dropped."""
     def share(tokens: Column, sizes: Column) -> Column:
         n = F.size(tokens)
         total = F.greatest(F.aggregate(sizes, F.lit(0), lambda a, x: a + x), F.lit(1))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexiforge.functions.quality import words
+from lexiforge.functions.quality import pair_by_words, words
 from lexiforge.functions.segment import english_clauses, proportional_segments, source_clauses, word_share_segments
+from lexiforge.operators.select import first_per
 
 # Formulas that stand on both sides of a translation, in the order in which they are tried.
 ANCHORS = (
@@ -44,11 +45,40 @@ def sentence_slices(docs: DataFrame, sents: DataFrame) -> DataFrame:
 
 
 def with_fallback(docs: DataFrame, sliced: DataFrame) -> DataFrame:
-    """documents(doc_id, src, tgt) without a sliced row are shared out by characters; a column says which way."""
-    rest = docs.join(sliced, "doc_id", "left_anti")
+    """documents(doc_id, src, tgt) without a sliced row are shared out by characters; a column says which way.
+
+    Documents with a blank side have no rows.
+    """
+    some = docs.filter(_said("src") & _said("tgt"))
+    rest = some.join(sliced, "doc_id", "left_anti")
     shared = rest.select("doc_id", F.posexplode(proportional_segments(F.col("src"), F.col("tgt"))).alias("ord", "x"))
     shared = shared.select("doc_id", F.col("ord").cast("int").alias("ord"), "x.src", "x.tgt", F.lit("proportional").alias("method"))
-    return sliced.select("doc_id", F.col("ord").cast("int").alias("ord"), "src", "tgt", F.lit("sentences").alias("method")).unionByName(shared)
+    kept = sliced.join(some.select("doc_id"), "doc_id", "left_semi")
+    return kept.select("doc_id", F.col("ord").cast("int").alias("ord"), "src", "tgt", F.lit("sentences").alias("method")).unionByName(shared)
+
+
+def _said(column: str):
+    return F.coalesce(F.col(column).rlike(r"(?U)\S"), F.lit(False))
+
+
+def method_counts(docs: DataFrame, aligned: DataFrame) -> DataFrame:
+    """AG8: (method, documents, pairs) of with_fallback's rows; ``skipped`` are the documents without any."""
+    of = aligned.groupBy("doc_id", "method").agg(F.count("*").alias("pairs"))
+    every = docs.select("doc_id").distinct().join(of, "doc_id", "left").select(F.coalesce("method", F.lit("skipped")).alias("method"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
+    return every.groupBy("method").agg(F.count("*").alias("documents"), F.sum("pairs").alias("pairs"))
+
+
+def merge_pairs(existing: DataFrame, new: DataFrame, keys: tuple[str, str] = ("src", "tgt")) -> DataFrame:
+    """The existing pairs that aren't among the new ones, and the new ones; blank sides are left out."""
+    kept = existing.select(*keys).join(new.select(*keys), list(keys), "left_anti")
+    return kept.unionByName(new.select(*keys)).filter(_said(keys[0]) & _said(keys[1]))
+
+
+def gate_pairs(pairs: DataFrame, *order, keys: tuple[str, str] = ("src", "tgt")) -> DataFrame:
+    """Each stripped pair that passes Q6, once, at its first place in the order."""
+    bare = [F.regexp_replace(k, r"(?U)^\s+|\s+$", "").alias(k) for k in keys]
+    rows = pairs.select(*[c for c in pairs.columns if c not in keys], *bare).filter(pair_by_words(F.col(keys[0]), F.col(keys[1])))
+    return first_per(rows, list(keys), *order)
 
 
 def find_anchors(text: str, side: int) -> list[tuple[int, str]]:
@@ -79,20 +109,28 @@ def _anchored(src: pd.Series, tgt: pd.Series) -> pd.Series:
 
 
 def align_documents(docs: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
-    """A10: anchors; one sentence; as many clauses on either side; else words by share. Adds ``pairs`` and ``how``."""
-    d = docs.withColumn("_a", _anchored(F.col(src), F.col(tgt))).withColumn("_e", english_clauses(F.col(tgt))).withColumn("_s", source_clauses(F.col(src)))
-    one = F.array(F.struct(F.trim(src).alias("src"), F.trim(tgt).alias("tgt")))
+    """A10: anchors; one sentence; as many clauses, two at least, on either side; else words by share. Adds ``pairs`` and ``how``.
+
+    A blank side gives no pairs and ``none``. Any pair of anchors is enough. Columns of docs called pairs or how are replaced.
+    """
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    s, t = F.col("_src"), F.col("_tgt")
+    kept = [c for c in docs.columns if c not in ("pairs", "how")]
+    d = docs.select(*kept, F.coalesce(bare(F.col(src)), F.lit("")).alias("_src"), F.coalesce(bare(F.col(tgt)), F.lit("")).alias("_tgt"))
+    d = d.select("*", _anchored(s, t).alias("_a"), english_clauses(t).alias("_e"), source_clauses(s).alias("_s"))
+    one = F.array(F.struct(s.alias("src"), t.alias("tgt")))
     same = F.arrays_zip(F.col("_s").alias("src"), F.col("_e").alias("tgt"))
     cases = [
-        ("anchors", F.size("_a") > 1, F.col("_a")),
+        ("none", (s == "") | (t == ""), F.array().cast(PAIRS)),
+        ("anchors", F.size("_a") > 0, F.col("_a")),
         ("single", F.size("_e") <= 1, one),
         ("zip", F.size("_e") == F.size("_s"), same),
-        ("share", F.lit(True), word_share_segments(F.col(src), F.col("_e"))),
+        ("share", F.lit(True), word_share_segments(s, F.col("_e"))),
     ]
     pairs, how = F.lit(None), F.lit(None)
     for name, when, value in reversed(cases):
         pairs, how = F.when(when, value).otherwise(pairs), F.when(when, F.lit(name)).otherwise(how)
-    return d.withColumn("pairs", pairs).withColumn("how", how).drop("_a", "_e", "_s")
+    return d.select(*kept, pairs.alias("pairs"), how.alias("how"))
 
 
 def parse_reply(reply: Column) -> Column:
@@ -110,16 +148,20 @@ PROMPT = "Align the source with its translation, sentence by sentence. Answer wi
 
 
 def ask(docs: DataFrame, call: Callable[[str], str], limit: int = 3000) -> DataFrame:
-    """A11, IO14: docs(doc_id, src, tgt) -> (doc_id, response). call runs on the executors, once per document; its failures give null."""
+    """A11, IO14: docs(doc_id, src, tgt) -> (doc_id, response, error). call runs on the executors, once per document.
+
+    A call that fails gives no response and its error's text, so that the caller can tell and ask again.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(src: str, tgt: str) -> str | None:
+        def one(src: str, tgt: str) -> tuple[str | None, str | None]:
             try:
-                return call(PROMPT.format(src=(src or "")[:limit], tgt=(tgt or "")[:limit]))
-            except Exception:
-                return None
+                return call(PROMPT.format(src=(src or "")[:limit], tgt=(tgt or "")[:limit])), None
+            except Exception as e:  # the service's own errors, of any kind
+                return None, f"{type(e).__name__}: {e}"
 
         for part in parts:
-            yield pd.DataFrame({"doc_id": part["doc_id"], "response": [one(a, b) for a, b in zip(part["src"], part["tgt"], strict=True)]})
+            got = [one(a, b) for a, b in zip(part["src"], part["tgt"], strict=True)]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "response": [r for r, _ in got], "error": [e for _, e in got]})
 
-    return docs.select("doc_id", "src", "tgt").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, response string")
+    return docs.select("doc_id", "src", "tgt").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, response string, error string")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexiforge.functions.normalize import clean_source, clean_target
+from lexiforge.operators.decode import translate
+from lexiforge.operators.select import keyed_hash, ranked
 
 # Bilingual formulas with slots, and what fills the slots that aren't names.
 TEMPLATES = (
@@ -36,8 +37,8 @@ def template_pairs(spark: SparkSession, names: DataFrame, n: int = 100, seed: in
         return spark.createDataFrame([], "transliteration string, translation string")
     rows = spark.createDataFrame([(t, a, b) for t, (a, b) in enumerate(TEMPLATES)], "t int, src string, tgt string")
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draw = lambda what, m: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "t", "i"), F.lit(m)).cast("int")
-    numbered = names.select((F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "form"), "form")) - 1).cast("int").alias("no"), "form", "normalized")
+    draw = lambda what, m: F.pmod(keyed_hash(F.lit(what), "t", "i", seed=seed), F.lit(m)).cast("int")
+    numbered = ranked(names, keyed_hash("form", seed=seed), "form", "normalized").select((F.col("_rank") - 1).cast("int").alias("no"), "form", "normalized")
     used = min(DRAWN, total)
     # Neighbours in keyed order, so that the drawn names differ.
     picks = rows.select("t", "i", F.explode(F.sequence(F.lit(0), F.lit(used - 1))).alias("k")).withColumn("no", F.pmod(draw("name", total) + F.col("k"), F.lit(total)))
@@ -55,29 +56,40 @@ def template_pairs(spark: SparkSession, names: DataFrame, n: int = 100, seed: in
     return made.select(clean_source(F.col("src")).alias("transliteration"), clean_target(F.col("tgt")).alias("translation"))
 
 
-def span_corruption(rows: DataFrame, tokens: str = "tokens", share: float = 0.15, first_sentinel: int = 259, end: int = 1, seed: int = 42) -> DataFrame:
-    """Adds input_ids and label_ids: about that share of the places is masked, by a keyed hash of text and place.
+def pseudo_labels(texts: DataFrame, load, order: str, text: str = "transliteration", most: int = 5000, least: int = 5, batch: int = 16) -> DataFrame:
+    """(order, transliteration, translation, source) of the first ``most`` texts in the order, translated by load's function.
 
-    Neighbouring masked places share a sentinel, counted upwards from first_sentinel. Rows of under five tokens are dropped.
+    Translations of ``least`` characters or fewer are dropped, the others cleaned. Null texts don't count.
     """
-    masked = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col(tokens), i), F.lit(10_000)) < int(share * 10_000)
-    t = F.transform(F.col(tokens), lambda x, i: F.struct(x.cast("int").alias("id"), masked(i).alias("m")))
-    empty = F.array().cast("array<int>")
-    zero = F.struct(F.lit(False).alias("was"), F.lit(0).alias("k"), empty.alias("a"), empty.alias("b"))
+    some = texts.filter(F.col(text).isNotNull()).orderBy(order).limit(most).select(order, text)
+    made = translate(some, load, text, order, batch)
+    rows = some.join(made, order).filter(F.length("prediction") > least)
+    return rows.select(order, F.col(text).alias("transliteration"), clean_target(F.col("prediction")).alias("translation"), F.lit("pseudo_label").alias("source"))
+
 
-    def add(s, x):
-        opens = x["m"] & ~s["was"]
-        mark = F.when(opens, F.array(s["k"] + first_sentinel)).otherwise(empty)
-        a = F.concat(s["a"], F.when(x["m"], mark).otherwise(F.array(x["id"])))
-        b = F.concat(s["b"], mark, F.when(x["m"], F.array(x["id"])).otherwise(empty))
-        return F.struct(x["m"].alias("was"), (s["k"] + opens.cast("int")).alias("k"), a.alias("a"), b.alias("b"))
+def span_corruption(rows: DataFrame, tokens: str = "tokens", share: float = 0.15, first_sentinel: int = 259, end: int = 1, seed: int = 42) -> DataFrame:
+    """Adds input_ids and label_ids: about that share of the places is masked, by a keyed hash of tokens and place.
 
-    made = rows.filter(F.size(tokens) >= 5).withColumn("_s", F.aggregate(t, zero, add))
-    return made.withColumn("input_ids", F.concat(F.col("_s.a"), F.array(F.lit(end)))).withColumn("label_ids", F.concat(F.col("_s.b"), F.array(F.lit(end)))).drop("_s")
+    Neighbouring masked places share a sentinel, counted upwards from first_sentinel. Rows of under five tokens are
+    dropped. Spans are told by the places where a mask begins, so long lists take linear time.
+    """
+    key = F.md5(F.array_join(F.col(tokens).cast("array<string>"), " "))
+    hit = lambda k, i: F.pmod(keyed_hash(k, i.cast("string"), seed=seed), F.lit(10_000)) < int(share * 10_000)
+    made = rows.filter(F.size(tokens) >= 5).withColumn("_k", key)
+    made = made.withColumn("_m", F.transform(F.col(tokens), lambda x, i: hit(F.col("_k"), i)))
+    opens = lambda i: F.get(F.col("_m"), i) & ~F.coalesce(F.get(F.col("_m"), i - 1), F.lit(False))
+    made = made.withColumn("_o", F.filter(F.transform(F.col(tokens), lambda x, i: F.when(opens(i), i)), lambda i: i.isNotNull()))
+    mark = lambda i: (F.array_position(F.col("_o"), i) - 1 + first_sentinel).cast("int")
+    empty = F.array().cast("array<int>")
+    a = F.transform(F.col(tokens), lambda x, i: F.when(~F.get(F.col("_m"), i), F.array(x.cast("int"))).when(opens(i), F.array(mark(i))).otherwise(empty))
+    b = F.transform(F.col(tokens), lambda x, i: F.when(opens(i), F.array(mark(i), x.cast("int"))).when(F.get(F.col("_m"), i), F.array(x.cast("int"))).otherwise(empty))
+    stop = F.array(F.lit(end))
+    made = made.withColumn("input_ids", F.concat(F.flatten(a), stop)).withColumn("label_ids", F.concat(F.flatten(b), stop))
+    return made.drop("_k", "_m", "_o")
 
 
-def byte_ids(text) -> object:
-    """UTF-8 bytes plus 3."""
-    hex_ = F.hex(F.encode(text, "UTF-8"))
-    places = F.when(F.length(hex_) > 0, F.sequence(F.lit(0), F.length(hex_) / 2 - 1)).otherwise(F.array().cast("array<double>"))
-    return F.transform(places, lambda i: F.conv(F.substring(hex_, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + 3)
+def byte_ids(text: Column) -> Column:
+    """UTF-8 bytes plus 3; null gives none."""
+    hex_ = F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
+    pairs = F.regexp_extract_all(hex_, F.lit("[0-9A-F]{2}"), F.lit(0))
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int") + 3)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiforge.functions.metrics import sentence_geo
+from lexiforge.functions.metrics import Grams
 
 
 def translate(rows: DataFrame, load: Callable[[], Callable[[list[str]], list]], text: str, key: str, batch: int = 16, many: bool = False) -> DataFrame:
@@ -45,7 +45,8 @@ def select_candidate(cands: list[str], keep_blank: bool = False) -> str:
         cands = [c for c in cands if c.strip()]
     if len(cands) < 2:
         return cands[0] if cands else ""
-    scores = [sum(sentence_geo(a, b) for j, b in enumerate(cands) if j != i) / (len(cands) - 1) for i, a in enumerate(cands)]
+    grams = [Grams(c) for c in cands]  # each candidate is counted once
+    scores = [sum(a.score(b) for j, b in enumerate(grams) if j != i) / (len(cands) - 1) for i, a in enumerate(grams)]
     return cands[scores.index(max(scores))]
 
 
@@ -61,6 +62,19 @@ def mbr(rows: DataFrame, key: str, order: str, text: str, most: int | None = Non
     return lists.select(key, F.size("c").alias("n_candidates"), pick(F.col(f"c.{text}")).alias("selected"))
 
 
+def sweep(rows: DataFrame, key: str, order: str, text: str, sizes: list[int], keep_blank: bool = False) -> DataFrame:
+    """mbr's choice from the first k candidates for each k of sizes, from one pool: (key, pool, n_candidates, selected)."""
+    at = F.explode(F.array(*[F.lit(k) for k in sizes])).alias("pool")
+    some = rows.select(key, order, text, at).filter(F.col(order) < F.col("pool"))
+    lists = some.groupBy(key, "pool").agg(F.sort_array(F.collect_list(F.struct(order, text))).alias("c"))
+
+    @F.pandas_udf("string")
+    def pick(c: pd.Series) -> pd.Series:
+        return c.map(lambda x: select_candidate(list(x), keep_blank))
+
+    return lists.select(key, "pool", F.size("c").alias("n_candidates"), pick(F.col(f"c.{text}")).alias("selected"))
+
+
 def vocabulary(rows: DataFrame, text: str) -> DataFrame:
     """AG10: (char, id), ids from 4 by code point; 0 to 3 are pad, start, end and unknown."""
     chars = rows.select(F.explode(F.split(text, "")).alias("char")).filter("char <> ''").distinct()

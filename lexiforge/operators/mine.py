@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from lexiforge.functions.normalize import clean_source, clean_target
 from lexiforge.operators.select import first_per
 
-# Words that head a translation on a page, and words that head what follows it.
-HEADERS = "Translation|Translat(?:ion)?|English|Übersetzung|Traduction"
+# Words that head a translation on a page, words that head what follows it, the two forms of a reference,
+# and the numbers ahead of a definition.
+HEADERS = "Translation|Translat|English|Übersetzung|Traduction"
 AFTER = "Commentary|Notes?|Transliteration|Bibliography|References|Discussion|Analysis|Tablet|Text|Obverse|Reverse"
+SERIES = r"\b([A-Z]{2,6})\s+(\d{1,3})\s*[,.]?\s*(\d{1,4}[a-z]?)\b"
+KT = r"(?i)\b(Kt\s+[a-z]/[a-z]\s+\d+[a-z]?)\b"
+NUMBER, NUMERAL, LEMMA_NUMERAL = r"^\d+\.?\s*", r"^[IVX]+\.?\s*", r"\s+[IVX]+$"
 
 
 def references(page: Column) -> Column:
     """Distinct references of a page, upper case: ``ABBREV n n[a-z]`` and ``Kt x/y n``."""
-    pattern = r"\b([A-Z]{2,6})\s+(\d{1,3})\s*[,.]?\s*(\d{1,4}[a-z]?)\b"
-    group = lambda k: F.regexp_extract_all(page, F.lit(pattern), F.lit(k))
+    group = lambda k: F.regexp_extract_all(page, F.lit(SERIES), F.lit(k))
     series = F.transform(F.arrays_zip(group(1).alias("a"), group(2).alias("b"), group(3).alias("c")), lambda x: F.upper(F.concat_ws(" ", x["a"], x["b"], x["c"])))
-    kt = F.transform(F.regexp_extract_all(page, F.lit(r"(?i)\b(Kt\s+[a-z]/[a-z]\s+\d+[a-z]?)\b"), F.lit(1)), lambda x: F.upper(F.trim(x)))
+    kt = F.transform(F.regexp_extract_all(page, F.lit(KT), F.lit(1)), lambda x: F.upper(F.trim(x)))
     return F.array_distinct(F.concat(series, kt))
 
 
@@ -40,7 +43,12 @@ def identifier_index(texts: DataFrame) -> DataFrame:
 
 
 def page_pairs(pages: DataFrame, texts: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
-    """pages(page_seq, pdf_name, page_text), texts(seq, ...) -> pairs with their page's source and reference."""
+    """pages(page_seq, pdf_name, page_text, has_akkadian), texts(seq, ...) -> pairs with their page's source and reference.
+
+    Only flagged pages are mined, where there is a flag.
+    """
+    if "has_akkadian" in pages.columns:
+        pages = pages.filter("has_akkadian")
     p = pages.filter(F.length("page_text") >= 50).select("page_seq", "pdf_name", references(F.col("page_text")).alias("refs"), translation_block(F.col("page_text")).alias("block"))
     p = p.filter(F.length("block") > 0).select("page_seq", "pdf_name", "block", F.explode("refs").alias("reference"))
     first = first_per(texts.select("seq", "oare_id", "transliteration"), ["oare_id"], F.col("seq")).drop("seq")
@@ -68,14 +76,14 @@ def gloss(definition: Column) -> Column:
     """L1: the first three quoted senses, or what stands before ``;`` or ``(`` without its leading number."""
     quoted = F.filter(F.transform(F.regexp_extract_all(definition, F.lit('"([^"]+)"'), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
     plain = F.trim(F.split(F.trim(definition), "[;(]", 2)[0])
-    plain = F.regexp_replace(F.regexp_replace(plain, r"^\d+\.?\s*", ""), r"^[IVX]+\.?\s*", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, NUMBER, ""), NUMERAL, "")
     plain = F.trim(F.regexp_replace(plain, '^[" ]+|[" ]+$', ""))
     return F.coalesce(F.when(F.size(quoted) > 0, F.array_join(F.slice(quoted, 1, 3), "; ")).otherwise(plain), F.lit(""))
 
 
 def dictionary_glosses(dictionary: DataFrame) -> DataFrame:
     """L2: dictionary(seq, word, definition) -> (lemma, gloss), numerals behind a word dropped, the first entry wins."""
-    d = dictionary.select("seq", F.trim(F.regexp_replace("word", r"\s+[IVX]+$", "")).alias("lemma"), gloss(F.col("definition")).alias("gloss"))
+    d = dictionary.select("seq", F.trim(F.regexp_replace("word", LEMMA_NUMERAL, "")).alias("lemma"), gloss(F.col("definition")).alias("gloss"))
     return first_per(d.filter((F.length("lemma") > 0) & (F.length("gloss") > 0)), ["lemma"], F.col("seq")).drop("seq")
 
 
@@ -98,3 +106,8 @@ def proper_nouns(lexicon: DataFrame) -> DataFrame:
     """(form, normalized, type) of names, by cleaned form, the last wins. A missing norm falls back to the form."""
     n = lexicon.filter(F.col("type").isin("PN", "GN")).select("seq", clean_source(F.col("form")).alias("form"), F.coalesce(F.nullif(F.trim("norm"), F.lit("")), F.col("lexeme"), F.col("form")).alias("normalized"), "type")
     return n.filter(F.length("form") > 0).groupBy("form").agg(F.max_by(F.struct("normalized", "type"), "seq").alias("x")).select("form", "x.normalized", "x.type")
+
+
+def names_for_templates(lookup: DataFrame) -> DataFrame:
+    """(form, normalized) of the persons among proper_nouns' rows, neither side empty."""
+    return lookup.filter((F.col("type") == "PN") & (F.length("form") > 0) & (F.length("normalized") > 0)).select("form", "normalized")

@@ -45,16 +45,34 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(n)
 
 
-def exact_split(df: DataFrame, key: str, share: float = 0.9, seed: int = 42) -> DataFrame:
-    """R2: train gets floor(share * n) rows by keyed order. Ranks come from range sizes, not from one task's sort."""
-    h = df.withColumn("_h", F.xxhash64(F.lit(seed), key))
-    ranged = h.repartitionByRange("_h", key).withColumn("_p", F.spark_partition_id()).persist()
-    sizes = ranged.groupBy("_p").count()
+#: Parts of equal width that keyed hashes of 60 bits are ranked in.
+PARTS = 4096
+
+
+def keyed_hash(*columns, seed: int = 42) -> Column:
+    """60 bits of md5 of the seed and the columns, as any engine works it out."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) if isinstance(c, str) else c for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def ranked(df: DataFrame, keyed: Column, *ties: str) -> DataFrame:
+    """df with ``_rank`` from 1 by a keyed hash and ``_all``, the number of rows.
+
+    Hashes are even, so parts of equal width are too: each part is sorted on its own, and only the sizes of PARTS parts meet in
+    one task.
+    """
+    rows = df.withColumn("_h", keyed).withColumn("_p", F.shiftright("_h", 48))
+    sizes = rows.groupBy("_p").count()  # PARTS rows at most
     ahead = F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("_p", ahead.alias("_ahead"), F.sum("count").over(Window.partitionBy()).alias("_all"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)) + F.col("_ahead")
-    out = ranged.join(F.broadcast(sizes), "_p").withColumn("_r", rank)  # a row per partition
-    return out.withColumn("split", F.when(F.col("_r") <= F.floor(F.lit(share) * F.col("_all")), "train").otherwise("val")).drop("_h", "_p", "_ahead", "_all", "_r")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_h", *ties))
+    return rows.join(F.broadcast(sizes), "_p").withColumn("_rank", place + F.col("_ahead")).drop("_h", "_p", "_ahead")
+
+
+def exact_split(df: DataFrame, key: str, share: float = 0.9, seed: int = 42) -> DataFrame:
+    """R2: train gets floor(share * n) rows by keyed order."""
+    out = ranked(df, keyed_hash(key, seed=seed), key)
+    return out.withColumn("split", F.when(F.col("_rank") <= F.floor(F.lit(share) * F.col("_all")), "train").otherwise("val")).drop("_rank", "_all")
 
 
 def tagged_union(parts: dict[str, DataFrame]) -> DataFrame:
@@ -68,6 +86,18 @@ def synthetic_cap(n_base: int, templates: int = 0, share: float = 0.3) -> int:
     return max(0, int(n_base / (1 - share) * share) - templates)
 
 
+def capped(rows: DataFrame, cap: int, key: str, seed: int = 42) -> DataFrame:
+    """So many rows at most, those with the smallest keyed hashes."""
+    return ranked(rows, keyed_hash(key, seed=seed), key).filter(F.col("_rank") <= cap).drop("_rank", "_all")
+
+
+def monolingual_pool(published: DataFrame | None, *train: DataFrame | None, text: str = "transliteration") -> DataFrame | None:
+    """(text) of the published texts and of the first train table that is there, each text once; None if there is neither."""
+    parts = [published, next((t for t in train if t is not None), None)]
+    some = [p.select(F.col(text).alias("text")).filter("text is not null") for p in parts if p is not None]
+    return reduce(lambda a, b: a.unionByName(b), some).distinct() if some else None
+
+
 def pipeline_union(parts: dict[str, DataFrame], src: str = "src", tgt: str = "tgt") -> DataFrame:
     """The union without empty sides, each pair once, from the earliest source that has it."""
     rows = tagged_union(parts).filter((F.length(src) > 0) & (F.length(tgt) > 0))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lexiforge.functions import metrics, normalize, quality, segment
 from lexiforge.operators import align, augment, decode, mine, select
-from lexiforge.plans.registry import query, table
+from lexiforge.plans.registry import inline, inline_sql, query, table
 
 PAIRS_SQL = """
 pairs AS (
@@ -20,10 +20,62 @@ Q1_SQL = "length(src) BETWEEN 5 AND 2000 AND length(tgt) BETWEEN 5 AND 1000 AND
 MARKED_SQL = " OR ".join(f"contains(lower({{0}}), '{m}')" for m in quality.ENGLISH)
 Q3_SQL = "(length({0}) >= 5 AND length(regexp_replace({0}, '[^A-Za-z]', '', 'g'))::DOUBLE / length({0}) >= 0.3 AND (length({0}) < 30 OR " + MARKED_SQL + "))"
 WORDS_SQL = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')"
-Q4_SQL = f"(length({{0}}) >= 20 AND len({WORDS_SQL}) >= 4 AND len(list_distinct({WORDS_SQL}))::DOUBLE / len({WORDS_SQL}) < 0.2)"
+LOWER_WORDS_SQL = WORDS_SQL.format("lower({0})")
+Q4_SQL = f"(length({{0}}) >= 20 AND len({WORDS_SQL}) >= 4 AND len(list_distinct({LOWER_WORDS_SQL}))::DOUBLE / len({WORDS_SQL}) < 0.2)"
+Q5_SQL = "(length(src) >= 5 AND length(tgt) >= 5 AND length(src)::DOUBLE / length(tgt) BETWEEN 0.1 AND 8.0)"
+Q6_SQL = f"""(length(src) >= 5 AND length(tgt) >= 5 AND coalesce(len({WORDS_SQL.format('src')})::DOUBLE / nullif(len({WORDS_SQL.format('tgt')}), 0) BETWEEN 0.1 AND 8.0, false)
+  AND len(regexp_extract_all(src, '(?i)<gap>'))::DOUBLE / greatest(len({WORDS_SQL.format('src')}), 1) <= 0.7)"""
 BUCKET_SQL = "(('0x' || substr(md5({0}::VARCHAR), 1, 8))::BIGINT % 10)"
 
 
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _regex_sql(x: str, *rules: tuple[str, str]) -> str:
+    for pattern, to in rules:
+        x = f"regexp_replace({x}, {_quote(pattern)}, {_quote(to)}, 'g')"
+    return x
+
+
+def _replace_sql(x: str, pairs: dict[str, str]) -> str:
+    for a, b in pairs.items():
+        x = f"replace({x}, {_quote(a)}, {_quote(b)})"
+    return x
+
+
+def _spelt(words) -> str:
+    return "|".join(w.replace(".", "\\.") for w in words)
+
+
+def source_sql(text: str) -> str:
+    """N1 to N18 in SQL's regular expressions, for texts in NFKC; gap marks are put by while other marks are unwrapped."""
+    n = normalize
+    x = f"translate({text}, 'Ḫḫ', 'Hh')"
+    x = f"translate(translate({x}, {_quote(n.GLOTTALS)}, ''), {_quote(n.SUBSCRIPTS[0])}, {_quote(n.SUBSCRIPTS[1])})"
+    x = _regex_sql(x, *[(r"(?i)\{(?:" + _spelt(v) + r")\}", "{" + k + "}") for k, v in n.DETERMINATIVES.items()], (r"\bDINGIR\b", "{d}"))
+    x = _regex_sql(x, (r"(?i)\{(?:large break|big gap)\}", "<big_gap>"), (r"\[…\s*…\]|…", "<big_gap>"), (r"\[(?:x\s*)+\]", "<gap>"), (r"\[\.{2,}\]", "<gap>"), (r"\.{3,}", "<gap>"), (r"(?i)\[(?:broken|damaged|missing)\]", "<gap>"))
+    x = _regex_sql(f"translate({x}, {_quote(n.HALF_BRACKETS)}, '')", ("<<[^>]*>>", ""), (r"\[([^\]]*)\]", r"\1"))
+    x = _regex_sql(f"replace(replace({x}, '<gap>', chr(2)), '<big_gap>', chr(3))", ("<([^>]*)>", r"\1"))
+    x = f"translate(replace(replace({x}, chr(2), '<gap>'), chr(3), '<big_gap>'), '!?*#', '')"
+    x = _replace_sql(x, {"sz": "š", "SZ": "Š", "s,": "ṣ", "S,": "Ṣ", "t,": "ṭ", "T,": "Ṭ"})
+    x = _regex_sql(x, *[(rf"{v}{k}\b", a) for v, two in n.ACCENTS.items() for k, a in zip("23", two, strict=True)])
+    x = _regex_sql(x, (r"(?:<big_gap>\s*){2,}", "<big_gap> "), (r"(?:<gap>\s*){2,}", "<gap> "), (r"(?:<(?:big_)?gap>\s*){2,}", "<big_gap> "), (r"\s+", " "))
+    return f"trim({x})"
+
+
+def target_sql(text: str) -> str:
+    """N19 to N26, likewise."""
+    n = normalize
+    x = _regex_sql(text, (r"(?i)\((?:" + _spelt(n.REMARKS) + r")[^)]*\)", ""), (r"\[([^\]]*)\]", r"\1"))
+    x = _regex_sql(f"replace({x}, '<gap>', chr(2))", ("<([^>]*)>", r"\1"))
+    x = f"translate(replace({x}, chr(2), '<gap>'), {_quote(n.HALF_BRACKETS)}, '')"
+    x = _regex_sql(x, ("…", "<big_gap>"), (r"\.{3,}", "<gap>"), (r"(?i)\b(?:broken|damaged)\b", "<gap>"))
+    x = _replace_sql(x, n.FRACTIONS)
+    x = _regex_sql(x, *[(rf"([Mm]onth\s+){k}\b", r"\1" + v) for k, v in n.MONTHS.items()], (r"(?:<gap>\s*){2,}", "<gap> "), (r"\s+", " "))
+    return f"trim({x})"
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf_dir, "conversations").withColumns({"nr": F.lead("role").over(w), "tgt": F.lead("text").over(w)})
@@ -68,26 +120,50 @@ def filter_repetitive(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(quality.repetitive(F.col("text"))).select("doc_id")
 
 
-@query(f"""WITH {PAIRS_SQL}
-SELECT length(src) >= 5 AND length(tgt) >= 5 AND length(src)::DOUBLE / length(tgt) BETWEEN 0.1 AND 8.0 AS by_chars,
-       length(src) >= 5 AND length(tgt) >= 5 AND len({WORDS_SQL.format('src')})::DOUBLE / len({WORDS_SQL.format('tgt')}) BETWEEN 0.1 AND 8.0
-         AND len(regexp_extract_all(src, '(?i)<gap>'))::DOUBLE / greatest(len({WORDS_SQL.format('src')}), 1) <= 0.7 AS by_words, count(*) AS n
-FROM pairs GROUP BY ALL""")
+PAIR_CASES = [(" ", "aaaaa"), ("aaaaa", "     "), ("aaaaa", ""), ("aaaa", "aaaaa"), ("a" * 41, "aaaaa"), ("a" * 40, "aaaaa"), ("a a a a a a a a a", "aaaaa"), ("<GAP> <gap> <gap> a", "aaaaa bbb"), ("<gap> a bb", "aaaaa bbb"), ("aaaaa", "b" * 50), ("aaaaa", "b" * 51)]
+
+
+@query(f"""WITH {PAIRS_SQL}, {inline_sql("cases", "src string, tgt string", PAIR_CASES)}, every AS (SELECT src, tgt FROM pairs UNION ALL SELECT src, tgt FROM cases)
+SELECT {Q5_SQL} AS by_chars, {Q6_SQL} AS by_words, length(trim(src, chr(32))) > 3 AND length(trim(tgt, chr(32))) > 3 AS reply, count(*) AS n FROM every GROUP BY ALL""")
 def pair_checks(spark, sf_dir):
+    """Q5 to Q7, over the pairs and over cases at the bounds, blanks among them."""
     s, t = F.col("src"), F.col("tgt")
-    p = pairs(spark, sf_dir).select(quality.pair_by_chars(s, t).alias("by_chars"), quality.pair_by_words(s, t).alias("by_words"))
-    return p.groupBy("by_chars", "by_words").agg(F.count("*").alias("n"))
+    every = pairs(spark, sf_dir).select("src", "tgt").unionByName(inline(spark, "src string, tgt string", PAIR_CASES))
+    p = every.select(quality.pair_by_chars(s, t).alias("by_chars"), quality.pair_by_words(s, t).alias("by_words"), quality.reply_pair(s, t).alias("reply"))
+    return p.groupBy("by_chars", "by_words", "reply").agg(F.count("*").alias("n"))
+
+
+TEXT_CASES = [("The the THE the tHe the thE the",), ("a-b-c-d e-f-g h-i-j",), ("<gap> <big_gap>",), ("",), ("<gap>aaa",), ("one-two three",), ("ša-lim-ma bi-it-ka ù-ša-ab",)]
 
 
-@query(f"""WITH {PAIRS_SQL}
-SELECT count(*) AS n, count(*) FILTER (NOT ({Q1_SQL})) AS removed_length, count(*) FILTER ({Q1_SQL} AND NOT {Q3_SQL.format('tgt')}) AS removed_language,
-       count(*) FILTER ({Q1_SQL} AND {Q3_SQL.format('tgt')} AND {Q4_SQL.format('tgt')}) AS removed_repetitive FROM pairs""")
+@query(f"""WITH {inline_sql("cases", "text string", TEXT_CASES)}, every AS (SELECT text FROM documents UNION ALL SELECT text FROM cases)
+SELECT {Q4_SQL.format("text")} AS repetitive, CASE WHEN length(text) = 0 THEN 1.0 ELSE 5.0 * len(regexp_extract_all(text, '<gap>|<big_gap>')) / length(text) END >= 0.7 AS gaps,
+       len(regexp_extract_all(text, '(?:[a-zA-ZšŠṣṢṭṬḫḪ][a-zA-ZšŠṣṢṭṬḫḪ0-9]*-){{2,}}[a-zA-ZšŠṣṢṭṬḫḪ0-9]+')) >= 3 AS hyphenated, count(*) AS n FROM every GROUP BY ALL""")
+def text_checks(spark, sf_dir):
+    """Q4, Q2 and Q8, over the documents and over cases in mixed case, with gaps, and with hyphens."""
+    t = F.col("text")
+    every = table(spark, sf_dir, "documents").select("text").unionByName(inline(spark, "text string", TEXT_CASES))
+    p = every.select(quality.repetitive(t).alias("repetitive"), (quality.gap_ratio(t) >= 0.7).alias("gaps"), quality.hyphenated(t).alias("hyphenated"))
+    return p.groupBy("repetitive", "gaps", "hyphenated").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PAIRS_SQL}, a AS (SELECT * FROM pairs WHERE {Q1_SQL}), b AS (SELECT * FROM a WHERE 5.0 * len(regexp_extract_all(src, '<gap>|<big_gap>')) / greatest(length(src), 1) < 0.7),
+c AS (SELECT * FROM b WHERE {Q3_SQL.format('tgt')}), d AS (SELECT DISTINCT src, tgt FROM c),
+n AS (SELECT (SELECT count(*) FROM pairs) AS n, (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM c) AS nc, (SELECT count(*) FROM d) AS nd, (SELECT count(DISTINCT src) FROM d) AS ne)
+SELECT n, n - na AS removed_length, na - nb AS removed_gaps, nb - nc AS removed_language, nc - nd AS removed_exact, nd - ne AS removed_source,
+       (SELECT count(*) FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY length(tgt) DESC, tgt) AS k FROM d) WHERE k = 1 AND {Q4_SQL.format('tgt')}) AS removed_repetitive FROM n""")
 def filter_attrition(spark, sf_dir):
-    """One pass: each filter's losses among what the filters before it kept."""
+    """AG7: each stage's losses among what the stages before it kept; the four filters' in one pass, then those of both dedups."""
     s, t = F.col("src"), F.col("tgt")
-    a, b, c = quality.length_ok(s, t), quality.looks_english(t), quality.repetitive(t)
-    lost = [("length", ~a), ("language", a & ~b), ("repetitive", a & b & c)]
-    return pairs(spark, sf_dir).agg(F.count("*").alias("n"), *[F.count_if(x).alias(f"removed_{k}") for k, x in lost])
+    a, b, c = quality.length_ok(s, t), quality.gap_ratio(s) < 0.7, quality.looks_english(t)
+    every = pairs(spark, sf_dir)
+    counts = every.agg(F.count("*").alias("n"), F.count_if(~a).alias("removed_length"), F.count_if(a & ~b).alias("removed_gaps"), F.count_if(a & b & ~c).alias("removed_language"), F.count_if(a & b & c).alias("_kept"))
+    exact = every.filter(a & b & c).groupBy("src", "tgt").count()
+    of_source = select.longest_target(exact)
+    pairs_left = exact.agg(F.count("*").alias("_pairs"))
+    left = of_source.agg(F.count("*").alias("_sources"), F.count_if(quality.repetitive(t)).alias("removed_repetitive"))
+    one = counts.crossJoin(pairs_left).crossJoin(left)  # a row each
+    return one.select("n", "removed_length", "removed_gaps", "removed_language", (F.col("_kept") - F.col("_pairs")).alias("removed_exact"), (F.col("_pairs") - F.col("_sources")).alias("removed_source"), "removed_repetitive")
 
 
 @query("""SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY source, doc_id) AS n FROM documents) WHERE n = 1""")
@@ -151,12 +227,16 @@ def except_good(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").subtract(table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
 
 
-@query("""SELECT s_suppkey, coalesce(n.n_name, r.r_name) AS place FROM supplier
-LEFT JOIN nation n ON s_nationkey = n.n_nationkey AND n.n_nationkey % 2 = 0 LEFT JOIN region r ON s_nationkey % 5 = r.r_regionkey""")
+@query("""WITH l AS (SELECT s_suppkey AS seq, 'f' || s_suppkey % 40 AS form, 'N' || (s_nationkey + 5) AS lexeme, 'R' || s_nationkey % 7 AS norm FROM supplier),
+g AS (SELECT 'N' || n_nationkey AS lemma, n_name AS gloss FROM nation UNION ALL SELECT 'R' || r_regionkey, r_name FROM region)
+SELECT form, arg_max(gloss, seq) AS gloss FROM (SELECT l.seq, l.form, coalesce(a.gloss, b.gloss) AS gloss FROM l LEFT JOIN g a ON l.lexeme = a.lemma LEFT JOIN g b ON l.norm = b.lemma) WHERE gloss IS NOT NULL GROUP BY form""")
 def two_key_lookup(spark, sf_dir):
+    """J11, L3 over suppliers as forms: some nations' numbers are too high, and then the region counts, and for some neither."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    j = s.join(n.filter("n_nationkey % 2 = 0"), s["s_nationkey"] == n["n_nationkey"], "left").join(r, s["s_nationkey"] % 5 == r["r_regionkey"], "left")
-    return j.select("s_suppkey", F.coalesce("n_name", "r_name").alias("place"))
+    text = lambda mark, c: F.concat(F.lit(mark), c.cast("string"))
+    lexicon = s.select(F.col("s_suppkey").alias("seq"), text("f", F.col("s_suppkey") % 40).alias("form"), text("N", F.col("s_nationkey") + 5).alias("lexeme"), text("R", F.col("s_nationkey") % 7).alias("norm"))
+    glosses = n.select(text("N", F.col("n_nationkey")).alias("lemma"), F.col("n_name").alias("gloss")).union(r.select(text("R", F.col("r_regionkey")), "r_name"))
+    return mine.form_glosses(lexicon, glosses)
 
 
 @query("""SELECT source, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY p) AS k FROM (
@@ -194,53 +274,214 @@ def distinct_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.countDistinct("source").alias("sources"), F.countDistinct("lang").alias("langs"), F.count_if(F.col("n_chars") > 1000).alias("long_texts"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS doc_id, (l_linenumber::BIGINT * 1000000000 + l_partkey) * 100 + l_quantity::BIGINT AS ord, CASE WHEN l_quantity % 5 = 0 THEN NULL ELSE l_quantity::INT END AS first_word, l_returnflag AS tgt FROM lineitem),
-t AS (SELECT o_orderkey AS doc_id, string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z aa bb cc dd', ' ') AS w FROM orders),
-x AS (SELECT *, first_word - 1 AS start, first_value(first_word - 1 IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord, first_word ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s)
+@query(rf"""WITH t AS (SELECT doc_id, {WORDS_SQL.format("text")} AS w FROM documents),
+s AS (SELECT event_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, event_id AS ord, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN ' ' ELSE event_type END AS tgt, CASE WHEN event_id % 7 <> 0 THEN (user_id % 60)::INT END AS first_word FROM events),
+x AS (SELECT *, first_word - 1 AS start, first_value(first_word - 1 IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s WHERE tgt IS NOT NULL)
 SELECT doc_id, ord, array_to_string(w[greatest(0, least(start, len(w) - 1)) + 1 : greatest(greatest(0, least(start, len(w) - 1)) + 1, least(coalesce(nxt, len(w)), len(w)))], ' ') AS src, tgt
-FROM x JOIN t USING (doc_id) WHERE start IS NOT NULL""")
+FROM x JOIN t USING (doc_id) WHERE start IS NOT NULL AND trim(tgt) <> '' AND len(w) > 0""")
 def sentence_slices_by_offset(spark, sf_dir):
-    """Order lines stand in for sentences: their quantity is the first word's number."""
-    li = table(spark, sf_dir, "lineitem")
-    s = li.select(F.col("l_orderkey").alias("doc_id"), ((F.col("l_linenumber") * F.lit(1000000000).cast("long") + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("long")).alias("ord"), F.when(F.col("l_quantity") % 5 != 0, F.col("l_quantity").cast("int")).alias("first_word"), F.col("l_returnflag").alias("tgt"))
-    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("a b c d e f g h i j k l m n o p q r s t u v w x y z aa bb cc dd").alias("src"))
-    return align.sentence_slices(t, s)
+    """A1, J1 over the documents' texts; events stand in for their sentences, some without text, first word, or both."""
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
+    n = d.agg((F.max("doc_id") + 1).alias("n"))  # one row
+    id_ = F.col("event_id")
+    tgt = F.when(id_ % 11 == 0, None).when(id_ % 13 == 0, " ").otherwise(F.col("event_type"))
+    s = e.crossJoin(F.broadcast(n)).select((id_ % F.col("n")).alias("doc_id"), id_.alias("ord"), tgt.alias("tgt"), F.when(id_ % 7 != 0, (F.col("user_id") % 60).cast("int")).alias("first_word"))
+    return align.sentence_slices(d.select("doc_id", F.col("text").alias("src")), s)
+
+
+def _sentences_sql(text: str) -> str:
+    """A3 without look-around: a mark behind a full stop before a capital, then cuts at marks and line ends."""
+    marked = rf"regexp_replace({text}, '(\.)\s+([A-Z])', '\1' || chr(10) || '\2', 'g')"
+    return rf"list_filter(list_transform(string_split({marked}, chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')"
+
+
+def _slices_sql(tokens: str, counts: str) -> str:
+    """The words of each share, joined; i runs from 1."""
+    return f"list_transform({counts}, lambda c, i: array_to_string({tokens}[list_sum({counts}[1:i]) - c + 1 : list_sum({counts}[1:i])], ' '))"
+
+
+PROPORTIONAL_SQL = rf"""b AS (SELECT doc, {WORDS_SQL.format("src")} AS w, {_sentences_sql("tgt")} AS p FROM pairs_in),
+c AS (SELECT doc, w, p, list_transform(p, lambda x: greatest(1, round_even(len(w) * length(x)::DOUBLE / list_sum(list_transform(p, lambda y: length(y))), 0)::INT)) AS n FROM b WHERE len(w) > 0 AND len(p) > 1),
+r AS (
+  SELECT doc, w, p, n FROM c
+  UNION ALL SELECT doc, w, p, CASE WHEN list_sum(n) > len(w) THEN list_transform(n, lambda x, i: x - (i = list_position(n, list_max(n)))::INT) ELSE list_transform(n, lambda x, i: x + (i = list_position(n, list_min(n)))::INT) END
+  FROM r WHERE list_sum(n) > len(w) AND list_max(n) > 1 OR list_sum(n) < len(w)
+),
+shared AS (
+  SELECT doc, array_to_string(w, ' ') AS src, p[1] AS tgt, 1 AS k FROM b WHERE len(w) > 0 AND len(p) = 1
+  UNION ALL SELECT doc, unnest({_slices_sql("w", "n")}), unnest(p), unnest(range(1, len(p) + 1)) FROM r WHERE NOT (list_sum(n) > len(w) AND list_max(n) > 1 OR list_sum(n) < len(w))
+)"""
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, pairs_in AS (SELECT (conv_id, turn) AS doc, src, tgt FROM pairs), {PROPORTIONAL_SQL}
+SELECT doc[1] AS conv_id, doc[2] AS turn, (row_number() OVER (PARTITION BY doc ORDER BY k) - 1)::INT AS ord, src, tgt FROM shared WHERE src <> ''""")
 def proportional_segments(spark, sf_dir):
     d = pairs(spark, sf_dir).select("conv_id", "turn", F.posexplode(segment.proportional_segments(F.col("src"), F.col("tgt"))).alias("ord", "x"))
     return d.select("conv_id", "turn", "ord", "x.src", "x.tgt")
 
 
-@query()
+METHOD_DOCS = [(1, "a b c d e", "One. Two."), (2, "a b c", "X. Y. Z. W"), (3, "", "X"), (4, "a", None), (5, "a b", "Only one"), (6, "a b c d", "Hm. Aha.")]
+METHOD_SENTS = [(1, 1, "One.", 1), (1, 2, "Two.", 4), (6, 1, "Hm.", None), (6, 2, " ", 2)]
+
+
+@query(f"""WITH RECURSIVE {inline_sql("docs", "doc_id int, src string, tgt string", METHOD_DOCS)}, {inline_sql("sents", "doc_id int, ord int, tgt string, first_word int", METHOD_SENTS)},
+said AS (SELECT * FROM docs WHERE trim(src) <> '' AND trim(tgt) <> ''), sliced AS (SELECT doc_id FROM sents JOIN said USING (doc_id) WHERE first_word IS NOT NULL AND trim(sents.tgt) <> ''),
+pairs_in AS (SELECT doc_id AS doc, src, tgt FROM said WHERE doc_id NOT IN (SELECT doc_id FROM sliced)), {PROPORTIONAL_SQL},
+every AS (SELECT doc_id, 'sentences' AS method FROM sliced UNION ALL SELECT doc, 'proportional' FROM shared WHERE src <> ''),
+of AS (SELECT d.doc_id, coalesce(e.method, 'skipped') AS method, count(e.method) AS pairs FROM docs d LEFT JOIN every e USING (doc_id) GROUP BY ALL)
+SELECT method, count(*) AS documents, sum(pairs)::BIGINT AS pairs FROM of GROUP BY method""")
+def alignment_methods(spark, sf_dir):
+    """J2 and AG8: documents with sentences, those shared out instead, and those left out."""
+    docs = inline(spark, "doc_id int, src string, tgt string", METHOD_DOCS)
+    sents = inline(spark, "doc_id int, ord int, tgt string, first_word int", METHOD_SENTS)
+    return align.method_counts(docs, align.with_fallback(docs, align.sentence_slices(docs, sents)))
+
+
+BARE_SQL = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+def _cut_sql(marked: str) -> str:
+    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda p: {BARE_SQL.format('p')}), lambda p: p <> '')"
+
+
+CLAUSES_SQL = _cut_sql(rf"""regexp_replace(regexp_replace(regexp_replace(tgt, '^[\s"]+|[\s"]+$', '', 'g'), '\s+', ' ', 'g'), '([.!?:])\s+([{segment.CAPITALS}])', '\1' || chr(1) || '\2', 'g')""")
+OPENED_SQL = _cut_sql(rf"""regexp_replace(regexp_replace(src, '\s+', ' ', 'g'), '(?i)\b({"|".join(segment.OPENERS)})\b', chr(1) || '\1', 'g')""")
+ALIGN_CASES = [(-1, 0, "IGI a  b um-ma c", "One here. Two there."), (-2, 0, "a b c d e f", "One two. Three four five six."), (-3, 0, " ", "X. Y."), (-4, 0, " a ", ' "Quoted. Twice" '), (-5, 0, "a", "One. Two. Three"), (-6, 0, "um-ma a", "One. Two: Three")]
+
+
+@query(rf"""WITH {PAIRS_SQL}, {inline_sql("cases", "conv_id long, turn long, src string, tgt string", ALIGN_CASES)},
+every AS (SELECT conv_id, turn, {BARE_SQL.format("src")} AS src, {BARE_SQL.format("tgt")} AS tgt FROM (SELECT * FROM pairs UNION ALL SELECT * FROM cases)),
+x AS (SELECT *, {WORDS_SQL.format("src")} AS w, {CLAUSES_SQL} AS e, {OPENED_SQL} AS s FROM every WHERE src <> '' AND tgt <> ''),
+c AS (SELECT *, list_transform(e, lambda p: len({WORDS_SQL.format("p")})) AS z FROM x),
+n AS (SELECT *, list_transform(z, lambda v, i: CASE WHEN i = len(z) THEN len(w) ELSE greatest(1, round_even(v::DOUBLE / greatest(list_sum(z), 1) * len(w), 0)::INT) END) AS n FROM c),
+p AS (SELECT conv_id, turn, CASE WHEN len(e) <= 1 THEN 'single' WHEN len(e) = len(s) THEN 'zip' ELSE 'share' END AS how,
+  CASE WHEN len(e) <= 1 THEN [src] WHEN len(e) = len(s) THEN s ELSE {_slices_sql("w", "n")} END AS a, CASE WHEN len(e) <= 1 THEN [tgt] ELSE e END AS b FROM n),
+u AS (SELECT conv_id, turn, how, unnest(a) AS src, unnest(b) AS tgt, unnest(range(1, len(b) + 1)) AS k FROM p)
+SELECT conv_id, turn, how, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1)::INT AS ord, src, tgt FROM u WHERE src <> ''""")
 def align_documents(spark, sf_dir):
-    d = align.align_documents(pairs(spark, sf_dir)).select("conv_id", "turn", "how", F.posexplode("pairs").alias("ord", "x"))
+    """A6, A7, A9, A10 over the pairs, which have no anchors, and over cases."""
+    every = pairs(spark, sf_dir).select("conv_id", "turn", "src", "tgt").unionByName(inline(spark, "conv_id long, turn long, src string, tgt string", ALIGN_CASES))
+    d = align.align_documents(every).select("conv_id", "turn", "how", F.posexplode("pairs").alias("ord", "x"))
     return d.select("conv_id", "turn", "how", "ord", "x.src", "x.tgt")
 
 
+ANCHORED = [(1, "KIŠIB a-šur IGI en-lil", "Seal of Ashur. Witnessed by Enlil."), (2, "x um-ma a qí-bi-ma y", "Before. From A: y"), (3, "IGI a", "Seal of A"), (4, "a-na b qí-bi-ma c li-mu d", "To B: c in the eponymy of D"), (5, "um-ma a um-ma b", "Thus A. He said B."), (6, None, "Seal of A"), (7, "KIŠIB", "Seal of")]
+# Worked out by hand from the rule: cuts where labels agree in order, then what stands ahead of the first cut.
+ANCHORED_PAIRS = [(1, 0, "KIŠIB a-šur", "Seal of Ashur."), (1, 1, "IGI en-lil", "Witnessed by Enlil."), (2, 0, "x", "Before."), (2, 1, "um-ma a qí-bi-ma y", "From A: y"), (4, 0, "a-na b qí-bi-ma c", "To B: c in the"), (4, 1, "li-mu d", "eponymy of D"), (5, 0, "um-ma a", "Thus A. He"), (5, 1, "um-ma b", "said B."), (7, 0, "KIŠIB", "Seal of")]
+
+
+@query(f"WITH {inline_sql('x', 'doc_id int, ord int, src string, tgt string', ANCHORED_PAIRS)} SELECT * FROM x")
+def anchored_documents(spark, sf_dir):
+    """The pairs were worked out by hand, as SQL has no places of matches."""
+    d = align.align_documents(inline(spark, "doc_id int, src string, tgt string", ANCHORED)).filter("how = 'anchors'")
+    d = d.select("doc_id", F.posexplode("pairs").alias("ord", "x"))
+    return d.select("doc_id", "ord", "x.src", "x.tgt")
+
+
+REPLIES = [(1, '```json\n[{"akkadian": "a-na x", "english": "to x."}, 3, {"akkadian": "ab", "english": "too short"}]\n```'), (2, 'Here: [{"akkadian": "um-ma", "english": "thus he"}] as asked'), (3, '{"akkadian": "a-na x", "english": "to x."}'), (4, "nothing"), (5, '[{"akkadian": "four", "english": "none"}]'), (6, ""), (7, '[{"akkadian": "long enough"}]')]
+REPLY_SQL = r"regexp_replace(trim(response, ' ' || chr(10)), '^```(?:json)?\s*|\s*```$', '', 'g')"
+
+
+@query(rf"""WITH {inline_sql("r", "doc_id int, response string", REPLIES)}, b AS (SELECT doc_id, {REPLY_SQL} AS t FROM r),
+j AS (SELECT doc_id, CASE WHEN json_valid(t) THEN t ELSE regexp_extract(t, '(?s)\[.*\]') END AS t FROM b),
+l AS (SELECT doc_id, unnest(from_json(t, '["JSON"]')) AS x FROM j WHERE json_valid(t) AND json_type(t) = 'ARRAY'),
+o AS (SELECT doc_id, trim(x->>'akkadian') AS akkadian, trim(x->>'english') AS english FROM l WHERE json_type(x) = 'OBJECT')
+SELECT * FROM o WHERE length(akkadian) > 3 AND length(english) > 3""")
+def reply_pairs(spark, sf_dir):
+    """Replies in fences, in prose, of another shape, and none."""
+    d = inline(spark, "doc_id int, response string", REPLIES).select("doc_id", F.explode(align.parse_reply(F.col("response"))).alias("x"))
+    return d.select("doc_id", "x.akkadian", "x.english")
+
+
+OLD_PAIRS = [("aaaaa b", "old text"), ("ccccc d", "kept one"), ("ccccc d", "other"), (" ", "blank side")]
+NEW_PAIRS = [(3, " aaaaa b ", "old text"), (1, "aaaaa b", "old text"), (2, "eeeee f", "a new one"), (4, "g", "short"), (5, "a b c d e f g h i", "toolong")]
+
+
+@query(f"""WITH {inline_sql("old", "src string, tgt string", OLD_PAIRS)}, {inline_sql("new", "n int, src string, tgt string", NEW_PAIRS)},
+bare AS (SELECT n, trim(src) AS src, trim(tgt) AS tgt FROM new), gated AS (SELECT DISTINCT src, tgt FROM bare WHERE {Q6_SQL})
+SELECT src, tgt FROM old WHERE (src, tgt) NOT IN (SELECT (src, tgt) FROM gated) AND trim(src) <> '' AND trim(tgt) <> '' UNION ALL SELECT src, tgt FROM gated""")
+def merge_pairs(spark, sf_dir):
+    """New pairs through the gate, each once, and the old ones that aren't among them."""
+    new = align.gate_pairs(inline(spark, "n int, src string, tgt string", NEW_PAIRS), F.col("n"))
+    return align.merge_pairs(inline(spark, "src string, tgt string", OLD_PAIRS), new)
+
+
 @query("SELECT char, (row_number() OVER (ORDER BY char) + 3)::INT AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS char FROM documents) WHERE char <> ''")
 def char_vocab(spark, sf_dir):
     return decode.vocabulary(table(spark, sf_dir, "documents"), "text")
 
 
-@query("SELECT greatest(0, floor(count(*) / 0.7 * 0.3)::BIGINT - 700) AS cap FROM documents")
+KEYED_SQL = "('0x' || substr(md5('42|' || {0}), 1, 15))::BIGINT"
+
+
+@query(f"""WITH n AS (SELECT greatest(0, floor(count(*) / 0.7 * 0.3)::BIGINT - 7) AS cap FROM conversations),
+r AS (SELECT page_id, row_number() OVER (ORDER BY {KEYED_SQL.format("page_id")}, page_id) AS k FROM pages) SELECT page_id FROM r, n WHERE k <= cap""")
 def synthetic_cap(spark, sf_dir):
-    n = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
-    return n.select(F.greatest(F.lit(0), F.floor(F.col("n") / 0.7 * 0.3) - 700).cast("long").alias("cap"))
+    """As many pages as keep them at three tenths of all rows beside the conversations, less seven."""
+    cap = select.synthetic_cap(table(spark, sf_dir, "conversations").count(), 7)
+    return select.capped(table(spark, sf_dir, "pages").select("page_id"), cap, "page_id")
 
 
-@query("""SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, 'href="/[A-Za-z]+"'), lambda x: upper(x)))) AS ref FROM pages""")
-def refs_extract(spark, sf_dir):
-    """Reference extraction with patterns for these pages: distinct, upper case."""
-    found = F.regexp_extract_all("html", F.lit('href="/[A-Za-z]+"'), F.lit(0))
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(F.transform(found, lambda x: F.upper(x)))).alias("ref"))
+PAGES = [
+    (1, "p.pdf", "See BIN 4, 45 and Kt a/k 178b for it.\nTranslation:\nThus says Ashur: give the silver (sic) to him.\nCommentary:\nnone", True),
+    (2, "p.pdf", "BIN 4 45 again, CCT 5 6a too, and TC 1 1.\n English. \nFrom Enlil to Ashur: the 1/2 mina is [broken].", True),
+    (3, "q.pdf", "KT A/K 178B\ntranslation\nA text that comes later, of another book.\nNotes\nx", True),
+    (4, "q.pdf", "CCT 5 6a stands on a page without the flag.\nTranslation:\nNot to be mined, as the flag says.", False),
+    (5, "q.pdf", "TC 1 1\nTranslation:\nshort", True),
+    (6, "r.pdf", "BIN 4 45 has no block of translation, whatever else there may be on the page.", True),
+    (7, "r.pdf", "XY 9 9\nTranslation:\nThe text of this one is already known to us.", None),
+    (8, "r.pdf", "XY 9 9, TC 1 1\nTranslation:\nThe text of this one is already in the train set.\n", True),
+]
+BOOKS = [
+    (1, "id1", "BIN 4 45", None, None, "um-ma a-sur-ma a-na en-lil"), (2, "id2", "x", "cct 5 6A| ", "Kt a/k 178b", "a-na a-sur qi-bi-ma DINGIR"), (3, "id3", "TC 1 1", None, None, "short"),
+    (4, "id4", None, "XY 9 9", None, "a-na text in the train set"), (5, "id5", "CCT 5 6a", None, None, "the later claim wins [x] here"), (6, "id1", None, None, "unused", "another row of the first text"),
+]
+PAGE_SCHEMA = "page_seq int, pdf_name string, page_text string, has_akkadian boolean"
+BOOK_SCHEMA = "seq int, oare_id string, label string, aliases string, publication_catalog string, transliteration string"
 
 
-@query()
+def _references_sql(text: str) -> str:
+    series = ", ".join(rf"regexp_extract_all({text}, '{mine.SERIES}', {k})" for k in (1, 2, 3))
+    joined = f"list_transform(list_zip({series}), lambda z: upper(z[1] || ' ' || z[2] || ' ' || z[3]))"
+    return f"list_concat({joined}, list_transform(regexp_extract_all({text}, '{mine.KT}', 1), lambda x: upper(trim(x))))"
+
+
+def _block_sql(text: str) -> str:
+    body = rf"regexp_extract({text}, '(?is)(?:^|\n)\s*(?:{mine.HEADERS})\s*[:.]?\s*\n(.*)\z', 1)"
+    cut = rf"trim(string_split_regex({body}, '(?i)\n\s*(?:{mine.AFTER})\s*[:.]?\s*\n')[1], ' ')"
+    return f"(CASE WHEN length({cut}) > 20 AND regexp_matches({cut}, '[a-zA-Z]{{3,}}') THEN {cut} ELSE '' END)"
+
+
+IDENTIFIERS_SQL = """identifiers AS (
+  SELECT seq, oare_id, 0 AS kind, 0 AS pos, label AS raw FROM texts
+  UNION ALL SELECT seq, oare_id, 1, unnest(range(len(string_split(aliases, '|')))), unnest(string_split(aliases, '|')) FROM texts
+  UNION ALL SELECT seq, oare_id, 2, unnest(range(len(string_split(publication_catalog, '|')))), unnest(string_split(publication_catalog, '|')) FROM texts
+), idx AS (SELECT upper(trim(raw)) AS identifier, arg_max(oare_id, (seq, kind, pos)) AS oare_id FROM identifiers WHERE trim(raw) <> '' GROUP BY 1)"""
+
+
+@query(rf"""WITH t AS (SELECT doc_id, text FROM documents) SELECT doc_id, len(list_distinct({_references_sql("text")})) AS n_refs, length({_block_sql("text")}) AS block_chars FROM t""")
 def page_references(spark, sf_dir):
+    """A13, A14 over all documents."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.size(mine.references(F.col("text"))).alias("n_refs"), F.length(mine.translation_block(F.col("text"))).alias("block_chars"))
+    return d.select("doc_id", F.size(mine.references(F.col("text"))).cast("long").alias("n_refs"), F.length(mine.translation_block(F.col("text"))).cast("long").alias("block_chars"))
+
+
+@query(f"""WITH {inline_sql("p", PAGE_SCHEMA, PAGES)} SELECT page_seq, ref FROM (SELECT page_seq, unnest(list_distinct({_references_sql("page_text")})) AS ref FROM p)""")
+def refs_extract(spark, sf_dir):
+    """A13 over pages with references."""
+    return inline(spark, PAGE_SCHEMA, PAGES).select("page_seq", F.explode(mine.references(F.col("page_text"))).alias("ref"))
+
+
+@query(rf"""WITH {inline_sql("pages_in", PAGE_SCHEMA, PAGES)}, {inline_sql("texts", BOOK_SCHEMA, BOOKS)}, {IDENTIFIERS_SQL},
+p AS (SELECT page_seq, pdf_name, unnest(list_distinct({_references_sql("page_text")})) AS reference, {_block_sql("page_text")} AS block FROM pages_in WHERE has_akkadian AND length(page_text) >= 50),
+first AS (SELECT oare_id, arg_min(transliteration, seq) AS transliteration FROM texts GROUP BY oare_id),
+j AS (SELECT page_seq, i.oare_id, {source_sql('f.transliteration')} AS transliteration, {target_sql('block')} AS translation, pdf_name AS source_pdf, reference FROM p JOIN idx i ON p.reference = i.identifier JOIN first f ON i.oare_id = f.oare_id WHERE length(block) > 0 AND length(f.transliteration) >= 10 AND i.oare_id <> 'id4'),
+k AS (SELECT *, row_number() OVER (PARTITION BY oare_id, transliteration ORDER BY page_seq, reference) AS n FROM j WHERE length(transliteration) > 10 AND length(translation) > 10)
+SELECT oare_id, transliteration, translation, source_pdf, reference FROM k WHERE n = 1""")
+def page_pairs(spark, sf_dir):
+    """Flagged pages with what they refer to, without the texts of the train set."""
+    known = inline(spark, "oare_id string", [("id4",)])
+    return mine.page_pairs(inline(spark, PAGE_SCHEMA, PAGES), inline(spark, BOOK_SCHEMA, BOOKS), known)
 
 
 @query("""SELECT identifier, arg_max(id, (seq, kind)) AS oare_id FROM (
@@ -264,22 +505,179 @@ def mbr_select(spark, sf_dir):
     return decode.mbr(c, "conv_id", "turn", "text")
 
 
-@query()
+@query(f"SELECT doc_id, {source_sql('text')} AS text FROM documents")
 def normalize_source(spark, sf_dir):
+    """N1 to N18 over all documents, which are in NFKC as they are."""
     return table(spark, sf_dir, "documents").select("doc_id", normalize.clean_source(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"SELECT doc_id, {target_sql('text')} AS text FROM documents")
 def normalize_target(spark, sf_dir):
+    """N19 to N26 over all documents, which are in NFKC as they are."""
     return table(spark, sf_dir, "documents").select("doc_id", normalize.clean_target(F.col("text")).alias("text"))
 
 
-@query()
+RULE_CASES = [
+    (1, "a-na {d}UTU sa2 an-ni-i3"), (2, "[x x x] lu2-{munus}sa2-lim"), (3, "DINGIR-su2 ... i-na DINGIRa"), (4, "sz-a-ri s,a-ab-tu T,up-pi!?"), (5, "{Big Gap} [broken] <<gone>> <kept> <gap>  <gap>"), (6, " "),
+    (7, "He said (lit. spoke) to [the] king <so>."), (8, "In Month XII and month IV, a <gap> ... broken 1/2 mina 1/25"), (9, "(Fem. plur.) (note) <big_gap> Damaged"), (10, ""),
+]
+
+
+@query(f"WITH {inline_sql('r', 'id int, text string', RULE_CASES)} SELECT id, {source_sql('text')} AS source, {target_sql('text')} AS target FROM r")
+def normalize_cases(spark, sf_dir):
+    """N1 to N26 where each rule has something to do."""
+    t = F.col("text")
+    return inline(spark, "id int, text string", RULE_CASES).select("id", normalize.clean_source(t).alias("source"), normalize.clean_target(t).alias("target"))
+
+
+def _template_sql() -> str:
+    """G1: a row per template and number, each slot filled by the names drawn."""
+    draw = lambda what, m: f"((('0x' || substr(md5('42|{what}|' || t || '|' || i), 1, 15))::BIGINT) % {m})"
+    pick = lambda what, values: f"[{', '.join(map(_quote, values))}][{draw(what, len(values))} + 1]"
+    made = []
+    for side, lang in ((0, ""), (1, "_eng")):
+        x = "CASE t " + " ".join(f"WHEN {t} THEN {_quote(both[side])}" for t, both in enumerate(augment.TEMPLATES)) + " END"
+        x = f"replace(replace(replace({x}, '{{amount}}', {pick('amount', augment.AMOUNTS)}), '{{quality}}', {pick('quality', [a for a, _ in augment.QUALITIES])}), '{{quality_eng}}', {pick('quality', [b for _, b in augment.QUALITIES])})"
+        for k, slot in enumerate(augment.SLOTS):
+            name = f"(SELECT c_name FROM numbered WHERE no = ({draw('name', '(SELECT count(*) FROM customer)')} + {k % augment.DRAWN}) % (SELECT count(*) FROM customer))"
+            x = f"replace({x}, '{{{slot}{lang}}}', {name})"
+        made.append(x)
+    return f"""WITH numbered AS (SELECT c_name, row_number() OVER (ORDER BY {KEYED_SQL.format("c_name")}, c_name) - 1 AS no FROM customer),
+slots AS (SELECT t, i FROM range({len(augment.TEMPLATES)}) a(t), range(100) b(i)), made AS (SELECT {made[0]} AS src, {made[1]} AS tgt FROM slots)
+SELECT {source_sql("src")} AS transliteration, {target_sql("tgt")} AS translation FROM made"""
+
+
+@query(_template_sql())
 def template_pairs(spark, sf_dir):
+    """G1, L7 with customers as names."""
     names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("form"), F.col("c_name").alias("normalized"))
     return augment.template_pairs(spark, names)
 
 
+WORDS_IN = [(1, "abu I", '"father" (OB) "forefather" "a" "b"'), (2, "abu", '"other"'), (3, "ahu II", "1. brother; kin"), (4, " ", '"x"'), (5, "mu", None), (6, "ina", "In front (of)"), (7, "qabu", "II. to say; speak"), (8, "nil", ";"), (9, "zeru", ' "seed " " " ')]
+FORMS_IN = [
+    (1, "a-bu", "abu", "x", "word"), (2, "a-ha2", "none", "ahu", "word"), (3, "a-bu", "ahu", None, "word"), (4, "x", None, None, "word"), (5, "A-szur", "Assur", " ", "PN"), (6, "Ka3", "Kanesh", "Kanes", "GN"),
+    (7, "A-szur", "Ashur", "Assur-2", "PN"), (8, "s", "abu", None, "word"), (9, "i-na", "ina", None, "word"), (10, "qa2-bu", "qabu", None, "PN"), (11, " ", "Void", "Void", "PN"), (12, "Puzur", None, None, "PN"), (13, "ze", "zeru", None, "word"),
+]
+WORD_SCHEMA, FORM_SCHEMA = "seq int, word string, definition string", "seq int, form string, lexeme string, norm string, type string"
+GLOSSES_SQL = rf"""{inline_sql("dictionary", WORD_SCHEMA, WORDS_IN)}, {inline_sql("lexicon", FORM_SCHEMA, FORMS_IN)},
+parsed AS (SELECT seq, trim(regexp_replace(word, '{mine.LEMMA_NUMERAL}', '')) AS lemma, list_filter(list_transform(regexp_extract_all(definition, '"([^"]+)"', 1), lambda x: trim(x)), lambda x: x <> '') AS quoted,
+  trim(regexp_replace(trim(regexp_replace(regexp_replace(trim(string_split_regex(trim(definition), '[;(]')[1]), '{mine.NUMBER}', ''), '{mine.NUMERAL}', '')), '^[" ]+|[" ]+$', '', 'g')) AS plain FROM dictionary),
+senses AS (SELECT seq, lemma, coalesce(CASE WHEN len(quoted) > 0 THEN array_to_string(quoted[1:3], '; ') ELSE plain END, '') AS gloss FROM parsed),
+glosses AS (SELECT lemma, arg_min(gloss, seq) AS gloss FROM senses WHERE lemma <> '' AND gloss <> '' GROUP BY lemma),
+forms AS (SELECT form, arg_max(gloss, seq) AS gloss FROM (SELECT l.seq, l.form, coalesce(a.gloss, b.gloss) AS gloss FROM lexicon l LEFT JOIN glosses a ON l.lexeme = a.lemma LEFT JOIN glosses b ON l.norm = b.lemma) WHERE gloss IS NOT NULL AND form IS NOT NULL GROUP BY form),
+nouns AS (SELECT seq, {source_sql("form")} AS form, coalesce(nullif(trim(norm), ''), lexeme, form) AS normalized, type FROM lexicon WHERE type IN ('PN', 'GN')),
+named AS (SELECT form, arg_max(normalized, seq) AS normalized, arg_max(type, seq) AS type FROM nouns WHERE length(form) > 0 GROUP BY form)"""
+
+
+def _lexicon(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return inline(spark, FORM_SCHEMA, FORMS_IN), mine.dictionary_glosses(inline(spark, WORD_SCHEMA, WORDS_IN))
+
+
+@query(f"WITH {GLOSSES_SQL} SELECT lemma, gloss FROM glosses")
+def lexicon_glosses(spark, sf_dir):
+    """L1, L2."""
+    return _lexicon(spark)[1]
+
+
+@query(f"WITH {GLOSSES_SQL} SELECT form, gloss FROM forms")
+def lexicon_forms(spark, sf_dir):
+    """L3, J11."""
+    return mine.form_glosses(*_lexicon(spark))
+
+
+@query(f"WITH {GLOSSES_SQL} SELECT DISTINCT {source_sql('form')} AS transliteration, gloss AS translation FROM forms WHERE form IN (SELECT form FROM lexicon WHERE type = 'word') AND length(gloss) >= 2 AND length({source_sql('form')}) >= 2")
+def lexicon_drills(spark, sf_dir):
+    """L4, L5, P12."""
+    lexicon, glosses = _lexicon(spark)
+    return mine.drills(mine.form_glosses(lexicon, glosses), lexicon)
+
+
+@query(f"WITH {GLOSSES_SQL} SELECT form, normalized, type FROM named")
+def lexicon_names(spark, sf_dir):
+    """L6, P12."""
+    return mine.proper_nouns(_lexicon(spark)[0])
+
+
+@query(f"WITH {GLOSSES_SQL} SELECT form, normalized FROM named WHERE type = 'PN' AND normalized <> ''")
+def lexicon_persons(spark, sf_dir):
+    """L7."""
+    return mine.names_for_templates(mine.proper_nouns(_lexicon(spark)[0]))
+
+
+PUBLISHED = [("t1", "a-na {d}UTU long enough", "n" * 51), ("t2", "short", "n" * 50), ("t3", "in the train set already", None), ("t4", "sz-a-ri and more of it", "x" * 80), ("t5", None, "y" * 60)]
+PUBLISHED_SCHEMA = "oare_id string, transliteration string, note string"
+TRAIN = [("t3", "in the train set already"), ("t9", "a-na {d}UTU long enough"), ("t8", None)]
+
+
+@query(f"""WITH {inline_sql("p", PUBLISHED_SCHEMA, PUBLISHED)}, {inline_sql("t", "oare_id string, transliteration string", TRAIN)}, c AS (SELECT oare_id, {source_sql("transliteration")} AS transliteration, note FROM p WHERE oare_id NOT IN (SELECT oare_id FROM t))
+SELECT 'fresh' AS kind, oare_id, transliteration FROM c WHERE length(transliteration) > 10 UNION ALL SELECT 'noted', oare_id, transliteration FROM p WHERE length(note) > 50
+UNION ALL SELECT 'pool', NULL, text FROM (SELECT transliteration AS text FROM p WHERE transliteration IS NOT NULL UNION SELECT transliteration FROM t WHERE transliteration IS NOT NULL)""")
+def monolingual_texts(spark, sf_dir):
+    """Fresh texts, those with a note, and the pool of all distinct ones."""
+    p, t = inline(spark, PUBLISHED_SCHEMA, PUBLISHED), inline(spark, "oare_id string, transliteration string", TRAIN)
+    parts = {"fresh": mine.monolingual(p, t).select("oare_id", "transliteration"), "noted": mine.with_notes(p).select("oare_id", "transliteration")}
+    parts["pool"] = select.monolingual_pool(p, t).select(F.lit(None).cast("string").alias("oare_id"), F.col("text").alias("transliteration"))
+    tagged = [d.select(F.lit(k).alias("kind"), "*") for k, d in parts.items()]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+
+
+@query(f"""WITH s AS (SELECT doc_id, text, 'In short: ' || left(text, 40) AS made FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 120)
+SELECT doc_id, text AS transliteration, {target_sql("CASE WHEN trim(made) = '' THEN '<gap>' ELSE made END")} AS translation, 'pseudo_label' AS source FROM s WHERE length(CASE WHEN trim(made) = '' THEN '<gap>' ELSE made END) > 5""")
+def pseudo_labels(spark, sf_dir):
+    """The first 120 texts, which is the operator's limit here, by a model that gives their start."""
+    return augment.pseudo_labels(table(spark, sf_dir, "documents"), lambda: lambda texts: [f"In short: {t[:40]}" for t in texts], "doc_id", text="text", most=120)
+
+
+BYTES_SQL = "list_transform(range(octet_length(encode(text))), lambda k: ('0x' || substr(hex(encode(text)), 2 * k + 1, 2))::INT + 3)"
+
+
+@query(f"SELECT page_id, list_sum({BYTES_SQL.replace('text', 'url')})::BIGINT AS total, len({BYTES_SQL.replace('text', 'url')})::INT AS n, array_to_string({BYTES_SQL.replace('text', 'url')}, ' ') AS ids FROM pages")
+def byte_ids(spark, sf_dir):
+    """X13 over the pages' addresses."""
+    ids = table(spark, sf_dir, "pages").select("page_id", augment.byte_ids(F.col("url")).alias("b"))
+    total = F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x)
+    return ids.select("page_id", total.alias("total"), F.size("b").alias("n"), F.array_join(F.col("b").cast("array<string>"), " ").alias("ids"))
+
+
+@query("""WITH v AS (SELECT char, (row_number() OVER (ORDER BY char) + 3)::INT AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS char FROM benchmark) WHERE char <> ''),
+m AS (SELECT map_from_entries(list((char, id))) AS m FROM v), c AS (SELECT conv_id, turn, text, list_filter(string_split(text, ''), lambda x: x <> '')[1:298] AS c FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, array_to_string(list_concat([1], list_transform(c, lambda x: coalesce(m[x], 3)), [2]), ' ') AS codes, coalesce(array_to_string(list_filter(c, lambda x: m[x] IS NOT NULL), ''), '') AS back FROM c, m""")
+def char_codes(spark, sf_dir):
+    """X6 there and back, with the benchmark's characters as the vocabulary."""
+    v = decode.vocabulary(table(spark, sf_dir, "benchmark"), "text")
+    maps = v.agg(F.map_from_entries(F.collect_list(F.struct("char", "id"))).alias("to"), F.map_from_entries(F.collect_list(F.struct("id", "char"))).alias("back"))  # a row per character
+    c = table(spark, sf_dir, "conversations").filter("text is not null").crossJoin(F.broadcast(maps))
+    c = c.select("conv_id", "turn", decode.encode(F.col("text"), F.col("to")).alias("codes"), "back")
+    return c.select("conv_id", "turn", F.array_join(F.col("codes").cast("array<string>"), " ").alias("codes"), decode.decode(F.col("codes"), F.col("back")).alias("back"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, list_transform(string_split_regex(text, '\s+'), lambda w: length(w)) AS tokens FROM documents),
+k AS (SELECT doc_id, tokens, md5(array_to_string(tokens, ' ')) AS k FROM t WHERE len(tokens) >= 5),
+u AS (SELECT doc_id, k, unnest(tokens) AS x, unnest(range(len(tokens))) AS i FROM k), h AS (SELECT *, ('0x' || substr(md5('42|' || k || '|' || i), 1, 15))::BIGINT % 10000 < 1500 AS m FROM u),
+o AS (SELECT *, m AND NOT coalesce(lag(m) OVER (PARTITION BY doc_id ORDER BY i), false) AS o FROM h), n AS (SELECT *, 258 + sum(o::INT) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM o)
+SELECT doc_id, coalesce(string_agg(CASE WHEN NOT m THEN x ELSE s END || ' ', '' ORDER BY i) FILTER (NOT m OR o), '') || '1' AS input_ids, coalesce(string_agg(CASE WHEN o THEN s || ' ' ELSE '' END || x || ' ', '' ORDER BY i) FILTER (m), '') || '1' AS label_ids FROM n GROUP BY doc_id""")
+def span_corruption(spark, sf_dir):
+    """G5 over the documents, with the lengths of their words as tokens."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", r"\s+"), lambda w: F.length(w)).alias("tokens"))
+    made = augment.span_corruption(t)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
+    return made.select("doc_id", joined("input_ids"), joined("label_ids"))
+
+
+MODELS = [("a", 10.0, None, 20.0, 0.0, 5360000), ("b", 1.0, 30.0, 40.0, 33.0, 582800000), ("c", None, None, None, None, None), ("d", 9.0, None, 1.0, 33.0, 1200000000), ("e", 1.0, None, 1.0, None, 86000)]
+MODEL_SCHEMA = "model string, bleu double, eval_bleu double, chrf double, geo_mean double, total_params long"
+
+
+@query(f"""WITH {inline_sql("m", MODEL_SCHEMA, MODELS)}, x AS (SELECT model, coalesce(eval_bleu, bleu, 0) AS bleu, coalesce(chrf, 0) AS chrf, coalesce(geo_mean, 0) AS g, total_params AS n FROM m),
+y AS (SELECT model, bleu, chrf, CASE WHEN g = 0 AND bleu > 0 AND chrf > 0 THEN sqrt(bleu * chrf) ELSE g END AS geo_mean,
+  CASE WHEN n >= 1e9 THEN printf('%.1fB', n / 1e9) WHEN n >= 1e6 THEN printf('%.1fM', n / 1e6) WHEN n IS NOT NULL THEN printf('%.0fK', n / 1e3) ELSE '—' END AS params FROM x)
+SELECT *, row_number() OVER (ORDER BY geo_mean DESC, model) = 1 AS best FROM y""")
+def model_comparison(spark, sf_dir):
+    """M6, AG9."""
+    return metrics.comparison(inline(spark, MODEL_SCHEMA, MODELS))
+
+
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS least,
 quantile_cont(l_quantity, 0.5) AS q50, max(l_quantity) AS most FROM lineitem GROUP BY ALL""")
 def describe_lineitem(spark, sf_dir):

@@ -27,6 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def inline(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A small table that a query brings along, where the driver's tables lack the operator's columns."""
+    return spark.createDataFrame(rows, schema)
+
+
+def inline_sql(name: str, schema: str, rows: list[tuple]) -> str:
+    """The same table as a common table expression."""
+    kinds = {"int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "array<int>": "INTEGER[]"}
+    columns = [c.strip().split(" ", 1) for c in schema.split(", ")]
+
+    def value(v, kind: str) -> str:
+        text = "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+        return f"{text}::{kinds[kind]}"
+
+    body = ", ".join("(" + ", ".join(value(v, k) for v, (_, k) in zip(r, columns, strict=True)) + ")" for r in rows)
+    return f"{name}({', '.join(c for c, _ in columns)}) AS (VALUES {body})"
+
+
 def queries() -> dict[str, Query]:
     from lexiforge.plans import library  # noqa: F401  registers
 

@@ -41,22 +41,46 @@ def read_csv(spark: SparkSession, path: str, schema: str, missing: Sequence[str]
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """With a header, also where there is no row."""
-    df.write.mode("overwrite").options(header=True, escape='"').csv(path)
+    """IO5, IO6: with a header, also where there is no row: an empty result is written as one file with its header."""
+    rows = df if df.limit(1).count() else df.sparkSession.createDataFrame([], df.schema).coalesce(1)
+    rows.write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
 def write_map(df: DataFrame, key: str, path: str) -> None:
-    """A JSON object per row, {key: the other columns}."""
-    rest = F.struct(*[c for c in df.columns if c != key])
-    df.select(F.to_json(F.create_map(F.col(key), rest)).alias("value")).write.mode("overwrite").text(path)
+    """IO7: JSON objects, one a row, {key: {the other columns}}; a single other column is the value itself."""
+    rest = [c for c in df.columns if c != key]
+    value = F.col(rest[0]) if len(rest) == 1 else F.struct(*rest)
+    df.select(F.to_json(F.create_map(F.col(key).cast("string"), value)).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """A metrics file as a row, or None where there is none."""
+def read_map(spark: SparkSession, path: str, value: str, key: str = "key") -> DataFrame:
+    """IO7: the rows of write_map's files, or of one object with many keys: (key, the columns of value's schema, or value itself)."""
+    text = spark.read.text(path, wholetext=not _is_folder(spark, path))
+    pairs = text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias(key, "value"))
+    return pairs.select(key, "value.*") if value.startswith("struct") else pairs
+
+
+def _at(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.getFileStatus(at).isDirectory()
+
+
+def write_metrics(df: DataFrame, path: str) -> None:
+    """IO8: the rows of a small table as one JSON file of objects, a line each; nulls are left out."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """IO9: a metrics file, or write_metrics' folder, as rows; None where there is none."""
+    fs, at = _at(spark, path)
+    if not fs.exists(at):
         return None
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", not fs.getFileStatus(at).isDirectory()).json(path)
 
 
 def resolve_column(df: DataFrame, contains: str, skip: Sequence[str] = ("id",)) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def remaining(todo: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
@@ -17,10 +18,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def run_resumable(spark: SparkSession, todo: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, key: str) -> DataFrame:
-    """Appends work's rows for what isn't in path yet; a run that broke off goes on where its last whole append ended."""
+def run_resumable(spark: SparkSession, todo: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, key: str, every: int | None = None) -> DataFrame:
+    """Appends work's rows for what isn't in path yet; a run that broke off goes on behind its last whole append.
+
+    every: about how many keys an append covers, so that a run that breaks off loses that many at most; None for one append.
+    Keys that work gives no row for come again in the next run.
+    """
     done = spark.read.parquet(path) if exists(spark, path) else None
-    work(remaining(todo, done, key)).write.mode("append").parquet(path)
+    left = remaining(todo, done, key)
+    parts = 1 if every is None else max(1, -(-left.select(key).distinct().count() // every))
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    for k in range(parts):
+        # path is read no more here: what is appended meanwhile has other keys.
+        work(left.filter(part == k) if parts > 1 else left).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lexiforge.functions import metrics, normalize, quality, segment
 from lexiforge.operators import align, augment, decode, mine, select
 
+# Inputs whose results are published or follow from the conventions' rules.
 SOURCE = {
     "a-na {d}UTU ša₂ an-ni-i₃": "a-na {d}UTU šá an-ni-ì",
     "[x x x] lu₂-ša₂-lim": "<gap> lú-šá-lim",
@@ -26,14 +27,26 @@ TARGET = {
 }
 
 
-@pytest.mark.parametrize(("text", "clean"), SOURCE.items())
-def test_source_rules(text, clean):
-    assert normalize.apply_rules(text, normalize.SOURCE_RULES) == clean
+def test_rules(spark):
+    for cases, clean in ((SOURCE, normalize.clean_source), (TARGET, normalize.clean_target)):
+        d = spark.createDataFrame(list(cases.items()), "t string, want string")
+        got = d.select("want", clean(F.col("t")).alias("got")).collect()
+        assert [r.got for r in got] == [r.want for r in got]
 
 
-@pytest.mark.parametrize(("text", "clean"), TARGET.items())
-def test_target_rules(text, clean):
-    assert normalize.apply_rules(text, normalize.TARGET_RULES) == clean
+def test_each_rule_by_hand(spark):
+    source = {
+        "Ḫa-ḫa": "Ha-ha", "a'b’c": "abc", "x₃ₓ": "x3x", "{D}UTU {MUNUS}x {giš}y {tug2}z {id2}w": "{d}UTU {f}x {gish}y {tug2}z {id2}w",
+        "{Big Gap} a {large break}": "<big_gap> a <big_gap>", "[..] b": "<gap> b", "[Missing] b": "<gap> b", "<<gone>>a <kept> <gap>": "a kept <gap>",
+        "[a b] c!?*#": "a b c", "SZa T,a": "Ša Ṭa", "a2 a2b U3": "á a2b Ù", "... ... x": "<gap> x", "<big_gap> <gap> x": "<big_gap> x", " a \u00a0 b ": "a b",
+    }
+    target = {
+        "a (SIC!) b (sing. x) c (note)": "a b c (note)", "<x> <gap>": "x <gap>", "Broken, Damaged brokenness": "<gap>, <gap> brokenness",
+        "1/3 3/4 1/8": "⅓ ¾ ⅛", "month IV Month VIII Month X, MONTH X": "month 4 Month 8 Month 10, MONTH X", "½": "1⁄2",
+    }
+    for cases, clean in ((source, normalize.clean_source), (target, normalize.clean_target)):
+        d = spark.createDataFrame(list(cases.items()), "t string, want string")
+        assert {r.t: r.got for r in d.select("t", clean(F.col("t")).alias("got")).collect()} == cases
 
 
 def test_normalise_null(spark):
@@ -51,18 +64,116 @@ def test_length_bounds(spark):
 
 
 def test_proportional(spark):
-    def reference(n, w):
+    def by_hand(n, w):
         total = sum(w) or 1
         c = [max(1, round(n * x / total)) for x in w]
-        while sum(c) > n:
+        while sum(c) > n and any(x > 1 for x in c):
             c[c.index(max(c))] -= 1
         while sum(c) < n:
             c[c.index(min(c))] += 1
         return c
 
-    for n, w in [(10, [5, 5, 5]), (3, [1, 1, 1, 1]), (7, [100, 1, 1]), (5, [2, 2]), (1, [9, 9])]:
+    for n, w in [(10, [5, 5, 5]), (3, [1, 1, 1, 1]), (7, [100, 1, 1]), (5, [2, 2]), (1, [9, 9]), (2, [50, 1, 1, 1]), (9, [1, 2, 30])]:
         got = one(spark, (n, w), "n int, w array<long>", segment.proportional_counts(F.col("n"), F.col("w")))
-        assert got == reference(n, w), (n, w)
+        assert got == by_hand(n, w), (n, w)
+    cut = lambda s, t: [tuple(x) for x in one(spark, (s, t), "s string, t string", segment.proportional_segments(F.col("s"), F.col("t")))]
+    assert cut("a b c", "X. Y. Z. W") == [("a", "X."), ("b", "Y."), ("c", "Z.")]
+    assert cut(" a  b\nc ", "Only one.") == [("a b c", "Only one.")]
+    assert cut(" ", "X. Y.") == [] and cut("a", " ") == [] and cut(None, "X") == []
+
+
+def test_align_documents(spark):
+    cases = {
+        ("KIŠIB a b c", "Seal of A. He said. They went."): ("anchors", [("KIŠIB a b c", "Seal of A. He said. They went.")]),
+        ("", "x"): ("none", []), (None, "x"): ("none", []), (" ", "X. Y."): ("none", []),
+        (" a b ", "One sentence."): ("single", [("a b", "One sentence.")]),
+        ("IGI a  b um-ma c", "One here. Two there."): ("zip", [("IGI a b", "One here."), ("um-ma c", "Two there.")]),
+        ("a b c d e f", "One two. Three four five six."): ("share", [("a b", "One two."), ("c d e f", "Three four five six.")]),
+    }
+    d = spark.createDataFrame([(i, *k) for i, k in enumerate(cases)], "i int, src string, tgt string")
+    got = {r.i: (r.how, [tuple(x) for x in r.pairs]) for r in align.align_documents(d).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_filters_on_blanks(spark):
+    d = spark.createDataFrame([("aaaaa", ""), ("aaaaa", "     "), ("", "aaaaa"), (None, None), ("ab cd ef", "ab cd ef")], "s string, t string")
+    s, t = F.col("s"), F.col("t")
+    rows = d.select(quality.pair_by_chars(s, t), quality.pair_by_words(s, t), quality.gap_ratio(s), quality.repetitive(t)).collect()
+    assert [(r[0], r[1]) for r in rows] == [(False, False), (True, False), (False, False), (False, False), (True, True)]
+    assert [r[2] for r in rows] == [0, 0, 1, 1, 0] and not any(r[3] for r in rows)
+    assert one(spark, ("The the THE the tHe the thE the",), "t string", quality.repetitive(F.col("t")))
+
+
+def test_fallback_counts_and_merging(spark):
+    docs = spark.createDataFrame([(1, "a b c", "One. Two."), (2, "a b", "X"), (3, "", "X"), (4, "a", None)], "doc_id int, src string, tgt string")
+    sents = spark.createDataFrame([(1, 1, "One.", 1), (1, 2, "Two.", 2)], "doc_id int, ord int, tgt string, first_word int")
+    made = align.with_fallback(docs, align.sentence_slices(docs, sents))
+    assert sorted((r.doc_id, r.src, r.tgt, r.method) for r in made.collect()) == [(1, "a", "One.", "sentences"), (1, "b c", "Two.", "sentences"), (2, "a b", "X", "proportional")]
+    assert sorted(tuple(r) for r in align.method_counts(docs, made).collect()) == [("proportional", 1, 1), ("sentences", 1, 2), ("skipped", 2, 0)]
+    old, new = (spark.createDataFrame(x, "src string, tgt string") for x in ([("a", "b"), ("a", "c"), (" ", "x")], [("a", "b"), ("d", "e")]))
+    assert sorted(tuple(r) for r in align.merge_pairs(old, new).collect()) == [("a", "b"), ("a", "c"), ("d", "e")]
+    pairs = spark.createDataFrame([(1, " ab cde ", "abcde f"), (0, "ab cde", "abcde f"), (2, "x", "abcdef")], "n int, src string, tgt string")
+    assert [tuple(r) for r in align.gate_pairs(pairs, F.col("n")).collect()] == [(0, "ab cde", "abcde f")]
+
+
+def test_ask_tells_errors(spark):
+    def call(prompt):
+        if "bad" in prompt:
+            raise TimeoutError("no answer")
+        return str(len(prompt))
+
+    docs = spark.createDataFrame([(1, "bad", "x"), (2, "good", None)], "doc_id int, src string, tgt string")
+    got = {r.doc_id: (r.response, r.error) for r in align.ask(docs, call).collect()}
+    assert got[1] == (None, "TimeoutError: no answer") and got[2][0] and got[2][1] is None
+
+
+def plain_counts(items, n):
+    out = {}
+    for i in range(len(items) - n + 1):
+        g = tuple(items[i : i + n])
+        out[g] = out.get(g, 0) + 1
+    return out
+
+
+def plain_scores(pairs):
+    """BLEU and chrF++ from their definitions, over texts of letters and blanks."""
+    h = sum(len(a.split()) for a, _ in pairs)
+    r = sum(len(b.split()) for _, b in pairs)
+    logs, smooth = 0.0, 1.0
+    for n in range(1, 5):
+        match = total = 0
+        for a, b in pairs:
+            x, y = plain_counts(a.split(), n), plain_counts(b.split(), n)
+            match += sum(min(v, y.get(g, 0)) for g, v in x.items())
+            total += sum(x.values())
+        if not match:
+            smooth *= 2
+        logs += math.log(match / total if match else 1 / (smooth * total)) / 4
+    bleu = 100 * min(1, math.exp(1 - r / h)) * math.exp(logs)
+    p = q = 0.0
+    for n, split in [(n, lambda t: t.replace(" ", "")) for n in range(1, 7)] + [(n, str.split) for n in (1, 2)]:
+        a_n = b_n = both = 0
+        for a, b in pairs:
+            x, y = plain_counts(split(a), n), plain_counts(split(b), n)
+            a_n, b_n = a_n + sum(x.values()), b_n + sum(y.values())
+            both += sum(min(v, y.get(g, 0)) for g, v in x.items())
+        p, q = p + both / a_n / 8, q + both / b_n / 8
+    return bleu, 100 * 5 * p * q / (4 * p + q)
+
+
+def test_corpus_scores(spark):
+    pairs = [("the cat sat on the mat", "the cat sits on a mat"), ("a dog ran to me today", "a big dog ran off today"), ("we give the silver to him now", "give him the silver now")]
+    d = spark.createDataFrame(pairs, "h string, r string").repartition(3)
+    got = metrics.corpus_scores(d, F.col("h"), F.col("r")).first()
+    bleu, chrf = plain_scores(pairs)
+    assert math.isclose(got.bleu, bleu) and math.isclose(got.chrf, chrf) and math.isclose(got.geo, math.sqrt(bleu * chrf)) and got.n == 3
+
+
+def test_comparison(spark):
+    d = spark.createDataFrame([("a", 10.0, None, 20.0, 0.0, 5_360_000), ("b", 1.0, 30.0, 40.0, 33.0, 582_800_000), ("c", None, None, None, None, None), ("d", 9.0, None, 1.0, 33.0, 1_200_000_000)], "model string, bleu double, eval_bleu double, chrf double, geo_mean double, total_params long")
+    rows = {r.model: r for r in metrics.comparison(d).collect()}
+    assert math.isclose(rows["a"].geo_mean, math.sqrt(200)) and rows["b"].bleu == 30 and rows["c"].geo_mean == 0
+    assert [rows[m].params for m in "abcd"] == ["5.4M", "582.8M", "—", "1.2B"] and [m for m in "abcd" if rows[m].best] == ["b"]
 
 
 def test_metrics():
@@ -80,6 +191,16 @@ def test_mbr():
     assert decode.select_candidate(["the cat sat", "the cat sits", "dog"]) in ("the cat sat", "the cat sits")
 
 
+def test_mbr_is_the_best_mean(spark):
+    pool = ["the cat sat", "the cat sits", "a dog", "the cat sat", "  ", "cats sat there"]
+    some = [c for c in dict.fromkeys(pool) if c.strip()]
+    score = lambda a: sum(metrics.sentence_geo(a, b) for b in some if b != a) / (len(some) - 1)
+    assert decode.select_candidate(pool) == max(some, key=score)
+    d = spark.createDataFrame([(1, i, t) for i, t in enumerate(pool)], "k int, i int, t string")
+    got = {r.pool: r.selected for r in decode.sweep(d, "k", "i", "t", [1, 3, 6]).collect()}
+    assert got == {k: decode.select_candidate(pool[:k]) for k in (1, 3, 6)}
+
+
 def test_reply(spark):
     fence = '```json\n[{"akkadian": "a-na x", "english": "to x."}, 3, {"akkadian": "ab", "english": "too short"}]\n```'
     got = one(spark, (fence,), "r string", align.parse_reply(F.col("r")))
@@ -109,6 +230,8 @@ def test_page_pairs(spark):
     text = "See BIN 4 45 for it.\nTranslation:\nThus says Ashur: give the silver to him.\nCommentary:\nnone"
     pages = spark.createDataFrame([(1, "p.pdf", text)], "page_seq int, pdf_name string, page_text string")
     texts = spark.createDataFrame([(1, "id1", "BIN 4 45", None, None, "um-ma a-šur-ma a-na")], "seq int, oare_id string, label string, aliases string, publication_catalog string, transliteration string")
+    flagged = pages.withColumn("has_akkadian", F.lit(False))
+    assert mine.page_pairs(flagged, texts).count() == 0 and mine.page_pairs(flagged.withColumn("has_akkadian", F.lit(True)), texts).count() == 1
     row = mine.page_pairs(pages, texts).first()
     assert row["oare_id"] == "id1" and row["translation"].startswith("Thus says Ashur")
 
@@ -121,11 +244,50 @@ def test_templates(spark):
 
 
 def test_span_corruption(spark):
-    d = spark.createDataFrame([(list(range(3, 60)),), ([1, 2],)], "tokens array<int>")
+    d = spark.createDataFrame([(list(range(3, 203)),), ([1, 2],)], "tokens array<int>")
     rows = augment.span_corruption(d).collect()
-    assert len(rows) == 1 and rows[0]["input_ids"][-1] == 1
-    kept = [x for x in rows[0]["input_ids"] + rows[0]["label_ids"] if 3 <= x < 60]
-    assert sorted(kept) == list(range(3, 60))
+    assert len(rows) == 1
+    ids, labels = rows[0]["input_ids"], rows[0]["label_ids"]
+    assert ids[-1] == labels[-1] == 1
+    spans, at = {}, None
+    for x in labels[:-1]:
+        if x >= 259:
+            at = spans.setdefault(x, [])
+        else:
+            at.append(x)
+    assert sorted(spans) == list(range(259, 259 + len(spans))) and 10 < sum(map(len, spans.values())) < 60
+    assert [y for x in ids[:-1] for y in (spans[x] if x >= 259 else [x])] == list(range(3, 203))
+
+
+def test_byte_ids(spark):
+    d = spark.createDataFrame([("aé本",), ("",), (None,)], "t string")
+    assert [r[0] for r in d.select(augment.byte_ids(F.col("t"))).collect()] == [[b + 3 for b in "aé本".encode()], [], []]
+
+
+def test_pseudo_labels(spark):
+    d = spark.createDataFrame([(3, "ab"), (1, "a longer text"), (2, None), (4, "another text"), (5, "not reached")], "seq int, transliteration string")
+    got = augment.pseudo_labels(d, lambda: lambda xs: [x.upper() for x in xs], "seq", most=3)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a longer text", "A LONGER TEXT", "pseudo_label"), (4, "another text", "ANOTHER TEXT", "pseudo_label")]
+
+
+def test_pool(spark):
+    a, b = (spark.createDataFrame([(x,) for x in v], "transliteration string") for v in (["p", "q", None], ["q", "r"]))
+    texts = lambda d: sorted(r.text for r in d.collect())
+    assert texts(select.monolingual_pool(a, b, a)) == ["p", "q", "r"] and texts(select.monolingual_pool(a, None, a)) == ["p", "q"]
+    assert texts(select.monolingual_pool(None, None, b)) == ["q", "r"] and select.monolingual_pool(None, None) is None
+
+
+def test_lexicon(spark):
+    words = spark.createDataFrame([(1, "abu I", '"father" (OB) "forefather" "a" "b"'), (2, "abu", '"other"'), (3, "ahu II", "1. brother; kin"), (4, " ", '"x"'), (5, "mu", None)], "seq int, word string, definition string")
+    glosses = mine.dictionary_glosses(words)
+    assert {tuple(r) for r in glosses.collect()} == {("abu", "father; forefather; a"), ("ahu", "brother")}
+    lex = spark.createDataFrame([(1, "a-bu", "abu", "x", "word"), (2, "a-ha", "none", "ahu", "word"), (3, "a-bu", "ahu", None, "word"), (4, "x", None, None, "word"), (5, "A-šur", "Aššur", " ", "PN"), (6, "Kà", "Kanesh", "Kaneš", "GN"), (7, "A-šur", "Ashur", "Aššur-2", "PN"), (8, "s", "abu", None, "word")], "seq int, form string, lexeme string, norm string, type string")
+    forms = mine.form_glosses(lex, glosses)
+    assert {tuple(r) for r in forms.collect()} == {("a-bu", "brother"), ("a-ha", "brother"), ("s", "father; forefather; a")}
+    assert {tuple(r) for r in mine.drills(forms, lex).collect()} == {("a-bu", "brother"), ("a-ha", "brother")}
+    nouns = mine.proper_nouns(lex)
+    assert {tuple(r) for r in nouns.collect()} == {("A-šur", "Aššur-2", "PN"), ("Kà", "Kaneš", "GN")}
+    assert [tuple(r) for r in mine.names_for_templates(nouns).collect()] == [("A-šur", "Aššur-2")]
 
 
 def test_splits_hold_under_partitioning(spark):

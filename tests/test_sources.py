@@ -32,3 +32,42 @@ def test_stream(spark, tmp_path):
     q = resume.stream_resumable(source, lambda df: df, str(tmp_path / "out"), str(tmp_path / "cp"), "k")
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_csv_sink_keeps_the_header(spark, tmp_path):
+    d = spark.createDataFrame([(1, 'a "b"\nc'), (2, None)], "id int, translation string")
+    for rows, name in ((d, "some"), (d.limit(0), "none")):
+        corpora.write_csv(rows, str(tmp_path / name))
+    assert [tuple(r) for r in corpora.read_csv(spark, str(tmp_path / "some"), corpora.SCHEMAS["submission"]).orderBy("id").collect()] == [(1, 'a "b"\nc'), (2, None)]
+    assert [f.read_text().strip() for f in (tmp_path / "none").glob("part-*")] == ["id,translation"]
+
+
+def test_maps_and_metrics(spark, tmp_path):
+    d = spark.createDataFrame([("a", "x", 1), ("b", None, 2)], "form string, gloss string, n int")
+    corpora.write_map(d, "form", str(tmp_path / "m"))
+    got = corpora.read_map(spark, str(tmp_path / "m"), "struct<gloss:string,n:int>", "form")
+    assert sorted(map(tuple, got.collect())) == [("a", "x", 1), ("b", None, 2)]
+    (tmp_path / "one.json").write_text('{"a": "x",\n "b": "y"}')
+    assert sorted(map(tuple, corpora.read_map(spark, str(tmp_path / "one.json"), "string").collect())) == [("a", "x"), ("b", "y")]
+    schema = "bleu double, geo_mean double"
+    corpora.write_metrics(spark.createDataFrame([(1.5, 2.5)], schema), str(tmp_path / "r"))
+    assert [tuple(r) for r in corpora.read_metrics(spark, str(tmp_path / "r"), schema).collect()] == [(1.5, 2.5)]
+    assert corpora.read_metrics(spark, str(tmp_path / "no"), schema) is None
+
+
+def test_resume_keeps_what_was_done(spark, tmp_path):
+    d = spark.range(100).withColumnRenamed("id", "k")
+    path, calls = str(tmp_path / "out"), []
+
+    def work(df):
+        calls.append(1)
+        if len(calls) == 3:
+            raise OSError("broken off")
+        return df
+
+    with pytest.raises(OSError, match="broken off"):
+        resume.run_resumable(spark, d, work, path, "k", every=20)
+    had = spark.read.parquet(path).count()
+    assert 0 < had < 100
+    out = resume.run_resumable(spark, d, lambda df: df, path, "k", every=20)
+    assert out.count() == out.distinct().count() == 100
