@@ -283,17 +283,79 @@ def test_lm(spark, docs):
     out = [zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 == 2 for r in rows]
     c = Counter(w for t, o in zip(tok, out, strict=True) if not o for w in t)
     n, v = sum(c.values()), len(c)
-    want = sorted((len(t), sum(c[w] > 0 for w in t), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 6)) for t in tok)
-    got = lm.score(spark, docs).collect()
+    base = lambda t: sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)
+    want = sorted((len(t), sum(c[w] > 0 for w in t), round(base(t), 6)) for t in tok)
+    got, p = lm.scored(spark, docs)
+    got = got.collect()
     assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-    assert all(r.train_tokens == n for r in got) and all(r.score < 0 for r in got)
+    assert all(r.train_tokens == n and r.score < 0 for r in got)
     assert lm.score(spark, docs.limit(0)).count() == 0
 
-
-def test_lm_is_normalised():
-    cells = np.zeros(lm.CLASSES**3, np.int64)
-    cells[np.random.default_rng(8).integers(0, len(cells), 5000)] += 3
-    assert np.allclose((10.0 ** lm.train_nce(cells)).sum(2), 1, atol=1e-4)
+    # The same from its definition, a token at a time.
+    own = [w for _, w in sorted((-k, w) for w, k in c.items() if w != "\n")]
+    unit = {"\n": 0} | {w: i + 1 for i, w in enumerate(own)}
+    group = lambda w: len(own) + 1 + int(lm.suffix_group(pa.array([w]))[0])
+
+    def plain(tokens):
+        ids, total = [unit.get(w, None) if w in unit else group(w) for w in tokens], 0.0
+        for t, u in enumerate(ids):
+            before = [ids[t - k] if t >= k else 0 for k in (1, 2)]
+            far = ids[max(t - 2 - lm.FAR, 0) : max(t - 2, 0)]
+            q = p["c"][0] * p["r"][before[0]] + p["c"][1] * p["r"][before[1]]
+            if far:
+                q = q + p["c"][2] * sum(p["r"][f].astype(float) for f in far) / len(far)
+            s = [float(q @ e + b) for e, b in zip(p["e"].astype(float), p["b"], strict=True)]
+            total += (s[u] - max(s) - math.log(sum(math.exp(x - max(s)) for x in s))) / math.log(10)
+        return total  # every known word is a unit, and an unknown one has all of its group
+
+    by = {(len(t), round(base(t), 6)): plain(t) for t in tok if len(t) < 100}
+    for r in got:
+        if r.n_tokens < 100:
+            assert math.isclose(r.score, by[r.n_tokens, round(r.base_score, 6)], abs_tol=1e-3)
+
+
+def test_lm_groups(spark):
+    """Words beyond the units: shares of a group add up to 1, and rare words are joined with their counts."""
+    n, once = np.array([10, 0, 4]), np.array([2, 0, 4])
+    unknown, known = lm.group_shares(n, once)
+    assert np.allclose(10.0**unknown + np.where(n > 0, 10.0**known * n, 0), 1)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.5))}" for _ in range(200))) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r for r in lm.score(spark, d).collect()}
+    lm.HELD, had = 500, lm.HELD
+    try:
+        less = {r.doc_id: r for r in lm.score(spark, d).collect()}
+    finally:
+        lm.HELD = had
+    for k, r in whole.items():
+        assert abs(r.score - less[k].score) < 0.05 * abs(r.score) and abs(r.base_score - less[k].base_score) < 1e-6 and r.n_known == less[k].n_known
+    held = [r for r in whole.values() if r.held_out]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_nce_gradient():
+    rng = np.random.default_rng(8)
+    units, n = 7, 5
+    noise = rng.random(units) + 0.1
+    p = {k: v.astype(np.float64) for k, v in lm.initial(noise / noise.sum()).items()}
+    ids = rng.integers(0, units, 40)
+    first = np.repeat([0, 25], [25, 15])
+    one, two, far = lm.context_of(ids, first, np.array([0, 1, 24, 26, 39]), units)
+    assert one.tolist() == [0, ids[0], ids[23], ids[25], ids[38]] and two.tolist() == [0, 0, ids[22], 0, ids[37]]
+    assert np.allclose(far.sum(1), [0, 0, 1, 0, 1])
+    shares = (one, two, far.astype(np.float64))
+    target, drawn = rng.integers(0, units, n), rng.integers(0, units, 6)
+    log_noise = np.log(noise)
+    _, g = lm.nce_step(p, shares, target, drawn, log_noise)
+    for k, x in p.items():
+        for at in [tuple(rng.integers(0, s) for s in x.shape) for _ in range(6)]:
+            had, losses = x[at], []
+            for d in (1e-4, -1e-4):
+                x[at] = had + d
+                losses.append(lm.nce_step(p, shares, target, drawn, log_noise)[0])
+            x[at] = had
+            assert abs((losses[0] - losses[1]) / 2e-4 - g[k][at]) < 1e-3
 
 
 def altered(item, rng, kind):
