@@ -33,7 +33,7 @@ from lexiforge.llm.simhash import joined_at
 from lexiforge.llm.xxh64 import hash_runs
 
 WINDOW, STRIDE, ITEM_STRIDE = 12, 4, 2
-RANK, OVERSAMPLE, POWER = 256, 16, 2
+RANK, OVERSAMPLE, POWER = 192, 16, 2
 #: A passage is a candidate from this cosine on: in the latent space, and as far as its words are the benchmark's.
 COSINE = 0.65
 #: Share of an item's words that the longest common subsequence has: enough alone, or with the answer.
@@ -54,15 +54,35 @@ BLOCK = 100_000
 ROWS = 1024
 
 
-def word_ids(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the words, lower-cased and bare of punctuation at their ends, and words per text."""
+def word_codes(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit hashes of the different words, lower-cased and bare of punctuation at their ends; which each word is; words per text."""
     flat, counts = split_words(values)
     coded = flat.dictionary_encode()
     bare = pc.utf8_trim(pc.utf8_lower(coded.dictionary), EDGES)
     size = pc.binary_length(bare).to_numpy(zero_copy_only=False).astype(np.int64)
     data = bare.buffers()[2].to_pybytes()[joined_at(bare)] if size.sum() else b""
     hashes = hash_runs(data, np.cumsum(size) - size, size, 7).astype(np.uint32) if len(size) else np.zeros(0, np.uint32)
-    return hashes[coded.indices.to_numpy(zero_copy_only=False)], counts
+    return hashes, coded.indices.to_numpy(zero_copy_only=False), counts
+
+
+def word_ids(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and words per text."""
+    hashes, of, counts = word_codes(values)
+    return hashes[of], counts
+
+
+def buckets_of_texts(hashes: np.ndarray, of: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bucket of each text's different words, as often as there are texts. Words are marked in a table of texts by words."""
+    width, out, ends = max(len(hashes), 1), [], np.cumsum(counts)
+    rows = max(1, (1 << 25) // width)
+    for lo in range(0, len(counts), rows):
+        some = counts[lo : lo + rows]
+        mine = of[ends[lo] - counts[lo] : ends[lo + len(some) - 1]]
+        there = np.zeros(len(some) * width, bool)
+        there[np.repeat(np.arange(len(some)) * width, some) + mine] = True
+        out.append(np.flatnonzero(there) % width)
+    which = np.concatenate(out) if out else np.zeros(0, np.int64)
+    return (hashes[which] & np.uint32(BUCKETS - 1)).astype(np.int64)
 
 
 def _encoded(keep: list[str]):
@@ -77,10 +97,9 @@ def _encoded(keep: list[str]):
         for batch in batches:
             kinds = [batch.column(c).type for c in keep]
             for part, values in steps(batch, "text"):
-                ids, counts = word_ids(values)
-                doc = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
-                pairs = np.unique((doc << 20) | (ids & np.uint32(BUCKETS - 1)))
-                df += np.bincount(pairs & (BUCKETS - 1), minlength=BUCKETS)
+                hashes, of, counts = word_codes(values)
+                ids = hashes[of]
+                np.add.at(df, buckets_of_texts(hashes, of, counts), 1)
                 n += len(counts)
                 at = pa.py_buffer(np.concatenate([[0], np.cumsum(4 * counts)]).astype(np.int32).tobytes())
                 words = pa.Array.from_buffers(pa.binary(), len(counts), [None, at, pa.py_buffer(ids.tobytes())])
