@@ -320,7 +320,7 @@ def test_lm_groups(spark):
     unknown, known = lm.group_shares(n, once)
     assert np.allclose(10.0**unknown + np.where(n > 0, 10.0**known * n, 0), 1)
     rng = random.Random(3)
-    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.5))}" for _ in range(200))) for i in range(60)]
+    rows = [(i, " ".join(f"{int(rng.paretovariate(0.5))}{'xy'[i % 2]}" for _ in range(200))) for i in range(60)]  # two languages
     d = spark.createDataFrame(rows, "doc_id long, text string")
     whole = {r.doc_id: r for r in lm.score(spark, d).collect()}
     lm.HELD, had = 500, lm.HELD
