@@ -63,17 +63,17 @@ WITH d AS (
   WHERE (3 * source_size)::DOUBLE >= ((total - full_before)::DOUBLE / (weights - weight_before)::DOUBLE) * weight
   ORDER BY k LIMIT 1
 ), t AS (
-  SELECT source, source_size, CASE WHEN (3 * source_size)::DOUBLE < level * weight THEN (3 * source_size)::DOUBLE ELSE weight * level END AS target
+  SELECT source, source_size, CASE weight WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS a, CASE WHEN (3 * source_size)::DOUBLE < level * weight THEN (3 * source_size)::DOUBLE ELSE weight * level END AS target
   FROM s, l
 ), b AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.a,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target,
-       (size * len(list_filter([0, 1, 2], lambda e: e * source_size + before + size / 2 < target)))::BIGINT AS taken
-FROM b""",
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies,
+       CASE WHEN copies > 0 THEN CASE WHEN a = 1 THEN u ELSE 2 * u / (a + sqrt(greatest(a * a + 4 * (1 - a) * u, 0))) END END AS position
+FROM (SELECT *, len(list_filter([0, 1, 2], lambda e: e * source_size + before + size / 2 < target))::BIGINT AS copies, (before + size / 2) / nullif(target, 0) AS u FROM b)""",
 }
 
 
@@ -138,7 +138,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.mixture(spark, table(spark, sf_dir, "documents"))
-    return made.select("doc_id", "size", "source_size", "target", "taken")
+    return made.select("doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("position"))
 
 
 def tokenizer_path() -> str:
