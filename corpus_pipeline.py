@@ -9,7 +9,7 @@ from lexiforge.llm import decontam, mixing, simhash, tokens, toxicity
 from lexiforge.llm.common import Workspace, in_written_order
 from lexiforge.llm.queries import table, tokenizer_path
 
-#: Stages without SQL (hashing, fitted models). Operators have tests of their own; the pipeline's test checks ids, starts and stage names only.
+#: Stages without SQL (hashing, fitted models). The pipeline's test holds dedup, mixing and tokens against plain Python and the fitted stages against their operators.
 ORACLE_SQL = None
 
 
