@@ -77,8 +77,10 @@ def format_chats(rows: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     chats = chats.withColumn("formatted", F.array_join(F.col("parts.text"), ""))
     lengths = F.transform("parts", lambda p: F.length(p["text"]).cast("long"))
     chats = chats.withColumn("lengths", lengths).withColumn("starts", sums_ahead(F.col("lengths")))
-    made = lambda p, i: F.struct(F.get(F.col("starts"), i).alias("start"), F.get(F.col("lengths"), i).alias("length"), p["loss"].alias("loss"))
-    return chats.select("conv_id", "formatted", F.transform("parts", made).alias("segments"), F.col("state").isin(*t.final).alias("valid"), "state")
+    # zipped, not looked up: a lambda that uses a column only once has its expression put in, and works it out per element
+    spans = F.zip_with("starts", "lengths", lambda s, n: F.struct(s.alias("start"), n.alias("length")))
+    made = lambda x, p: F.struct(x["start"], x["length"], p["loss"].alias("loss"))
+    return chats.select("conv_id", "formatted", F.zip_with(spans, F.col("parts"), made).alias("segments"), F.col("state").isin(*t.final).alias("valid"), "state")
 
 
 def read_turns(formatted: Column, template: Template = TEMPLATE) -> Column:
