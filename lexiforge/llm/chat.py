@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.arrays import sums_ahead
+from lexiforge.llm.arrays import let, sums_ahead
 
 
 @dataclass(frozen=True)
@@ -51,8 +51,8 @@ def unescape(text: Column) -> Column:
 def format_chats(rows: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """rows(conv_id, turn, role, text, ...) -> a row per conversation: conv_id, formatted, segments, valid, state.
 
-    segments is an array of (start, length, loss) over formatted, in code points, start from 0,
-    without gaps. Turns come by turn (null first), then role, then text; repeated rows are turns
+    segments is an array of (start, length, loss, first_byte, bytes) over formatted, without gaps: start and length in
+    code points, first_byte and bytes in bytes of UTF-8, both from 0. Turns come by turn (null first), then role, then text; repeated rows are turns
     of their own. Null texts and roles count as empty; unknown roles are formatted like others,
     without loss, and make the conversation invalid, as any role out of order does. A row with a null
     conv_id belongs to no other, so each is a conversation of its own. Other columns aren't read. An empty table gives
@@ -76,10 +76,11 @@ def format_chats(rows: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     chats = chats.select("conv_id", F.aggregate("turns", F.lit("start"), move).alias("state"), parts.alias("parts"))
     chats = chats.withColumn("formatted", F.array_join(F.col("parts.text"), ""))
     lengths = F.transform("parts", lambda p: F.length(p["text"]).cast("long"))
-    chats = chats.withColumn("lengths", lengths).withColumn("starts", sums_ahead(F.col("lengths")))
+    sizes = F.transform("parts", lambda p: F.octet_length(p["text"]).cast("long"))
+    chats = chats.withColumns({"lengths": lengths, "sizes": sizes})
     # zipped, not looked up: a lambda that uses a column only once has its expression put in, and works it out per element
-    spans = F.zip_with("starts", "lengths", lambda s, n: F.struct(s.alias("start"), n.alias("length")))
-    made = lambda x, p: F.struct(x["start"], x["length"], p["loss"].alias("loss"))
+    spans = F.arrays_zip(sums_ahead(F.col("lengths")).alias("start"), F.col("lengths").alias("length"), sums_ahead(F.col("sizes")).alias("first_byte"), F.col("sizes").alias("bytes"))
+    made = lambda x, p: F.struct(x["start"], x["length"], p["loss"].alias("loss"), x["first_byte"], x["bytes"])
     return chats.select("conv_id", "formatted", F.zip_with(spans, F.col("parts"), made).alias("segments"), F.col("state").isin(*t.final).alias("valid"), "state")
 
 
@@ -100,5 +101,6 @@ def read_turns(formatted: Column, template: Template = TEMPLATE) -> Column:
 
 def read_loss(formatted: Column, segments: Column) -> Column:
     """All text under the loss mask, unescaped."""
-    under = F.filter(segments, lambda s: s["loss"])
-    return F.array_join(F.transform(under, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    # Each segment is cut from the bytes: finding a code point's place means walking the text from its start.
+    cut = lambda b: F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(F.substring(b, (s["first_byte"] + 1).cast("int"), s["bytes"].cast("int")).cast("string")))
+    return F.array_join(let(formatted.cast("binary"), cut), "")

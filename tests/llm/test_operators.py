@@ -143,6 +143,20 @@ def test_chat(spark):
     assert chat.format_chats(d.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    said = [f"é{k}<b>&\U0001f600" for k in range(3001)]
+    d = spark.createDataFrame([(1, k, "user" if k % 2 == 0 else "assistant", x) for k, x in enumerate(said)], "conv_id long, turn long, role string, text string")
+    row = chat.format_chats(d).select("*", chat.read_loss(F.col("formatted"), F.col("segments")).alias("loss")).first()
+    whole, raw = row.formatted, row.formatted.encode()
+    assert row.loss == "".join(said[1::2]) and not row.valid
+    at = at_byte = 0
+    for x in row.segments:
+        assert (x.start, x.first_byte) == (at, at_byte)
+        at, at_byte = at + x.length, at_byte + x.bytes
+        assert raw[x.first_byte : at_byte].decode() == whole[x.start : at]
+    assert (at, at_byte) == (len(whole), len(raw))
+
+
 def test_pii(spark):
     texts = ["mail a.b-9@Ex.example.com, or 4111 1111 1111 1111; 4111111111111112", "on 2024-02-29 and 31/12/1999 not 2024-13-01", "+1 (017) 555-7713", "97.51.17.173 300.1.1.1", 'token = "04dbebab91ab85687d33"', "", None, "clean, 12.5 and 1,000", "4111111111111111 a.b-9@ex.example.com"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("pii", F.lit(1))
