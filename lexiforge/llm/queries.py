@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import chat, decontam, lm, mixing, pii, simhash, tokens, topk, toxicity, warc
+from lexiforge.llm import chat, decontam, golden, lm, mixing, pii, simhash, tokens, topk, toxicity, warc
 
 
 SQL = {
@@ -74,6 +74,31 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies,
        CASE WHEN copies > 0 THEN CASE WHEN a = 1 THEN u ELSE 2 * u / (a + sqrt(greatest(a * a + 4 * (1 - a) * u, 0))) END END AS position
 FROM (SELECT *, len(list_filter([0, 1, 2], lambda e: e * source_size + before + size / 2 < target))::BIGINT AS copies, (before + size / 2) / nullif(target, 0) AS u FROM b)""",
+    "op12_golden": r"""
+WITH c AS (
+  SELECT coalesce(master_id, client_id) AS cluster_id, client_id, epoch_us(updated_at) AS upd, nation_id,
+         CASE source WHEN 'crm' THEN 4 WHEN 'web' THEN 3 WHEN 'store' THEN 2 WHEN 'partner' THEN 1 ELSE 0 END AS trust,
+         CASE WHEN regexp_matches(name, '[^\x20\x09-\x0D]') THEN name END AS name, CASE WHEN regexp_matches(email, '[^\x20\x09-\x0D]') THEN email END AS email,
+         CASE WHEN regexp_matches(segment, '[^\x20\x09-\x0D]') THEN segment END AS segment, CASE WHEN regexp_matches(city, '[^\x20\x09-\x0D]') THEN city END AS city,
+         CASE WHEN isfinite(balance) THEN floor(100 * balance + 0.5)::BIGINT END AS cents
+  FROM clients
+), r AS (
+  SELECT *, coalesce(max(upd) OVER (PARTITION BY cluster_id) - upd > 60 * 24 * 3600 * 1000000::BIGINT, true) AS stale,
+         first_value(segment) OVER (PARTITION BY cluster_id ORDER BY segment IS NULL, upd DESC NULLS LAST, trust DESC, client_id NULLS LAST) AS chosen FROM c
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY segment IS NULL, upd DESC NULLS LAST, trust DESC, client_id NULLS LAST) AS by_segment,
+         row_number() OVER (PARTITION BY cluster_id ORDER BY email IS NULL, stale, trust DESC, upd DESC NULLS LAST, client_id NULLS LAST) AS by_email,
+         row_number() OVER (PARTITION BY cluster_id ORDER BY name IS NULL, length(name) DESC, stale, trust DESC, upd DESC NULLS LAST, client_id NULLS LAST) AS by_name,
+         row_number() OVER (PARTITION BY cluster_id ORDER BY cents IS NULL, coalesce(segment = chosen, false) DESC, upd DESC NULLS LAST, trust DESC, client_id NULLS LAST) AS by_balance,
+         row_number() OVER (PARTITION BY cluster_id ORDER BY (city IS NOT NULL)::INT + (nation_id IS NOT NULL)::INT DESC, stale, trust DESC, upd DESC NULLS LAST, client_id NULLS LAST) AS by_address FROM r
+)
+SELECT cluster_id, count(*) AS n_records, count(*) FILTER (stale) AS n_stale,
+       max(name) FILTER (by_name = 1) AS name, max(email) FILTER (by_email = 1) AS email, max(segment) FILTER (by_segment = 1) AS segment,
+       max(city) FILTER (by_address = 1) AS city, max(nation_id) FILTER (by_address = 1) AS nation_id, max(cents) FILTER (by_balance = 1) AS balance_cents,
+       max(client_id) FILTER (by_name = 1 AND name IS NOT NULL) AS name_from, max(client_id) FILTER (by_email = 1 AND email IS NOT NULL) AS email_from,
+       max(client_id) FILTER (by_segment = 1 AND segment IS NOT NULL) AS segment_from, max(client_id) FILTER (by_balance = 1 AND cents IS NOT NULL) AS balance_from,
+       max(client_id) FILTER (by_address = 1 AND (city IS NOT NULL OR nation_id IS NOT NULL)) AS address_from
+FROM k GROUP BY cluster_id""",
 }
 
 
@@ -152,6 +177,10 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.golden_records(spark, table(spark, sf_dir, "clients"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -164,6 +193,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_token_store": op9_token_store,
         "op10_mixing": op10_mixing,
+        "op12_golden": op12_golden,
     }
 
 
