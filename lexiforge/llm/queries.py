@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import chat, decontam, golden, lm, mixing, pii, simhash, tokens, topk, toxicity, warc
+from lexiforge.llm import chat, crosstok, decontam, golden, lm, mixing, pii, simhash, subword, tokens, topk, toxicity, warc
 
 
 SQL = {
@@ -166,10 +166,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("position"))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,10 +177,18 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword.scored(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden.golden_records(spark, table(spark, sf_dir, "clients"))
 
 
+def op13_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.aligned(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -193,7 +201,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_token_store": op9_token_store,
         "op10_mixing": op10_mixing,
+        "op11_subword": op11_subword,
         "op12_golden": op12_golden,
+        "op13_crosstok": op13_crosstok,
     }
 
 
