@@ -26,7 +26,8 @@ BUCKETS = 1 << 18
 DIM = 10
 #: Code points of character n-grams.
 CHARS = (3, 4, 5)
-EPOCHS, BATCH, RATE = 5, 4, 1.0
+#: Documents that training goes over, repeats counted: few documents are gone over more often. Steps take BATCH documents each.
+DRAWN, BATCH, RATE = 15_000, 4, 1.0
 #: Documents are held out whose crc32(doc_id as text) leaves this remainder; labels are learned from the others.
 FOLDS, HELD = 3, 1
 SEED = 7
@@ -172,22 +173,22 @@ def step(vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray, bucket: np.
     return float(loss), p.T @ mean, p.sum(0), each, of_vectors
 
 
-def fit(bucket: np.ndarray, count: np.ndarray, size: np.ndarray, label: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+def fit(bucket: np.ndarray, count: np.ndarray, size: np.ndarray, label: np.ndarray, drawn: int = DRAWN, seed: int = SEED) -> Model:
     """Documents' features one behind the other, and their labels (0 or 1) -> the model."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     softmax, bias = np.zeros((2, DIM)), np.zeros(2)
     start = np.cumsum(size) - size
     weight = count / np.repeat(np.maximum(segment_sums(count, size), 1), size)
-    total, done = epochs * len(label), 0
-    for _ in range(epochs):
+    total, done = max(drawn, len(label)), 0
+    while done < total:
         order = rng.permutation(len(label))
         for lo in range(0, len(order), BATCH):
             some = order[lo : lo + BATCH]
             n = size[some]
             at = np.repeat(start[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             _, of_softmax, of_bias, each, of_vectors = step(vectors, softmax, bias, bucket[at], weight[at], n, label[some])
-            rate = RATE * (1 - done / total)
+            rate = RATE * max(1 - done / total, 0)
             softmax -= rate * of_softmax
             bias -= rate * of_bias
             vectors[each] -= rate * of_vectors
@@ -216,7 +217,7 @@ def sampled(labels: DataFrame, sample: int) -> DataFrame:
     return per.filter(F.col("range") < int(np.searchsorted(np.cumsum(n), sample, "right"))).drop("range")
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> Model:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, drawn: int = DRAWN) -> Model:
     """Trains on sampled labelled documents that aren't held out; of rows with one doc_id the text that sorts first counts."""
     ws = Workspace(spark, "subword")
     some = ws.table(sampled(labels, sample), "labels")
@@ -228,7 +229,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS, bool), 0.0)
     flat = lambda c: seen[c].combine_chunks().flatten().to_numpy()
     size = pc.list_value_length(seen["buckets"]).to_numpy().astype(np.int64)
-    return fit(flat("buckets"), flat("counts").astype(np.float64), size, seen["label"].to_numpy(), epochs)
+    return fit(flat("buckets"), flat("counts").astype(np.float64), size, seen["label"].to_numpy(), drawn)
 
 
 def _score(model: Model):
@@ -240,7 +241,7 @@ def _score(model: Model):
     return run
 
 
-def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> DataFrame:
+def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, drawn: int = DRAWN) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, held_out, score, predicted for every row.
 
     score (0 to 1) is the chance of good quality as labels(doc_id, quality) mark it, learned from labels of documents that
@@ -249,7 +250,7 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int
     read. Without labels every score is 0.5; an empty table gives no rows.
     """
     bounded_batches(spark)
-    model = train(spark, docs, labels, sample, epochs)
+    model = train(spark, docs, labels, sample, drawn)
     score = F.arrow_udf(_score(model), "double")
     made = docs.select("doc_id", (remainder(F.col("doc_id")) == HELD).alias("held_out"), score(F.col("text")).alias("score"))
     return made.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
