@@ -1,121 +1,124 @@
-"""Corpus and sentence BLEU and chrF++: counts per row in an Arrow function, sums in Spark, then a formula.
+"""Corpus and sentence BLEU and chrF++ from n-grams that Spark counts.
 
 BLEU: order 4, 13a tokens, exponential smoothing; sentence BLEU uses the orders that a sentence has.
-chrF++: character order 6 without white space, word order 2, beta 2.
+chrF++: character order 6 without white space, word order 2, beta 2. A text's n-grams are exploded where the text lies, so that counting the
+grams that two texts share shuffles texts once and no gram.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lexiforge.functions.arrays import let
+from lexiforge.operators.select import free_name
+
 BLEU_N, CHAR_N, WORD_N, BETA = 4, 6, 2, 2
-_PUNCT = re.compile(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])")
-WIDTH = 2 * BLEU_N + 2 + 3 * (CHAR_N + WORD_N)
+#: The families of grams: tokens for BLEU, characters and words for chrF++, each with its orders.
+KINDS = [("t", n) for n in range(1, BLEU_N + 1)] + [("c", n) for n in range(1, CHAR_N + 1)] + [("w", n) for n in range(1, WORD_N + 1)]
+# The 13a rules, what they unescape and what they set apart, and the marks that chrF++ takes off a word's end or start.
+UNESCAPED = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+APART = (
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([^0-9])([\.,])", "$1 $2 "),
+    (r"([\.,])([^0-9])", " $1 $2"),
+    (r"([0-9])(-)", "$1 $2 "),
+)
+MARKS = ".,!?;:\"'()"
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+
+
+def tokens_13a(text: Column) -> Column:
+    for a, b in UNESCAPED:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    text = F.concat(F.lit(" "), text, F.lit(" "))
+    for a, b in APART:
+        text = F.regexp_replace(text, a, b)
+    return _words(text)
+
+
+def chrf_words(text: Column) -> Column:
+    """Words, with one mark at the end, or else at the start, set apart."""
+    mark = "[" + "".join("\\" + m for m in MARKS) + "]"
+    spaced = F.regexp_replace(F.array_join(_words(text), " "), rf"(?<=[^ ])({mark})(?= |$)", "\u0001$1")
+    spaced = F.regexp_replace(spaced, rf"(?<=^| )({mark})(?=[^ \u0001]+(?: |$))", "$1\u0001")
+    return F.split(F.replace(spaced, F.lit("\u0001"), F.lit(" ")), " ")
 
 
-def tokens_13a(text: str) -> list[str]:
-    for a, b in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
-        text = text.replace(a, b)
-    text = _PUNCT.sub(r" \1 ", f" {text} ")
-    text = re.sub(r"([^0-9])([\.,])", r"\1 \2 ", text)
-    text = re.sub(r"([\.,])([^0-9])", r" \1 \2", text)
-    return re.sub(r"([0-9])(-)", r"\1 \2 ", text).split()
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(F.array_join(_words(text), ""), ""), lambda c: c != "")
 
 
-def _grams(items, n: int) -> Counter:
-    return Counter(tuple(items[i : i + n]) for i in range(len(items) - n + 1))
+def units(text: Column) -> Column:
+    """What the grams of each family are made of: struct<t, c, w>."""
+    t = F.coalesce(text, F.lit(""))
+    of_words = F.filter(chrf_words(t), lambda w: w != "")
+    return F.struct(tokens_13a(t).alias("t"), _chars(t).alias("c"), of_words.alias("w"))
 
 
-def _chrf_words(text: str) -> list[str]:
+def size(x: Column, kind: str, n: int) -> Column:
+    """How many grams of a kind and order."""
+    return F.greatest(F.size(x[kind]) - (n - 1), F.lit(0)).cast("long")
+
+
+def grams(x: Column) -> Column:
+    """array<struct<k, g>>: all grams of units, k their place in KINDS. Grams of an order are those of the order below with a unit more."""
     out = []
-    for w in text.split():
-        if len(w) > 1 and w[-1] in ".,!?;:\"'()":
-            out += [w[:-1], w[-1]]
-        elif len(w) > 1 and w[0] in ".,!?;:\"'()":
-            out += [w[0], w[1:]]
-        else:
-            out.append(w)
-    return out
-
-
-class Grams:
-    """A text's counts of each order, which every comparison with another text uses."""
-
-    def __init__(self, text: str | None) -> None:
-        tokens = tokens_13a(text or "")
-        self.n = len(tokens)
-        self.bleu = [_grams(tokens, n) for n in range(1, BLEU_N + 1)]
-        chars, words = "".join((text or "").split()), _chrf_words(text or "")
-        self.chrf = [*(_grams(chars, n) for n in range(1, CHAR_N + 1)), *(_grams(words, n) for n in range(1, WORD_N + 1))]
-        self.sizes = [[x.total() for x in counts] for counts in (self.bleu, self.chrf)]
-
-    def stats(self, ref: Grams) -> list[int]:
-        """Matches and totals of each BLEU order, both lengths, then hypothesis, reference and matching grams of each chrF order."""
-        out = [*(_common(a, b) for a, b in zip(self.bleu, ref.bleu, strict=True)), *self.sizes[0], self.n, ref.n]
-        for a, b, x, y in zip(self.chrf, ref.chrf, self.sizes[1], ref.sizes[1], strict=True):
-            out += [x, y, _common(a, b)]
-        return out
-
-    def score(self, ref: Grams) -> float:
-        """M4."""
-        s = self.stats(ref)
-        return geo(bleu(s, effective=True), chrf(s))
-
-
-def _common(a: Counter, b: Counter) -> int:
-    """Grams that both have, as often as the one with fewer."""
-    if len(a) > len(b):
-        a, b = b, a
-    get = b.get
-    return sum(min(n, get(g, 0)) for g, n in a.items())
-
-
-def row_stats(hyp: str | None, ref: str | None) -> list[int]:
-    return Grams(hyp).stats(Grams(ref))
-
-
-def bleu(stats, effective: bool = False) -> float:
-    match, total, h, r = stats[:BLEU_N], stats[BLEU_N : 2 * BLEU_N], stats[2 * BLEU_N], stats[2 * BLEU_N + 1]
-    if not h or not any(match):
-        return 0.0
-    smooth, logs = 1.0, []
-    for m, t in zip(match, total, strict=True):
-        if not t:
-            if effective:
-                break
-            return 0.0
-        if not m:
-            smooth *= 2
-        logs.append(math.log(m / t if m else 1 / (smooth * t)))
-    brevity = 1.0 if h >= r else math.exp(1 - r / h)
-    return 100 * brevity * math.exp(sum(logs) / (len(logs) if effective else BLEU_N))
-
-
-def chrf(stats) -> float:
-    rows = [stats[i : i + 3] for i in range(2 * BLEU_N + 2, WIDTH, 3)]
-    rows = [(a, b, m) for a, b, m in rows if a and b]
-    if not rows:
-        return 0.0
-    p = sum(m / a for a, _, m in rows) / len(rows)
-    r = sum(m / b for _, b, m in rows) / len(rows)
-    return 100 * (1 + BETA**2) * p * r / (BETA**2 * p + r) if p + r else 0.0
-
-
-def geo(a: float, b: float) -> float:
-    return math.sqrt(a * b) if a > 0 and b > 0 else 0.0
-
-
-def sentence_geo(hyp: str, ref: str) -> float:
-    """M4."""
-    return Grams(hyp).score(Grams(ref))
+    for kind, most in (("t", BLEU_N), ("c", CHAR_N), ("w", WORD_N)):
+        between = "" if kind == "c" else "\u0001"
+        first = x[kind]
+
+        def longer(g: Column, n: int, first: Column = first, between: str = between) -> Column:
+            kept = F.greatest(F.size(first) - (n - 1), F.lit(0))
+            return F.zip_with(F.slice(g, F.lit(1), kept), F.slice(first, F.lit(n), kept), lambda a, b: F.concat(a, F.lit(between), b))
+
+        def all_of(g: Column, n: int, most: int = most, kind: str = kind, longer: Callable = longer) -> Column:
+            own = F.transform(g, lambda s: F.struct(F.lit(KINDS.index((kind, n))).alias("k"), s.alias("g")))
+            return own if n == most else F.concat(own, let(longer(g, n + 1), lambda h: all_of(h, n + 1)))
+
+        out.append(all_of(first, 1))
+    return F.concat(*out)
+
+
+def bleu(match: Column, total: Column, h: Column, r: Column, effective: bool = False) -> Column:
+    """0 to 100 of arrays by order and both lengths. An order without matches counts 1 / 2, then 1 / 4 and so on; effective: up to the order that the hypothesis has."""
+    zero = F.struct(F.lit(0.0).alias("zeros"), F.lit(0.0).alias("logs"), F.lit(0.0).alias("used"))
+
+    def add(a: Column, x: Column) -> Column:
+        zeros = a["zeros"] + F.when((x["t"] > 0) & (x["m"] == 0), 1.0).otherwise(0.0)
+        log = F.when(x["t"] == 0, 0.0).when(x["m"] > 0, F.ln(x["m"] / x["t"])).otherwise(-F.ln(F.pow(F.lit(2.0), zeros) * x["t"]))
+        return F.struct(zeros.alias("zeros"), (a["logs"] + log).alias("logs"), (a["used"] + F.when(x["t"] > 0, 1.0).otherwise(0.0)).alias("used"))
+
+    mean = F.aggregate(F.arrays_zip(match.alias("m"), total.alias("t")), zero, add, lambda a: F.exp(a["logs"] / (a["used"] if effective else F.lit(BLEU_N))))
+    brevity = F.when(h >= r, F.lit(1.0)).otherwise(F.exp(1 - r / h))
+    none = (h == 0) | (F.array_max(match) == 0)
+    return F.when(none if effective else none | (F.array_min(total) == 0), F.lit(0.0)).otherwise(100 * brevity * mean)
+
+
+def chrf(match: Column, of_h: Column, of_r: Column) -> Column:
+    """0 to 100 of arrays by order, over the orders that both sides have."""
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "p", "r")])
+    both = F.filter(F.arrays_zip(match.alias("m"), of_h.alias("h"), of_r.alias("r")), lambda x: (x["h"] > 0) & (x["r"] > 0))
+    add = lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["p"] + x["m"] / x["h"]).alias("p"), (a["r"] + x["m"] / x["r"]).alias("r"))
+    mean = lambda a: F.when(a["p"] + a["r"] > 0, 100 * (1 + BETA**2) * (a["p"] / a["n"]) * (a["r"] / a["n"]) / ((BETA**2 * a["p"] + a["r"]) / a["n"])).otherwise(0.0)
+    return F.aggregate(both, zero, add, mean)
+
+
+def geo(a: Column, b: Column) -> Column:
+    return F.when((a > 0) & (b > 0), F.sqrt(a * b)).otherwise(0.0)
+
+
+def scores(match: Column, of_h: Column, of_r: Column, effective: bool = False) -> tuple[Column, Column]:
+    """BLEU and chrF++ of matches and sizes, arrays in KINDS' order. A text's tokens are as many as its unigrams."""
+    tokens = lambda x: F.slice(x, 1, BLEU_N)
+    others = lambda x: F.slice(x, BLEU_N + 1, len(KINDS))
+    return bleu(tokens(match), tokens(of_h), of_h[0], of_r[0], effective), chrf(others(match), others(of_h), others(of_r))
 
 
 def comparison(metrics: DataFrame) -> DataFrame:
@@ -137,21 +140,41 @@ def comparison(metrics: DataFrame) -> DataFrame:
     return rows.withColumn("best", by_name == 1)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _stats(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([row_stats(a, b) for a, b in zip(hyp, ref, strict=True)])
+def _shared(rows: DataFrame, hyp: str | Column, ref: str | Column, by: list[str]) -> tuple[DataFrame, str, list[Column]]:
+    """A row for each row's different grams: by's columns, the row, k, g and how often both sides have it; the row's name; and the sums over KINDS, as arrays m, h and r.
 
+    Every text's grams are counted in the task that has the text, as grams are grouped by row first.
+    """
+    id_ = free_name(by, "row")
+    hyp, ref = (F.col(c) if isinstance(c, str) else c for c in (hyp, ref))
+    texts = rows.select(*by, F.monotonically_increasing_id().alias(id_), units(hyp).alias("hyp"), units(ref).alias("ref")).repartition(id_)
+    side = lambda x, a, b: F.transform(grams(x), lambda g: F.struct(g["k"].alias("k"), g["g"].alias("g"), F.lit(a).cast("long").alias("h"), F.lit(b).cast("long").alias("r")))
+    # The sizes of each order travel as one more gram, which no text has.
+    sizes = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(None).cast("string").alias("g"), size(F.col("hyp"), *o).alias("h"), size(F.col("ref"), *o).alias("r")) for k, o in enumerate(KINDS)])
+    every = texts.select(*by, id_, F.explode(F.concat(side(F.col("hyp"), 1, 0), side(F.col("ref"), 0, 1), sizes)).alias("x"))
+    counted = every.groupBy(*by, id_, F.col("x.k").alias("k"), F.col("x.g").alias("g")).agg(F.sum("x.h").alias("h"), F.sum("x.r").alias("r"))
+    of = lambda k, value: F.coalesce(F.sum(F.when(F.col("k") == k, value)), F.lit(0))
+    told = F.col("g").isNull()
+    values = {"sum_m": F.when(~told, F.least("h", "r")), "sum_h": F.when(told, F.col("h")), "sum_r": F.when(told, F.col("r"))}
+    return counted, id_, [F.array(*[of(k, v) for k in range(len(KINDS))]).alias(name) for name, v in values.items()]
 
-def corpus_scores(rows: DataFrame, hyp: str | Column, ref: str | Column, by: list[str] | None = None) -> DataFrame:
-    """M1-M3: bleu, chrf, geo and n over all rows, or per group. Sums are partial before the shuffle."""
-    by = by or []
-    named = rows.select(*by, _stats(hyp, ref).alias("s"))
-    sums = named.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(WIDTH)])
 
-    @F.pandas_udf("bleu double, chrf double, geo double")
-    def finish(s: pd.Series) -> pd.DataFrame:
-        got = [(bleu(list(x)), chrf(list(x))) for x in s]
-        return pd.DataFrame({"bleu": [a for a, _ in got], "chrf": [b for _, b in got], "geo": [geo(a, b) for a, b in got]})
+def corpus_scores(rows: DataFrame, hyp: str | Column, ref: str | Column, by: list[str] | None = None) -> DataFrame:
+    """M1-M3: bleu, chrf, geo and n over all rows, or per group. Sums are partial before the second shuffle.
 
-    scored = sums.withColumn("x", finish(F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0)) for i in range(WIDTH)])))
-    return scored.select(*by, "n", "x.bleu", "x.chrf", "x.geo")
+    Null texts are empty ones. Columns of by mustn't be called as the result's, nor k, g, h, r, x, hyp, ref or sum_m, sum_h, sum_r. Without rows the
+    scores over all are 0. A text's grams are held by its task, about 15 times the text.
+    """
+    by = by or []
+    counted, _, sums = _shared(rows, hyp, ref, by)
+    summed = counted.groupBy(*by).agg(F.count_if(F.col("g").isNull() & (F.col("k") == 0)).alias("n"), *sums)
+    b, c = scores(F.col("sum_m"), F.col("sum_h"), F.col("sum_r"))
+    return summed.select(*by, "n", b.alias("bleu"), c.alias("chrf")).withColumn("geo", geo(F.col("bleu"), F.col("chrf")))
+
+
+def sentence_scores(rows: DataFrame, hyp: str | Column, ref: str | Column, key: list[str]) -> DataFrame:
+    """M4: key's columns, bleu, chrf and geo of each row, BLEU by the orders that the hypothesis has. Repeated rows stay rows."""
+    counted, id_, sums = _shared(rows, hyp, ref, key)
+    b, c = scores(F.col("sum_m"), F.col("sum_h"), F.col("sum_r"), effective=True)
+    summed = counted.groupBy(*key, id_).agg(*sums)
+    return summed.select(*key, b.alias("bleu"), c.alias("chrf")).withColumn("geo", geo(F.col("bleu"), F.col("chrf")))

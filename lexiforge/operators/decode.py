@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiforge.functions.metrics import Grams
+from lexiforge.functions import metrics
 
 
 def translate(rows: DataFrame, load: Callable[[], Callable[[list[str]], list]], text: str, key: str, batch: int = 16, many: bool = False) -> DataFrame:
@@ -35,44 +35,65 @@ def translate(rows: DataFrame, load: Callable[[], Callable[[list[str]], list]],
     return rows.select(key, text).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {out}")
 
 
-def select_candidate(cands: list[str], keep_blank: bool = False) -> str:
-    """The candidate with the best mean score against the others, the earliest on ties.
+#: Scores are summed as whole numbers of this fraction, so that sums don't depend on their order and ties stay ties.
+FINE = 1_000_000_000
 
-    keep_blank scores blanks as references (they count 0); otherwise they are left out of the mean.
-    """
-    cands = list(dict.fromkeys((c or "").strip() if keep_blank else (c or "") for c in cands))
-    if not keep_blank:
-        cands = [c for c in cands if c.strip()]
-    if len(cands) < 2:
-        return cands[0] if cands else ""
-    grams = [Grams(c) for c in cands]  # each candidate is counted once
-    scores = [sum(a.score(b) for j, b in enumerate(grams) if j != i) / (len(cands) - 1) for i, a in enumerate(grams)]
-    return cands[scores.index(max(scores))]
 
+def pair_scores(rows: DataFrame, key: str, order: str, text: str, keep_blank: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidates (key, i, text), i the earliest place of each, and (key, i, j, s): i's score with j as its reference.
 
-def mbr(rows: DataFrame, key: str, order: str, text: str, most: int | None = None, keep_blank: bool = False) -> DataFrame:
-    """rows(key, order, text) -> (key, n_candidates, selected); most keeps the first candidates only."""
-    some = rows if most is None else rows.filter(F.col(order) < most)
-    lists = some.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, text))).alias("c"))
+    An index from each gram to the candidates that have it is joined with itself by key and gram, so that only pairs with a common gram
+    are looked at; all others score 0 and have no row. Both directions of a pair come from one count of what they share. Frequent grams of a large key are
+    skewed join keys, which Spark splits.
+    """
+    said = F.coalesce(F.col(text), F.lit(""))
+    said = F.regexp_replace(said, r"(?U)^\s+|\s+$", "") if keep_blank else said
+    named = rows.select(F.col(key).alias("key"), F.col(order).alias("i"), said.alias("text"))
+    named = named if keep_blank else named.filter(F.col("text").rlike(r"(?U)\S"))
+    cands = named.groupBy("key", "text").agg(F.min("i").alias("i"))
+    u = cands.select("key", "i", metrics.units(F.col("text")).alias("u")).repartition("key", "i")
+    kinds = list(enumerate(metrics.KINDS))
+    sizes = u.select("key", "i", F.array(*[metrics.size(F.col("u"), *o) for _, o in kinds]).alias("n"))
+    index = u.select("key", "i", F.explode(metrics.grams(F.col("u"))).alias("x")).groupBy("key", "i", F.col("x.k").alias("k"), F.col("x.g").alias("g")).agg(F.count("*").alias("c"))
+    a, b = index.alias("a"), index.alias("b")
+    same = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.i") < F.col("b.i"))
+    shared = [F.coalesce(F.sum(F.when(F.col("a.k") == k, F.least("a.c", "b.c"))), F.lit(0)).alias(f"m{k}") for k, _ in kinds]
+    pairs = a.join(b, same).groupBy(F.col("a.key").alias("key"), F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(*shared)
+    of = lambda at: sizes.select(F.col("key").alias(f"key_{at}"), F.col("i").alias(f"at_{at}"), F.col("n").alias(f"n_{at}"))
+    for at in ("i", "j"):
+        x = of(at)
+        pairs = pairs.join(x, pairs["key"].eqNullSafe(x[f"key_{at}"]) & (pairs[at] == x[f"at_{at}"])).drop(f"key_{at}", f"at_{at}")
+    match = F.array(*[F.col(f"m{k}") for k, _ in kinds])
+    fine = lambda h, r: F.round(metrics.geo(*metrics.scores(match, F.col(f"n_{h}"), F.col(f"n_{r}"), effective=True)) * FINE).cast("long")
+    both = F.explode(F.array(F.struct("i", "j", fine("i", "j").alias("s")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), fine("j", "i").alias("s"))))
+    return cands, pairs.select("key", both.alias("x")).select("key", "x.i", "x.j", "x.s").filter("s > 0")
 
-    @F.pandas_udf("string")
-    def pick(c: pd.Series) -> pd.Series:
-        return c.map(lambda x: select_candidate(list(x), keep_blank))
 
-    return lists.select(key, F.size("c").alias("n_candidates"), pick(F.col(f"c.{text}")).alias("selected"))
+def sweep(rows: DataFrame, key: str, order: str, text: str, sizes: list[int], keep_blank: bool = False) -> DataFrame:
+    """mbr's choice from the candidates with order < k for each k of sizes: (key, pool, n_candidates, selected).
 
+    The whole pool is scored once. A candidate's sum over each pool is a sum of those scores with j < k, and its mean's divisor is the same for all of a pool, so
+    the largest sum is chosen, the earliest candidate on ties. n_candidates counts repeated and blank ones too; keys without candidates in a pool have no row.
+    """
+    cands, pairs = pair_scores(rows.filter(F.col(order) < max(sizes)), key, order, text, keep_blank)
+    sums = pairs.groupBy("key", "i").agg(*[F.sum(F.when(F.col("j") < k, F.col("s"))).alias(f"s{k}") for k in sizes])
+    x = sums.select(F.col("key").alias("of"), F.col("i").alias("at"), *[f"s{k}" for k in sizes])
+    every = cands.join(x, cands["key"].eqNullSafe(x["of"]) & (cands["i"] == x["at"]), "left")
+    best = lambda k: F.max_by("text", F.when(F.col("i") < k, F.struct(F.coalesce(f"s{k}", F.lit(0)), -F.col("i"))))
+    chosen = every.groupBy("key").agg(*[best(k).alias(f"c{k}") for k in sizes])
+    counts = rows.groupBy(F.col(key).alias("of")).agg(*[F.count_if(F.col(order) < k).alias(f"n{k}") for k in sizes])
+    made = counts.join(chosen, counts["of"].eqNullSafe(chosen["key"]), "left")
+    pools = F.explode(F.array(*[F.struct(F.lit(k).alias("pool"), F.col(f"n{k}").cast("int").alias("n_candidates"), F.coalesce(f"c{k}", F.lit("")).alias("selected")) for k in sizes]))
+    return made.select(F.col("of").alias(key), pools.alias("x")).select(key, "x.pool", "x.n_candidates", "x.selected").filter("n_candidates > 0")
 
-def sweep(rows: DataFrame, key: str, order: str, text: str, sizes: list[int], keep_blank: bool = False) -> DataFrame:
-    """mbr's choice from the first k candidates for each k of sizes, from one pool: (key, pool, n_candidates, selected)."""
-    at = F.explode(F.array(*[F.lit(k) for k in sizes])).alias("pool")
-    some = rows.select(key, order, text, at).filter(F.col(order) < F.col("pool"))
-    lists = some.groupBy(key, "pool").agg(F.sort_array(F.collect_list(F.struct(order, text))).alias("c"))
 
-    @F.pandas_udf("string")
-    def pick(c: pd.Series) -> pd.Series:
-        return c.map(lambda x: select_candidate(list(x), keep_blank))
+def mbr(rows: DataFrame, key: str, order: str, text: str, most: int | None = None, keep_blank: bool = False) -> DataFrame:
+    """rows(key, order, text) -> (key, n_candidates, selected): the candidate with the best mean score against the others, the earliest on ties.
 
-    return lists.select(key, "pool", F.size("c").alias("n_candidates"), pick(F.col(f"c.{text}")).alias("selected"))
+    most keeps the candidates with order < most only. Blank candidates are left out; keep_blank strips all and counts a blank as one that scores 0.
+    Without a candidate the choice is empty.
+    """
+    return sweep(rows, key, order, text, [most if most is not None else (1 << 31) - 1], keep_blank).drop("pool")
 
 
 def vocabulary(rows: DataFrame, text: str) -> DataFrame:

@@ -49,6 +49,13 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 PARTS = 4096
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """The name, with as many underscores behind it as it takes to be none of those taken, in any case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def keyed_hash(*columns, seed: int = 42) -> Column:
     """60 bits of md5 of the seed and the columns, as any engine works it out."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) if isinstance(c, str) else c for c in columns])

@@ -494,17 +494,76 @@ def identifier_index(spark, sf_dir):
     return mine.identifier_index(t)
 
 
-@query()
+def _tokens_sql(x: str) -> str:
+    for plain, to in metrics.UNESCAPED:
+        x = f"replace({x}, {_quote(plain)}, {_quote(to)})"
+    x = _regex_sql(f"' ' || {x} || ' '", *[(rule, to.replace("$", "\\")) for rule, to in metrics.APART])
+    return WORDS_SQL.format(x)
+
+
+def _set_apart_sql(words: str) -> str:
+    marks = f"contains({_quote(metrics.MARKS)}, {{0}})".format
+    return f"flatten(list_transform({words}, lambda w: CASE WHEN length(w) > 1 AND {marks('right(w, 1)')} THEN [left(w, -1), right(w, 1)] WHEN length(w) > 1 AND {marks('left(w, 1)')} THEN [left(w, 1), substr(w, 2)] ELSE [w] END))"
+
+
+def _scores_sql(effective: bool) -> str:
+    """texts(id, text) and compared(id, a, b), ids of texts -> scored(id, bleu, chrf, geo); with effective False of all of compared with an id."""
+    used, none = ("sum((h > 0)::INT)", "") if effective else ("4", " OR min(h) = 0")
+    at_first = lambda c: f"max({c}) FILTER (k = 0)"
+    return f"""kinds AS (SELECT unnest(range({len(metrics.KINDS)})) AS k, unnest([{', '.join(repr(x) for x, _ in metrics.KINDS)}]) AS kind, unnest([{', '.join(str(n) for _, n in metrics.KINDS)}]) AS n),
+units AS (SELECT id, 't' AS kind, {_tokens_sql('text')} AS u FROM texts UNION ALL SELECT id, 'c', list_filter(string_split(regexp_replace(text, '\\s+', '', 'g'), ''), lambda x: x <> '') FROM texts UNION ALL SELECT id, 'w', {_set_apart_sql(WORDS_SQL.format('text'))} FROM texts),
+ordered AS (SELECT id, k, greatest(len(u) - n + 1, 0) AS size, list_transform(range(1, greatest(len(u) - n + 1, 0) + 1), lambda i: array_to_string(u[i : i + n - 1], chr(1))) AS g FROM units JOIN kinds USING (kind)),
+grams AS (SELECT id, k, g, count(*) AS c FROM (SELECT id, k, unnest(g) AS g FROM ordered) GROUP BY ALL),
+matched AS (SELECT p.id, p.a, p.b, x.k, sum(least(x.c, y.c)) AS m FROM compared p JOIN grams x ON x.id = p.a JOIN grams y ON y.id = p.b AND y.k = x.k AND y.g = x.g GROUP BY ALL),
+sums AS (SELECT p.id, x.k, sum(coalesce(m, 0)) AS m, sum(x.size) AS h, sum(y.size) AS r FROM compared p JOIN ordered x ON x.id = p.a JOIN ordered y ON y.id = p.b AND y.k = x.k LEFT JOIN matched t ON t.id = p.id AND t.a = p.a AND t.b = p.b AND t.k = x.k GROUP BY ALL),
+smoothed AS (SELECT *, sum((m = 0 AND h > 0)::INT) OVER (PARTITION BY id ORDER BY k) AS z FROM sums WHERE k < 4),
+bleus AS (SELECT id, CASE WHEN {at_first('h')} = 0 OR max(m) = 0{none} THEN 0 ELSE 100 * exp(least(0, 1 - {at_first('r')}::DOUBLE / {at_first('h')})) * exp(sum(CASE WHEN h = 0 THEN 0 WHEN m > 0 THEN ln(m::DOUBLE / h) ELSE -ln(pow(2, z) * h) END) / {used}) END AS bleu FROM smoothed GROUP BY id),
+chrfs AS (SELECT id, avg(m::DOUBLE / h) AS p, avg(m::DOUBLE / r) AS q FROM sums WHERE k >= 4 AND h > 0 AND r > 0 GROUP BY id),
+scored AS (SELECT id, bleu, CASE WHEN p + q > 0 THEN 500 * p * q / (4 * p + q) ELSE 0 END AS chrf FROM bleus LEFT JOIN chrfs USING (id))"""
+
+
+@query(f"""WITH {PAIRS_SQL}, n AS (SELECT row_number() OVER () AS row, src, tgt FROM pairs), texts AS (SELECT 2 * row AS id, src AS text FROM n UNION ALL SELECT 2 * row + 1, tgt FROM n),
+compared AS (SELECT 0 AS id, 2 * row AS a, 2 * row + 1 AS b FROM n), {_scores_sql(False)}
+SELECT (SELECT count(*) FROM n) AS n, round(bleu, 6) AS bleu, round(chrf, 6) AS chrf, round(sqrt(bleu * chrf), 6) AS geo FROM scored""")
 def bleu_chrf_corpus(spark, sf_dir):
-    return metrics.corpus_scores(pairs(spark, sf_dir), F.col("src"), F.col("tgt"))
+    """M1 to M3 over all pairs, the user's turn as the hypothesis."""
+    made = metrics.corpus_scores(pairs(spark, sf_dir), F.col("src"), F.col("tgt"))
+    return made.select("n", *[F.round(c, 6).alias(c) for c in ("bleu", "chrf", "geo")])
 
 
-@query()
+@query(f"""WITH {PAIRS_SQL}, n AS (SELECT row_number() OVER () AS row, * FROM pairs), texts AS (SELECT 2 * row AS id, src AS text FROM n UNION ALL SELECT 2 * row + 1, tgt FROM n),
+compared AS (SELECT row AS id, 2 * row AS a, 2 * row + 1 AS b FROM n), {_scores_sql(True)}
+SELECT conv_id, turn, round(bleu, 6) AS bleu, round(chrf, 6) AS chrf, round(sqrt(bleu * chrf), 6) AS geo FROM scored JOIN n ON id = row""")
+def bleu_chrf_sentences(spark, sf_dir):
+    """M4 of every pair."""
+    made = metrics.sentence_scores(pairs(spark, sf_dir), "src", "tgt", ["conv_id", "turn"])
+    return made.select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("bleu", "chrf", "geo")])
+
+
+POOLS = [1, 2, 4, 8, 1 << 30]
+POOLED_SQL = f"""pool AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant'),
+cands AS (SELECT row_number() OVER () AS id, conv_id, min(turn) AS i, text FROM pool WHERE regexp_matches(text, '\\S') GROUP BY conv_id, text), texts AS (SELECT id, text FROM cands),
+compared AS (SELECT (x.id, y.id) AS id, x.id AS a, y.id AS b FROM cands x JOIN cands y ON x.conv_id IS NOT DISTINCT FROM y.conv_id AND x.id <> y.id), {_scores_sql(True)},
+fine AS (SELECT x.conv_id, x.id, y.i AS j, round(sqrt(bleu * chrf) * 1e9)::BIGINT AS s FROM scored z JOIN cands x ON x.id = z.id[1] JOIN cands y ON y.id = z.id[2]),
+ks AS (SELECT unnest({POOLS}) AS pool), totals AS (SELECT k.pool, c.conv_id, c.i, c.text, coalesce(sum(f.s), 0) AS s FROM ks k JOIN cands c ON c.i < k.pool LEFT JOIN fine f ON f.id = c.id AND f.j < k.pool GROUP BY ALL),
+best AS (SELECT pool, conv_id, arg_max(text, (s, -i)) AS selected FROM totals GROUP BY ALL), sizes AS (SELECT k.pool, conv_id, count(*) AS n FROM pool JOIN ks k ON turn < k.pool GROUP BY ALL),
+swept AS (SELECT n.conv_id, n.pool, n.n::INT AS n_candidates, coalesce(selected, '') AS selected FROM sizes n LEFT JOIN best b ON n.pool = b.pool AND n.conv_id IS NOT DISTINCT FROM b.conv_id)"""
+
+
+@query(f"WITH {POOLED_SQL} SELECT conv_id, n_candidates, selected FROM swept WHERE pool = {POOLS[-1]}")
 def mbr_select(spark, sf_dir):
+    """Of each conversation's answers the one that is most like the others."""
     c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
     return decode.mbr(c, "conv_id", "turn", "text")
 
 
+@query(f"WITH {POOLED_SQL} SELECT * FROM swept")
+def mbr_sweep(spark, sf_dir):
+    """The same from the first turns only, for several numbers of turns at once."""
+    c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    return decode.sweep(c, "conv_id", "turn", "text", POOLS)
+
+
 @query(f"SELECT doc_id, {source_sql('text')} AS text FROM documents")
 def normalize_source(spark, sf_dir):
     """N1 to N18 over all documents, which are in NFKC as they are."""
@@ -652,19 +711,41 @@ def char_codes(spark, sf_dir):
     return c.select("conv_id", "turn", F.array_join(F.col("codes").cast("array<string>"), " ").alias("codes"), decode.decode(F.col("codes"), F.col("back")).alias("back"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, list_transform(string_split_regex(text, '\s+'), lambda w: length(w)) AS tokens FROM documents),
-k AS (SELECT doc_id, tokens, md5(array_to_string(tokens, ' ')) AS k FROM t WHERE len(tokens) >= 5),
-u AS (SELECT doc_id, k, unnest(tokens) AS x, unnest(range(len(tokens))) AS i FROM k), h AS (SELECT *, ('0x' || substr(md5('42|' || k || '|' || i), 1, 15))::BIGINT % 10000 < 1500 AS m FROM u),
-o AS (SELECT *, m AND NOT coalesce(lag(m) OVER (PARTITION BY doc_id ORDER BY i), false) AS o FROM h), n AS (SELECT *, 258 + sum(o::INT) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM o)
-SELECT doc_id, coalesce(string_agg(CASE WHEN NOT m THEN x ELSE s END || ' ', '' ORDER BY i) FILTER (NOT m OR o), '') || '1' AS input_ids, coalesce(string_agg(CASE WHEN o THEN s || ' ' ELSE '' END || x || ' ', '' ORDER BY i) FILTER (m), '') || '1' AS label_ids FROM n GROUP BY doc_id""")
+@query(rf"""WITH t AS (SELECT doc_id, list_transform(string_split_regex(text, '\s+')[1:512], lambda w: length(w)) AS tokens FROM documents WHERE text IS NOT NULL),
+k AS (SELECT row_number() OVER () AS row, doc_id, tokens, md5(array_to_string(tokens, ' ')) AS k FROM t WHERE len(tokens) >= 5),
+u AS (SELECT row, doc_id, k, len(tokens) AS n, unnest(tokens) AS x, unnest(range(len(tokens))) AS i FROM k),
+h AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY {KEYED_SQL.format("k || '|' || i")}, i) <= greatest(1, floor(n * 0.15)) AS m FROM u),
+o AS (SELECT *, m AND NOT coalesce(lag(m) OVER (PARTITION BY row ORDER BY i), false) AS o FROM h), s AS (SELECT *, 258 + sum(o::INT) OVER (PARTITION BY row ORDER BY i) AS s FROM o)
+SELECT doc_id, coalesce(string_agg(CASE WHEN NOT m THEN x ELSE s END || ' ', '' ORDER BY i) FILTER (NOT m OR o), '') || '1' AS input_ids, coalesce(string_agg(CASE WHEN o THEN s || ' ' ELSE '' END || x || ' ', '' ORDER BY i) FILTER (m), '') || '1' AS label_ids FROM s GROUP BY row, doc_id""")
 def span_corruption(spark, sf_dir):
-    """G5 over the documents, with the lengths of their words as tokens."""
+    """G5 over the documents, with the lengths of their first 512 words as tokens: 512 ids are 76 masked ones at most, so sentinels don't run out."""
     t = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", r"\s+"), lambda w: F.length(w)).alias("tokens"))
     made = augment.span_corruption(t)
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
     return made.select("doc_id", joined("input_ids"), joined("label_ids"))
 
 
+@query(f"""WITH {PAIRS_SQL}, b AS (SELECT conv_id, turn, list_concat({BYTES_SQL.replace("text", "src")}[1:511], [1]) AS a, list_concat({BYTES_SQL.replace("text", "tgt")}[1:511], [1]) AS b FROM pairs),
+w AS (SELECT *, max(len(a)) OVER (PARTITION BY conv_id) AS wa, max(len(b)) OVER (PARTITION BY conv_id) AS wb FROM b)
+SELECT conv_id, turn, array_to_string(list_concat(a, list_transform(range(wa - len(a)), lambda x: 0)), ' ') AS input_ids,
+       array_to_string(list_concat(list_transform(a, lambda x: 1), list_transform(range(wa - len(a)), lambda x: 0)), ' ') AS attention_mask,
+       array_to_string(list_concat(b, list_transform(range(wb - len(b)), lambda x: -100)), ' ') AS labels FROM w""")
+def byte_batches(spark, sf_dir):
+    """X13 over the pairs: both sides cut at 512 ids, a conversation's pairs padded together, without loss on the labels' padding."""
+    made = augment.padded(augment.byte_examples(pairs(spark, sf_dir)), "conv_id")
+    return made.select("conv_id", "turn", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
+@query("""WITH n AS (SELECT doc_id, greatest(length(text), 1) AS n FROM documents WHERE text IS NOT NULL), s AS (SELECT *, greatest(1, pow(2, floor(log2(n)) - 4)::INT) AS s FROM n),
+w AS (SELECT doc_id, CASE WHEN ceil(n / s) * s > 65536 THEN n ELSE ceil(n / s) * s END::INT AS width FROM s), c AS (SELECT width, count(*) AS n, greatest(1, floor(65536 / width)) AS holds FROM w GROUP BY width)
+SELECT width, n, ceil(n / holds)::BIGINT AS batches FROM c""")
+def length_buckets(spark, sf_dir):
+    """X7 over the documents: how many batches of at most 65,536 characters each width takes."""
+    lengths = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.length("text").alias("length"))
+    made = augment.length_buckets(lengths, 1 << 16, "doc_id")
+    return made.groupBy("width").agg(F.count("*").alias("n"), F.countDistinct("batch").alias("batches"))
+
+
 MODELS = [("a", 10.0, None, 20.0, 0.0, 5360000), ("b", 1.0, 30.0, 40.0, 33.0, 582800000), ("c", None, None, None, None, None), ("d", 9.0, None, 1.0, 33.0, 1200000000), ("e", 1.0, None, 1.0, None, 86000)]
 MODEL_SCHEMA = "model string, bleu double, eval_bleu double, chrf double, geo_mean double, total_params long"
 

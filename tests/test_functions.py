@@ -1,5 +1,6 @@
 import math
 
+import plain_metrics as plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,29 +177,59 @@ def test_comparison(spark):
     assert [rows[m].params for m in "abcd"] == ["5.4M", "582.8M", "—", "1.2B"] and [m for m in "abcd" if rows[m].best] == ["b"]
 
 
-def test_metrics():
-    same = metrics.row_stats("the cat sat on the mat", "the cat sat on the mat")
-    assert math.isclose(metrics.bleu(same), 100) and math.isclose(metrics.chrf(same), 100)
-    none = metrics.row_stats("aaa", "bbb")
-    assert metrics.bleu(none) == 0 and metrics.chrf(none) == 0 and metrics.geo(0, 5) == 0
-    assert metrics.bleu(metrics.row_stats("", "x")) == 0
+ODD = ["", " ", "a", "a.", "(a", "'", "''", "a-b 3-4", "1,000.5, x", "the cat (sat) &quot;on&quot; it!", "x-\ny\nz", "日本 語。", "don't \u00a0 stop", "U.S. a.b", "ab ab ab ab", "(a)", "?!", "naïve é"]
 
 
-def test_mbr():
-    assert decode.select_candidate([]) == ""
-    assert decode.select_candidate(["a b c"]) == "a b c"
-    assert decode.select_candidate(["x y", "x y"]) == "x y"
-    assert decode.select_candidate(["the cat sat", "the cat sits", "dog"]) in ("the cat sat", "the cat sits")
+def test_sentence_scores_agree_with_plain_python(spark):
+    pairs = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in ODD for b in ODD)] + [(-1, None, "x"), (-2, "the cat sat on the mat", "the cat sat on the mat"), (-2, "the cat sat on the mat", "the cat sat on the mat")]
+    d = spark.createDataFrame(pairs, "i int, h string, t string")
+    got = sorted((r.i, r.geo, r.bleu, r.chrf) for r in metrics.sentence_scores(d, "h", "t", ["i"]).collect())
+    assert len(got) == len(pairs)
+    for (i, g, b, c), (_, x, y) in zip(got, sorted(pairs, key=lambda p: p[0])):
+        s = plain.row_stats(x, y)
+        want = plain.bleu(s, effective=True), plain.chrf(s)
+        assert math.isclose(b, want[0], abs_tol=1e-9) and math.isclose(c, want[1], abs_tol=1e-9) and math.isclose(g, plain.geo(*want), abs_tol=1e-9), (x, y)
 
 
-def test_mbr_is_the_best_mean(spark):
-    pool = ["the cat sat", "the cat sits", "a dog", "the cat sat", "  ", "cats sat there"]
-    some = [c for c in dict.fromkeys(pool) if c.strip()]
-    score = lambda a: sum(metrics.sentence_geo(a, b) for b in some if b != a) / (len(some) - 1)
-    assert decode.select_candidate(pool) == max(some, key=score)
-    d = spark.createDataFrame([(1, i, t) for i, t in enumerate(pool)], "k int, i int, t string")
-    got = {r.pool: r.selected for r in decode.sweep(d, "k", "i", "t", [1, 3, 6]).collect()}
-    assert got == {k: decode.select_candidate(pool[:k]) for k in (1, 3, 6)}
+def test_corpus_scores_by_group_and_of_nothing(spark):
+    pairs = [("p", a, b) for a in ODD[:9] for b in ODD[6:]] + [(None, "the cat sat on it", "the cat sat"), (None, "a b c d e", "a b c d f")]
+    d = spark.createDataFrame(pairs, "grp string, a string, b string")
+    got = {r.grp: r for r in metrics.corpus_scores(d, "a", "b", ["grp"]).collect()}
+    for grp in ("p", None):
+        some = [plain.row_stats(a, b) for k, a, b in pairs if k == grp]
+        sums = [sum(x) for x in zip(*some)]
+        assert got[grp].n == len(some) and math.isclose(got[grp].bleu, plain.bleu(sums), abs_tol=1e-9) and math.isclose(got[grp].chrf, plain.chrf(sums), abs_tol=1e-9)
+    r = metrics.corpus_scores(d.limit(0), "a", "b").first()
+    assert (r.n, r.bleu, r.chrf, r.geo) == (0, 0, 0, 0)
+
+
+def test_no_python_in_scores_and_choice(spark):
+    d = spark.createDataFrame([(1, 0, "a b", "a c")], "k int, i int, h string, r string")
+    for made in (metrics.corpus_scores(d, "h", "r"), decode.mbr(d, "k", "i", "h")):
+        assert "Python" not in made._jdf.queryExecution().executedPlan().toString() and "Eval" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mbr_agrees_with_plain_python(spark):
+    pool = ["the cat sat", "the cat sits", "a dog", "the cat sat", "  ", "cats sat there", " the cat sat", None, "a dog sat there", "x"]
+    sizes = [1, 2, 3, 6, 8, 10]
+    pools = {1: pool, 2: pool[::-1], 3: ["  ", None], 4: ["only"], 5: ["x y", "x y"], 6: ["a b", "b a"], None: ["q r s", "q r", "q"]}
+    d = spark.createDataFrame([(k, i, t) for k, p in pools.items() for i, t in enumerate(p)], "k int, i int, t string").repartition(3)
+    for keep in (False, True):
+        got = {(r.k, r.pool): (r.n_candidates, r.selected) for r in decode.sweep(d, "k", "i", "t", sizes, keep).collect()}
+        assert got == {(k, n): (min(n, len(p)), plain.select_candidate(p[:n], keep)) for k, p in pools.items() for n in sizes}
+        one = {r.k: (r.n_candidates, r.selected) for r in decode.mbr(d, "k", "i", "t", keep_blank=keep).collect()}
+        assert one == {k: (len(p), plain.select_candidate(p, keep)) for k, p in pools.items()}
+
+
+def test_mbr_of_a_large_pool(spark):
+    """5,000 candidates of one key that fall into small groups of like ones: only pairs with a common gram are looked at."""
+    word = lambda n: "".join(chr(0x4E00 + (n * 7 + k * 2500) % 20000) for k in range(3))
+    rows = [(1, i, f"{word(i // 5)} {word(i // 5 + 1000)}" + (f" {word(i + 5000)}" if i % 5 else "")) for i in range(5000)]
+    rows.append((1, 5000, rows[7][2] + " " + rows[8][2]))
+    d = spark.createDataFrame(rows, "k int, i int, t string").repartition(8)
+    cands, pairs = decode.pair_scores(d, "k", "i", "t")
+    assert cands.count() == 5001 and pairs.count() < 400_000
+    assert decode.mbr(d, "k", "i", "t").first().n_candidates == 5001
 
 
 def test_reply(spark):
@@ -313,3 +344,42 @@ def test_char_ids(spark):
     d = spark.createDataFrame([("abz",)], "t string").select(decode.encode(F.col("t"), F.expr("map('a', 4, 'b', 5)")).alias("c"))
     assert d.first()["c"] == [1, 4, 5, 3, 2]
     assert d.select(decode.decode(F.col("c"), F.expr("map(4, 'a', 5, 'b')"))).first()[0] == "ab"
+
+
+def test_span_corruption_of_long_and_short_rows(spark):
+    """80,000 tokens in seconds; ids stay in the vocabulary, labels tell the tokens back, and one token at least is masked."""
+    import time
+
+    rows = [(0, [7] * 5, "x"), (1, list(range(3, 259)) * 320, "y"), (2, list(range(3, 9)), None), (3, None, ""), (4, [3, 4, 5, 6], "")]
+    d = spark.createDataFrame(rows, "id int, tokens array<int>, made string").repartition(4)
+    augment.span_corruption(d, most=None).count()
+    start = time.time()
+    whole = augment.span_corruption(d, most=None)
+    assert whole.columns == ["id", "tokens", "made", "input_ids", "label_ids"]
+    got = {r.id: r for r in whole.collect()}
+    assert sorted(got) == [0, 1, 2] and time.time() - start < 30
+    for n, most in ((1, None), (0, None), (2, None), (1, 512)):
+        r = next(x for x in augment.span_corruption(d, most=most).collect() if x.id == n)
+        tokens = rows[n][1][:most]
+        spans, at = {}, None
+        for x in r.label_ids[:-1]:
+            if x >= 259 and (at is None or x == max(spans) + 1):
+                at = spans.setdefault(x, [])
+            else:
+                at.append(x)
+        assert spans and max(spans) <= 383 and [y for x in r.input_ids[:-1] for y in (spans[x] if x >= 259 else [x])] == tokens
+        masked = sum(map(len, spans.values()))
+        assert masked == max(1, int(0.15 * len(tokens))) if len(spans) < 125 else masked >= 125
+
+
+def test_length_buckets(spark):
+    d = spark.createDataFrame([(i, 1 + (i * i) % 900) for i in range(3000)] + [(9000, 5000), (9001, 0)], "k int, length int").repartition(3)
+    rows = augment.length_buckets(d, 2048, "k").collect()
+    assert sorted(r.k for r in rows) == [*range(3000), 9000, 9001]
+    batches = {}
+    for r in rows:
+        batches.setdefault(r.batch, []).append(r)
+    for b in batches.values():
+        assert all(r.length <= r.width for r in b) and (len(b) * b[0].width <= 2048 or len(b) == 1)
+    used = sum(r.length for r in rows)
+    assert sum(len(b) * b[0].width for b in batches.values()) < 1.1 * used
