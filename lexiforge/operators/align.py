@@ -27,21 +27,32 @@ ANCHORS = (
 PAIRS = T.ArrayType(T.StructType([T.StructField("src", T.StringType()), T.StructField("tgt", T.StringType())]))
 
 
+#: Sentences of a document that are cut out of its words together.
+TOGETHER = 1024
+
+
 def sentence_slices(docs: DataFrame, sents: DataFrame) -> DataFrame:
     """A1: docs(doc_id, src), sents(doc_id, ord, tgt, first_word) -> (doc_id, ord, src, tgt).
 
     A sentence's words go from its first word to that of the next sentence that has one. Sentences without
-    text don't count; those with blank text or without a first word end others but give no row.
+    text don't count; those with blank text or without a first word end others but give no row. A document's sentences are gathered,
+    TOGETHER at most, and meet its words once, so that memory grows with the text and not with the text times its sentences.
     """
-    later = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    ordered = Window.partitionBy("doc_id").orderBy("ord")
+    later = ordered.rowsBetween(1, Window.unboundedFollowing)
     s = sents.filter("tgt is not null").withColumn("start", F.col("first_word").cast("int") - 1)
-    s = s.withColumn("next", F.first("start", ignorenulls=True).over(later)).filter("start is not null")
-    s = s.filter(F.trim("tgt") != "").select("doc_id", "ord", F.trim("tgt").alias("tgt"), "start", "next")
+    s = s.withColumns({"next": F.first("start", ignorenulls=True).over(later), "part": F.floor((F.row_number().over(ordered) - 1) / TOGETHER)})
+    s = s.filter(F.col("start").isNotNull() & (F.trim("tgt") != ""))
+    gathered = s.groupBy("doc_id", "part").agg(F.collect_list(F.struct("ord", F.trim("tgt").alias("tgt"), "start", "next")).alias("sentences"))
     t = docs.select("doc_id", words(F.col("src")).alias("w")).filter(F.size("w") > 0)
     n = F.size("w")
-    start = F.greatest(F.lit(0), F.least(F.col("start"), n - 1))
-    stop = F.greatest(start + 1, F.least(F.coalesce("next", n), n))
-    return s.join(t, "doc_id").select("doc_id", "ord", F.array_join(F.slice("w", start + 1, stop - start), " ").alias("src"), "tgt")
+
+    def cut(x: Column) -> Column:
+        start = F.greatest(F.lit(0), F.least(x["start"], n - 1))
+        stop = F.greatest(start + 1, F.least(F.coalesce(x["next"], n), n))
+        return F.struct(x["ord"].alias("ord"), F.array_join(F.slice("w", start + 1, stop - start), " ").alias("src"), x["tgt"].alias("tgt"))
+
+    return gathered.join(t, "doc_id").select("doc_id", F.explode(F.transform("sentences", cut)).alias("x")).select("doc_id", "x.ord", "x.src", "x.tgt")
 
 
 def with_fallback(docs: DataFrame, sliced: DataFrame) -> DataFrame:

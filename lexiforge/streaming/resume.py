@@ -1,4 +1,4 @@
-"""Resumable work: a batch that leaves out finished ids, and the same as a stream with a checkpoint."""
+"""Resumable work: a batch that leaves out finished ids, and the same as a stream whose state holds the ids seen."""
 
 from __future__ import annotations
 
@@ -34,12 +34,26 @@ def run_resumable(spark: SparkSession, todo: DataFrame, work: Callable[[DataFram
     return spark.read.parquet(path)
 
 
-def stream_resumable(source: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str):
-    """Micro-batches of a streaming source appended once each: a batch that is seen again adds only ids that are missing."""
+def unseen(source: DataFrame, key: str | list[str], event_time: str | None = None, keep: str | None = None) -> DataFrame:
+    """A stream's rows whose key wasn't seen before; the keys seen lie in the query's state store, so no sink is read again.
 
-    def each(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        done = spark.read.parquet(path) if exists(spark, path) else None
-        work(remaining(batch, done, key)).write.mode("append").parquet(path)
+    Without event_time every key is kept for good. With it a key is kept until the watermark, keep behind the latest event, has passed
+    its first event by keep: repetitions within that time are left out, and the state holds about that time's keys and no more. Rows that are later than the
+    watermark are dropped. A null key is a key like others.
+    """
+    keys = [key] if isinstance(key, str) else key
+    if event_time is None:
+        return source.dropDuplicates(keys)
+    return source.withWatermark(event_time, keep).dropDuplicatesWithinWatermark(keys)
+
+
+def stream_resumable(source: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str, event_time: str | None = None, keep: str | None = None):
+    """Work's rows for each key of a streaming source once, in path/batch=<number>, across restarts on one checkpoint.
+
+    Keys are told by unseen. A batch that broke off is done again whole: it overwrites its own folder, so nothing stands twice. Take a path that no run_resumable writes to.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return unseen(source, key, event_time, keep).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
