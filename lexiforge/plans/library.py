@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lexiforge.functions import metrics, normalize, quality, segment
 from lexiforge.operators import align, augment, decode, mine, select
-from lexiforge.plans.registry import inline, inline_sql, query, table
+from lexiforge.plans.registry import derived, derived_sql, inline, inline_sql, query, table
 
 PAIRS_SQL = """
 pairs AS (
@@ -320,11 +320,14 @@ def proportional_segments(spark, sf_dir):
     return d.select("conv_id", "turn", "ord", "x.src", "x.tgt")
 
 
-METHOD_DOCS = [(1, "a b c d e", "One. Two."), (2, "a b c", "X. Y. Z. W"), (3, "", "X"), (4, "a", None), (5, "a b", "Only one"), (6, "a b c d", "Hm. Aha.")]
-METHOD_SENTS = [(1, 1, "One.", 1), (1, 2, "Two.", 4), (6, 1, "Hm.", None), (6, 2, " ", 2)]
+#: The pairs as documents, some with a blank or missing side; events as sentences of every third one.
+METHOD_DOCS = """SELECT conv_id * 1000 + turn AS doc_id, CASE WHEN conv_id % 11 = 0 THEN ' ' ELSE text END AS src, CASE WHEN conv_id % 13 = 0 THEN NULL ELSE nt END AS tgt FROM (
+  SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM {conversations}) x WHERE role = 'user' AND nr = 'assistant' AND nt IS NOT NULL AND text IS NOT NULL"""
+METHOD_SENTS = f"""SELECT d.doc_id, e.event_id AS ord, CASE WHEN e.event_id % 5 = 0 THEN ' ' ELSE e.event_type END AS tgt, CASE WHEN e.event_id % 7 <> 0 THEN CAST(e.user_id % 60 AS INT) END AS first_word
+FROM ({METHOD_DOCS}) d JOIN {{events}} e ON e.event_id % 997 = d.doc_id % 997 WHERE d.doc_id % 3 = 0"""
 
 
-@query(f"""WITH RECURSIVE {inline_sql("docs", "doc_id int, src string, tgt string", METHOD_DOCS)}, {inline_sql("sents", "doc_id int, ord int, tgt string, first_word int", METHOD_SENTS)},
+@query(f"""WITH RECURSIVE {derived_sql(docs=METHOD_DOCS, sents=METHOD_SENTS)},
 said AS (SELECT * FROM docs WHERE trim(src) <> '' AND trim(tgt) <> ''), sliced AS (SELECT doc_id FROM sents JOIN said USING (doc_id) WHERE first_word IS NOT NULL AND trim(sents.tgt) <> ''),
 pairs_in AS (SELECT doc_id AS doc, src, tgt FROM said WHERE doc_id NOT IN (SELECT doc_id FROM sliced)), {PROPORTIONAL_SQL},
 every AS (SELECT doc_id, 'sentences' AS method FROM sliced UNION ALL SELECT doc, 'proportional' FROM shared WHERE src <> ''),
@@ -332,8 +335,7 @@ of AS (SELECT d.doc_id, coalesce(e.method, 'skipped') AS method, count(e.method)
 SELECT method, count(*) AS documents, sum(pairs)::BIGINT AS pairs FROM of GROUP BY method""")
 def alignment_methods(spark, sf_dir):
     """J2 and AG8: documents with sentences, those shared out instead, and those left out."""
-    docs = inline(spark, "doc_id int, src string, tgt string", METHOD_DOCS)
-    sents = inline(spark, "doc_id int, ord int, tgt string, first_word int", METHOD_SENTS)
+    docs, sents = derived(spark, sf_dir, METHOD_DOCS), derived(spark, sf_dir, METHOD_SENTS)
     return align.method_counts(docs, align.with_fallback(docs, align.sentence_slices(docs, sents)))
 
 
@@ -365,45 +367,57 @@ def align_documents(spark, sf_dir):
     return d.select("conv_id", "turn", "how", "ord", "x.src", "x.tgt")
 
 
-ANCHORED = [(1, "KIŠIB a-šur IGI en-lil", "Seal of Ashur. Witnessed by Enlil."), (2, "x um-ma a qí-bi-ma y", "Before. From A: y"), (3, "IGI a", "Seal of A"), (4, "a-na b qí-bi-ma c li-mu d", "To B: c in the eponymy of D"), (5, "um-ma a um-ma b", "Thus A. He said B."), (6, None, "Seal of A"), (7, "KIŠIB", "Seal of")]
-# Worked out by hand from the rule: cuts where labels agree in order, then what stands ahead of the first cut.
-ANCHORED_PAIRS = [(1, 0, "KIŠIB a-šur", "Seal of Ashur."), (1, 1, "IGI en-lil", "Witnessed by Enlil."), (2, 0, "x", "Before."), (2, 1, "um-ma a qí-bi-ma y", "From A: y"), (4, 0, "a-na b qí-bi-ma c", "To B: c in the"), (4, 1, "li-mu d", "eponymy of D"), (5, 0, "um-ma a", "Thus A. He"), (5, 1, "um-ma b", "said B."), (7, 0, "KIŠIB", "Seal of")]
+#: Orders told on both sides with anchors, a case per kind, and the pairs that the rule gives: cuts where labels agree in order, then what stands ahead of the first cut.
+ANCHORED = """SELECT o_orderkey AS doc_id, CASE o_orderkey % 7
+  WHEN 0 THEN 'KIŠIB ' || o_custkey || ' IGI ' || o_orderkey WHEN 1 THEN o_custkey || ' um-ma a qí-bi-ma ' || o_orderkey WHEN 2 THEN 'IGI ' || o_custkey WHEN 3 THEN 'a-na ' || o_custkey || ' qí-bi-ma c li-mu ' || o_orderkey
+  WHEN 4 THEN 'um-ma ' || o_custkey || ' um-ma ' || o_orderkey WHEN 5 THEN NULL ELSE 'KIŠIB' END AS src, CASE o_orderkey % 7
+  WHEN 0 THEN 'Seal of ' || o_custkey || '. Witnessed by ' || o_orderkey || '.' WHEN 1 THEN 'Before. From ' || o_custkey || ': ' || o_orderkey WHEN 2 THEN 'Seal of ' || o_custkey WHEN 3 THEN 'To ' || o_custkey || ': c in the eponymy of ' || o_orderkey
+  WHEN 4 THEN 'Thus ' || o_custkey || '. He said ' || o_orderkey || '.' WHEN 5 THEN 'Seal of A' ELSE 'Seal of' END AS tgt FROM {orders}"""
+ANCHORED_PAIRS = """SELECT o_orderkey AS doc_id, 0 AS ord, CASE o_orderkey % 7 WHEN 0 THEN 'KIŠIB ' || o_custkey WHEN 1 THEN '' || o_custkey WHEN 3 THEN 'a-na ' || o_custkey || ' qí-bi-ma c' WHEN 4 THEN 'um-ma ' || o_custkey ELSE 'KIŠIB' END AS src,
+  CASE o_orderkey % 7 WHEN 0 THEN 'Seal of ' || o_custkey || '.' WHEN 1 THEN 'Before.' WHEN 3 THEN 'To ' || o_custkey || ': c in the' WHEN 4 THEN 'Thus ' || o_custkey || '. He' ELSE 'Seal of' END AS tgt FROM {orders} WHERE o_orderkey % 7 IN (0, 1, 3, 4, 6)
+UNION ALL SELECT o_orderkey, 1, CASE o_orderkey % 7 WHEN 0 THEN 'IGI ' || o_orderkey WHEN 1 THEN 'um-ma a qí-bi-ma ' || o_orderkey WHEN 3 THEN 'li-mu ' || o_orderkey ELSE 'um-ma ' || o_orderkey END,
+  CASE o_orderkey % 7 WHEN 0 THEN 'Witnessed by ' || o_orderkey || '.' WHEN 1 THEN 'From ' || o_custkey || ': ' || o_orderkey WHEN 3 THEN 'eponymy of ' || o_orderkey ELSE 'said ' || o_orderkey || '.' END FROM {orders} WHERE o_orderkey % 7 IN (0, 1, 3, 4)"""
 
 
-@query(f"WITH {inline_sql('x', 'doc_id int, ord int, src string, tgt string', ANCHORED_PAIRS)} SELECT * FROM x")
+@query(f"WITH {derived_sql(x=ANCHORED_PAIRS)} SELECT * FROM x")
 def anchored_documents(spark, sf_dir):
-    """The pairs were worked out by hand, as SQL has no places of matches."""
-    d = align.align_documents(inline(spark, "doc_id int, src string, tgt string", ANCHORED)).filter("how = 'anchors'")
+    """A5, A8, J14 over the orders."""
+    d = align.align_documents(derived(spark, sf_dir, ANCHORED)).filter("how = 'anchors'")
     d = d.select("doc_id", F.posexplode("pairs").alias("ord", "x"))
     return d.select("doc_id", "ord", "x.src", "x.tgt")
 
 
-REPLIES = [(1, '```json\n[{"akkadian": "a-na x", "english": "to x."}, 3, {"akkadian": "ab", "english": "too short"}]\n```'), (2, 'Here: [{"akkadian": "um-ma", "english": "thus he"}] as asked'), (3, '{"akkadian": "a-na x", "english": "to x."}'), (4, "nothing"), (5, '[{"akkadian": "four", "english": "none"}]'), (6, ""), (7, '[{"akkadian": "long enough"}]')]
+#: A model's replies about customers: in fences, in prose, of another shape, and none.
+REPLIES = """SELECT c_custkey AS doc_id, CASE c_custkey % 7
+  WHEN 0 THEN '```json' || chr(10) || '[{"akkadian": "' || c_name || '", "english": "' || c_mktsegment || '"}, 3, {"akkadian": "ab", "english": "too short"}]' || chr(10) || '```'
+  WHEN 1 THEN 'Here: [{"akkadian": "' || c_mktsegment || '", "english": "' || c_name || '"}, {"akkadian": "' || c_name || '", "english": "' || c_nationkey || '"}] as asked'
+  WHEN 2 THEN '{"akkadian": "' || c_name || '", "english": "' || c_mktsegment || '"}' WHEN 3 THEN c_name WHEN 4 THEN '[{"akkadian": "four", "english": "none of ' || c_nationkey || '"}]' WHEN 5 THEN '' ELSE '[{"akkadian": "long enough"}]' END AS response FROM {customer}"""
 REPLY_SQL = r"regexp_replace(trim(response, ' ' || chr(10)), '^```(?:json)?\s*|\s*```$', '', 'g')"
 
 
-@query(rf"""WITH {inline_sql("r", "doc_id int, response string", REPLIES)}, b AS (SELECT doc_id, {REPLY_SQL} AS t FROM r),
+@query(rf"""WITH {derived_sql(r=REPLIES)}, b AS (SELECT doc_id, {REPLY_SQL} AS t FROM r),
 j AS (SELECT doc_id, CASE WHEN json_valid(t) THEN t ELSE regexp_extract(t, '(?s)\[.*\]') END AS t FROM b),
 l AS (SELECT doc_id, unnest(from_json(t, '["JSON"]')) AS x FROM j WHERE json_valid(t) AND json_type(t) = 'ARRAY'),
 o AS (SELECT doc_id, trim(x->>'akkadian') AS akkadian, trim(x->>'english') AS english FROM l WHERE json_type(x) = 'OBJECT')
 SELECT * FROM o WHERE length(akkadian) > 3 AND length(english) > 3""")
 def reply_pairs(spark, sf_dir):
-    """Replies in fences, in prose, of another shape, and none."""
-    d = inline(spark, "doc_id int, response string", REPLIES).select("doc_id", F.explode(align.parse_reply(F.col("response"))).alias("x"))
+    """A12, Q7 over the customers."""
+    d = derived(spark, sf_dir, REPLIES).select("doc_id", F.explode(align.parse_reply(F.col("response"))).alias("x"))
     return d.select("doc_id", "x.akkadian", "x.english")
 
 
-OLD_PAIRS = [("aaaaa b", "old text"), ("ccccc d", "kept one"), ("ccccc d", "other"), (" ", "blank side")]
-NEW_PAIRS = [(3, " aaaaa b ", "old text"), (1, "aaaaa b", "old text"), (2, "eeeee f", "a new one"), (4, "g", "short"), (5, "a b c d e f g h i", "toolong")]
+#: The pairs of two in three conversations, some with a blank side, and those of every other one, spaced out and shuffled as new ones.
+OLD_PAIRS = f"SELECT CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE src END AS src, tgt FROM ({METHOD_DOCS}) x WHERE doc_id % 3 <> 0 AND tgt IS NOT NULL"
+NEW_PAIRS = f"SELECT doc_id % 101 AS n, ' ' || src || ' ' AS src, CASE WHEN doc_id % 19 = 0 THEN 'short' ELSE tgt END AS tgt FROM ({METHOD_DOCS}) x WHERE doc_id % 2 = 0 AND tgt IS NOT NULL"
 
 
-@query(f"""WITH {inline_sql("old", "src string, tgt string", OLD_PAIRS)}, {inline_sql("new", "n int, src string, tgt string", NEW_PAIRS)},
-bare AS (SELECT n, trim(src) AS src, trim(tgt) AS tgt FROM new), gated AS (SELECT DISTINCT src, tgt FROM bare WHERE {Q6_SQL})
+@query(f"""WITH {derived_sql(old=OLD_PAIRS, new=NEW_PAIRS)},
+bare AS (SELECT n, trim(src, ' ' || chr(10)) AS src, trim(tgt, ' ' || chr(10)) AS tgt FROM new), gated AS (SELECT DISTINCT src, tgt FROM bare WHERE {Q6_SQL})
 SELECT src, tgt FROM old WHERE (src, tgt) NOT IN (SELECT (src, tgt) FROM gated) AND trim(src) <> '' AND trim(tgt) <> '' UNION ALL SELECT src, tgt FROM gated""")
 def merge_pairs(spark, sf_dir):
     """New pairs through the gate, each once, and the old ones that aren't among them."""
-    new = align.gate_pairs(inline(spark, "n int, src string, tgt string", NEW_PAIRS), F.col("n"))
-    return align.merge_pairs(inline(spark, "src string, tgt string", OLD_PAIRS), new)
+    new = align.gate_pairs(derived(spark, sf_dir, NEW_PAIRS), F.col("n"))
+    return align.merge_pairs(derived(spark, sf_dir, OLD_PAIRS), new)
 
 
 @query("SELECT char, (row_number() OVER (ORDER BY char) + 3)::INT AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS char FROM documents) WHERE char <> ''")
@@ -422,22 +436,16 @@ def synthetic_cap(spark, sf_dir):
     return select.capped(table(spark, sf_dir, "pages").select("page_id"), cap, "page_id")
 
 
-PAGES = [
-    (1, "p.pdf", "See BIN 4, 45 and Kt a/k 178b for it.\nTranslation:\nThus says Ashur: give the silver (sic) to him.\nCommentary:\nnone", True),
-    (2, "p.pdf", "BIN 4 45 again, CCT 5 6a too, and TC 1 1.\n English. \nFrom Enlil to Ashur: the 1/2 mina is [broken].", True),
-    (3, "q.pdf", "KT A/K 178B\ntranslation\nA text that comes later, of another book.\nNotes\nx", True),
-    (4, "q.pdf", "CCT 5 6a stands on a page without the flag.\nTranslation:\nNot to be mined, as the flag says.", False),
-    (5, "q.pdf", "TC 1 1\nTranslation:\nshort", True),
-    (6, "r.pdf", "BIN 4 45 has no block of translation, whatever else there may be on the page.", True),
-    (7, "r.pdf", "XY 9 9\nTranslation:\nThe text of this one is already known to us.", None),
-    (8, "r.pdf", "XY 9 9, TC 1 1\nTranslation:\nThe text of this one is already in the train set.\n", True),
-]
-BOOKS = [
-    (1, "id1", "BIN 4 45", None, None, "um-ma a-sur-ma a-na en-lil"), (2, "id2", "x", "cct 5 6A| ", "Kt a/k 178b", "a-na a-sur qi-bi-ma DINGIR"), (3, "id3", "TC 1 1", None, None, "short"),
-    (4, "id4", None, "XY 9 9", None, "a-na text in the train set"), (5, "id5", "CCT 5 6a", None, None, "the later claim wins [x] here"), (6, "id1", None, None, "unused", "another row of the first text"),
-]
-PAGE_SCHEMA = "page_seq int, pdf_name string, page_text string, has_akkadian boolean"
-BOOK_SCHEMA = "seq int, oare_id string, label string, aliases string, publication_catalog string, transliteration string"
+#: Parts as pages that refer to texts, and suppliers as those texts: some pages without the flag, without a block of translation, or with too short a one.
+PAGES = """SELECT p_partkey AS page_seq, 'p' || p_partkey % 7 || '.pdf' AS pdf_name, CASE p_partkey % 6
+  WHEN 0 THEN 'See BIN ' || p_partkey % 9 || ', ' || p_partkey % 50 || ' and Kt a/k ' || p_partkey % 30 || 'b for it.' || chr(10) || 'Translation:' || chr(10) || 'Thus says ' || p_name || ': give the silver (sic) to him.' || chr(10) || 'Commentary:' || chr(10) || 'none'
+  WHEN 1 THEN 'BIN ' || p_partkey % 9 || ' ' || p_partkey % 50 || ' again, CCT ' || p_size || ' ' || p_partkey % 40 || 'a too, and TC 1 1.' || chr(10) || ' English. ' || chr(10) || 'From ' || p_brand || ' to Ashur: the 1/2 mina is [broken].'
+  WHEN 2 THEN 'KT A/K ' || p_partkey % 30 || 'B' || chr(10) || 'translation' || chr(10) || 'A text that comes later, of ' || p_type || '.' || chr(10) || 'Notes' || chr(10) || p_name WHEN 3 THEN 'TC 1 ' || p_partkey % 20 || chr(10) || 'Translation:' || chr(10) || 'short'
+  WHEN 4 THEN 'BIN ' || p_partkey % 9 || ' ' || p_partkey % 50 || ' has no block of translation, whatever else there may be on the page.' ELSE 'XY 9 ' || p_partkey % 20 || ', TC 1 ' || p_partkey % 20 || chr(10) || 'Translation:' || chr(10) || 'The text of ' || p_name || ' is already known to us.' || chr(10) END AS page_text,
+  CASE p_partkey % 5 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS has_akkadian FROM {part}"""
+BOOKS = """SELECT s_suppkey AS seq, 'id' || s_suppkey % 60 AS oare_id, CASE WHEN s_suppkey % 8 <> 0 THEN 'BIN ' || s_suppkey % 9 || ' ' || s_suppkey % 50 END AS label, CASE WHEN s_suppkey % 3 = 0 THEN 'cct 5 ' || s_suppkey % 40 || 'A| ' WHEN s_suppkey % 3 = 1 THEN 'XY 9 ' || s_suppkey % 20 END AS aliases,
+  CASE WHEN s_suppkey % 4 = 0 THEN 'Kt a/k ' || s_suppkey % 30 || 'b| TC 1 ' || s_suppkey % 20 END AS publication_catalog, CASE WHEN s_suppkey % 9 = 0 THEN 'short' ELSE 'um-ma ' || s_name || '-ma a-na DINGIR qi-bi2-ma' END AS transliteration FROM {supplier}"""
+KNOWN = "SELECT 'id' || n_nationkey AS oare_id FROM {nation} WHERE n_nationkey % 5 = 0"
 
 
 def _references_sql(text: str) -> str:
@@ -466,22 +474,21 @@ def page_references(spark, sf_dir):
     return d.select("doc_id", F.size(mine.references(F.col("text"))).cast("long").alias("n_refs"), F.length(mine.translation_block(F.col("text"))).cast("long").alias("block_chars"))
 
 
-@query(f"""WITH {inline_sql("p", PAGE_SCHEMA, PAGES)} SELECT page_seq, ref FROM (SELECT page_seq, unnest(list_distinct({_references_sql("page_text")})) AS ref FROM p)""")
+@query(f"""WITH {derived_sql(p=PAGES)} SELECT page_seq, ref FROM (SELECT page_seq, unnest(list_distinct({_references_sql("page_text")})) AS ref FROM p)""")
 def refs_extract(spark, sf_dir):
     """A13 over pages with references."""
-    return inline(spark, PAGE_SCHEMA, PAGES).select("page_seq", F.explode(mine.references(F.col("page_text"))).alias("ref"))
+    return derived(spark, sf_dir, PAGES).select("page_seq", F.explode(mine.references(F.col("page_text"))).alias("ref"))
 
 
-@query(rf"""WITH {inline_sql("pages_in", PAGE_SCHEMA, PAGES)}, {inline_sql("texts", BOOK_SCHEMA, BOOKS)}, {IDENTIFIERS_SQL},
+@query(rf"""WITH {derived_sql(pages_in=PAGES, texts=BOOKS, known=KNOWN)}, {IDENTIFIERS_SQL},
 p AS (SELECT page_seq, pdf_name, unnest(list_distinct({_references_sql("page_text")})) AS reference, {_block_sql("page_text")} AS block FROM pages_in WHERE has_akkadian AND length(page_text) >= 50),
 first AS (SELECT oare_id, arg_min(transliteration, seq) AS transliteration FROM texts GROUP BY oare_id),
-j AS (SELECT page_seq, i.oare_id, {source_sql('f.transliteration')} AS transliteration, {target_sql('block')} AS translation, pdf_name AS source_pdf, reference FROM p JOIN idx i ON p.reference = i.identifier JOIN first f ON i.oare_id = f.oare_id WHERE length(block) > 0 AND length(f.transliteration) >= 10 AND i.oare_id <> 'id4'),
+j AS (SELECT page_seq, i.oare_id, {source_sql('f.transliteration')} AS transliteration, {target_sql('block')} AS translation, pdf_name AS source_pdf, reference FROM p JOIN idx i ON p.reference = i.identifier JOIN first f ON i.oare_id = f.oare_id WHERE length(block) > 0 AND length(f.transliteration) >= 10 AND i.oare_id NOT IN (SELECT oare_id FROM known)),
 k AS (SELECT *, row_number() OVER (PARTITION BY oare_id, transliteration ORDER BY page_seq, reference) AS n FROM j WHERE length(transliteration) > 10 AND length(translation) > 10)
 SELECT oare_id, transliteration, translation, source_pdf, reference FROM k WHERE n = 1""")
 def page_pairs(spark, sf_dir):
     """Flagged pages with what they refer to, without the texts of the train set."""
-    known = inline(spark, "oare_id string", [("id4",)])
-    return mine.page_pairs(inline(spark, PAGE_SCHEMA, PAGES), inline(spark, BOOK_SCHEMA, BOOKS), known)
+    return mine.page_pairs(derived(spark, sf_dir, PAGES), derived(spark, sf_dir, BOOKS), derived(spark, sf_dir, KNOWN))
 
 
 @query("""SELECT identifier, arg_max(id, (seq, kind)) AS oare_id FROM (
@@ -576,17 +583,17 @@ def normalize_target(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", normalize.clean_target(F.col("text")).alias("text"))
 
 
-RULE_CASES = [
-    (1, "a-na {d}UTU sa2 an-ni-i3"), (2, "[x x x] lu2-{munus}sa2-lim"), (3, "DINGIR-su2 ... i-na DINGIRa"), (4, "sz-a-ri s,a-ab-tu T,up-pi!?"), (5, "{Big Gap} [broken] <<gone>> <kept> <gap>  <gap>"), (6, " "),
-    (7, "He said (lit. spoke) to [the] king <so>."), (8, "In Month XII and month IV, a <gap> ... broken 1/2 mina 1/25"), (9, "(Fem. plur.) (note) <big_gap> Damaged"), (10, ""),
-]
+#: Marks that the rules have something to do with, one ahead of each document's text and, for every other one, behind it.
+RULE_CASES = ('a-na {d}UTU sa2 an-ni-i3', '[x x x] lu2-{munus}sa2-lim', 'DINGIR-su2 ... i-na DINGIRa', 'sz-a-ri s,a-ab-tu T,up-pi!?', '{Big Gap} [broken] <<gone>> <kept> <gap>  <gap>', 'He said (lit. spoke) to [the] king <so>.', 'In Month XII and month IV, a <gap> ... broken 1/2 mina 1/25', '(Fem. plur.) (note) <big_gap> Damaged')
+_CASE = f"CASE doc_id % {len(RULE_CASES)} " + " ".join(f"WHEN {k} THEN {_quote(x)}" for k, x in enumerate(RULE_CASES)) + " END"
+RULES = f"SELECT doc_id, {_CASE} || ' ' || text || CASE WHEN doc_id % 2 = 0 THEN ' [end] 1/4' ELSE '' END AS text FROM {{documents}}"
 
 
-@query(f"WITH {inline_sql('r', 'id int, text string', RULE_CASES)} SELECT id, {source_sql('text')} AS source, {target_sql('text')} AS target FROM r")
+@query(f"WITH {derived_sql(r=RULES)} SELECT doc_id, {source_sql('text')} AS source, {target_sql('text')} AS target FROM r")
 def normalize_cases(spark, sf_dir):
     """N1 to N26 where each rule has something to do."""
     t = F.col("text")
-    return inline(spark, "id int, text string", RULE_CASES).select("id", normalize.clean_source(t).alias("source"), normalize.clean_target(t).alias("target"))
+    return derived(spark, sf_dir, RULES).select("doc_id", normalize.clean_source(t).alias("source"), normalize.clean_target(t).alias("target"))
 
 
 def _template_sql() -> str:
@@ -613,13 +620,12 @@ def template_pairs(spark, sf_dir):
     return augment.template_pairs(spark, names)
 
 
-WORDS_IN = [(1, "abu I", '"father" (OB) "forefather" "a" "b"'), (2, "abu", '"other"'), (3, "ahu II", "1. brother; kin"), (4, " ", '"x"'), (5, "mu", None), (6, "ina", "In front (of)"), (7, "qabu", "II. to say; speak"), (8, "nil", ";"), (9, "zeru", ' "seed " " " ')]
-FORMS_IN = [
-    (1, "a-bu", "abu", "x", "word"), (2, "a-ha2", "none", "ahu", "word"), (3, "a-bu", "ahu", None, "word"), (4, "x", None, None, "word"), (5, "A-szur", "Assur", " ", "PN"), (6, "Ka3", "Kanesh", "Kanes", "GN"),
-    (7, "A-szur", "Ashur", "Assur-2", "PN"), (8, "s", "abu", None, "word"), (9, "i-na", "ina", None, "word"), (10, "qa2-bu", "qabu", None, "PN"), (11, " ", "Void", "Void", "PN"), (12, "Puzur", None, None, "PN"), (13, "ze", "zeru", None, "word"),
-]
-WORD_SCHEMA, FORM_SCHEMA = "seq int, word string, definition string", "seq int, form string, lexeme string, norm string, type string"
-GLOSSES_SQL = rf"""{inline_sql("dictionary", WORD_SCHEMA, WORDS_IN)}, {inline_sql("lexicon", FORM_SCHEMA, FORMS_IN)},
+#: Parts as entries of a dictionary, in all shapes of definitions, and customers as forms that point to them.
+WORDS_IN = """SELECT p_partkey AS seq, CASE WHEN p_partkey % 23 = 0 THEN ' ' ELSE 'w' || p_partkey % 400 || CASE p_partkey % 3 WHEN 0 THEN ' II' WHEN 1 THEN ' I' ELSE '' END END AS word, CASE p_partkey % 8
+  WHEN 0 THEN '"' || p_name || '" (OB) "' || p_brand || '" "' || p_type || '" "b"' WHEN 1 THEN '"other ' || p_size || '"' WHEN 2 THEN '1. ' || p_name || '; kin' WHEN 3 THEN NULL WHEN 4 THEN 'In front (of ' || p_name || ')' WHEN 5 THEN 'II. to ' || p_type || '; speak' WHEN 6 THEN ';' ELSE '"' || p_brand || ' " " "' END AS definition FROM {part}"""
+FORMS_IN = """SELECT c_custkey AS seq, CASE WHEN c_custkey % 31 = 0 THEN ' ' ELSE 'a-' || c_nationkey || '-sz' || c_custkey % 300 || 'a2' END AS form, CASE WHEN c_custkey % 5 <> 0 THEN 'w' || c_custkey % 450 END AS lexeme, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE 'w' || c_custkey % 390 END AS norm,
+  CASE c_custkey % 3 WHEN 0 THEN 'PN' WHEN 1 THEN 'word' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'GN' ELSE 'word' END END AS type FROM {customer}"""
+GLOSSES_SQL = rf"""{derived_sql(dictionary=WORDS_IN, lexicon=FORMS_IN)},
 parsed AS (SELECT seq, trim(regexp_replace(word, '{mine.LEMMA_NUMERAL}', '')) AS lemma, list_filter(list_transform(regexp_extract_all(definition, '"([^"]+)"', 1), lambda x: trim(x)), lambda x: x <> '') AS quoted,
   trim(regexp_replace(trim(regexp_replace(regexp_replace(trim(string_split_regex(trim(definition), '[;(]')[1]), '{mine.NUMBER}', ''), '{mine.NUMERAL}', '')), '^[" ]+|[" ]+$', '', 'g')) AS plain FROM dictionary),
 senses AS (SELECT seq, lemma, coalesce(CASE WHEN len(quoted) > 0 THEN array_to_string(quoted[1:3], '; ') ELSE plain END, '') AS gloss FROM parsed),
@@ -629,52 +635,52 @@ nouns AS (SELECT seq, {source_sql("form")} AS form, coalesce(nullif(trim(norm),
 named AS (SELECT form, arg_max(normalized, seq) AS normalized, arg_max(type, seq) AS type FROM nouns WHERE length(form) > 0 GROUP BY form)"""
 
 
-def _lexicon(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return inline(spark, FORM_SCHEMA, FORMS_IN), mine.dictionary_glosses(inline(spark, WORD_SCHEMA, WORDS_IN))
+def _lexicon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return derived(spark, sf_dir, FORMS_IN), mine.dictionary_glosses(derived(spark, sf_dir, WORDS_IN))
 
 
 @query(f"WITH {GLOSSES_SQL} SELECT lemma, gloss FROM glosses")
 def lexicon_glosses(spark, sf_dir):
     """L1, L2."""
-    return _lexicon(spark)[1]
+    return _lexicon(spark, sf_dir)[1]
 
 
 @query(f"WITH {GLOSSES_SQL} SELECT form, gloss FROM forms")
 def lexicon_forms(spark, sf_dir):
     """L3, J11."""
-    return mine.form_glosses(*_lexicon(spark))
+    return mine.form_glosses(*_lexicon(spark, sf_dir))
 
 
 @query(f"WITH {GLOSSES_SQL} SELECT DISTINCT {source_sql('form')} AS transliteration, gloss AS translation FROM forms WHERE form IN (SELECT form FROM lexicon WHERE type = 'word') AND length(gloss) >= 2 AND length({source_sql('form')}) >= 2")
 def lexicon_drills(spark, sf_dir):
     """L4, L5, P12."""
-    lexicon, glosses = _lexicon(spark)
+    lexicon, glosses = _lexicon(spark, sf_dir)
     return mine.drills(mine.form_glosses(lexicon, glosses), lexicon)
 
 
 @query(f"WITH {GLOSSES_SQL} SELECT form, normalized, type FROM named")
 def lexicon_names(spark, sf_dir):
     """L6, P12."""
-    return mine.proper_nouns(_lexicon(spark)[0])
+    return mine.proper_nouns(_lexicon(spark, sf_dir)[0])
 
 
 @query(f"WITH {GLOSSES_SQL} SELECT form, normalized FROM named WHERE type = 'PN' AND normalized <> ''")
 def lexicon_persons(spark, sf_dir):
     """L7."""
-    return mine.names_for_templates(mine.proper_nouns(_lexicon(spark)[0]))
+    return mine.names_for_templates(mine.proper_nouns(_lexicon(spark, sf_dir)[0]))
 
 
-PUBLISHED = [("t1", "a-na {d}UTU long enough", "n" * 51), ("t2", "short", "n" * 50), ("t3", "in the train set already", None), ("t4", "sz-a-ri and more of it", "x" * 80), ("t5", None, "y" * 60)]
-PUBLISHED_SCHEMA = "oare_id string, transliteration string, note string"
-TRAIN = [("t3", "in the train set already"), ("t9", "a-na {d}UTU long enough"), ("t8", None)]
+#: Documents as published texts, some with a note, and the labelled ones of them as the train set.
+PUBLISHED = "SELECT 't' || doc_id AS oare_id, CASE WHEN doc_id % 17 <> 0 THEN text END AS transliteration, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN text END AS note FROM {documents}"
+TRAIN = "SELECT DISTINCT 't' || d.doc_id AS oare_id, d.text AS transliteration FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"
 
 
-@query(f"""WITH {inline_sql("p", PUBLISHED_SCHEMA, PUBLISHED)}, {inline_sql("t", "oare_id string, transliteration string", TRAIN)}, c AS (SELECT oare_id, {source_sql("transliteration")} AS transliteration, note FROM p WHERE oare_id NOT IN (SELECT oare_id FROM t))
+@query(f"""WITH {derived_sql(p=PUBLISHED, t=TRAIN)}, c AS (SELECT oare_id, {source_sql("transliteration")} AS transliteration, note FROM p WHERE oare_id NOT IN (SELECT oare_id FROM t))
 SELECT 'fresh' AS kind, oare_id, transliteration FROM c WHERE length(transliteration) > 10 UNION ALL SELECT 'noted', oare_id, transliteration FROM p WHERE length(note) > 50
 UNION ALL SELECT 'pool', NULL, text FROM (SELECT transliteration AS text FROM p WHERE transliteration IS NOT NULL UNION SELECT transliteration FROM t WHERE transliteration IS NOT NULL)""")
 def monolingual_texts(spark, sf_dir):
     """Fresh texts, those with a note, and the pool of all distinct ones."""
-    p, t = inline(spark, PUBLISHED_SCHEMA, PUBLISHED), inline(spark, "oare_id string, transliteration string", TRAIN)
+    p, t = derived(spark, sf_dir, PUBLISHED), derived(spark, sf_dir, TRAIN)
     parts = {"fresh": mine.monolingual(p, t).select("oare_id", "transliteration"), "noted": mine.with_notes(p).select("oare_id", "transliteration")}
     parts["pool"] = select.monolingual_pool(p, t).select(F.lit(None).cast("string").alias("oare_id"), F.col("text").alias("transliteration"))
     tagged = [d.select(F.lit(k).alias("kind"), "*") for k, d in parts.items()]
@@ -746,17 +752,18 @@ def length_buckets(spark, sf_dir):
     return made.groupBy("width").agg(F.count("*").alias("n"), F.countDistinct("batch").alias("batches"))
 
 
-MODELS = [("a", 10.0, None, 20.0, 0.0, 5360000), ("b", 1.0, 30.0, 40.0, 33.0, 582800000), ("c", None, None, None, None, None), ("d", 9.0, None, 1.0, 33.0, 1200000000), ("e", 1.0, None, 1.0, None, 86000)]
-MODEL_SCHEMA = "model string, bleu double, eval_bleu double, chrf double, geo_mean double, total_params long"
+#: Customers as models with some of the metrics.
+MODELS = """SELECT 'm' || c_custkey AS model, CAST(CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 97 END AS DOUBLE) AS bleu, CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 31 END AS DOUBLE) AS eval_bleu, CAST(CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 89 END AS DOUBLE) AS chrf,
+  CAST(CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN c_custkey % 61 END AS DOUBLE) AS geo_mean, CASE WHEN c_custkey % 6 <> 0 THEN c_custkey * c_custkey * 1009 + 7 END AS total_params FROM {customer}"""
 
 
-@query(f"""WITH {inline_sql("m", MODEL_SCHEMA, MODELS)}, x AS (SELECT model, coalesce(eval_bleu, bleu, 0) AS bleu, coalesce(chrf, 0) AS chrf, coalesce(geo_mean, 0) AS g, total_params AS n FROM m),
+@query(f"""WITH {derived_sql(m=MODELS)}, x AS (SELECT model, coalesce(eval_bleu, bleu, 0) AS bleu, coalesce(chrf, 0) AS chrf, coalesce(geo_mean, 0) AS g, total_params AS n FROM m),
 y AS (SELECT model, bleu, chrf, CASE WHEN g = 0 AND bleu > 0 AND chrf > 0 THEN sqrt(bleu * chrf) ELSE g END AS geo_mean,
   CASE WHEN n >= 1e9 THEN printf('%.1fB', n / 1e9) WHEN n >= 1e6 THEN printf('%.1fM', n / 1e6) WHEN n IS NOT NULL THEN printf('%.0fK', n / 1e3) ELSE '—' END AS params FROM x)
 SELECT *, row_number() OVER (ORDER BY geo_mean DESC, model) = 1 AS best FROM y""")
 def model_comparison(spark, sf_dir):
     """M6, AG9."""
-    return metrics.comparison(inline(spark, MODEL_SCHEMA, MODELS))
+    return metrics.comparison(derived(spark, sf_dir, MODELS))
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS least,

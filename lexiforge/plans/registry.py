@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def _named(sql: str, name: Callable[[str], str]) -> str:
+    return re.sub(r"\{(%s)\}" % "|".join(TABLES), lambda m: name(m[1]), sql)
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Rows that SQL, which Spark and DuckDB read alike, makes of the driver's tables, named as ``{table}`` in it."""
+    return spark.sql(_named(sql, lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
+
+
+def derived_sql(**parts: str) -> str:
+    """The same rows as common table expressions."""
+    return ", ".join(f"{name} AS ({_named(sql, str)})" for name, sql in parts.items())
+
+
 def inline(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A small table that a query brings along, where the driver's tables lack the operator's columns."""
     return spark.createDataFrame(rows, schema)
