@@ -27,7 +27,7 @@ STEP_BYTES = 2 << 20
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``, as the session has it.
 
-    Only where that is unset and driver and executors are one process a folder of this machine serves; a cluster
+    A path without a scheme lies in Hadoop's default file system, as Spark itself reads it. Only where that is unset and driver and executors are one process a folder of this machine serves; a cluster
     without the setting is an error, as its executors would each write to a disk of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -35,7 +35,12 @@ def shared_root(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "lexiforge-shared")
-    return root if "://" in root or root.startswith("file:/") else "file://" + os.path.abspath(root)
+    return qualified(spark, root)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return str(at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString())
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -87,7 +92,13 @@ def filesystem(path: str):
     """The pyarrow file system and the path in it, for a worker's access to the shared folder."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+    return fs.FileSystem.from_uri(arrow_uri(path))
+
+
+def arrow_uri(path: str) -> str:
+    """A Hadoop path as pyarrow names it: S3 has one scheme there, and a local path three slashes."""
+    path = re.sub(r"^s3[an]://", "s3://", path)
+    return re.sub(r"^file:/+", "file:///", path)
 
 
 def texts(column) -> pa.Array:

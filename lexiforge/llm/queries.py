@@ -34,9 +34,16 @@ WITH r AS (
          coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
          7 + 8 + sum(8 + length(er) + length(et) + 9) AS formatted_chars
   FROM e GROUP BY conv_id
+), o AS (
+  SELECT conv_id, role, row_number() OVER w AS n, lag(role) OVER w AS ahead, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) AS back FROM r
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), v AS (
+  SELECT conv_id, CASE WHEN bool_and(CASE WHEN n = 1 THEN role IN ('system', 'user') ELSE (ahead, role) IN (('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) END)
+                  THEN max(role) FILTER (back = 1) ELSE 'invalid' END AS state
+  FROM o GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
-       formatted_chars::BIGINT AS formatted_chars FROM g""",
+       formatted_chars::BIGINT AS formatted_chars, state = 'assistant' AS valid, state FROM g JOIN v USING (conv_id)""",
     "op7_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
@@ -137,6 +144,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "state",
     )
 
 
