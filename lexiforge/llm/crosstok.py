@@ -14,17 +14,19 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import Workspace, steps
+from lexiforge.llm.common import Workspace, segment_sums, steps
 
 #: Pieces that a worker remembers.
-MEMO = 120_000
+MEMO = 250_000
+#: Pieces that are encoded or looked up at a time, about.
+ADDED = 1 << 17
 #: Groups that every task knows, at most, and characters of their keys; the documents' other groups are joined.
 KEPT, KEPT_CHARS = 1 << 16, 64
 #: Characters of a long text that are cut into pieces at a time.
@@ -45,35 +47,72 @@ def byte_alphabet() -> dict[str, int]:
 class Tokenizers:
     """Both tokenizers and the bytes of each id."""
 
+    #: Pieces that are encoded as one text.
+    BULK = 256
+
     def __init__(self, a_path: str, b_path: str) -> None:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
-        alphabet = byte_alphabet()
-        self.a_bytes = {i: bytes(alphabet[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in alphabet for c in t)}
+        alphabet, tokens = byte_alphabet(), self.a.get_vocab(with_added_tokens=False)
+        by_id = {i: bytes(alphabet[c] for c in t) for t, i in tokens.items() if all(c in alphabet for c in t)}
+        self.a_bytes = [by_id.get(i, b"") for i in range(max(tokens.values()) + 1)]
         self.b = SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece of the second tokenizer reaches over the edge ahead of a blank")
-
-    def encode(self, parts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of parts that begin with a blank, which the second tokenizer adds itself."""
-        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        return list(zip(a, self.b.encode([p[1:] for p in parts], num_threads=1), strict=True))
-
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
-        """The ids of each group."""
-        ends_a, ends_b = (list(accumulate(len(known[i]) for i in ids)) for known, ids in ((self.a_bytes, a), (self.b_bytes, b)))
-        shared, out, i, j = set(ends_a) & set(ends_b), [], 0, 0
-        for k, end in enumerate(ends_a):
-            if end in shared:
-                stop = ends_b.index(end, j) + 1
-                out.append((tuple(a[i : k + 1]), tuple(b[j:stop])))
-                i, j = k + 1, stop
-        return out
+        self.a_size, self.b_size = (np.array([len(x) for x in known], np.int64) for known in (self.a_bytes, self.b_bytes))
+        self.a_data, self.b_data = (pa.array(known, pa.binary()) for known in (self.a_bytes, self.b_bytes))
+        self.written = pa.array(np.arange(max(len(self.a_bytes), len(self.b_bytes)))).cast(pa.string())
+
+    def encode_a(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def encode_b(self, parts: list[str]) -> list[list[int]]:
+        """Ids of parts that begin with a blank, which the tokenizer adds itself."""
+        return self.b.encode([p[1:] for p in parts], num_threads=1)
+
+    def encode(self, encode, size: np.ndarray, parts: list[str], bytes_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pieces in turn, and how many each has. Pieces are encoded in bulk where the ids' ends tell them apart again.
+
+        size: bytes of each id; bytes_: of each piece. A piece with white space behind it would join what follows, so it is encoded alone.
+        """
+        alone = np.array([p[-1].isspace() for p in parts])
+        ids, n = [np.zeros(0, np.int64)] * len(parts), np.zeros(len(parts), np.int64)
+        rest, bulk = np.flatnonzero(alone).tolist(), np.flatnonzero(~alone)
+        chunks = [bulk[i : i + self.BULK] for i in range(0, len(bulk), self.BULK)]
+        for chunk, got in zip(chunks, encode(["".join([parts[i] for i in c]) for c in chunks]), strict=True):
+            got, ends = np.array(got, np.int64), np.cumsum(bytes_[chunk])
+            reached = np.cumsum(size[got])
+            last = np.searchsorted(reached, ends)
+            if len(got) == last[-1] + 1 and (reached[last] == ends).all():
+                ids[chunk[0]], n[chunk] = got, np.diff(last, prepend=-1)  # the ids of a chunk's pieces stand with its first
+            else:
+                rest += chunk.tolist()
+        for i, got in zip(rest, encode([parts[i] for i in rest]), strict=True):
+            ids[i], n[i] = np.array(got, np.int64), len(got)
+        order = np.concatenate([bulk, np.flatnonzero(alone)])
+        return self._in_order(ids, n, order)
+
+    @staticmethod
+    def _in_order(ids: list[np.ndarray], n: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate([ids[i] for i in order.tolist()])  # in that order
+        start = np.zeros(len(n), np.int64)
+        start[order] = np.cumsum(n[order]) - n[order]
+        return flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+    def same(self, data: pa.Array, size: np.ndarray, ids: np.ndarray, n: np.ndarray, parts: pa.Array, bytes_: np.ndarray) -> np.ndarray:
+        """Which pieces' ids have the pieces' very bytes."""
+        good = segment_sums(size[ids], n) == bytes_
+        joined = lambda x: np.frombuffer(x.buffers()[2] or b"", np.uint8)[: int(pc.sum(pc.binary_length(x)).as_py() or 0)]
+        want = joined(parts.filter(pa.array(good)).cast(pa.binary()))
+        got = joined(data.take(pa.array(ids[np.repeat(good, n)])))
+        wrong = np.repeat(np.flatnonzero(good), bytes_[good])[want != got]
+        good[wrong] = False
+        return good
 
     def links(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
         """The id pairs of a group's overlapping tokens, an entry per link."""
@@ -108,6 +147,15 @@ def pieces_of(text: str) -> Iterator[list[str]]:
         at = end
 
 
+def _offsets(n: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+
+
+def _joined(strings: pa.Array, n: np.ndarray, mark: str) -> pa.Array:
+    """Runs of n strings each, joined."""
+    return pc.binary_join(pa.ListArray.from_arrays(_offsets(n), strings), mark)
+
+
 class Interned:
     """Pieces of texts and the groups that they fall into, each kept once."""
 
@@ -117,43 +165,44 @@ class Interned:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.written: list[str] = []  # a piece's groups
+        self.written = pa.array([], pa.string())  # a piece's groups
         self.good = np.zeros(0, bool)
         self.numbers = np.zeros((0, len(NUMBERS)), np.int64)
-        self.first, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.of_piece = np.zeros(0, np.int64)
+        self.n, self.of_piece = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.group: dict[str, int] = {}
         self.keys: list[str] = []
 
     def add(self, new: list[str]) -> None:
-        good, numbers, n, of = [], [], [], []
-        known_a, known_b = self.both.a_bytes, self.both.b_bytes
-        for part, (a, b) in zip(new, self.both.encode(new), strict=True):
-            data = part.encode()
-            same = b"".join(known_a[i] for i in a) == data and b"".join(known_b[i] for i in b) == data
-            groups = self.both.groups(a, b) if same else []
-            keys = [f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]
-            for k in keys:
-                if k not in self.group:
-                    self.group[k] = len(self.keys)
-                    self.keys.append(k)
-            self.at[part] = len(self.written)
-            self.written.append(";".join(keys))
-            good.append(same)
-            numbers.append((len(a), len(b), len(groups), sum(len(x) + len(y) - 1 for x, y in groups)))
-            n.append(len(keys))
-            of += [self.group[k] for k in keys]
-        n = np.array(n, np.int64)
-        self.first = np.concatenate([self.first, len(self.of_piece) + np.cumsum(n) - n])
-        self.n = np.concatenate([self.n, n])
-        self.of_piece = np.concatenate([self.of_piece, np.array(of, np.int64)])
-        self.good = np.concatenate([self.good, np.array(good, bool)])
-        self.numbers = np.concatenate([self.numbers, np.array(numbers, np.int64).reshape(-1, len(NUMBERS))])
+        both, parts = self.both, pa.array(new, pa.string())
+        size = pc.binary_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        a, n_a = both.encode(both.encode_a, both.a_size, new, size)
+        b, n_b = both.encode(both.encode_b, both.b_size, new, size)
+        good = both.same(both.a_data, both.a_size, a, n_a, parts, size) & both.same(both.b_data, both.b_size, b, n_b, parts, size)
+        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+        ends_a, ends_b = np.cumsum(both.a_size[a]), np.cumsum(both.b_size[b])
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        of_group = lambda ends: np.bincount(np.searchsorted(shared, ends), minlength=len(shared))
+        in_a, in_b = of_group(ends_a), of_group(ends_b)
+        sides = [_joined(both.written.take(pa.array(ids)), n, ",") for ids, n in ((a, in_a), (b, in_b))]
+        keys = pc.binary_join_element_wise(*sides, "|")
+        piece = np.flatnonzero(good)[np.searchsorted(np.cumsum(size[good]), shared)]
+        n = np.bincount(piece, minlength=len(new))
+        links = np.bincount(piece, weights=in_a + in_b - 1, minlength=len(new)).astype(np.int64)
+        listed = keys.to_pylist()
+        for k in listed:
+            if k not in self.group:
+                self.group[k] = len(self.keys)
+                self.keys.append(k)
+        self.at.update(zip(new, range(len(self.n), len(self.n) + len(new)), strict=True))
+        self.written = pa.concat_arrays([self.written, _joined(keys, n, ";")])
+        self.of_piece = np.concatenate([self.of_piece, np.fromiter(map(self.group.__getitem__, listed), np.int64, len(listed))])
+        self.n, self.good = np.concatenate([self.n, n]), np.concatenate([self.good, good])
+        self.numbers = np.concatenate([self.numbers, np.stack([n_a, n_b, n, links], 1)])
 
     def places(self, parts: list[str]) -> np.ndarray:
         new = list(dict.fromkeys(p for p in parts if p not in self.at))
-        if new:
-            self.add(new)
+        for lo in range(0, len(new), ADDED):
+            self.add(new[lo : lo + ADDED])
         return np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
 
 
@@ -165,35 +214,51 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encoded(interned: Interned, values: list[str]) -> tuple[np.ndarray, list[str], pa.ListArray, pa.ListArray]:
     """For each text its NUMBERS, the hash of its groups, its different groups and how often it has each."""
     numbers, good = np.zeros((len(values), len(NUMBERS)), np.int64), np.ones(len(values), bool)
-    hashes, found = [], [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    hashes, begun = [hashlib.sha256() for _ in values], [False] * len(values)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     if len(interned.at) > MEMO:
         interned.clear()
+    rows: list[int] = []
+    sizes: list[int] = []
+    parts: list[str] = []
+
+    def flush() -> None:
+        places, n = interned.places(parts), np.array(sizes, np.int64)
+        row = np.repeat(np.array(rows, np.int64), n)
+        good[row[~interned.good[places]]] = False
+        for i, groups in zip(rows, _joined(interned.written.take(pa.array(places)), n, ";").to_pylist(), strict=True):
+            hashes[i].update((";" + groups if begun[i] else groups).encode())
+            begun[i] = True
+        width = max(len(interned.n), 1)
+        found.append(_summed(row * width + places, np.ones(len(row))))
+        pair, n = found[-1]
+        np.add.at(numbers, pair // width, interned.numbers[pair % width] * n[:, None])
+        found[-1] = pair // width << 32 | pair % width, n
+        rows.clear(), sizes.clear(), parts.clear()
+
     for row, text in enumerate(values):
-        h, ahead = hashlib.sha256(), ""
-        for parts in pieces_of(text) if text else ():
-            places = interned.places(parts)
-            good[row] &= interned.good[places].all()
-            if not good[row]:
-                break
-            h.update((ahead + ";".join(map(interned.written.__getitem__, places.tolist()))).encode())
-            ahead = ";"
-            each, n = np.unique(places, return_counts=True)
-            numbers[row] += n @ interned.numbers[each]
-            found.append((np.full(len(each), row), each, n))
-        some = bool(text) and bool(good[row])
-        hashes.append(h.hexdigest() if some else "")
+        for some in pieces_of(text) if text else ():
+            parts += some
+            rows.append(row)
+            sizes.append(len(some))
+            if len(parts) > ADDED:
+                flush()
+    if parts:
+        flush()
     numbers[~good] = 0
-    row, piece, n = (np.concatenate([x[k] for x in found]) for k in range(3))
+    pair, n = (np.concatenate([x[k] for x in found]) for k in range(2))
+    row, piece = pair >> 32, pair & 0xFFFFFFFF
     keep = good[row]
     row, piece, n = row[keep], piece[keep], n[keep]
-    size = interned.n[piece]
-    at = np.repeat(interned.first[piece] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    size, first = interned.n[piece], np.cumsum(interned.n) - interned.n
+    at = np.repeat(first[piece] - (np.cumsum(size) - size), size) + np.arange(size.sum())
     width = max(len(interned.keys), 1)
     pair, n = _summed(np.repeat(row, size) * width + interned.of_piece[at], np.repeat(n, size))
     used, back = np.unique(pair % width, return_inverse=True)
     keys = pa.array([interned.keys[k] for k in used.tolist()], pa.string()).take(pa.array(back))
     offsets = pa.array(np.searchsorted(pair // width, np.arange(len(values) + 1)).astype(np.int32))
-    return numbers, hashes, pa.ListArray.from_arrays(offsets, keys), pa.ListArray.from_arrays(offsets, pa.array(n))
+    told = [h.hexdigest() if some and text else "" for h, some, text in zip(hashes, good.tolist(), values, strict=True)]
+    return numbers, told, pa.ListArray.from_arrays(offsets, keys), pa.ListArray.from_arrays(offsets, pa.array(n))
 
 
 def _encode(a_path: str, b_path: str):
