@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiforge.functions import metrics, normalize, quality, segment
-from lexiforge.operators import align, augment, decode, mine, select
+from lexiforge.operators import align, augment, decode, mine, select, sketch
 from lexiforge.plans.registry import derived, derived_sql, inline, inline_sql, query, table
 
 PAIRS_SQL = """
@@ -778,3 +778,18 @@ def describe_lineitem(spark, sf_dir):
 def argmax_per_group(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("event_type")
     return e.agg(F.count("*").alias("n"), F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("top_event"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_near, true AS quartiles_near FROM events GROUP BY event_type")
+def sketched_events(spark, sf_dir):
+    """AG4, AG5: users and quartiles of each kind of event from sketches by day, held against the exact ones: within 3 % of the users and 2 hundredths of a rank."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    days = sketch.sketched(e, ["event_type", "day"], "user_id", "value")
+    told = sketch.estimates(sketch.merged(days, ["event_type"]), ["event_type"]).withColumnsRenamed({"n": "rows_seen", "event_type": "of"})
+    q = {25: "q25", 50: "q50", 75: "q75"}
+    both = e.join(told, F.col("event_type").eqNullSafe(F.col("of")))
+    made = both.groupBy("event_type", "rows_seen", "distinct_keys").agg(
+        F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), *[(F.count_if(F.col("value") <= F.col(c)) / F.count("value") - k / 100).alias(c) for k, c in q.items()]
+    )
+    near = (F.col("rows_seen") == F.col("n")) & (F.abs(F.col("distinct_keys") - F.col("users")) <= 0.03 * F.col("users"))
+    return made.select("event_type", "n", "users", near.alias("users_near"), (F.greatest(*[F.abs(F.col(c)) for c in q.values()]) <= 0.02).alias("quartiles_near"))

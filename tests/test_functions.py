@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.functions import metrics, normalize, quality, segment
-from lexiforge.operators import align, augment, decode, mine, select
+from lexiforge.operators import align, augment, decode, mine, select, sketch
 
 # Inputs whose results are published or follow from the conventions' rules.
 SOURCE = {
@@ -383,3 +383,23 @@ def test_length_buckets(spark):
         assert all(r.length <= r.width for r in b) and (len(b) * b[0].width <= 2048 or len(b) == 1)
     used = sum(r.length for r in rows)
     assert sum(len(b) * b[0].width for b in batches.values()) < 1.1 * used
+
+
+def test_sketches_merge(spark):
+    """Thirty days' sketches put together against exact counts and ranks; days of nulls only."""
+    d = spark.range(60_000).selectExpr("if(id % 9 = 0, null, 'g') as g", "cast(id % 30 as int) as day", "cast(pmod(xxhash64(id), 20000) as long) as k", "cast(pmod(xxhash64(id, 5), 1000003) as double) as v")
+    d = d.union(spark.createDataFrame([("none", 1, None, None), ("none", 2, None, float("nan"))], d.schema)).cache()
+    got = {r.g: r for r in sketch.estimates(sketch.merged(sketch.sketched(d, ["g", "day"], "k", "v"), ["g"]), ["g"]).collect()}
+    exact = {r.g: r for r in d.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("k").alias("k")).collect()}
+    assert set(got) == {None, "g", "none"} and got["none"].n == 2 and got["none"].distinct_keys in (0, None)
+    for g in (None, "g"):
+        assert got[g].n == exact[g].n and abs(got[g].distinct_keys / exact[g].k - 1) < 0.03
+        for q in (25, 50, 75):
+            assert abs(d.filter(F.col("g").eqNullSafe(F.lit(g)) & (F.col("v") <= got[g][f"q{q}"])).count() / exact[g].n - q / 100) < 0.02
+    d.unpersist()
+
+
+def test_a_keyed_order_of_all_rows(spark):
+    d = spark.range(300).withColumnRenamed("id", "k")
+    a, b = ([r.k for r in select.shuffled(x, "k").collect()] for x in (d.repartition(1), d.repartition(7)))
+    assert a == b and sorted(a) == list(range(300)) and a != sorted(a) and a != [r.k for r in select.shuffled(d, "k", seed=1).collect()]
