@@ -1,14 +1,12 @@
 """Corpus and sentence BLEU and chrF++ from n-grams that Spark counts.
 
 BLEU: order 4, 13a tokens, exponential smoothing; sentence BLEU uses the orders that a sentence has.
-chrF++: character order 6 without white space, word order 2, beta 2. A text's n-grams are exploded where the text lies, so that counting the
-grams that two texts share shuffles texts once and no gram.
+chrF++: character order 6 without white space, word order 2, beta 2. The grams that two texts share are counted within their row, by sorting both texts' grams together
+and going over them once; no gram is shuffled. Texts are dealt out evenly first, as the work on them is much more than reading them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,22 +65,55 @@ def size(x: Column, kind: str, n: int) -> Column:
     return F.greatest(F.size(x[kind]) - (n - 1), F.lit(0)).cast("long")
 
 
+def _longer(g: Column, first: Column, kind: str, n: int) -> Column:
+    """The grams of order n from those of the order below, with a unit more each."""
+    kept = F.greatest(F.size(first) - (n - 1), F.lit(0))
+    between = "" if kind == "c" else "\u0001"
+    return F.zip_with(F.slice(g, F.lit(1), kept), F.slice(first, F.lit(n), kept), lambda a, b: F.concat(a, F.lit(between), b))
+
+
 def grams(x: Column) -> Column:
-    """array<struct<k, g>>: all grams of units, k their place in KINDS. Grams of an order are those of the order below with a unit more."""
+    """array<struct<k, g>>: all grams of units, k their place in KINDS."""
     out = []
     for kind, most in (("t", BLEU_N), ("c", CHAR_N), ("w", WORD_N)):
-        between = "" if kind == "c" else "\u0001"
-        first = x[kind]
 
-        def longer(g: Column, n: int, first: Column = first, between: str = between) -> Column:
-            kept = F.greatest(F.size(first) - (n - 1), F.lit(0))
-            return F.zip_with(F.slice(g, F.lit(1), kept), F.slice(first, F.lit(n), kept), lambda a, b: F.concat(a, F.lit(between), b))
-
-        def all_of(g: Column, n: int, most: int = most, kind: str = kind, longer: Callable = longer) -> Column:
+        def all_of(g: Column, n: int, kind: str = kind, most: int = most) -> Column:
             own = F.transform(g, lambda s: F.struct(F.lit(KINDS.index((kind, n))).alias("k"), s.alias("g")))
-            return own if n == most else F.concat(own, let(longer(g, n + 1), lambda h: all_of(h, n + 1)))
+            more = lambda h: all_of(h, n + 1, kind, most)
+            return own if n == most else F.concat(own, let(_longer(g, x[kind], kind, n + 1), more))
 
-        out.append(all_of(first, 1))
+        out.append(all_of(x[kind], 1))
+    return F.concat(*out)
+
+
+def common(a: Column, b: Column) -> Column:
+    """How many grams two arrays share, each as often as the one with fewer has it."""
+    side = lambda x, mine: F.transform(x, lambda g: F.struct(g.alias("g"), F.lit(mine).alias("a")))
+    zero = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("n"))
+
+    def step(z: Column, x: Column) -> Column:
+        same = x["g"].eqNullSafe(z["g"])
+        return F.struct(
+            x["g"].alias("g"),
+            F.when(same, z["a"] + x["a"]).otherwise(x["a"]).alias("a"),
+            F.when(same, z["b"] + 1 - x["a"]).otherwise(1 - x["a"]).alias("b"),
+            (z["n"] + F.when(same, 0).otherwise(F.least(z["a"], z["b"]))).alias("n"),
+        )
+
+    return F.aggregate(F.sort_array(F.concat(side(a, 1), side(b, 0))), zero, step, lambda z: z["n"] + F.least(z["a"], z["b"]))
+
+
+def matches(a: Column, b: Column) -> Column:
+    """array<long>: what two texts' units share of each of KINDS."""
+    out = []
+    for kind, most in (("t", BLEU_N), ("c", CHAR_N), ("w", WORD_N)):
+
+        def of(g: Column, n: int, kind: str = kind, most: int = most) -> Column:
+            own = F.array(common(g["a"], g["b"]))
+            more = lambda h: of(h, n + 1, kind, most)
+            return own if n == most else F.concat(own, let(F.struct(_longer(g["a"], a[kind], kind, n + 1).alias("a"), _longer(g["b"], b[kind], kind, n + 1).alias("b")), more))
+
+        out.append(let(F.struct(a[kind].alias("a"), b[kind].alias("b")), lambda g: of(g, 1)))  # noqa: B023  called at once
     return F.concat(*out)
 
 
@@ -140,41 +171,36 @@ def comparison(metrics: DataFrame) -> DataFrame:
     return rows.withColumn("best", by_name == 1)
 
 
-def _shared(rows: DataFrame, hyp: str | Column, ref: str | Column, by: list[str]) -> tuple[DataFrame, str, list[Column]]:
-    """A row for each row's different grams: by's columns, the row, k, g and how often both sides have it; the row's name; and the sums over KINDS, as arrays m, h and r.
+def _sizes(x: Column) -> Column:
+    return F.array(*[size(x, *o) for o in KINDS])
 
-    Every text's grams are counted in the task that has the text, as grams are grouped by row first.
-    """
-    id_ = free_name(by, "row")
+
+def _compared(rows: DataFrame, hyp: str | Column, ref: str | Column, by: list[str]) -> tuple[DataFrame, str]:
+    """by's columns and a struct, named as told, of arrays over KINDS for each row: matches m, and sizes h and r."""
     hyp, ref = (F.col(c) if isinstance(c, str) else c for c in (hyp, ref))
-    texts = rows.select(*by, F.monotonically_increasing_id().alias(id_), units(hyp).alias("hyp"), units(ref).alias("ref")).repartition(id_)
-    side = lambda x, a, b: F.transform(grams(x), lambda g: F.struct(g["k"].alias("k"), g["g"].alias("g"), F.lit(a).cast("long").alias("h"), F.lit(b).cast("long").alias("r")))
-    # The sizes of each order travel as one more gram, which no text has.
-    sizes = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(None).cast("string").alias("g"), size(F.col("hyp"), *o).alias("h"), size(F.col("ref"), *o).alias("r")) for k, o in enumerate(KINDS)])
-    every = texts.select(*by, id_, F.explode(F.concat(side(F.col("hyp"), 1, 0), side(F.col("ref"), 0, 1), sizes)).alias("x"))
-    counted = every.groupBy(*by, id_, F.col("x.k").alias("k"), F.col("x.g").alias("g")).agg(F.sum("x.h").alias("h"), F.sum("x.r").alias("r"))
-    of = lambda k, value: F.coalesce(F.sum(F.when(F.col("k") == k, value)), F.lit(0))
-    told = F.col("g").isNull()
-    values = {"sum_m": F.when(~told, F.least("h", "r")), "sum_h": F.when(told, F.col("h")), "sum_r": F.when(told, F.col("r"))}
-    return counted, id_, [F.array(*[of(k, v) for k in range(len(KINDS))]).alias(name) for name, v in values.items()]
+    name = free_name(by, "counts")
+    of = lambda x: F.struct(matches(x["a"], x["b"]).alias("m"), _sizes(x["a"]).alias("h"), _sizes(x["b"]).alias("r"))
+    a, b = free_name(by, "hyp"), free_name(by, "ref")
+    dealt = rows.select(*by, hyp.alias(a), ref.alias(b)).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+    # Exploded, so that what reads it many times has it worked out once.
+    return dealt.select(*by, F.explode(F.array(let(F.struct(units(F.col(a)).alias("a"), units(F.col(b)).alias("b")), of))).alias(name)), name
 
 
 def corpus_scores(rows: DataFrame, hyp: str | Column, ref: str | Column, by: list[str] | None = None) -> DataFrame:
-    """M1-M3: bleu, chrf, geo and n over all rows, or per group. Sums are partial before the second shuffle.
+    """M1-M3: bleu, chrf, geo and n over all rows, or per group. Sums are partial before the only shuffle.
 
-    Null texts are empty ones. Columns of by mustn't be called as the result's, nor k, g, h, r, x, hyp, ref or sum_m, sum_h, sum_r. Without rows the
-    scores over all are 0. A text's grams are held by its task, about 15 times the text.
+    Null texts are empty ones. Columns of by mustn't be called as the result's. Without rows the scores over all are 0.
     """
     by = by or []
-    counted, _, sums = _shared(rows, hyp, ref, by)
-    summed = counted.groupBy(*by).agg(F.count_if(F.col("g").isNull() & (F.col("k") == 0)).alias("n"), *sums)
-    b, c = scores(F.col("sum_m"), F.col("sum_h"), F.col("sum_r"))
+    counted, name = _compared(rows, hyp, ref, by)
+    sums = lambda c: F.array(*[F.coalesce(F.sum(F.col(name)[c][k]), F.lit(0)) for k in range(len(KINDS))])
+    summed = counted.groupBy(*by).agg(F.count("*").alias("n"), F.struct(*[sums(c).alias(c) for c in "mhr"]).alias(name))
+    b, c = scores(*[F.col(name)[x] for x in "mhr"])
     return summed.select(*by, "n", b.alias("bleu"), c.alias("chrf")).withColumn("geo", geo(F.col("bleu"), F.col("chrf")))
 
 
 def sentence_scores(rows: DataFrame, hyp: str | Column, ref: str | Column, key: list[str]) -> DataFrame:
     """M4: key's columns, bleu, chrf and geo of each row, BLEU by the orders that the hypothesis has. Repeated rows stay rows."""
-    counted, id_, sums = _shared(rows, hyp, ref, key)
-    b, c = scores(F.col("sum_m"), F.col("sum_h"), F.col("sum_r"), effective=True)
-    summed = counted.groupBy(*key, id_).agg(*sums)
-    return summed.select(*key, b.alias("bleu"), c.alias("chrf")).withColumn("geo", geo(F.col("bleu"), F.col("chrf")))
+    counted, name = _compared(rows, hyp, ref, key)
+    b, c = scores(*[F.col(name)[x] for x in "mhr"], effective=True)
+    return counted.select(*key, b.alias("bleu"), c.alias("chrf")).withColumn("geo", geo(F.col("bleu"), F.col("chrf")))
