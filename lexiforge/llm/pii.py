@@ -1,8 +1,9 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations.
 
-One pattern finds all candidates. Octets, calendar and digit counts are part of it, and of cards it has
-those runs of the text that pass the Luhn sum, so a run that fails hides no value in or behind it. What is found is permuted within its format: a card number becomes another with a right check digit, a
-date another date, and letters, digits and separators stay what they are. The permutation depends
+One pattern finds all values but cards; octets, calendar and digit counts are part of it. Cards are found in what lies
+between these, from the text's groups of digits, so a run that fails the Luhn sum hides no value in or behind it and the
+time is linear in the text. What is found is permuted within its format: a card number becomes another with a right check
+digit, a date another date, and letters, digits and separators stay what they are. The permutation depends
 on the key, the kind and the digits or letters alone, so equal values get equal pseudonyms in
 every document and, without the key, can't be traced back. All steps are DataFrame functions.
 """
@@ -48,27 +49,22 @@ PHONE_DIGIT = "[ .()-]{0,2}[0-9]"
 PHONE_END = rf"(?![0-9])(?<=\+{PHONE_DIGIT * 8}{f'(?:{PHONE_DIGIT})?' * 7})"
 
 
-def patterns(card: str = CARD) -> dict[str, str]:
-    """The pattern of each kind. A phone ends ahead of another kind's value, if what is left is a phone."""
+def patterns() -> dict[str, str]:
+    """The pattern of each kind but cards. A phone ends ahead of another kind's value, or what may be a card, if what is left is a phone."""
     phone = rf"{PHONE_HEAD}(?:[ .-]?[0-9]{{2,5}}){{1,4}}{PHONE_END}"
     return {
         "secret": r"(?i:(?:api[_-]?key|token|secret|password|passwd)\s*+[=:]\s*+[\"'][^\"'\s]{8,}+[\"'])",
         "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+(?![A-Za-z0-9-])",
         "ip": IP,
-        "phone": f"{phone}(?=[ .-]?(?:{IP}|{DATE}|{SSN}|{card}))|{phone}",
+        "phone": f"{phone}(?=[ .-]?(?:{IP}|{DATE}|{SSN}|{CARD}))|{phone}",
         "date": DATE,
         "ssn": SSN,
-        "card": card,
     }
 
 
-def one_of(patterns: dict[str, str]) -> str:
-    return "|".join(f"(?:{p})" for p in patterns.values())
-
-
 PATTERNS = patterns()
-KINDS = tuple(PATTERNS)
-PATTERN = one_of(PATTERNS)
+KINDS = (*PATTERNS, "card")
+PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no candidate; the cheap test comes first.
 HINT = r"[0-9@\"']"
 
@@ -219,40 +215,73 @@ def _secret(v: Column, key: Column) -> Column:
 
 
 def kind_of(v: Column) -> Column:
-    """The first kind whose pattern a candidate is and whose check it passes, or null."""
-    whole = {k: v.rlike(f"^(?:{p})$") for k, p in PATTERNS.items()}
-    d = _digits(v)
-    checks = {
-        "secret": F.lit(True),
-        "email": F.lit(True),
-        "ip": F.lit(True),
-        "phone": F.lit(True),
-        "date": F.lit(True),
-        "ssn": F.lit(True),
-        "card": (F.size(d).between(13, 19)) & (luhn(d) % 10 == 0),
-    }
+    """The first kind but card whose pattern a value is, or null."""
     out = F.lit(None).cast("string")
-    for k in reversed(KINDS):
-        out = F.when(whole[k] & checks[k], F.lit(k)).otherwise(out)
+    for k in reversed(PATTERNS):
+        out = F.when(v.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k)).otherwise(out)
     return out
 
 
-def cards(text: Column) -> Column:
-    """All runs of the text that pass as a card, one within another too, the longest first."""
-    run = lambda n: rf"(?<![0-9])(?=([0-9](?:[ -]?[0-9]){{{n - 1}}})(?![0-9]))"
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(run(n)), F.lit(1)) for n in reversed(CARD_DIGITS)])
-    return F.filter(F.array_distinct(found), lambda v: luhn(_digits(v)) % 10 == 0)
+GROUP = "[0-9]+"
+GROUPS = "array<struct<v:string,done:boolean>>"
+#: A letter per group: a for one where no card begins, the k-th behind it for one where k groups are a value.
+TAKEN = "|".join(f"{chr(97 + k)}.{{{k - 1}}}" for k in range(1, CARD_DIGITS.stop))
+
+
+def groups(found: Column, cut: Column) -> tuple[Column, Column]:
+    """(what lies between groups, the groups): the values found, marked as done, and the digits of the pieces that may hold a card."""
+    may = lambda p: p.rlike(CARD)
+    between = F.flatten(F.transform(cut, lambda p: F.when(may(p), F.split(p, GROUP, -1)).otherwise(F.array(p))))
+    as_group = lambda v, done: F.struct(v.alias("v"), F.lit(done).alias("done"))
+    none = F.array().cast(GROUPS)
+    digits = lambda p: F.when(may(p), F.transform(F.regexp_extract_all(p, F.lit(GROUP), F.lit(0)), lambda v: as_group(v, False))).otherwise(none)
+    value = lambda i: F.when(i < F.size(found), F.array(as_group(F.get(found, i), True))).otherwise(none)
+    return between, F.flatten(F.transform(cut, lambda p, i: F.concat(digits(p), value(i))))
 
 
-def row_pattern(text: Column) -> Column:
-    """PATTERN, with those of the text's runs for the card that pass as one."""
-    mark = "<card>"
-    whole = one_of(patterns(mark)).split(mark)
-    some = lambda c: F.concat(F.lit("(?<![0-9])(?:"), F.array_join(c, "|"), F.lit(")(?![0-9])"))
-    with_card = lambda c: F.concat(F.lit(whole[0]), *[x for p in whole[1:] for x in (c, F.lit(p))])
-    none = F.lit(one_of(patterns("(?!)")))
-    made = let(cards(text), lambda c: F.when(F.size(c) > 0, with_card(some(c))).otherwise(none))
-    return F.when(text.rlike(CARD), made).otherwise(none)
+def marked(between: Column, group: Column) -> Column:
+    """The letters of TAKEN. A card is the longest run of whole groups, one blank or dash between two, with a right Luhn sum."""
+    def longest(between: Column, group: Column, i: Column) -> Column:
+        def step(a: Column, j: Column) -> Column:
+            joined = (j == 0) | F.get(between, i + j).isin(" ", "-")
+            g = F.get(group, i + j)
+            longer = F.when(a["digits"].isNotNull() & joined & ~g["done"], F.concat(a["digits"], g["v"]))
+            longer = let(longer, lambda d: F.when(F.length(d) < CARD_DIGITS.stop, d))
+            passes = lambda d: (F.length(d) >= CARD_DIGITS.start) & F.call_function("luhn_check", d)
+            return let(longer, lambda d: F.struct(d.alias("digits"), F.when(passes(d), j + 1).otherwise(a["best"]).alias("best")))
+
+        zero = F.struct(F.lit("").alias("digits"), F.lit(0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(CARD_DIGITS.stop - 2)), zero, step, lambda a: a["best"])
+
+    def letter(between: Column, group: Column, g: Column, i: Column) -> Column:
+        alone = F.length(g["v"]) >= CARD_DIGITS.start
+        some = alone | F.coalesce(F.get(between, i + 1).isin(" ", "-"), F.lit(False))
+        return F.when(g["done"], F.lit("b")).when(some, F.chr(longest(between, group, i) + 97)).otherwise(F.lit("a"))
+
+    made = lambda between, group: F.array_join(F.transform(group, lambda g, i: letter(between, group, g, i)), "")
+    return let(between, lambda between: let(group, lambda group: made(between, group)))
+
+
+def settled(between: Column, group: Column, letters: Column) -> Column:
+    """array<struct<cut, kind, original>>: each value, card or not, with the text ahead of it; last the rest of the text, without a value.
+
+    Letters are taken from the left, so of values that overlap the first one stays.
+    """
+    def one(between, group, joined, sizes, ahead, i):
+        at = F.get(ahead, i).cast("int")
+        first = at + F.get(sizes, i)["gap"]
+        cut = F.concat(F.array_join(F.slice(joined, at + 1, F.get(sizes, i)["gap"]), ""), F.get(between, first))
+        original = lambda: F.concat(F.get(group, first)["v"], F.array_join(F.slice(joined, first + 2, F.get(sizes, i)["value"] - 1), ""))
+        is_value = F.get(sizes, i)["value"] > 0
+        kind = lambda v: F.when(F.get(group, first)["done"], kind_of(v)).otherwise(F.lit("card"))
+        return let(F.when(is_value, original()), lambda v: F.struct(cut.alias("cut"), F.when(v.isNotNull(), kind(v)).alias("kind"), v.alias("original")))
+
+    gaps, values = F.split(letters, TAKEN, -1), F.regexp_extract_all(letters, F.lit(TAKEN), F.lit(0))
+    sizes = F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(v), F.lit(0)).alias("value")))
+    total = lambda sizes: F.transform(sizes, lambda x: (x["gap"] + x["value"]).cast("long"))
+    whole = lambda between, group, joined, sizes: let(sums_ahead(total(sizes)), lambda ahead: F.transform(sizes, lambda _, i: one(between, group, joined, sizes, ahead, i)))
+    joined = lambda between, group: F.zip_with(F.slice(between, F.lit(1), F.size(group)), group, lambda b, g: F.concat(b, g["v"]))
+    return let(between, lambda b: let(group, lambda g: let(joined(b, g), lambda j: let(sizes, lambda s: whole(b, g, j, s)))))
 
 
 def pseudonym(kind: Column, v: Column, key: str) -> Column:
@@ -266,33 +295,34 @@ def pseudonym(kind: Column, v: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text", name: str = "pii") -> DataFrame:
     """docs with text pseudonymised and a column pii, array<struct<kind, start, original, pseudonym>>, added.
 
-    start counts code points from 0 in the original text. Runs that fail their kind's check stay as
-    they are, but for values within them. A null text stays null and, like an empty or clean one, has no entry; rows, repeated
+    start counts code points from 0 in the original text. Cards are looked for between the other kinds' values, from the
+    left, the longest of those that begin at a place. Runs that fail their kind's check stay as they are, but for values within them. A null text stays null and, like an empty or clean one, has no entry; rows, repeated
     ones too, stay rows, and an empty table stays empty. Texts of any length are taken whole, and no value is too long. All
     other columns stay, but one called as the added one is to be is replaced. Whoever knows the key can trace
     pseudonyms back: without one, nor one in the session's ``spark.lexiforge.pii.key``, a random key holds for this call.
     """
     key = key or docs.sparkSession.conf.get(KEY_CONF, None) or secrets.token_hex(16)
     t = F.col(text)
-    some = F.coalesce(t.rlike(HINT), F.lit(False)) & F.coalesce(t.rlike(PATTERN), F.lit(False))
-    # Rows of the plan, so that the cards and the candidates are found once and both columns read them.
+    some = F.coalesce(t.rlike(HINT), F.lit(False)) & F.coalesce(t.rlike(f"{PATTERN}|{CARD}"), F.lit(False))
+    # Rows of the plan, so that every step's arrays are made once.
     kept = [c for c in docs.columns if c.lower() != name.lower()]
-    pattern_, found_, cut_ = free_names([*kept, name], "_pattern", "_found", "_cut")
-    rows = docs.select(*kept, F.when(some, row_pattern(t)).alias(pattern_))
-    some = F.col(pattern_).isNotNull()
-    found = F.when(some, F.regexp_extract_all(t, F.col(pattern_), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    cut = F.when(some, F.split(t, F.col(pattern_), -1))
-    rows = rows.select(*kept, found.alias(found_), cut.alias(cut_))
-    any_ = F.size(found_) > 0
-    named = F.transform(found_, lambda v: F.struct(kind_of(v).alias("kind"), v.alias("original")))
-    rows = rows.withColumn(found_, F.when(any_, named).otherwise(F.array().cast("array<struct<kind:string,original:string>>")))
-    new = F.transform(found_, lambda x: F.struct(x["kind"].alias("kind"), x["original"].alias("original"), pseudonym(x["kind"], x["original"], key).alias("pseudonym")))
-    rows = rows.withColumn(found_, F.when(any_, new).otherwise(F.array().cast("array<struct<kind:string,original:string,pseudonym:string>>")))
-    joined = F.array_join(F.transform(cut_, lambda p, i: F.concat(p, F.coalesce(F.get(F.col(found_), i)["pseudonym"], F.lit("")))), "")
-    sizes = F.transform(F.arrays_zip(F.col(cut_).alias("p"), F.col(f"{found_}.original").alias("v")), lambda x: (F.length(x["p"]) + F.coalesce(F.length(x["v"]), F.lit(0))).cast("long"))
+    found_, cut_, between_, group_, letters_ = free_names([*kept, name], "_found", "_cut", "_between", "_group", "_letters")
+    rows = docs.select(*kept, F.when(some, F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).alias(found_), F.when(some, F.split(t, PATTERN, -1)).alias(cut_))
+    between, group = groups(F.col(found_), F.col(cut_))
+    any_ = F.col(found_).isNotNull()
+    rows = rows.select(*kept, F.when(any_, between).alias(between_), F.when(any_, group).alias(group_))
+    any_ = F.size(group_) > 0
+    rows = rows.select(*kept, between_, group_, F.when(any_, marked(F.col(between_), F.col(group_))).alias(letters_))
+    any_ = F.coalesce(F.col(letters_).rlike("[^a]"), F.lit(False))
+    rows = rows.select(*kept, F.when(any_, settled(F.col(between_), F.col(group_), F.col(letters_))).alias(found_))
+    any_ = F.col(found_).isNotNull()
+    new = F.transform(found_, lambda x: x.withField("pseudonym", F.coalesce(pseudonym(x["kind"], x["original"], key), x["original"])))
+    rows = rows.select(*kept, F.when(any_, new).alias(found_))
+    joined = F.array_join(F.transform(found_, lambda x: F.concat(x["cut"], F.coalesce(x["pseudonym"], F.lit("")))), "")
+    sizes = F.transform(found_, lambda x: (F.length(x["cut"]) + F.coalesce(F.length(x["original"]), F.lit(0))).cast("long"))
     entry = lambda ahead: F.transform(
         found_,
-        lambda x, i: F.struct(x["kind"].alias("kind"), (F.get(ahead, i) + F.length(F.get(F.col(cut_), i))).cast("int").alias("start"), x["original"].alias("original"), x["pseudonym"].alias("pseudonym")),
+        lambda x, i: F.struct(x["kind"].alias("kind"), (F.get(ahead, i) + F.length(x["cut"])).cast("int").alias("start"), x["original"].alias("original"), x["pseudonym"].alias("pseudonym")),
     )
     pii = F.filter(let(sums_ahead(sizes), entry), lambda x: x["kind"].isNotNull())
     pii = F.when(any_, pii).otherwise(F.array().cast("array<struct<kind:string,start:int,original:string,pseudonym:string>>"))
