@@ -1,3 +1,6 @@
+import csv
+import random
+
 import pytest
 
 from lexiforge.sources import corpora
@@ -71,3 +74,43 @@ def test_resume_keeps_what_was_done(spark, tmp_path):
     assert 0 < had < 100
     out = resume.run_resumable(spark, d, lambda df: df, path, "k", every=20)
     assert out.count() == out.distinct().count() == 100
+
+
+def small_blocks(spark, size):
+    """Sets the bytes of a block; returns what puts the settings back."""
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
+    had = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    return lambda: [spark.conf.set(k, v) for k, v in had.items()]
+
+
+def test_csv_by_blocks(spark, tmp_path):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["a", "say", "x,y", "line\nbreak", "\n\n", '"', "", "NA", "épée", "z" * 30])
+    for name, n in (("one", 300), ("two", 40), ("header", 0)):
+        with open(tmp_path / f"{name}.csv", "w", newline="") as f:
+            out = csv.writer(f, lineterminator=rng.choice(["\n", "\r\n"]))
+            out.writerow(["id", "text_id", "line_start", "line_end", "transliteration"])
+            out.writerows([i, f"{name}{i}", i, i + 1, " ".join(word() for _ in range(rng.randrange(60)))] for i in range(n))
+    (tmp_path / "empty.csv").write_text("")
+    schema = corpora.SCHEMAS["test"]
+    want = sorted(map(tuple, corpora.read_csv(spark, str(tmp_path), schema).collect()), key=str)
+    back = small_blocks(spark, 200)
+    try:
+        for most in (corpora.MOST_BLOCKS, 0):
+            d = corpora.read_csv_by_blocks(spark, str(tmp_path), schema, most_blocks=most)
+            assert spark.read.text(str(tmp_path / "one.csv")).rdd.getNumPartitions() > 100
+            rows = d.collect()
+            assert all(r["_bad"] is None for r in rows)
+            assert sorted((tuple(r)[:-1] for r in rows), key=str) == want
+    finally:
+        back()
+    assert len(want) == 340
+
+
+def test_csv_quarantine(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('id,translation\n1,a\n\nx,b\n3\n4,c,d\n5,"e\n,f"\n6,NA\n')
+    rows = corpora.read_csv_by_blocks(spark, str(tmp_path), corpora.SCHEMAS["submission"]).collect()
+    assert sorted((r["_bad"] for r in rows if r["_bad"] is not None)) == ["3", "4,c,d", "x,b"]
+    assert sorted(tuple(r)[:2] for r in rows if r["_bad"] is None) == [(1, "a"), (5, "e\n,f"), (6, None)]
