@@ -17,13 +17,13 @@ from __future__ import annotations
 import io
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow.fs import FileSelector
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -48,8 +48,8 @@ RARE = 3
 #: Document frequencies are kept by this many hashes of words, for all words of all documents.
 BUCKETS = 1 << 20
 EDGES = " .,!?;:#$%&*()[]{}\"'|-_/\\<>=+~`@^"
-#: Benchmark passages that one search block holds; a larger benchmark is searched in several blocks.
-BLOCK = 100_000
+#: Benchmark passages that one search block holds; a larger benchmark is searched in several blocks, each by GROUP bytes of documents.
+BLOCK, GROUP = 100_000, 64 << 20
 #: Passages that one matrix product compares with the benchmark's.
 ROWS = 1024
 
@@ -135,19 +135,23 @@ def load_idf(path: str) -> np.ndarray:
 
 
 class Latent:
-    """The benchmark's passages in the latent space, and what it takes to fold others in.
+    """A block of the benchmark in the latent space, and what it takes to fold passages of documents in.
 
-    kept is the share of a passage's length that the latent space keeps.
+    item says whose each passage is, kept the share of a passage's length that the latent space keeps.
     """
 
-    kept = np.zeros(0, np.float32)
     _scaled = None
 
-    def __init__(self, words: np.ndarray, idf: np.ndarray, basis: np.ndarray, passages: np.ndarray, item: np.ndarray) -> None:
-        self.words, self.basis, self.passages, self.item = words, basis, passages, item
+    def __init__(self, words: np.ndarray, idf: np.ndarray, basis: np.ndarray, items: list[np.ndarray]) -> None:
+        self.words, self.basis = words, basis
         self.seen = np.zeros(BUCKETS, bool)
         self.seen[(words & np.uint32(BUCKETS - 1)).astype(np.int64)] = True
         self.weighed = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]), np.float32)])
+        sizes = np.array([len(x) for x in items])
+        rows, self.item = passages(self.places(np.concatenate(items)), sizes)
+        z = self.fold(rows)
+        norm = np.maximum(np.linalg.norm(z, axis=1), 1e-9)
+        self.passages, self.kept = z / norm[:, None], (norm / np.maximum(lengths(rows, idf), 1e-9)).astype(np.float32)
 
     @property
     def scaled(self) -> np.ndarray:
@@ -172,37 +176,60 @@ class Latent:
         return out
 
 
-def _windows(n: int, stride: int) -> np.ndarray:
-    """Where passages of a text of n words begin; the last one ends with the text."""
-    if n <= WINDOW:
-        return np.zeros(min(n, 1), np.int64)
-    at = np.arange(0, n - WINDOW + 1, stride)
-    return at if at[-1] == n - WINDOW else np.append(at, n - WINDOW)
+def passages(place: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all passages of items, WINDOW columns with -1 behind a short item's end, and whose passage each is.
 
-
-def randomised_svd(spark: SparkSession, rows: list[np.ndarray], width: int, rank: int, seed: int = 11) -> np.ndarray:
-    """The right singular vectors, width x rank, of the matrix whose rows are (place, weight) lists.
-
-    Every round multiplies with the matrix and its transpose by summing what the partitions give
-    (A'A Q is a sum over passages), and orthonormalises the width x rank result on the driver; both
-    are bounded by the benchmark's vocabulary.
+    An item's passages begin ITEM_STRIDE words from each other; the last one ends with it.
     """
+    n = np.where(sizes > WINDOW, -(-(sizes - WINDOW) // ITEM_STRIDE) + 1, np.minimum(sizes, 1))
+    item = np.repeat(np.arange(len(sizes)), n)
+    start = np.minimum((np.arange(len(item)) - (np.cumsum(n) - n)[item]) * ITEM_STRIDE, np.maximum(sizes[item] - WINDOW, 0))
+    at = start[:, None] + np.arange(WINDOW)
+    inside = at < sizes[item][:, None]
+    k = np.where(inside, (np.cumsum(sizes) - sizes)[item][:, None] + at, 0)
+    return np.where(inside, place[k], -1), item
+
+
+def lengths(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Lengths of passages as vectors of (times a word is there x its weight)."""
+    w = np.append(weights, 0)
+    out = np.zeros(len(rows))
+    for lo in range(0, len(rows), ROWS):
+        some = rows[lo : lo + ROWS]
+        out[lo : lo + ROWS] = ((some[:, :, None] == some[:, None, :]).sum(2) * np.square(w[some], dtype=np.float64)).sum(1)
+    return np.sqrt(out)
+
+
+def randomised_svd(parts: RDD, words: np.ndarray, weights: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
+    """The right singular vectors, words x rank, of the matrix whose rows are the passages of parts' items, each of length 1.
+
+    Every round multiplies with the matrix and its transpose by summing what the partitions give (A'A Q is a sum over
+    passages), and orthonormalises the result on the driver, which sees no passage: both are bounded by a block's vocabulary.
+    """
+    width = len(words)
     k = min(rank + OVERSAMPLE, width)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, k)))[0]
-    parts = spark.sparkContext.parallelize(rows, max(1, min(8, len(rows) // 4096)))
 
     def gram(q: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(q)  # width x k, fixed by the benchmark
-
-        def part(it: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
-            total = np.zeros(shared.value.shape)
-            for a in it:
-                place, weight = a[0].astype(np.int64), a[1]
-                y = weight @ shared.value[place]
-                np.add.at(total, place, weight[:, None] * y)
+        shared = parts.context.broadcast((q, words, weights))  # bounded by a block's vocabulary
+
+        def part(it: Iterator) -> Iterator[np.ndarray]:
+            q, words, weights = shared.value
+            total = np.zeros(q.shape)
+            for (data,) in it:
+                ids = np.frombuffer(data, np.uint32)
+                rows, _ = passages(np.searchsorted(words, ids), np.array([len(ids)]))
+                scaled = np.append(weights, 0)[rows] / np.maximum(lengths(rows, weights), 1e-9)[:, None]
+                for lo in range(0, len(rows), ROWS):
+                    r, s = rows[lo : lo + ROWS], scaled[lo : lo + ROWS]
+                    y = np.einsum("pw,pwk->pk", s, q[r])
+                    for c in range(WINDOW):  # -1, behind an item's end, weighs nothing
+                        np.add.at(total, r[:, c], s[:, c, None] * y)
             yield total
 
-        return parts.mapPartitions(part).treeReduce(lambda a, b: a + b)
+        found = parts.mapPartitions(part).treeReduce(lambda a, b: a + b)
+        shared.unpersist()
+        return found
 
     for _ in range(POWER):
         q = np.linalg.qr(gram(q))[0]
@@ -210,32 +237,54 @@ def randomised_svd(spark: SparkSession, rows: list[np.ndarray], width: int, rank
     return (q @ vectors[:, ::-1])[:, : min(rank, k)].astype(np.float32)
 
 
-def latent_space(spark: SparkSession, items: list[tuple], idf: np.ndarray, rank: int = RANK) -> Latent | None:
-    """items of (item_id, text) -> the latent space of their passages."""
-    ids, counts = word_ids(pa.array([t or "" for _, t in items], pa.string()))
-    if not len(ids):
-        return None
-    words, place = np.unique(ids, return_inverse=True)
-    weight = idf[words & np.uint32(BUCKETS - 1)]
-    windows, item, a = [], [], 0
-    for i, n in enumerate(counts.tolist()):
-        for w in _windows(n, ITEM_STRIDE).tolist():
-            windows.append(place[a + w : a + min(w + WINDOW, n)])
-            item.append(i)
-        a += n
-    rows, length = [], []
-    for w in windows:
-        p, c = np.unique(w, return_counts=True)
-        v = c * weight[p]
-        length.append(np.linalg.norm(v))
-        rows.append(np.stack([p, v / length[-1]]))
-    basis = randomised_svd(spark, rows, len(words), rank)
-    found = Latent(words, weight, basis, np.zeros(0), np.array(item))
-    padded = np.array([np.concatenate([w, np.full(WINDOW - len(w), -1)]) for w in windows])
-    z = found.fold(padded)
-    norm = np.maximum(np.linalg.norm(z, axis=1), 1e-9)
-    found.passages, found.kept = z / norm[:, None], (norm / length).astype(np.float32)
-    return found
+def _encoded_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items as word hashes, and how many passages each has."""
+    for batch in batches:
+        for part, values in steps(batch, "text"):
+            ids, counts = word_ids(values)
+            at = np.concatenate([[0], np.cumsum(counts)])
+            words = pa.array([ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            n = np.maximum(-(-(counts - WINDOW) // ITEM_STRIDE) + 1, 1)
+            yield pa.RecordBatch.from_arrays([part.column("item_id"), words, pa.array(n)], ["item_id", "words", "passages"])
+
+
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids).astype(np.int64))], ["word"])
+
+
+def benchmark_blocks(ws: Workspace, benchmark: DataFrame) -> list[int]:
+    """Writes the different items that have words, as word hashes, by blocks of about BLOCK passages; how many each block has.
+
+    Which block an item is in follows from a hash of it; an item isn't split.
+    """
+    some = benchmark.select("item_id", "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).distinct()
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    items = ws.table(some.mapInArrow(_encoded_items, f"item_id {kind}, words binary, passages long"), "encoded-items")
+    total = items.agg(F.sum("passages")).first()[0] or 0
+    blocks = -(-total // BLOCK)
+    if blocks:
+        of = F.pmod(F.xxhash64(F.col("item_id").cast("string"), "words"), F.lit(blocks)).cast("int")
+        items.withColumn("block", of).write.partitionBy("block").parquet(ws.at("items"))
+    ws.drop("encoded-items")
+    if not blocks:
+        return []
+    sizes = {r.block: r.n for r in ws.spark.read.parquet(ws.at("items")).groupBy("block").agg(F.sum("passages").alias("n")).collect()}  # a row per block
+    return [sizes.get(k, 0) for k in range(blocks)]
+
+
+def save_basis(ws: Workspace, block: int, n: int, idf: np.ndarray, rank: int = RANK) -> None:
+    """Works the latent space of a block's n passages out and writes its words and basis."""
+    items = ws.spark.read.parquet(f"{ws.at('items')}/block={block}").select("words")
+    words = np.sort(items.mapInArrow(_distinct_words, "word long").distinct().toArrow()["word"].to_numpy()).astype(np.uint32)
+    parts = items.repartition(max(1, min(8, n // 4096))).rdd
+    basis = randomised_svd(parts, words, idf[words & np.uint32(BUCKETS - 1)], rank)
+    data = io.BytesIO()
+    np.savez(data, words=words, basis=basis)
+    fs, at = filesystem(ws.at(f"basis-{block}.npz"))
+    with fs.open_output_stream(at) as f:
+        f.write(data.getbuffer())
 
 
 class Item:
@@ -279,24 +328,27 @@ class Item:
 
 
 class Gate:
-    """What a neighbourhood of an item must hold to be a close copy, for all items of ANSWER words or more.
+    """What a neighbourhood of an item must hold to be a close copy.
 
     A copy that has the share COMMON of an item's n words lacks few of them; of RARE more than it can lack it has RARE
     at least, whichever these are, within the n + WINDOW + n words of a neighbourhood. The rarest are looked up.
-    With WITH_ANSWER the answer stands in the neighbourhood. So no close copy is passed over.
+    With WITH_ANSWER the answer stands in the neighbourhood. So no close copy is passed over. An item of fewer words than
+    an answer has stands there whole and unbroken; one of a single word, which says nothing of where a text comes from, is left to the cosine.
     """
 
     def __init__(self, space: Latent, idf: np.ndarray, items: list[np.ndarray]) -> None:
         rare, last = [], []
         for j, x in enumerate(items):
+            if len(x) > 1:
+                last.append((int(space.places(x[-1:])[0]), j))
             if len(x) < ANSWER:
                 continue
             lacks = next(k for k in range(len(x), -1, -1) if (len(x) - k) / len(x) >= COMMON)
             order = np.argsort(-idf[x & np.uint32(BUCKETS - 1)], kind="stable")[: lacks + RARE]
             rare += [(w, j) for w in np.unique(space.places(x[order])).tolist()]
-            last.append((int(space.places(x[-1:])[0]), j))
         self.span = np.array([2 * len(x) + WINDOW for x in items])
-        self.answers = np.array([x[-ANSWER:] if len(x) >= ANSWER else np.zeros(ANSWER, np.uint32) for x in items])
+        self.length = np.array([min(len(x), ANSWER) for x in items])
+        self.answers = np.array([np.append(np.zeros(ANSWER - n, np.uint32), x[-ANSWER:]) for x, n in zip(items, self.length, strict=True)])
         self.rare, self.last = (self._lists(v, len(space.words)) for v in (rare, last))
 
     @staticmethod
@@ -326,58 +378,71 @@ class Gate:
         words = np.stack([doc[near], item[near], pos[near], pos[near + RARE - 1]], 1)
         end, item = self._hits(place, self.last)
         doc = np.searchsorted(stops, end, "right")
-        inside = end - ANSWER + 1 >= starts[doc]
+        inside = end - self.length[item] + 1 >= starts[doc]
         end, item, doc = end[inside], item[inside], doc[inside]
-        same = (ids[end[:, None] + np.arange(1 - ANSWER, 1)] == self.answers[item]).all(1)
-        answers = np.stack([doc[same], item[same], end[same] - ANSWER + 1, end[same]], 1)
+        back = np.arange(ANSWER - 1, -1, -1)
+        same = ((ids[np.maximum(end[:, None] - back, 0)] == self.answers[item]) | (back >= self.length[item][:, None])).all(1)
+        answers = np.stack([doc[same], item[same], end[same] - self.length[item[same]] + 1, end[same]], 1)
         found = np.concatenate([words, answers])
         return found[np.lexsort((found[:, 3], found[:, 2], found[:, 1], found[:, 0]))]
 
 
-def save_space(path: str, space: Latent, items: list[np.ndarray]) -> None:
-    data = io.BytesIO()
-    sizes = np.array([len(x) for x in items])
-    np.savez(data, words=space.words, basis=space.basis, passages=space.passages, kept=space.kept, item=space.item, ids=np.concatenate(items), sizes=sizes)
-    fs, at = filesystem(path)
-    with fs.open_output_stream(at) as f:
-        f.write(data.getbuffer())
-
-
-_SPACES: dict[tuple[str, str], tuple] = {}
+_SPACES: dict[tuple[str, int], tuple] = {}
 
 
-def load_space(path: str, frequencies: str) -> tuple[Latent, Gate, np.ndarray, list[Item]]:
-    """A worker's copy of one block of the benchmark in the latent space; it holds one at a time."""
-    key = (path, frequencies)
+def load_space(root: str, block: int, kind: pa.DataType) -> tuple[Latent, Gate, np.ndarray, list[Item], pa.Array]:
+    """A worker's copy of one block of the benchmark in the latent space, with its items' ids; it holds one block at a time."""
+    key = (root, block)
     if key not in _SPACES:
         _SPACES.clear()
-        fs, at = filesystem(path)
-        with fs.open_input_file(at) as f:
+        fs, at = filesystem(root)
+        with fs.open_input_file(f"{at}/basis-{block}.npz") as f:
             got = np.load(io.BytesIO(f.read()))
-        idf = load_idf(frequencies)
-        space = Latent(got["words"], idf[got["words"] & np.uint32(BUCKETS - 1)], got["basis"], got["passages"], got["item"])
-        space.kept = got["kept"]
-        items = np.split(got["ids"], np.cumsum(got["sizes"])[:-1])
-        _SPACES[key] = space, Gate(space, idf, items), idf, [Item(x, idf) for x in items]
+        idf = load_idf(f"{root}/frequencies")
+        files = sorted(f.path for f in fs.get_file_info(FileSelector(f"{at}/items/block={block}")) if f.path.endswith(".parquet"))
+        table = pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read(["item_id", "words"]) for f in files]).combine_chunks()
+        items = [np.frombuffer(x, np.uint32) for x in table["words"].to_pylist()]
+        space = Latent(got["words"], idf[got["words"] & np.uint32(BUCKETS - 1)], got["basis"], items)
+        ids = pa.concat_arrays(table["item_id"].chunks).cast(kind)
+        _SPACES[key] = space, Gate(space, idf, items), idf, [Item(x, idf) for x in items], ids
     return _SPACES[key]
 
 
-def _search(path: str, frequencies: str, item_ids: list, kind: pa.DataType, keep: list[str], cosine: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(root: str, blocks: list[int], kind: pa.DataType, keep: list[str], cosine: float):
+    """Documents are read once, and GROUP bytes of them at a time compared with one block after the other."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        some, size = [], 0
         for batch in batches:
-            counts = pc.binary_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-            group = (np.cumsum(counts) - counts) // (STEP_BYTES // 8)
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(counts)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                part = batch.slice(a, b - a)
-                ids = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint32)
-                out = _matches(*load_space(path, frequencies), ids, counts[a:b], cosine)
-                at = pa.array([d for d, *_ in out], pa.int64())
-                col = lambda k, t: pa.array([x[k] for x in out], t)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(at) for c in keep), pa.array([item_ids[x[1]] for x in out], kind), col(2, pa.int64()), col(3, pa.int64()), col(4, pa.float64()), col(5, pa.float64()), col(6, pa.bool_())],
-                    [*keep, "item_id", "start", "end", "cosine", "common", "answered"],
-                )
+            some.append(batch)
+            size += batch.nbytes
+            if len(blocks) == 1 or size >= GROUP:
+                yield some
+                some, size = [], 0
+        if some:
+            yield some
+
+    def compared(batch: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
+        counts = pc.binary_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        group = (np.cumsum(counts) - counts) // (STEP_BYTES // 8)
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(counts)]
+        *space, item_ids = load_space(root, block, kind)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(a, b - a)
+            ids = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint32)
+            out = _matches(*space, ids, counts[a:b], cosine)
+            at, of = (pa.array([x[k] for x in out], pa.int64()) for k in (0, 1))
+            col = lambda k, t: pa.array([x[k] for x in out], t)  # noqa: B023, E731  called at once
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c).take(at) for c in keep), item_ids.take(of), col(2, pa.int64()), col(3, pa.int64()), col(4, pa.float64()), col(5, pa.float64()), col(6, pa.bool_())],
+                [*keep, "item_id", "start", "end", "cosine", "common", "answered"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in groups(batches):
+            for block in blocks:
+                for batch in some:
+                    yield from compared(batch, block)
 
     return run
 
@@ -487,14 +552,6 @@ def _matches(space: Latent, gate: Gate, idf: np.ndarray, items: list[Item], ids:
     return list(found.values())
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """(item_id, text) with words, in an order of their own, as many at a time as one latent space is made for."""
-    some = benchmark.select("item_id", "text").filter(F.length(F.trim("text")) > 0).distinct().orderBy("item_id", "text")
-    rows = ((r.item_id, r.text) for r in some.toLocalIterator() if r.text.split())
-    while block := list(islice(rows, BLOCK // 32)):
-        yield block
-
-
 def matches(ws: Workspace, docs: DataFrame, benchmark: DataFrame, keep: list[str], cosine: float = COSINE) -> DataFrame:
     """docs(text, and the columns to keep) -> a row per row of docs and item that it holds, with the columns kept."""
     spark = docs.sparkSession
@@ -502,24 +559,18 @@ def matches(ws: Workspace, docs: DataFrame, benchmark: DataFrame, keep: list[str
     kind = benchmark.schema["item_id"].dataType
     typed = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{typed}, item_id {kind.simpleString()}, start long, end long, cosine double, common double, answered boolean"
-    rows, frequencies, out = None, "", None
-    for k, some in enumerate(_blocks(benchmark)):
-        if rows is None:
-            rows, frequencies = encode(ws, docs, keep)
-        idf = load_idf(frequencies)
-        space = latent_space(spark, some, idf)
-        if space is None:
-            continue
-        ids, counts = word_ids(pa.array([t for _, t in some], pa.string()))
-        save_space(ws.at(f"space-{k}.npz"), space, np.split(ids, np.cumsum(counts)[:-1]))
-        found = rows.mapInArrow(_search(ws.at(f"space-{k}.npz"), frequencies, [i for i, _ in some], to_arrow_type(kind), keep, cosine), schema)
-        del space, idf
-        pa.default_memory_pool().release_unused()
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    sizes = benchmark_blocks(ws, benchmark)
+    if not sizes:
         return spark.createDataFrame([], schema)
-    out = ws.table(out, "matches")
-    ws.drop("words")
+    rows, frequencies = encode(ws, docs, keep)
+    idf = load_idf(frequencies)
+    blocks = [k for k, n in enumerate(sizes) if n]
+    for k in blocks:
+        save_basis(ws, k, sizes[k], idf)
+    del idf
+    pa.default_memory_pool().release_unused()
+    out = ws.table(rows.mapInArrow(_search(ws.path, blocks, to_arrow_type(kind), keep, cosine), schema), "matches")
+    ws.drop("words", "items")
     return out
 
 
@@ -529,8 +580,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cos
     Columns: doc_id, item_id (of any type), start and end (words of the neighbourhood that was compared), cosine, common
     (share of the item's words in the longest common subsequence), answered. Null, empty and clean
     texts have no row; items without words match nothing, repeated items count once; repeated documents have rows each;
-    of two neighbourhoods that are as good the first counts. The benchmark is taken in blocks of bounded size, each with a
-    latent space of its own that lies in the shared folder. Other columns aren't read.
+    of two neighbourhoods that are as good the first counts. Items of two to four words count where they stand unbroken, those of one word
+    where the cosine finds them. The benchmark is taken in blocks of bounded size, each with a
+    latent space of its own that lies in the shared folder; documents are read once, however many blocks there are. Other columns aren't read.
     """
     return matches(Workspace(spark, "decontam"), docs, benchmark, ["doc_id"], cosine)
 

@@ -382,6 +382,11 @@ def altered(item, rng, kind):
     return [new() if i % 3 == 1 and i < len(item) - decontam.ANSWER else w for i, w in enumerate(item)]
 
 
+def windows(n, stride):
+    """Where passages of a text of n words begin."""
+    return sorted({*range(0, n - decontam.WINDOW + 1, stride), n - decontam.WINDOW}) if n > decontam.WINDOW else [0][:n]
+
+
 def test_decontamination_of_altered_copies(spark):
     rng = random.Random(9)
     shared = [f"s{i}" for i in range(12)]
@@ -395,7 +400,7 @@ def test_decontamination_of_altered_copies(spark):
     for d, text in rows:
         ids = decontam.word_ids(pa.array([text]))[0].tolist()
         for j, x in enumerate(words):
-            near = ((at - len(x), at + decontam.WINDOW + len(x)) for at in decontam._windows(len(ids), decontam.STRIDE).tolist())
+            near = ((at - len(x), at + decontam.WINDOW + len(x)) for at in windows(len(ids), decontam.STRIDE))
             for a, b in near:
                 part = ids[max(a, 0) : b]
                 common = brute_lcs(x, part) / len(x)
