@@ -79,6 +79,22 @@ def method_counts(docs: DataFrame, aligned: DataFrame) -> DataFrame:
     return every.groupBy("method").agg(F.count("*").alias("documents"), F.sum("pairs").alias("pairs"))
 
 
+def shared_method_counts(docs: DataFrame, sents: DataFrame, by: str = "doc_id") -> DataFrame:
+    """method_counts of with_fallback over sentence_slices, counted without making the slices.
+
+    docs(doc_id, src, tgt) and sents(ord, tgt, first_word) meet by a column that both have. Documents that share their sentences name the list
+    that they share; each list is counted once, so that work grows with documents and sentences, not with their product.
+    """
+    cut = F.col("first_word").cast("int").isNotNull() & (F.trim("tgt") != "")
+    n = sents.filter(cut).groupBy(by).agg(F.count("*").alias("_n"))
+    both, sliced = _said("src") & _said("tgt"), F.col("_n").isNotNull()
+    pairs = F.when(~both, F.lit(0)).when(sliced, F.col("_n")).otherwise(F.size(proportional_segments(F.col("src"), F.col("tgt"))))
+    of = docs.join(n, by, "left").select("doc_id", (both & sliced).alias("sliced"), pairs.cast("long").alias("pairs"))
+    of = of.groupBy("doc_id", "sliced").agg(F.sum("pairs").alias("pairs"))
+    method = F.when(F.col("sliced"), "sentences").when(F.col("pairs") > 0, "proportional").otherwise("skipped")
+    return of.groupBy(method.alias("method")).agg(F.count("*").alias("documents"), F.sum("pairs").alias("pairs"))
+
+
 def merge_pairs(existing: DataFrame, new: DataFrame, keys: tuple[str, str] = ("src", "tgt")) -> DataFrame:
     """The existing pairs that aren't among the new ones, and the new ones; blank sides are left out."""
     kept = existing.select(*keys).join(new.select(*keys), list(keys), "left_anti")

@@ -117,6 +117,25 @@ def test_fallback_counts_and_merging(spark):
     assert [tuple(r) for r in align.gate_pairs(pairs, F.col("n")).collect()] == [(0, "ab cde", "abcde f")]
 
 
+def test_shared_sentences_are_counted_without_slices(spark):
+    """1,000 documents that share 1,000 sentences, and some that share none, are out of or have blank sides: no row per document and sentence is made."""
+    docs = [(d, d % 4 if d % 4 < 2 else None, None if d % 7 == 0 else " " if d % 11 == 0 else "a b c", " " if d % 5 == 0 else "One. Two.") for d in range(1000)]
+    sents = [(d, o, None if o % 11 == 0 else " " if o % 13 == 0 else "x", None if o % 3 == 0 else o) for d in (0, 3) for o in range(1000)]
+    d = spark.createDataFrame(docs, "doc_id int, part int, src string, tgt string")
+    s = spark.createDataFrame(sents, "part int, ord int, tgt string, first_word int")
+    made = align.shared_method_counts(d, s, "part")
+    own = d.filter("doc_id < 40").join(s, "part").select("doc_id", "ord", s["tgt"], "first_word")
+    few = d.filter("doc_id < 40")
+    rows = lambda x: sorted(tuple(r) for r in x.collect())
+    assert rows(align.shared_method_counts(few, s, "part")) == rows(align.method_counts(few, align.with_fallback(few, align.sentence_slices(few, own))))
+    n = sum(1 for p, o, t, w in sents if p == 0 and t and t.strip() and w is not None)
+    said = [r for r in docs if (r[2] or "").strip() and r[3].strip()]
+    sliced = sum(r[1] == 0 for r in said)
+    assert rows(made) == [("proportional", len(said) - sliced, 2 * (len(said) - sliced)), ("sentences", sliced, sliced * n), ("skipped", 1000 - len(said), 0)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate [part")  # the lists are counted below the join
+
+
 def test_ask_tells_errors(spark):
     def call(prompt):
         if "bad" in prompt:
