@@ -1,8 +1,8 @@
 """Corpus and sentence BLEU and chrF++ from n-grams that Spark counts.
 
 BLEU: order 4, 13a tokens, exponential smoothing; sentence BLEU uses the orders that a sentence has.
-chrF++: character order 6 without white space, word order 2, beta 2. The grams that two texts share are counted within their row, by sorting both texts' grams together
-and going over them once; no gram is shuffled. Texts are dealt out evenly first, as the work on them is much more than reading them.
+chrF++: character order 6 without white space, word order 2, beta 2. The grams that two texts share are counted within their row, as a set and then those that both
+repeat; no gram is shuffled. Texts are dealt out evenly first, as the work on them is much more than reading them.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiforge.functions.arrays import let
+from lexiforge.functions.arrays import let, places
 from lexiforge.operators.select import free_name
 
 BLEU_N, CHAR_N, WORD_N, BETA = 4, 6, 2, 2
@@ -72,49 +72,42 @@ def _longer(g: Column, first: Column, kind: str, n: int) -> Column:
     return F.zip_with(F.slice(g, F.lit(1), kept), F.slice(first, F.lit(n), kept), lambda a, b: F.concat(a, F.lit(between), b))
 
 
-def grams(x: Column) -> Column:
-    """array<struct<k, g>>: all grams of units, k their place in KINDS."""
+def _repeated(ordered: Column) -> Column:
+    """array<struct<g, n>> of sorted grams: those that stand there more than once, and how many more times."""
+    more = F.filter(ordered, lambda g, i: g == F.get(ordered, i - 1))
+    starts = lambda m: places(F.transform(m, lambda g, i: ~g.eqNullSafe(F.get(m, i - 1))))
+    runs = lambda m: let(starts(m), lambda s: F.transform(s, lambda at, k: F.struct(F.get(m, at).alias("g"), (F.coalesce(F.get(s, k + 1), F.size(m)) - at).alias("n"))))
+    return let(more, runs)
+
+
+def profile(x: Column) -> Column:
+    """array<struct<all, more>> over KINDS of a text's units: its grams, and those it has more than once with how many times more."""
     out = []
     for kind, most in (("t", BLEU_N), ("c", CHAR_N), ("w", WORD_N)):
 
-        def all_of(g: Column, n: int, kind: str = kind, most: int = most) -> Column:
-            own = F.transform(g, lambda s: F.struct(F.lit(KINDS.index((kind, n))).alias("k"), s.alias("g")))
-            more = lambda h: all_of(h, n + 1, kind, most)
-            return own if n == most else F.concat(own, let(_longer(g, x[kind], kind, n + 1), more))
+        def of(g: Column, n: int, kind: str = kind, most: int = most) -> Column:
+            own = F.array(F.struct(g.alias("all"), let(F.sort_array(g), _repeated).alias("more")))
+            further = lambda h: of(h, n + 1, kind, most)
+            return own if n == most else F.concat(own, let(_longer(g, x[kind], kind, n + 1), further))
 
-        out.append(all_of(x[kind], 1))
+        out.append(of(x[kind], 1))
     return F.concat(*out)
 
 
 def common(a: Column, b: Column) -> Column:
-    """How many grams two arrays share, each as often as the one with fewer has it."""
-    side = lambda x, mine: F.transform(x, lambda g: F.struct(g.alias("g"), F.lit(mine).alias("a")))
-    zero = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("n"))
+    """How many grams two texts share in one order, each as often as the one with fewer has it.
 
-    def step(z: Column, x: Column) -> Column:
-        same = x["g"].eqNullSafe(z["g"])
-        return F.struct(
-            x["g"].alias("g"),
-            F.when(same, z["a"] + x["a"]).otherwise(x["a"]).alias("a"),
-            F.when(same, z["b"] + 1 - x["a"]).otherwise(1 - x["a"]).alias("b"),
-            (z["n"] + F.when(same, 0).otherwise(F.least(z["a"], z["b"]))).alias("n"),
-        )
-
-    return F.aggregate(F.sort_array(F.concat(side(a, 1), side(b, 0))), zero, step, lambda z: z["n"] + F.least(z["a"], z["b"]))
+    Each shared gram counts once, and those that both have more than once as often again as the one with fewer repeats it.
+    """
+    least = lambda both: F.transform(both, lambda x, i: F.when(x["g"] == F.get(both, i - 1)["g"], F.least(x["n"], F.get(both, i - 1)["n"])).otherwise(0))
+    repeats = F.aggregate(let(F.sort_array(F.concat(a["more"], b["more"])), least), F.lit(0), lambda n, x: n + x)
+    none = (F.size(a["more"]) == 0) | (F.size(b["more"]) == 0)
+    return (F.size(F.array_intersect(a["all"], b["all"])) + F.when(none, F.lit(0)).otherwise(repeats)).cast("long")
 
 
 def matches(a: Column, b: Column) -> Column:
-    """array<long>: what two texts' units share of each of KINDS."""
-    out = []
-    for kind, most in (("t", BLEU_N), ("c", CHAR_N), ("w", WORD_N)):
-
-        def of(g: Column, n: int, kind: str = kind, most: int = most) -> Column:
-            own = F.array(common(g["a"], g["b"]))
-            more = lambda h: of(h, n + 1, kind, most)
-            return own if n == most else F.concat(own, let(F.struct(_longer(g["a"], a[kind], kind, n + 1).alias("a"), _longer(g["b"], b[kind], kind, n + 1).alias("b")), more))
-
-        out.append(let(F.struct(a[kind].alias("a"), b[kind].alias("b")), lambda g: of(g, 1)))  # noqa: B023  called at once
-    return F.concat(*out)
+    """array<long>: what two texts' profiles share of each of KINDS."""
+    return F.zip_with(a, b, common)
 
 
 def bleu(match: Column, total: Column, h: Column, r: Column, effective: bool = False) -> Column:
@@ -179,7 +172,7 @@ def _compared(rows: DataFrame, hyp: str | Column, ref: str | Column, by: list[st
     """by's columns and a struct, named as told, of arrays over KINDS for each row: matches m, and sizes h and r."""
     hyp, ref = (F.col(c) if isinstance(c, str) else c for c in (hyp, ref))
     name = free_name(by, "counts")
-    of = lambda x: F.struct(matches(x["a"], x["b"]).alias("m"), _sizes(x["a"]).alias("h"), _sizes(x["b"]).alias("r"))
+    of = lambda x: F.struct(matches(profile(x["a"]), profile(x["b"])).alias("m"), _sizes(x["a"]).alias("h"), _sizes(x["b"]).alias("r"))
     a, b = free_name(by, "hyp"), free_name(by, "ref")
     dealt = rows.select(*by, hyp.alias(a), ref.alias(b)).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
     # Exploded, so that what reads it many times has it worked out once.

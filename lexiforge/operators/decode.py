@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiforge.functions import metrics
+from lexiforge.functions.arrays import let
 
 
 def translate(rows: DataFrame, load: Callable[[], Callable[[list[str]], list]], text: str, key: str, batch: int = 16, many: bool = False) -> DataFrame:
@@ -39,32 +40,40 @@ def translate(rows: DataFrame, load: Callable[[], Callable[[list[str]], list]],
 FINE = 1_000_000_000
 
 
+#: Candidates, and characters of theirs, that a block of a key's candidates has on average at most (a longer text is a block with others).
+BLOCK, BLOCK_CHARS = 48, 1 << 16
+
+
 def pair_scores(rows: DataFrame, key: str, order: str, text: str, keep_blank: bool = False) -> tuple[DataFrame, DataFrame]:
     """Distinct candidates (key, i, text), i the earliest place of each, and (key, i, j, s): i's score with j as its reference.
 
-    An index from each gram to the candidates that have it is joined with itself by key and gram, so that only pairs with a common gram
-    are looked at; all others score 0 and have no row. Both directions of a pair come from one count of what they share. Frequent grams of a large key are
-    skewed join keys, which Spark splits.
+    A key's candidates are dealt into blocks by their text, and each two blocks meet in a row, where a text's grams are made once and compared with those of all others there.
+    So only texts are shuffled, a row holds the grams of two blocks, and a large key is many rows. Pairs without a common character have no common gram: they score 0 and have no row.
+    Both directions of a pair come from one count of what they share.
     """
     said = F.coalesce(F.col(text), F.lit(""))
     said = F.regexp_replace(said, r"(?U)^\s+|\s+$", "") if keep_blank else said
     named = rows.select(F.col(key).alias("key"), F.col(order).alias("i"), said.alias("text"))
     named = named if keep_blank else named.filter(F.col("text").rlike(r"(?U)\S"))
     cands = named.groupBy("key", "text").agg(F.min("i").alias("i"))
-    u = cands.select("key", "i", metrics.units(F.col("text")).alias("u")).repartition("key", "i")
-    kinds = list(enumerate(metrics.KINDS))
-    sizes = u.select("key", "i", F.array(*[metrics.size(F.col("u"), *o) for _, o in kinds]).alias("n"))
-    index = u.select("key", "i", F.explode(metrics.grams(F.col("u"))).alias("x")).groupBy("key", "i", F.col("x.k").alias("k"), F.col("x.g").alias("g")).agg(F.count("*").alias("c"))
-    a, b = index.alias("a"), index.alias("b")
-    same = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.i") < F.col("b.i"))
-    shared = [F.coalesce(F.sum(F.when(F.col("a.k") == k, F.least("a.c", "b.c"))), F.lit(0)).alias(f"m{k}") for k, _ in kinds]
-    pairs = a.join(b, same).groupBy(F.col("a.key").alias("key"), F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(*shared)
-    of = lambda at: sizes.select(F.col("key").alias(f"key_{at}"), F.col("i").alias(f"at_{at}"), F.col("n").alias(f"n_{at}"))
-    for at in ("i", "j"):
-        x = of(at)
-        pairs = pairs.join(x, pairs["key"].eqNullSafe(x[f"key_{at}"]) & (pairs[at] == x[f"at_{at}"])).drop(f"key_{at}", f"at_{at}")
-    match = F.array(*[F.col(f"m{k}") for k, _ in kinds])
-    fine = lambda h, r: F.round(metrics.geo(*metrics.scores(match, F.col(f"n_{h}"), F.col(f"n_{r}"), effective=True)) * FINE).cast("long")
+    of_key = cands.groupBy(F.col("key").alias("of")).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1")
+    dealt = cands.join(of_key, cands["key"].eqNullSafe(of_key["of"])).withColumn("b", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int"))
+    met = dealt.select("key", "i", "text", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    met = met.withColumns({"p": F.least("b", "o"), "q": F.greatest("b", "o")}).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "key", "p", "q")
+    met = met.groupBy("key", "p", "q").agg(F.collect_list(F.struct("i", "b", "text")).alias("texts"))
+
+    def made(x: Column) -> Column:
+        sizes = lambda u: F.array(*[metrics.size(u, *o) for o in metrics.KINDS])
+        return let(metrics.units(x["text"]), lambda u: F.struct(x["i"].alias("i"), x["b"].alias("b"), F.array_distinct(u["c"]).alias("c"), sizes(u).alias("n"), metrics.profile(u).alias("g")))
+
+    def compared(all_: Column) -> Column:
+        meets = lambda x, y: (x["b"] == F.col("p")) & (y["b"] == F.col("q")) & ((F.col("p") < F.col("q")) | (x["i"] < y["i"]))
+        both = lambda x, y: F.struct(x["i"].alias("i"), y["i"].alias("j"), x["n"].alias("n_i"), y["n"].alias("n_j"), metrics.matches(x["g"], y["g"]).alias("m"))
+        with_ = lambda x: F.transform(F.filter(all_, lambda y: meets(x, y) & F.arrays_overlap(x["c"], y["c"])), lambda y: both(x, y))
+        return F.flatten(F.transform(all_, with_))
+
+    pairs = met.select("key", F.explode(let(F.transform("texts", made), compared)).alias("x")).select("key", "x.*")
+    fine = lambda h, r: F.round(metrics.geo(*metrics.scores(F.col("m"), F.col(f"n_{h}"), F.col(f"n_{r}"), effective=True)) * FINE).cast("long")
     both = F.explode(F.array(F.struct("i", "j", fine("i", "j").alias("s")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), fine("j", "i").alias("s"))))
     return cands, pairs.select("key", both.alias("x")).select("key", "x.i", "x.j", "x.s").filter("s > 0")
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import plain_metrics as plain
 import pytest
@@ -422,3 +423,21 @@ def test_a_keyed_order_of_all_rows(spark):
     d = spark.range(300).withColumnRenamed("id", "k")
     a, b = ([r.k for r in select.shuffled(x, "k").collect()] for x in (d.repartition(1), d.repartition(7)))
     assert a == b and sorted(a) == list(range(300)) and a != sorted(a) and a != [r.k for r in select.shuffled(d, "k", seed=1).collect()]
+
+
+def test_mbr_of_large_texts_shuffles_no_grams(spark):
+    """Pools that fall into several blocks agree with plain Python, and only texts are shuffled: no exchange holds a gram."""
+    rng = random.Random(5)
+    words = ["the", "cat", "sat", "on", "a", "mat", "dog", "ran", "far", "off"]
+    pools = {k: [" ".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(n)] for k, n in ((1, 9), (2, 1), (3, 30))}
+    d = spark.createDataFrame([(k, i, t) for k, p in pools.items() for i, t in enumerate(p)], "k int, i int, t string")
+    had, decode.BLOCK = decode.BLOCK, 4
+    try:
+        made = decode.mbr(d, "k", "i", "t")
+        got = {r.k: r.selected for r in made.collect()}
+        pairs = decode.pair_scores(d, "k", "i", "t")[1]
+    finally:
+        decode.BLOCK = had
+    assert got == {k: plain.select_candidate(p, False) for k, p in pools.items()}
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 3 and "collect_list" in plan  # blocks, pairs, directions; none of grams
