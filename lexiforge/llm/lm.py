@@ -3,8 +3,8 @@
 The neural model predicts units: the end of a text, the most frequent words, and groups of the other words by their last
 letters. Context units give vectors r, weighed by place into ``q = c0 * r[u1] + c1 * r[u2] + c2 * mean(r[u3 .. u18])``, and
 a unit scores ``q.e + b``. It is trained in numpy by noise-contrastive estimation with sampled noise: in each round every
-task takes the same share of its training tokens, in random order, from the last round's parameters on, and what the tasks
-come to is averaged by the tokens they took. So training grows with the corpus. Scoring normalises every token's
+task takes the same share of its training tokens, blocks in random order, from the last round's parameters on, and what the tasks
+come to is averaged by the tokens they took. Rounds take different blocks, so that every training token is taken. Scoring normalises every token's
 distribution over all units with one batched matrix product. A word of a group has its share of the
 group by counts, of which unknown words have what words seen once had (Good and Turing's estimate).
 """
@@ -34,9 +34,10 @@ OWN, GROUPS, SUFFIX = 272, 47, 3
 HELD = 1 << 18
 #: Size of vectors, units behind the second that the context's mean goes over, and noise units drawn for a batch.
 SIZE, FAR, NOISE = 32, 16, 128
-#: Rounds with their steps' size, the share of its tokens that a task takes in each unless the caller names another (1: all), tokens of a step at most, and the steps
+#: Rounds with their steps' size, the share of its tokens that a task takes in each unless the caller names another (so all rounds together take every token once; 1: all in each), tokens of a step at most, and the steps
 #: that a task makes at least, with fewer tokens each or some tokens again.
-RATES, SHARE, BATCH, LEAST = (0.03, 0.03, 0.015), 0.08, 2048, 100
+RATES = (0.03, 0.03, 0.015)
+SHARE, BATCH, LEAST = 1 / len(RATES), 2048, 100
 #: Tokens that a task trains on, or fewer in a smaller corpus: what fewer tokens come to is too far apart to be averaged.
 TOKENS = 1 << 21
 #: Tokens that are scored with one product.
@@ -224,7 +225,7 @@ def contexts(ids: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.nda
 
 
 def nce_step(p: Parameters, context: tuple[np.ndarray, np.ndarray, np.ndarray], target: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> tuple[float, Parameters]:
-    """Mean loss of a batch, and its gradient. context: units one and two before, and each unit's share of the far ones; noise: drawn units."""
+    """Mean loss of a batch, and its gradient, for tokens anywhere; training takes run_gradient, which is held against it. context: units one and two before, and each unit's share of the far ones; noise: drawn units."""
     one, two, far = context
     n, units, kind = len(target), len(p["b"]), p["r"].dtype
     parts = (p["r"][one], p["r"][two], far @ p["r"])
@@ -261,20 +262,93 @@ def context_of(ids: np.ndarray, first: np.ndarray, at: np.ndarray, units: int) -
     return one, two, far.reshape(len(at), units)
 
 
-def descend(p: Parameters, ids: np.ndarray, first: np.ndarray, steps_: int, rate: float, noise: np.ndarray, rng: np.random.Generator, batch: int = BATCH) -> tuple[Parameters, int]:
-    """So many Adam steps over tokens in random order -> the parameters, and how many tokens were taken."""
+def _by_unit(of: np.ndarray, values: np.ndarray, units: int) -> np.ndarray:
+    """Sums of rows by unit."""
+    order = np.argsort(of.astype(np.int16), kind="stable")
+    ordered = of[order]
+    starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+    out = np.zeros((units, values.shape[1]), values.dtype)
+    out[ordered[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
+
+
+def _add_behind(to: np.ndarray, rows: np.ndarray, at: int) -> None:
+    """Adds rows from place ``at`` on; those ahead of the first place are left out."""
+    rows = rows[max(-at, 0) :]
+    to[max(at, 0) : max(at, 0) + len(rows)] += rows
+
+
+def run_gradient(p: Parameters, ids: np.ndarray, first: np.ndarray, lo: int, hi: int, drawn: np.ndarray, times: np.ndarray, log_noise: np.ndarray) -> Parameters:
+    """nce_step's gradient of the tokens from lo to hi, which stand together, so that far units' sums and their gradients come from running sums.
+
+    drawn: different units, drawn as noise so many times each.
+    """
+    base = max(lo - FAR - 2, 0)
+    n, units, near = hi - lo, len(p["b"]), ids[base:hi]
+    r, target = p["r"][near], ids[lo:hi]
+    at, begin = np.arange(lo - base, hi - base), np.maximum(first[lo:hi] - base, 0)
+    parts, has = [], []
+    for k in (1, 2):
+        has.append(at - k >= begin)
+        x = r[np.maximum(at - k, 0)]
+        x[~has[-1]] = p["r"][END]
+        parts.append(x)
+    b, a = np.maximum(at - 2, begin), np.maximum(at - 2 - FAR, begin)
+    ahead = np.concatenate([np.zeros((1, SIZE), r.dtype), np.cumsum(r, axis=0)])
+    size = np.maximum(b - a, 1).astype(r.dtype)[:, None]
+    parts.append((ahead[b] - ahead[a]) / size)
+    q = p["c"][0] * parts[0] + p["c"][1] * parts[1] + p["c"][2] * parts[2]
+    e_t, e_n = p["e"][target], p["e"][drawn]
+    data = np.einsum("ij,ij->i", q, e_t) + p["b"][target] - log_noise[target]
+    up = (1 / (1 + np.exp(-np.clip(data, -40, 40))) - 1) / n
+    down = q @ -e_n.T
+    down -= p["b"][drawn] - log_noise[drawn]
+    np.exp(np.minimum(down, 40, out=down), out=down)
+    down += 1
+    np.divide((times / n).astype(r.dtype), down, out=down)
+    up = up.astype(r.dtype)
+    dq = up[:, None] * e_t + down @ e_n
+    g = {"e": _by_unit(target, up[:, None] * q, units), "b": np.bincount(target, up, units).astype(r.dtype), "c": np.stack([np.einsum("ij,ij->j", dq, x) for x in parts])}
+    g["e"][drawn] += down.T @ q
+    g["b"][drawn] += down.sum(0)
+    # What each place near gets: as unit before, as second before, and as one of the far ones of the tokens whose range holds it.
+    edge, far = np.zeros((len(near) + 1, SIZE), r.dtype), dq * (p["c"][2] / size)
+    far[b == a] = 0
+    _add_behind(edge, -far, lo - base - 2)
+    part = at - 2 - FAR < begin
+    np.add.at(edge, a[part], far[part])
+    far[part] = 0
+    _add_behind(edge, far, lo - base - 2 - FAR)
+    place, end = np.cumsum(edge[:-1], axis=0), np.zeros(SIZE, r.dtype)
+    for k in (1, 2):
+        d, none = dq * p["c"][k - 1], ~has[k - 1]
+        end += d[none].sum(0)
+        d[none] = 0
+        _add_behind(place, d, lo - base - k)
+    g["r"] = _by_unit(near, place, units)
+    g["r"][END] += end
+    return g
+
+
+def round_blocks(n: int, size: int, share: float, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Where round k's blocks of ``size`` tokens begin among n: rounds take turns in one random order, so each takes others until all are taken."""
+    order = rng.permutation(-(-n // size))
+    lo, hi = (round(share * len(order) * i) for i in (k, k + 1))
+    return order[np.arange(lo, min(hi, lo + len(order))) % len(order)] * size
+
+
+def descend(p: Parameters, ids: np.ndarray, first: np.ndarray, begins: np.ndarray, size: int, steps_: int, rate: float, noise: np.ndarray, rng: np.random.Generator) -> tuple[Parameters, int]:
+    """So many Adam steps over blocks of tokens, in turn -> the parameters, and how many tokens were taken."""
     p = {k: v.copy() for k, v in p.items()}
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     log_noise = np.log(NOISE * noise).astype(np.float32)
-    ahead = np.cumsum(noise)
-    order, lo, taken = rng.permutation(len(ids)), 0, 0
+    ahead, taken = np.cumsum(noise), 0
     for step in range(1, steps_ + 1):
-        if lo >= len(order):
-            order, lo = rng.permutation(len(ids)), 0
-        at = np.sort(order[lo : lo + batch])
-        lo, taken = lo + batch, taken + len(at)
-        drawn = np.minimum(np.searchsorted(ahead, rng.random(NOISE) * ahead[-1], "right"), len(noise) - 1)
-        _, g = nce_step(p, context_of(ids, first, at, len(noise)), ids[at].astype(np.int64), drawn, log_noise)
+        lo = int(begins[(step - 1) % len(begins)])
+        hi = min(lo + size, len(ids))
+        taken += hi - lo
+        drawn, times = np.unique(np.minimum(np.searchsorted(ahead, rng.random(NOISE) * ahead[-1], "right"), len(noise) - 1), return_counts=True)
+        g = run_gradient(p, ids, first, lo, hi, drawn, times, log_noise)
         now = rate * min(1, 2 * (1 - (step - 1) / steps_))
         for k in p:
             m1[k] = 0.9 * m1[k] + 0.1 * g[k]
@@ -328,20 +402,29 @@ def plan_steps(n: int, share: float, first: bool) -> tuple[int, int]:
     return max(LEAST if first else 1, steps_), size
 
 
-def _round(path: str, rate: float, seed: int, share: float):
-    """A task's parameters after its share of the tokens, a row per unit, weighed by the tokens taken."""
+def _round(path: str, rate: float, k: int, share: float):
+    """A task's parameters after its tokens of round k, a row per unit, weighed by the tokens taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = load(path)
         noise = got["noise"]
-        start = p = {k: got[k] for k in ("r", "c", "e", "b")}
-        rng, total = np.random.default_rng([seed, TaskContext.get().partitionId()]), 0
+        start = p = {c: got[c] for c in ("r", "c", "e", "b")}
+        task, total, at = TaskContext.get().partitionId(), 0, 0
+        rng = np.random.default_rng([11 + k, task])
         for batch in batches:
             for part in _slices(batch):
                 ids, first = flat_units(part.column("units"))
-                if len(ids):
-                    n, size = plan_steps(len(ids), share, not total)
-                    p, taken = descend(p, ids, first, n, rate, noise, rng, size)
+                if not len(ids):
+                    continue
+                least, size = plan_steps(len(ids), share, not total)
+                order = lambda: np.random.default_rng([7, task, at])  # noqa: B023, E731  the same in all rounds
+                begins = round_blocks(len(ids), size, share, k, order())
+                if not len(begins) and not total:  # fewer blocks than rounds
+                    begins = round_blocks(len(ids), size, 1, 0, order())
+                at += 1
+                if len(begins):
+                    n = max(len(begins), least if not total else 0)
+                    p, taken = descend(p, ids, first, begins, size, n, rate, noise, rng)
                     total += taken
         if p is not start:
             rows = np.zeros((len(noise) + 3, 2 * SIZE + 1))
@@ -354,13 +437,13 @@ def _round(path: str, rate: float, seed: int, share: float):
 
 
 def train(ws: Workspace, units: DataFrame, unigram: np.ndarray, tokens: int, share: float = SHARE) -> Parameters:
-    """units(units binary) of all training texts -> the parameters. All tokens are within reach, each as likely to be taken."""
+    """units(units binary) of all training texts -> the parameters. Rounds take different tokens, all of them together at least where share is SHARE or more."""
     p, width = initial(unigram), 2 * SIZE + 1
     units = units.coalesce(max(1, -(-tokens // TOKENS)))  # small partitions of a small corpus are read together
     for k, rate in enumerate(RATES):
         save(ws.at(f"round-{k}.npz"), noise=unigram, **p)
         sums = [F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(width)]
-        rows = units.mapInArrow(_round(ws.at(f"round-{k}.npz"), rate, 11 + k, share), "unit long, taken double, v array<double>").groupBy("unit").agg(F.sum("taken").alias("taken"), *sums).toArrow()  # a row per unit
+        rows = units.mapInArrow(_round(ws.at(f"round-{k}.npz"), rate, k, share), "unit long, taken double, v array<double>").groupBy("unit").agg(F.sum("taken").alias("taken"), *sums).toArrow()  # a row per unit
         if not rows.num_rows:
             break
         order = np.argsort(rows["unit"].to_numpy())
@@ -372,24 +455,30 @@ def train(ws: Workspace, units: DataFrame, unigram: np.ndarray, tokens: int, sha
 def log_chances(p: Parameters, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """log10 of each token's unit, normalised over all units."""
     out = np.empty(len(ids))
-    # The bias is one more place of the vectors. Where no score can come near exp's bounds they aren't shifted.
-    turned = np.vstack([p["e"].T, p["b"]])
+    turned, weight = np.ascontiguousarray(p["e"].T), np.exp(p["b"])
     weighed = [p["c"][k] * p["r"] for k in range(3)]
-    q = np.ones((min(ROWS, len(ids)), SIZE + 1), np.float32)
+    far_of = weighed[2].astype(np.float64)
+    # Where no score can come near exp's bounds they aren't shifted.
     bound = sum(np.abs(w).max() for w in weighed) * np.abs(p["e"]).sum(1).max() + np.abs(p["b"]).max()
+    room = np.empty((min(ROWS, len(ids)), len(weight)), np.float32)
     for lo in range(0, len(ids), ROWS):
-        at = np.arange(lo, min(lo + ROWS, len(ids)))
-        one, two, a, b = contexts(ids, first, at)
-        base = int(a.min())
-        ahead = np.concatenate([np.zeros((1, SIZE)), np.cumsum(weighed[2][ids[base : int(b.max())]], axis=0, dtype=np.float64)])
-        far = (ahead[b - base] - ahead[a - base]) / np.maximum(b - a, 1)[:, None]
-        q[: len(at), :SIZE] = weighed[0][one] + weighed[1][two] + far.astype(np.float32)
-        scores = q[: len(at)] @ turned
-        mine = scores[np.arange(len(at)), ids[at]]
+        hi = min(lo + ROWS, len(ids))
+        base = max(lo - FAR - 2, 0)
+        at, begin = np.arange(lo - base, hi - base), np.maximum(first[lo:hi] - base, 0)
+        near = ids[base:hi]
+        one, two = (np.where(at - k >= begin, near[np.maximum(at - k, 0)], END) for k in (1, 2))
+        b, a = np.maximum(at - 2, begin), np.maximum(at - 2 - FAR, begin)
+        ahead = np.concatenate([np.zeros((1, SIZE)), np.cumsum(far_of[near], axis=0)])
+        q = ((ahead[b] - ahead[a]) / np.maximum(b - a, 1)[:, None]).astype(np.float32)
+        q += weighed[0][one]
+        q += weighed[1][two]
+        target = near[lo - base :]
+        mine = np.einsum("ij,ij->i", q, p["e"][target]) + p["b"][target]
+        scores = np.matmul(q, turned, out=room[: hi - lo])
         if bound > 80:
             most = scores.max(1)
             scores, mine = scores - most[:, None], mine - most
-        out[at] = (mine - np.log(np.exp(scores, out=scores).sum(1))) / np.log(10)
+        out[lo:hi] = (mine - np.log(np.exp(scores, out=scores) @ weight)) / np.log(10)
     return out
 
 
@@ -452,6 +541,6 @@ def score(spark: SparkSession, docs: DataFrame, share: float = SHARE) -> DataFra
     Training texts are those with crc32(doc_id as text) mod 7 other than 2; a null doc_id counts as an empty
     text there. Null texts are empty: only the end is a token. Repeated rows are counted and scored each. Words that tie
     in their count come by code point. Without training texts N and V are 0 and the model is as good as uniform over its
-    units. share is that of the tokens each round trains on; 1 takes all of them, once a round at least. An empty table gives no rows. Other columns aren't read.
+    units. share is that of the tokens each round trains on, by default other ones in each until all are taken; 1 takes all of them, once a round at least. An empty table gives no rows. Other columns aren't read.
     """
     return scored(spark, docs, share)[0]

@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -64,3 +65,24 @@ def test_scores_with_groups(spark, monkeypatch, share):
             want += (s[u] - max(s) - math.log(sum(math.exp(x - max(s)) for x in s))) / math.log(10) + math.log10(within(w))
         assert math.isclose(got[i].score, want, abs_tol=1e-3), i
         assert got[i].n_known == sum(c[w] > 0 for w in tokens) and got[i].n_tokens == len(tokens)
+
+
+def test_rounds_take_every_token_once():
+    for n, size in ((1, 128), (127, 128), (3_000, 128), (524_288, 1_747), (1_000_001, 2_048)):
+        begins = [b for k in range(len(lm.RATES)) for b in lm.round_blocks(n, size, lm.SHARE, k, np.random.default_rng([7, n])).tolist()]
+        assert sorted(begins) == list(range(0, n, size))
+        assert sorted(lm.round_blocks(n, size, 1.0, 2, np.random.default_rng(1)).tolist()) == list(range(0, n, size))
+
+
+def test_gradient_of_a_run_is_that_of_its_tokens():
+    rng, units = np.random.default_rng(4), 11
+    noise = rng.random(units) + 0.1
+    p = {k: v.astype(np.float64) for k, v in lm.initial(noise / noise.sum()).items()}
+    ids, first = rng.integers(0, units, 120), np.repeat([0, 3, 4, 50], [3, 1, 46, 70])
+    drawn, times = np.unique(rng.integers(0, units, 9), return_counts=True)
+    for lo, hi in ((0, 120), (0, 2), (3, 4), (20, 60), (49, 51), (70, 120)):
+        at = np.arange(lo, hi)
+        one, two, far = lm.context_of(ids, first, at, units)
+        _, want = lm.nce_step(p, (one, two, far.astype(np.float64)), ids[at], np.repeat(drawn, times), np.log(noise))
+        got = lm.run_gradient(p, ids, first, lo, hi, drawn, times, np.log(noise))
+        assert all(np.allclose(got[k], want[k], atol=1e-7) for k in want)
