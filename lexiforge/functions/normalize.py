@@ -82,52 +82,54 @@ def _where(has: str, rule: Rule) -> Rule:
     return lambda c: let(c, lambda x: F.when(F.contains(x, F.lit(has)), rule(x)).otherwise(x))
 
 
+def _matching(pattern: str, rule: Rule) -> Rule:
+    """The rule, of many patterns, for texts in which one that covers them all is found."""
+    return lambda c: let(c, lambda x: F.when(x.rlike(pattern), rule(x)).otherwise(x))
+
+
 def _quoted(spellings) -> str:
     return "|".join(r"\Q" + s + r"\E" for s in spellings)
 
 
 _BARE = _sub(r"(?U)^\s+|\s+$", "")
-_SPACES = _sub(r"(?U)\s+", " ")
+_SPACES = _sub(r"(?U)\s{2,}|[\s&&[^ ]]", " ")  # a blank alone stays as it is
 _SIGNS = _all(*[_sub(r"(?iu)\{(?:%s)\}" % _quoted(spellings), "{%s}" % name) for name, spellings in DETERMINATIVES.items()])
-_VOWELS = _all(*[_sub(rf"(?U){v}{k}\b", accented) for v, two in ACCENTS.items() for k, accented in zip("23", two, strict=True)])
-_MONTHS = _all(*[_sub(rf"(?U)([Mm]onth\s+){roman}\b", "$1" + n) for roman, n in MONTHS.items()])
+_VOWELS = _all(*[_where(v + k, _sub(rf"(?U){v}{k}\b", accented)) for v, two in ACCENTS.items() for k, accented in zip("23", two, strict=True)])
+_MONTHS = _all(*[_where(roman, _sub(rf"(?U)([Mm]onth\s+){roman}\b", "$1" + n)) for roman, n in MONTHS.items()])
 
 #: (id of the rule in the inventory, rule) in the order in which they run, behind NFKC.
 SOURCE_RULES: list[tuple[str, Rule]] = [
     ("N3", lambda c: F.translate(c, "Ḫḫ", "Hh")),
     ("N4", _delete(GLOTTALS)),
     ("N5", lambda c: F.translate(c, *SUBSCRIPTS)),
-    ("N6", _where("{", _SIGNS)),
+    ("N6", _where("{", _matching(r"(?iu)\{(?:%s)\}" % _quoted(s for spellings in DETERMINATIVES.values() for s in spellings), _SIGNS))),
     ("N6", _sub(r"(?U)\bDINGIR\b", "{d}")),
-    ("N7", _sub(r"(?i)\{(?:large break|big gap)\}", "<big_gap>")),
-    ("N8", _sub(r"(?U)\[…\s*…\]|…", "<big_gap>")),
-    ("N9", _sub(r"(?U)\[(?:x\s*)+\]", "<gap>")),
-    ("N9", _sub(r"\[\.{2,}\]", "<gap>")),
-    ("N9", _sub(r"\.{3,}", "<gap>")),
-    ("N9", _sub(r"(?i)\[(?:broken|damaged|missing)\]", "<gap>")),
+    ("N7", _where("{", _sub(r"(?i)\{(?:large break|big gap)\}", "<big_gap>"))),
+    ("N8", _where("…", _sub(r"(?U)\[…\s*…\]|…", "<big_gap>"))),
+    ("N9", _where("[", _all(_sub(r"(?U)\[(?:x\s*)+\]", "<gap>"), _sub(r"\[\.{2,}\]", "<gap>")))),
+    ("N9", _where("...", _sub(r"\.{3,}", "<gap>"))),
+    ("N9", _where("[", _sub(r"(?i)\[(?:broken|damaged|missing)\]", "<gap>"))),
     ("N10", _delete(HALF_BRACKETS)),
-    ("N11", _sub(r"<<[^>]*>>", "")),
-    ("N12", _sub(r"\[([^\]]*)\]", "$1")),
-    ("N13", _sub(r"<(?!gap>|big_gap>)([^>]*)>", "$1")),
+    ("N11", _where("<<", _sub(r"<<[^>]*>>", ""))),
+    ("N12", _where("[", _sub(r"\[([^\]]*)\]", "$1"))),
+    ("N13", _where("<", _sub(r"<(?!gap>|big_gap>)([^>]*)>", "$1"))),
     ("N14", _delete("!?*#")),
     ("N15", _swap({"sz": "š", "SZ": "Š", "s,": "ṣ", "S,": "Ṣ", "t,": "ṭ", "T,": "Ṭ"})),
     ("N16", lambda c: let(c, lambda x: F.when(x.rlike("[aeiuAEIU][23]"), _VOWELS(x)).otherwise(x))),
-    ("N17", _sub(r"(?U)(?:<big_gap>\s*){2,}", "<big_gap> ")),
-    ("N17", _sub(r"(?U)(?:<gap>\s*){2,}", "<gap> ")),
-    ("N17", _sub(r"(?U)(?:<(?:big_)?gap>\s*){2,}", "<big_gap> ")),
+    ("N17", _where("gap>", _all(_sub(r"(?U)(?:<big_gap>\s*){2,}", "<big_gap> "), _sub(r"(?U)(?:<gap>\s*){2,}", "<gap> "), _sub(r"(?U)(?:<(?:big_)?gap>\s*){2,}", "<big_gap> ")))),
     ("N18", _SPACES),
 ]
 TARGET_RULES: list[tuple[str, Rule]] = [
     ("N20", _where("(", _sub(r"(?iu)\((?:%s)[^)]*\)" % _quoted(REMARKS), ""))),
-    ("N21", _sub(r"\[([^\]]*)\]", "$1")),
-    ("N21", _sub(r"<(?!gap>)([^>]*)>", "$1")),
+    ("N21", _where("[", _sub(r"\[([^\]]*)\]", "$1"))),
+    ("N21", _where("<", _sub(r"<(?!gap>)([^>]*)>", "$1"))),
     ("N21", _delete(HALF_BRACKETS)),
-    ("N22", _sub(r"…", "<big_gap>")),
-    ("N22", _sub(r"\.{3,}", "<gap>")),
+    ("N22", _where("…", _sub(r"…", "<big_gap>"))),
+    ("N22", _where("...", _sub(r"\.{3,}", "<gap>"))),
     ("N23", _sub(r"(?iuU)\b(?:broken|damaged)\b", "<gap>")),
     ("N24", _where("/", _swap(FRACTIONS))),
-    ("N25", _where("onth", _MONTHS)),
-    ("N26", _sub(r"(?U)(?:<gap>\s*){2,}", "<gap> ")),
+    ("N25", _where("onth", _matching(r"(?U)[Mm]onth\s+[XVI]", _MONTHS))),
+    ("N26", _where("gap>", _sub(r"(?U)(?:<gap>\s*){2,}", "<gap> "))),
     ("N26", _SPACES),
 ]
 

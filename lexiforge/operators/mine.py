@@ -63,8 +63,10 @@ def page_pairs(pages: DataFrame, texts: DataFrame, exclude: DataFrame | None = N
 
 def monolingual(texts: DataFrame, train: DataFrame, least: int = 10) -> DataFrame:
     """Cleaned texts longer than least that aren't in train."""
-    fresh = texts.join(train.select("oare_id"), "oare_id", "left_anti").withColumn("transliteration", clean_source(F.col("transliteration")))
-    return fresh.filter(F.length("transliteration") > least)
+    fresh = texts.join(train.select("oare_id"), "oare_id", "left_anti")
+    # Exploded, so that a text is cleaned once: a filter on it would clean it again.
+    kept = F.explode(F.filter(F.array(clean_source(F.col("transliteration"))), lambda t: F.length(t) > least))
+    return fresh.withColumn("transliteration", kept)
 
 
 def with_notes(texts: DataFrame, least: int = 50) -> DataFrame:

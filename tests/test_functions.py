@@ -441,3 +441,19 @@ def test_mbr_of_large_texts_shuffles_no_grams(spark):
     assert got == {k: plain.select_candidate(p, False) for k, p in pools.items()}
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 3 and "collect_list" in plan  # blocks, pairs, directions; none of grams
+
+
+def test_monolingual_cleans_a_text_once(spark):
+    texts = spark.createDataFrame([("a", "ša  lim-ma é-kal"), ("b", "kurz"), ("c", "a-na bi-tim a-na"), ("d", None)], "oare_id string, transliteration string")
+    made = mine.monolingual(texts, spark.createDataFrame([("c",)], "oare_id string"))
+    assert [tuple(r) for r in made.collect()] == [("a", "ša lim-ma é-kal")]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_rules_are_spared_where_nothing_calls_for_them(spark):
+    """White space that isn't a single blank, and rules that meet what other rules made."""
+    cases = [("a\tb  c  d e", "a b c d e"), ("{É} {lú}2", "{é} {lú}2"), ("x [a… …b] ...", "x a<big_gap> b <gap>"), ("a2 e3-i2", "á è-í")]
+    d = spark.createDataFrame(cases, "t string, want string")
+    for r in d.select("t", "want", normalize.clean_source(F.col("t")).alias("got")).collect():
+        assert r.got == r.want, r
+    assert [r[0] for r in spark.createDataFrame([("month  XII, Month II. ",)], "t string").select(normalize.clean_target(F.col("t"))).collect()] == ["month 12, Month 2."]
