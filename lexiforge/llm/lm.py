@@ -5,7 +5,7 @@ letters. Context units give vectors r, weighed by place into ``q = c0 * r[u1] +
 a unit scores ``q.e + b``. It is trained in numpy by noise-contrastive estimation with sampled noise: in each round every
 task takes the same share of its training tokens, blocks in random order, from the last round's parameters on, and what the tasks
 come to is averaged by the tokens they took. Rounds take different blocks, so that every training token is taken. Scoring normalises every token's
-distribution over all units with one batched matrix product. A word of a group has its share of the
+distribution over all units, by products of what each unit of its context does to each unit. A word of a group has its share of the
 group by counts, of which unknown words have what words seen once had (Good and Turing's estimate).
 """
 
@@ -33,15 +33,15 @@ OWN, GROUPS, SUFFIX = 272, 47, 3
 #: Words whose counts every worker holds (16 bytes each, under 8 MB with their units); the counts of all others are joined.
 HELD = 1 << 18
 #: Size of vectors, units behind the second that the context's mean goes over, and noise units drawn for a batch.
-SIZE, FAR, NOISE = 32, 16, 128
+SIZE, FAR, NOISE = 32, 16, 128  # FAR: a power of two
 #: Rounds with their steps' size, the share of its tokens that a task takes in each unless the caller names another (so all rounds together take every token once; 1: all in each), tokens of a step at most, and the steps
 #: that a task makes at least, with fewer tokens each or some tokens again.
 RATES = (0.03, 0.03, 0.015)
 SHARE, BATCH, LEAST = 1 / len(RATES), 2048, 100
 #: Tokens that a task trains on, or fewer in a smaller corpus: what fewer tokens come to is too far apart to be averaged.
 TOKENS = 1 << 21
-#: Tokens that are scored with one product.
-ROWS = 2048
+#: Tokens that are scored at a time.
+ROWS = 1024
 END = 0
 
 
@@ -268,10 +268,18 @@ def _by_unit(of: np.ndarray, values: np.ndarray, units: int) -> np.ndarray:
     ordered = of[order]
     starts = np.flatnonzero(np.diff(ordered, prepend=-1))
     out = np.zeros((units, values.shape[1]), values.dtype)
-    out[ordered[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    out[ordered[starts]] = np.add.reduceat(values.take(order, axis=0), starts, axis=0)
     return out
 
 
+def window_sums(rows: np.ndarray, width: int = FAR) -> np.ndarray:
+    """Sums of so many rows, a power of two, from each place on."""
+    k = 1
+    while k < width:
+        rows, k = rows[:-k] + rows[k:], 2 * k
+    return rows
+
+
 def _add_behind(to: np.ndarray, rows: np.ndarray, at: int) -> None:
     """Adds rows from place ``at`` on; those ahead of the first place are left out."""
     rows = rows[max(-at, 0) :]
@@ -279,47 +287,67 @@ def _add_behind(to: np.ndarray, rows: np.ndarray, at: int) -> None:
 
 
 def run_gradient(p: Parameters, ids: np.ndarray, first: np.ndarray, lo: int, hi: int, drawn: np.ndarray, times: np.ndarray, log_noise: np.ndarray) -> Parameters:
-    """nce_step's gradient of the tokens from lo to hi, which stand together, so that far units' sums and their gradients come from running sums.
+    """nce_step's gradient of the tokens from lo to hi, which stand together, so that far units' sums and their gradients come from sums over windows, near the beginning of a text from running sums.
 
     drawn: different units, drawn as noise so many times each.
     """
     base = max(lo - FAR - 2, 0)
     n, units, near = hi - lo, len(p["b"]), ids[base:hi]
-    r, target = p["r"][near], ids[lo:hi]
+    r, target = p["r"].take(near, axis=0), ids[lo:hi]
     at, begin = np.arange(lo - base, hi - base), np.maximum(first[lo:hi] - base, 0)
     parts, has = [], []
     for k in (1, 2):
         has.append(at - k >= begin)
-        x = r[np.maximum(at - k, 0)]
+        x = r.take(np.maximum(at - k, 0), axis=0)
         x[~has[-1]] = p["r"][END]
         parts.append(x)
     b, a = np.maximum(at - 2, begin), np.maximum(at - 2 - FAR, begin)
-    ahead = np.concatenate([np.zeros((1, SIZE), r.dtype), np.cumsum(r, axis=0)])
     size = np.maximum(b - a, 1).astype(r.dtype)[:, None]
-    parts.append((ahead[b] - ahead[a]) / size)
-    q = p["c"][0] * parts[0] + p["c"][1] * parts[1] + p["c"][2] * parts[2]
-    e_t, e_n = p["e"][target], p["e"][drawn]
+    # Tokens with fewer than FAR far units, of which some have any, and the places near that these stand at, put together.
+    part = at - 2 - FAR < begin
+    some = np.flatnonzero(part & (b > a))
+    begun = first[base:hi] - base
+    in_head = (begun >= 0) & (np.arange(len(near)) - begun < FAR + 2)
+    heads, rank = np.flatnonzero(in_head), np.cumsum(in_head) - in_head
+    from_, to = rank[a[some]], rank[b[some]]
+    ahead = np.concatenate([np.zeros((1, SIZE), r.dtype), np.cumsum(r.take(heads, axis=0), axis=0)])
+    lead, x = FAR + 2 - (lo - base), np.zeros((n, SIZE), r.dtype)
+    x[lead:] = window_sums(r)[: max(n - lead, 0)]
+    x[part] = 0
+    x[some] = ahead[to] - ahead[from_]
+    x /= size
+    parts.append(x)
+    q = p["c"][0] * parts[0]
+    q += p["c"][1] * parts[1]
+    q += p["c"][2] * parts[2]
+    e_t, e_n = p["e"].take(target, axis=0), p["e"][drawn]
     data = np.einsum("ij,ij->i", q, e_t) + p["b"][target] - log_noise[target]
     up = (1 / (1 + np.exp(-np.clip(data, -40, 40))) - 1) / n
     down = q @ -e_n.T
     down -= p["b"][drawn] - log_noise[drawn]
-    np.exp(np.minimum(down, 40, out=down), out=down)
+    with np.errstate(over="ignore"):  # beyond exp's bounds the chance is 0
+        np.exp(down, out=down)
     down += 1
     np.divide((times / n).astype(r.dtype), down, out=down)
     up = up.astype(r.dtype)
-    dq = up[:, None] * e_t + down @ e_n
+    dq = down @ e_n
+    e_t *= up[:, None]
+    dq += e_t
     g = {"e": _by_unit(target, up[:, None] * q, units), "b": np.bincount(target, up, units).astype(r.dtype), "c": np.stack([np.einsum("ij,ij->j", dq, x) for x in parts])}
     g["e"][drawn] += down.T @ q
-    g["b"][drawn] += down.sum(0)
+    g["b"][drawn] += np.ones(n, r.dtype) @ down
     # What each place near gets: as unit before, as second before, and as one of the far ones of the tokens whose range holds it.
-    edge, far = np.zeros((len(near) + 1, SIZE), r.dtype), dq * (p["c"][2] / size)
-    far[b == a] = 0
-    _add_behind(edge, -far, lo - base - 2)
-    part = at - 2 - FAR < begin
-    np.add.at(edge, a[part], far[part])
-    far[part] = 0
-    _add_behind(edge, far, lo - base - 2 - FAR)
-    place, end = np.cumsum(edge[:-1], axis=0), np.zeros(SIZE, r.dtype)
+    far, end = dq * (p["c"][2] / size), np.zeros(SIZE, r.dtype)
+    behind = np.zeros((len(near) + FAR + 2, SIZE), r.dtype)
+    behind[lo - base : len(near)] = far
+    behind[at[part]] = 0
+    place = window_sums(behind)[3:]
+    if len(some):
+        edge, far = np.zeros((len(heads) + 1, SIZE), r.dtype), far[some]
+        texts = np.flatnonzero(np.diff(from_, prepend=-1))  # a text's tokens have one beginning, and each an end of its own
+        edge[from_[texts]] += np.add.reduceat(far, texts, axis=0)
+        edge[to] -= far
+        place[heads] += np.cumsum(edge[:-1], axis=0)
     for k in (1, 2):
         d, none = dq * p["c"][k - 1], ~has[k - 1]
         end += d[none].sum(0)
@@ -440,6 +468,8 @@ def train(ws: Workspace, units: DataFrame, unigram: np.ndarray, tokens: int, sha
     """units(units binary) of all training texts -> the parameters. Rounds take different tokens, all of them together at least where share is SHARE or more."""
     p, width = initial(unigram), 2 * SIZE + 1
     units = units.coalesce(max(1, -(-tokens // TOKENS)))  # small partitions of a small corpus are read together
+    if tokens <= TOKENS:  # what one task takes has an order of its own, however the files lie: a few steps would show it
+        units = units.sortWithinPartitions(F.xxhash64("units"))
     for k, rate in enumerate(RATES):
         save(ws.at(f"round-{k}.npz"), noise=unigram, **p)
         sums = [F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(width)]
@@ -452,15 +482,21 @@ def train(ws: Workspace, units: DataFrame, unigram: np.ndarray, tokens: int, sha
     return {k: np.ascontiguousarray(x) for k, x in p.items()}
 
 
-def log_chances(p: Parameters, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log10 of each token's unit, normalised over all units."""
+def parts_of_scores(p: Parameters) -> list[np.ndarray]:
+    """By unit of the context, what it adds to every unit's score: one before, two before (with the unit's bias), as the mean of the far ones."""
+    r, e, c = (p[k].astype(np.float64) for k in ("r", "e", "c"))
+    return [(c[0] * r) @ e.T, (c[1] * r) @ e.T + p["b"], (c[2] * r) @ e.T]
+
+
+def head_chances(p: Parameters, ids: np.ndarray, first: np.ndarray, most: float) -> np.ndarray:
+    """log10 of each token's unit, normalised over all units, from its context's vector; for texts of any length. most: what no score exceeds."""
     out = np.empty(len(ids))
     turned, weight = np.ascontiguousarray(p["e"].T), np.exp(p["b"])
     weighed = [p["c"][k] * p["r"] for k in range(3)]
     far_of = weighed[2].astype(np.float64)
     # Where no score can come near exp's bounds they aren't shifted.
-    bound = sum(np.abs(w).max() for w in weighed) * np.abs(p["e"]).sum(1).max() + np.abs(p["b"]).max()
-    room = np.empty((min(ROWS, len(ids)), len(weight)), np.float32)
+    safe = most + np.abs(p["b"]).max() <= 80
+    room = np.empty((min(ROWS, len(ids)), len(p["b"])), np.float32)
     for lo in range(0, len(ids), ROWS):
         hi = min(lo + ROWS, len(ids))
         base = max(lo - FAR - 2, 0)
@@ -475,10 +511,54 @@ def log_chances(p: Parameters, ids: np.ndarray, first: np.ndarray) -> np.ndarray
         target = near[lo - base :]
         mine = np.einsum("ij,ij->i", q, p["e"][target]) + p["b"][target]
         scores = np.matmul(q, turned, out=room[: hi - lo])
-        if bound > 80:
-            most = scores.max(1)
-            scores, mine = scores - most[:, None], mine - most
-        out[lo:hi] = (mine - np.log(np.exp(scores, out=scores) @ weight)) / np.log(10)
+        if safe:
+            total = np.exp(scores, out=scores) @ weight
+        else:
+            scores += p["b"]
+            top = scores.max(1)
+            scores -= top[:, None]
+            mine -= top
+            total = np.exp(scores, out=scores).sum(1)
+        out[lo:hi] = (mine - np.log(total)) / np.log(10)
+    return out
+
+
+def log_chances(p: Parameters, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log10 of each token's unit, normalised over all units.
+
+    A score is a sum over the units of the context, so exp of it is a product of one factor of each, which tables hold.
+    The FAR factors that a token shares with the next one are multiplied in pairs, fours and so on, so a token
+    takes a few products of rows, and neither its vector nor exp. The first FAR + 2 tokens of a text, whose
+    far units are fewer, and models whose products could leave double's range take head_chances.
+    """
+    reach, scores = FAR + 2, parts_of_scores(p)
+    place, most = np.arange(len(ids)) - first, sum(np.abs(x).max() for x in scores)
+    # What all units' factors have in common doesn't change their shares.
+    scores = [x - (x.max(1, keepdims=True) + x.min(1, keepdims=True)) / 2 for x in scores]
+    spread = sum(x.max() for x in scores)
+    if spread > 650 or not (place >= reach).any():
+        return head_chances(p, ids, first, most)
+    kind = np.float32 if spread <= 80 else np.float64
+    out, head = np.empty(len(ids)), place < reach
+    before = np.cumsum(head) - head  # the heads put together are texts, too
+    out[head] = head_chances(p, ids[head], before[first[head]], most)
+    one, two, far = (np.exp(x / k).astype(kind) for x, k in zip(scores, (1, 1, FAR), strict=True))
+    rooms = [np.empty((ROWS + FAR, len(p["b"])), kind) for _ in range(2)]
+    every = np.ones(len(p["b"]), kind)
+    for lo in range(reach, len(ids), ROWS):
+        n = min(ROWS, len(ids) - lo)
+        if head[lo : lo + n].all():
+            continue
+        now, k = np.take(far, ids[lo - reach : lo + n - 3], axis=0, out=rooms[0][: n + FAR - 1], mode="clip"), 1
+        other = rooms[1]
+        while k < FAR:
+            to = other[: len(now) - k]
+            np.multiply(now[:-k].reshape(-1), now[k:].reshape(-1), out=to.reshape(-1))
+            now, other, k = to, rooms[0] if to.base is rooms[1] else rooms[1], 2 * k
+        for table, back in ((one, 1), (two, 2)):
+            now *= np.take(table, ids[lo - back : lo - back + n], axis=0, out=other[:n], mode="clip")
+        got = np.flatnonzero(~head[lo : lo + n])
+        out[lo + got] = np.log10(now[got, ids[lo + got]] / (now @ every)[got])
     return out
 
 

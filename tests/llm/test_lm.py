@@ -86,3 +86,74 @@ def test_gradient_of_a_run_is_that_of_its_tokens():
         _, want = lm.nce_step(p, (one, two, far.astype(np.float64)), ids[at], np.repeat(drawn, times), np.log(noise))
         got = lm.run_gradient(p, ids, first, lo, hi, drawn, times, np.log(noise))
         assert all(np.allclose(got[k], want[k], atol=1e-7) for k in want)
+
+
+def chances(p, ids, first):
+    """log10 of each token's unit from the definition."""
+    out = []
+    for t, u in enumerate(ids):
+        before = [ids[t - k] if t - k >= first[t] else 0 for k in (1, 2)]
+        far = ids[max(t - 2 - lm.FAR, first[t]) : max(t - 2, first[t])]
+        q = p["c"][0] * p["r"][before[0]] + p["c"][1] * p["r"][before[1]]
+        if len(far):
+            q = q + p["c"][2] * p["r"][far].mean(0)
+        s = p["e"] @ q + p["b"]
+        out.append((s[u] - s.max() - math.log(np.exp(s - s.max()).sum())) / math.log(10))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("strength, by_products", [(1, True), (4, True), (12, False)])
+def test_only_heads_of_texts_are_scored_by_vectors(monkeypatch, strength, by_products):
+    """Behind the first FAR + 2 tokens of a text chances come from products of factors, unless these could leave double's range."""
+    rng, units = np.random.default_rng(9), 23
+    p = lm.initial(np.full(units, 1 / units))
+    p = {k: (v * strength * 3 if k in "re" else v + rng.normal(0, 1, v.shape).astype(np.float32)) for k, v in p.items()}
+    sizes = [1, 17, 18, 19, 20, 700, 2, 1500, 37, 5]
+    ids, first = rng.integers(0, units, sum(sizes)), np.repeat(np.cumsum(sizes) - sizes, sizes)
+    taken, heads = [], lm.head_chances
+    monkeypatch.setattr(lm, "head_chances", lambda p, i, *rest: (taken.append(len(i)), heads(p, i, *rest))[1])
+    monkeypatch.setattr(lm, "ROWS", 64)
+    want = chances({k: v.astype(np.float64) for k, v in p.items()}, ids, first)
+    assert np.allclose(lm.log_chances(p, ids, first), want, rtol=1e-4, atol=1e-4 * strength)
+    spread = sum((x.max(1) - x.min(1)).max() / 2 for x in lm.parts_of_scores(p))
+    assert (spread > 80) == (strength > 1) and (spread > 650) == (not by_products)
+    assert taken == [sum(min(n, lm.FAR + 2) for n in sizes) if by_products else len(ids)]
+    assert np.allclose(lm.log_chances(p, ids[:37], np.repeat([0, 1, 18, 36], [1, 17, 18, 1])), chances(p, ids[:37], np.repeat([0, 1, 18, 36], [1, 17, 18, 1])), rtol=1e-3, atol=1e-3)
+    assert len(lm.log_chances(p, ids[:0], first[:0])) == 0
+
+
+def test_gradient_of_runs_of_short_and_long_texts():
+    rng, units = np.random.default_rng(6), 11
+    noise = rng.random(units) + 0.1
+    p = {k: v.astype(np.float64) * (3 if k == "r" else 1) for k, v in lm.initial(noise / noise.sum()).items()}
+    sizes = [2, 1, 90, 3, 4, 5, 18, 19, 33, 1, 1, 200]
+    ids, first = rng.integers(0, units, sum(sizes)), np.repeat(np.cumsum(sizes) - sizes, sizes)
+    drawn, times = np.unique(rng.integers(0, units, 9), return_counts=True)
+    for lo, hi in [(0, len(ids)), (0, 1), *((a, min(a + n, len(ids))) for n in (1, 7, 64) for a in range(0, len(ids), n))]:
+        at = np.arange(lo, hi)
+        one, two, far = lm.context_of(ids, first, at, units)
+        _, want = lm.nce_step(p, (one, two, far.astype(np.float64)), ids[at], np.repeat(drawn, times), np.log(noise))
+        got = lm.run_gradient(p, ids, first, lo, hi, drawn, times, np.log(noise))
+        assert all(np.allclose(got[k], want[k], atol=1e-7) for k in want), (lo, hi)
+
+
+def test_gradient_where_noise_is_certain_or_impossible():
+    """Scores far beyond exp's bounds in either direction give chances of 1 and 0, neither a warning nor NaN."""
+    units = 5
+    p = lm.initial(np.full(units, 0.2))
+    p["b"] = np.array([0, 500, -500, 90, -90], np.float32)
+    with np.errstate(all="raise", under="ignore"):
+        g = lm.run_gradient(p, np.arange(40) % units, np.zeros(40, int), 0, 40, np.arange(units), np.full(units, 2), np.zeros(units, np.float32))
+    assert all(np.isfinite(x).all() for x in g.values())
+    assert np.allclose(g["b"][[1, 3]], 2, atol=1e-2) and np.allclose(g["b"][[2, 4]], -0.2, atol=1e-2)
+
+
+def test_small_corpora_train_alike_however_files_lie(spark, monkeypatch):
+    """How many words workers hold changes the size of files, and so their order, but not what is learned."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{int(rng.paretovariate(0.5))}{'xy'[i % 2]}" for _ in range(200))) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    p = lm.scored(spark, d)[1]
+    monkeypatch.setattr(lm, "HELD", 500)
+    other = lm.scored(spark, d.repartition(3))[1]
+    assert all(np.array_equal(p[k], other[k]) for k in p)
